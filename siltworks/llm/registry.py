@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
 from .line_dedup import op9_line_dedup
 
 QUERIES = {
+    "op5_bpe": op5_bpe,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {}
