@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .chat import op6_chat
 from .line_dedup import op9_line_dedup
+from .quality import op4_quality
 
 QUERIES = {
+    "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
+    "op6_chat": op6_chat,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {}
