@@ -7,9 +7,11 @@ from .chat import op6_chat
 from .line_dedup import op9_line_dedup
 from .quality import op4_quality
 from .substring_dedup import op1_substring_dedup
+from .suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_chat": op6_chat,

@@ -69,36 +69,40 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+COLUMNS = ("minimiser", "doc", "row", "start", "again")
+
+
 @dataclass
 class Runs:
-    """Runs of windows: minimiser, document, row, first window, and the covering string."""
+    """Runs of windows: minimiser, document, row, first window, whether the run may repeat within itself, and its string."""
 
     minimiser: np.ndarray
     doc: np.ndarray
     row: np.ndarray
     start: np.ndarray
+    again: np.ndarray
     strings: list[bytes]
 
     def packed(self, chosen: np.ndarray) -> bytes:
         lengths = np.fromiter((len(self.strings[i]) for i in chosen), np.int64, len(chosen))
-        columns = [np.int64(len(chosen)), self.minimiser[chosen], self.doc[chosen], self.row[chosen], self.start[chosen], lengths]
+        columns = [np.int64(len(chosen)), self.minimiser[chosen], self.doc[chosen], self.row[chosen], self.start[chosen], self.again[chosen].astype(np.int64), lengths]
         return b"".join([c.tobytes() for c in columns] + [self.strings[i] for i in chosen])
 
 
 def unpacked(blobs: list[bytes]) -> Runs:
     reader = zstandard.ZstdDecompressor()
-    columns: list[list[np.ndarray]] = [[], [], [], []]
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
     strings: list[bytes] = []
     for blob in blobs:
         data = reader.decompress(blob)
         n = int(np.frombuffer(data, np.int64, 1)[0])
-        heads = np.frombuffer(data, np.int64, 5 * n, 8).reshape(5, n)
+        heads = np.frombuffer(data, np.int64, 6 * n, 8).reshape(6, n)
         for c, h in zip(columns, heads):
             c.append(h)
-        ends = np.cumsum(heads[4]) + 8 * (5 * n + 1)
-        strings += [data[e - k : e] for e, k in zip(ends.tolist(), heads[4].tolist())]
-    minimiser, doc, row, start = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
-    return Runs(minimiser, doc, row, start, strings)
+        ends = np.cumsum(heads[5]) + 8 * (6 * n + 1)
+        strings += [data[e - k : e] for e, k in zip(ends.tolist(), heads[5].tolist())]
+    minimiser, doc, row, start, again = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
+    return Runs(minimiser, doc, row, start, again, strings)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -118,7 +122,7 @@ def to_shards(texts: DataFrame, cut_runs: Callable[[list[bytes], np.ndarray, np.
         def emit():
             nonlocal size
             if held:
-                all_runs = Runs(*(np.concatenate([getattr(r, k) for r in held]) for k in ("minimiser", "doc", "row", "start")), [s for r in held for s in r.strings])
+                all_runs = Runs(*(np.concatenate([getattr(r, k) for r in held]) for k in COLUMNS), [s for r in held for s in r.strings])
                 held.clear()
                 size = 0
                 # the low bits order pieces within a shard, so shards take the high ones
@@ -147,11 +151,11 @@ def to_shards(texts: DataFrame, cut_runs: Callable[[list[bytes], np.ndarray, np.
     return texts.select("__doc", "__row", "__text").mapInArrow(run, "shard int, blob binary")
 
 
-def spans_of_shards(blobs: DataFrame, shards: int, removed: Callable[[Runs], Iterator[tuple[int, int, int]]], alone: Callable[[Runs], np.ndarray]) -> DataFrame:
+def spans_of_shards(blobs: DataFrame, shards: int, removed: Callable[[Runs], Iterator[tuple[int, int, int]]]) -> DataFrame:
     """(__doc, __row, __from, __to) that removed() finds in pieces of each shard.
 
-    A piece holds whole minimisers. Runs alone with their minimiser are left out, unless alone()
-    says that they may repeat within themselves.
+    A piece holds whole minimisers. Runs alone with their minimiser are left out, unless they may
+    repeat within themselves.
     """
 
     def pieces(blobs: list[bytes]) -> Iterator[Runs]:
@@ -161,7 +165,7 @@ def spans_of_shards(blobs: DataFrame, shards: int, removed: Callable[[Runs], Ite
         first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1]))) if len(m) else np.empty(0, np.int64)
         size = np.diff(np.append(first, len(m)))
         single = np.repeat(size == 1, size)
-        order = order[~single | alone(runs)[order]]
+        order = order[~single | (runs.again[order] != 0)]
         m = runs.minimiser[order]
         held, total = [], 0
         for n, i in enumerate(order.tolist()):
@@ -195,7 +199,7 @@ def spans_of_shards(blobs: DataFrame, shards: int, removed: Callable[[Runs], Ite
 
 def _taken(runs: Runs, chosen: list[int]) -> Runs:
     at = np.array(chosen)
-    return Runs(runs.minimiser[at], runs.doc[at], runs.row[at], runs.start[at], [runs.strings[i] for i in chosen])
+    return Runs(*(getattr(runs, k)[at] for k in COLUMNS), [runs.strings[i] for i in chosen])
 
 
 def intervals(flags: np.ndarray, width: int) -> list[tuple[int, int]]:

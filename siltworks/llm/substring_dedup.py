@@ -34,7 +34,7 @@ def super_kmers(texts: list[bytes], docs: np.ndarray, rows: np.ndarray, window:
     total = int(counts.sum())
     empty = np.empty(0, np.int64)
     if total < window:
-        return Runs(empty, empty, empty, empty, [])
+        return Runs(*[empty] * 5, [])
     words = slice_hash(prefix_hash(flat), starts, ends)
     g = GRAM
     grams = words[: total - g + 1].copy()
@@ -52,7 +52,7 @@ def super_kmers(texts: list[bytes], docs: np.ndarray, rows: np.ndarray, window:
     base = np.cumsum(counts) - counts
     of = text_of[begin]
     strings = [data[a:b] for a, b in zip(starts[begin].tolist(), ends[stop + window - 2].tolist())]
-    return Runs(low[begin].view(np.int64), docs[of], rows[of], begin - base[of], strings)
+    return Runs(low[begin].view(np.int64), docs[of], rows[of], begin - base[of], np.zeros(len(of), np.int64), strings)
 
 
 def repeated(runs: Runs, window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
@@ -115,7 +115,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return repeated(runs, window)
 
     blobs = to_shards(texts, cut_runs, shards)
-    spans = spans_of_shards(blobs, shards, removed, lambda runs: np.zeros(len(runs.strings), bool))
+    spans = spans_of_shards(blobs, shards, removed)
     found = with_spans(docs, spans, ("n_words", "n_removed", "spans", "kept"))
     own = [c for c in found.columns if c not in ("__doc", "__row", "__spans")]
     inner = found.select(*[F.col(f"`{c}`") for c in own], "__spans").toDF(*[f"c{i}" for i in range(len(own) + 1)])
