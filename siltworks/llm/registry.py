@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .chat import op6_chat
+from .decontaminate import op8_decontaminate
 from .jaccard_join import op7_jaccard_join
 from .line_dedup import op9_line_dedup
 from .quality import op4_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_chat": op6_chat,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {}
