@@ -129,7 +129,8 @@ def _partition_sums(rows: DataFrame, fold, size: int) -> np.ndarray:
             total += fold(x, b.column(1).to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
 
-    parts = rows.select("stats", "y").mapInArrow(run, "s array<double>").collect()
+    # PARTS bounds how many sums reach the driver
+    parts = rows.select("stats", "y").coalesce(PARTS).mapInArrow(run, "s array<double>").collect()
     return np.sum([np.array(p.s) for p in parts], axis=0) if parts else np.zeros(size)
 
 
