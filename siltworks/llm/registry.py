@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .chat import op6_chat
 from .decontaminate import op8_decontaminate
+from .html_extract import op10_html_extract
 from .jaccard_join import op7_jaccard_join
 from .line_dedup import op9_line_dedup
 from .quality import op4_quality
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
+    "op10_html_extract": op10_html_extract,
 }
 ORACLES: dict[str, str] = {}
