@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .audio import op3_audio_fingerprints
 from .bpe import op5_bpe
 from .chat import op6_chat
+from .common import importable
 from .decontaminate import op8_decontaminate
 from .html_extract import op10_html_extract
 from .jaccard_join import op7_jaccard_join
@@ -12,9 +14,21 @@ from .quality import op4_quality
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 
+
+def _importable(query):
+    """query with this package on the workers' path, for sessions that were started elsewhere."""
+
+    def run(spark, sf_dir):
+        importable(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_audio_fingerprints": op3_audio_fingerprints,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_chat": op6_chat,
@@ -23,4 +37,5 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extract": op10_html_extract,
 }
+QUERIES = {name: _importable(query) for name, query in QUERIES.items()}
 ORACLES: dict[str, str] = {}
