@@ -91,8 +91,38 @@ def _common_shingles(docs: DataFrame, size: int) -> dict[int, int]:
     return {r.s: r.n for r in top}
 
 
-def _signed(docs: DataFrame, size: int, num: int, den: int, common: dict[int, int]) -> DataFrame:
-    """(__doc, __row, n, node, keys, counts) of every document."""
+def _signed(docs: DataFrame, size: int) -> DataFrame:
+    """(__doc, __row, n, node, counts) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, group in _chunks(batch, 2):
+                sets = shingle_sets(group, size)
+                counts = [np.bincount((h % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for h in sets]
+                packed = [c.astype(np.uint16 if c.max() < 1 << 16 else np.uint32).tobytes() for c in counts]
+                rows = slice(first, first + len(group))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0)[rows], batch.column(1)[rows], pa.array([len(h) for h in sets], pa.int64()),
+                        pa.array([_node(h) for h in sets], pa.int64()), pa.array(packed, pa.binary()),
+                    ],
+                    ["__doc", "__row", "n", "node", "counts"],
+                )
+
+    return docs.select("__doc", "__row", "__text").mapInArrow(run, "__doc long, __row long, n long, node long, counts binary")
+
+
+def _node(h: np.ndarray) -> int:
+    """The name of a set."""
+    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _point(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, np.uint16 if len(counts) == 2 * GROUPS else np.uint32).astype(np.int64)
+
+
+def _listed(docs: DataFrame, size: int, num: int, den: int, common: dict[int, int]) -> DataFrame:
+    """(key, node, n): each set under its rarest shingles, once a task."""
     hot = np.array(sorted(common), np.int64)
     weight = np.array([common[h] for h in hot.tolist()], np.int64)
 
@@ -108,22 +138,66 @@ def _signed(docs: DataFrame, size: int, num: int, den: int, common: dict[int, in
         return s[:most]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for first, group in _chunks(batch, 2):
-                sets = shingle_sets(group, size)
-                node = [int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) for h in sets]
-                keys = [listed(h) if len(h) else h.view(np.int64) for h in sets]
-                counts = [np.bincount((h % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes() for h in sets]
-                rows = slice(first, first + len(group))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[rows], batch.column(1)[rows], pa.array([len(h) for h in sets], pa.int64()), pa.array(node, pa.int64()),
-                        pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.binary()),
-                    ],
-                    ["__doc", "__row", "n", "node", "keys", "counts"],
-                )
+            for _, group in _chunks(batch, 0):
+                keys, nodes, sizes = [], [], []
+                for h in shingle_sets(group, size):
+                    node = _node(h)
+                    if len(h) and node not in seen:
+                        if len(seen) < 1_000_000:
+                            seen.add(node)
+                        keys.append(listed(h))
+                        nodes.append(node)
+                        sizes.append(len(h))
+                if keys:
+                    times = [len(k) for k in keys]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes), times)), pa.array(np.repeat(np.array(sizes), times))], ["key", "node", "n"])
+
+    return docs.select("__text").mapInArrow(run, "key long, node long, n long")
+
+
+def _shared(listed: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of listed that share their key with another set of similar size.
+
+    In the order of sizes under a key it is enough to look at the neighbours.
+    """
 
-    return docs.select("__doc", "__row", "__text").mapInArrow(run, "__doc long, __row long, n long, node long, keys array<long>, counts binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            key, node, n = (c.to_numpy() for c in batch.columns)
+            met = False
+            if last is not None:
+                key, node, n = (np.concatenate(([x], c)) for x, c in zip(last, (key, node, n)))
+                met = last[3]
+            own = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            key, node, n = key[own], node[own], n[own]
+            fits = (key[1:] == key[:-1]) & (n[:-1] * den >= n[1:] * num)
+            keep = np.concatenate(([met], fits)) | np.concatenate((fits, [False]))
+            last = (key[-1], node[-1], n[-1], bool(keep[-1]))
+            keep[-1] = False
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, node, n)], ["key", "node", "n"])
+        if last is not None and last[3]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([c])) for c in last[:3]], ["key", "node", "n"])
+
+    return listed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, listed.schema)
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose summed coordinate minima allow the similarity."""
+    both = pairs.join(points.toDF("a", "na", "ca"), "a").join(points.toDF("b", "nb", "cb"), "b").select("a", "b", "na", "ca", "nb", "cb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ca, cb = (np.array([_point(c) for c in b.column(i).to_pylist()]).reshape(-1, GROUPS) for i in (3, 5))
+            ok = np.minimum(ca, cb).sum(1) * (den + num) >= num * (b.column(2).to_numpy() + b.column(4).to_numpy())
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _chosen(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
@@ -181,7 +255,7 @@ def _candidates(members: DataFrame, num: int, den: int) -> DataFrame:
             if len(set(g)) < 2:
                 continue
             nodes = np.array(node)
-            points = np.frombuffer(b"".join(counts), np.uint32).reshape(len(node), GROUPS).astype(np.int64)
+            points = np.array([_point(c) for c in counts])
             for a, b in box_join(np.array(n), np.array(g), points, np.array(side), num, den):
                 x, y = nodes[a], nodes[b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -202,7 +276,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, nu
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packer.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], ["node", "packed"])
 
-    small = cut(texts.mapInArrow(packed, "node long, packed binary").dropDuplicates(["node"]))
+    small = cut(texts.mapInArrow(packed, "node long, packed binary"))
     both = pairs.join(small.toDF("a", "pa"), "a").join(small.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +300,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, nu
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -239,21 +313,21 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = keyed(docs.select(id_col, text_col), id_col, text_col)
     source = source.select("__doc", "__row", F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    signed = cut(_signed(source, size, num, den, _common_shingles(source, size)))
+    signed = cut(_signed(source, size))
     full = signed.where("n > 0")
     nodes = full.groupBy("node").agg(F.min(F.struct("__doc", "__row")).alias("first")).select("node", "first.*")
-    keys = full.select("node", "n", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
-    crowd = cut(_chosen(keys, shared, ["key"]).distinct())
+    crowd = cut(_shared(_listed(source, size, num, den, _common_shingles(source, size)), num, den))
     classed = crowd.withColumn("k", F.floor(F.log(F.col("n")) / log(den / num)))
     pivots = classed.groupBy("key", "k").agg(F.min(F.struct("node", "n")).alias("p")).select("key", "k", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
     stars = classed.join(pivots, ["key", "k"]).where(f"a <> node and least(n, na) * {den} >= greatest(n, na) * {num}")
-    stars = cut(stars.select("a", F.col("node").alias("b")).distinct())
-    points = full.join(crowd.select("node").distinct(), "node", "left_semi").select("node", "counts").dropDuplicates(["node"])
+    points = _chosen(full, crowd.select("node").distinct(), ["node"]).select("node", "n", "counts")
+    points = cut(points.dropDuplicates(["node"]))
+    stars = cut(_bounded(stars.select("a", F.col("node").alias("b")).distinct(), points, num, den))
     found = cut(_verified(stars, nodes, source, size, num, den))
     groups = connected_components(found)
-    members = crowd.join(groups.withColumnRenamed("component", "g"), "node", "left").join(points, "node")
-    members = members.select("key", "node", "n", F.coalesce("g", "node").alias("g"), "counts")
+    members = cut(crowd.join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node")))
+    mixed = members.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("key")
+    members = members.join(mixed, "key").join(points.select("node", "counts"), "node").select("key", "node", "n", "g", "counts")
     pairs = cut(_candidates(members, num, den).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     rest = cut(_verified(pairs, nodes, source, size, num, den))
     if not rest.isEmpty():
