@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +24,11 @@ def local_session(cpus: int | None = None, app: str = "siltworks") -> SparkSessi
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    root = str(Path(__file__).resolve().parents[1])
+    own = spark.sparkContext.environment
+    if root not in own.get("PYTHONPATH", "").split(":"):
+        own["PYTHONPATH"] = ":".join(filter(None, [root, own.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")]))
