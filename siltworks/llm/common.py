@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space; words are runs of anything else.
 SPACES = " \t\n\x0b\x0c\r"
+#: Up to this many edges (twice 16 MB of minima) components are computed with broadcast joins.
+FEW_EDGES = 1_000_000
 
 
 def ready(spark: SparkSession) -> None:
@@ -61,12 +63,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if tuple(seen) == mark or seen[0] == 0:
             break
         mark = tuple(seen)
+        # a node has an edge, so the minima are at most twice as many as the edges
+        few = seen[0] <= FEW_EDGES
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(F.broadcast(low) if few else low, "u").where("v > u and v <> m")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(F.broadcast(low) if few else low, "u").where("v <> m")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     nodes = now.groupBy("u").agg(F.min("v").alias("v"))
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
