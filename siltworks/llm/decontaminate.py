@@ -9,13 +9,13 @@ different ones, the document leaks the item, word for word or with other paramet
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +41,16 @@ OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c
 LITERAL, NUM, UNIT, NAME = range(4)
 
 
+#: White space for str.split that does not separate words here.
+ODD_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+CLOSERS = "\"')]}”’»"
+
+
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
+    return xxhash.xxh64_intdigest(text)
+
+
+NUM_HASH, UNIT_HASH, NAME_HASH, MEASURE_HASH = map(_hash, ("<num>", "<unit>", "<name>", "<num><unit>"))
 
 
 class Templates:
@@ -51,54 +59,52 @@ class Templates:
     def __init__(self):
         self.index: dict[str, int] = {}
         # for each word: its token in the middle of a sentence, at its start and after a number
-        self.tokens: list[tuple[int, int, int]] = []
-        self.kinds: list[tuple[int, int, int]] = []
-        self.ends: list[bool] = []
-        self.number: list[bool] = []
+        self.tokens = np.zeros((CACHED_WORDS, 3), np.uint64)
+        self.kinds = np.zeros((CACHED_WORDS, 3), np.int8)
+        self.ends = np.zeros(CACHED_WORDS, bool)
+        self.number = np.zeros(CACHED_WORDS, bool)
 
     def add(self, word: str) -> int:
         core = word.strip(OUTER)
         low = core.lower()
-        kinds = [LITERAL] * 3
-        texts = [low] * 3
-        if NUMBER.match(core):
-            kinds, texts = [NUM] * 3, ["<num>"] * 3
-        elif MEASURE.match(core) or MONEY.match(core):
-            kinds, texts = [UNIT] * 3, ["<num><unit>"] * 3
+        h = _hash(low)
+        at = self.index[word] = len(self.index)
+        plain = core.isalpha()
+        if not plain and NUMBER.match(core):
+            self.tokens[at], self.kinds[at] = NUM_HASH, NUM
+        elif not plain and (MEASURE.match(core) or MONEY.match(core)):
+            self.tokens[at], self.kinds[at] = MEASURE_HASH, UNIT
         else:
-            if low in UNITS:
-                kinds[2], texts[2] = UNIT, "<unit>"
+            tokens, kinds = [h, h, h], [LITERAL] * 3
             if len(core) > 1 and core[0].isupper() and core[1:].islower():
-                kinds[0], texts[0] = NAME, "<name>"
-                if kinds[2] == LITERAL:
-                    kinds[2], texts[2] = NAME, "<name>"
-        at = self.index[word] = len(self.ends)
-        self.tokens.append(tuple(map(_hash, texts)))
-        self.kinds.append(tuple(kinds))
-        self.ends.append(word.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":", "…"))
-        self.number.append(kinds[0] == NUM)
+                tokens[0] = tokens[2] = NAME_HASH
+                kinds[0] = kinds[2] = NAME
+            if low in UNITS:
+                tokens[2], kinds[2] = UNIT_HASH, UNIT
+            self.tokens[at], self.kinds[at] = tokens, kinds
+        self.ends[at] = word.rstrip(CLOSERS)[-1:] in (".", "!", "?", ":", "…")
+        self.number[at] = self.kinds[at, 0] == NUM
         return at
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token hashes and kinds of a text's words."""
-        if len(self.ends) > CACHED_WORDS:
-            self.__init__()
+        if len(self.index) + len(words) > len(self.ends):
+            self.index.clear()
+            if len(words) > len(self.ends):  # a text of more words than are remembered
+                self.tokens, self.kinds = np.zeros((len(words), 3), np.uint64), np.zeros((len(words), 3), np.int8)
+                self.ends, self.number = np.zeros(len(words), bool), np.zeros(len(words), bool)
         get, add = self.index.get, self.add
-        at = np.fromiter((i if (i := get(w)) is not None else add(w) for w in words), np.int64, len(words))
-        if getattr(self, "_size", None) != len(self.ends):
-            self._tokens, self._kinds = np.array(self.tokens, np.uint64).reshape(-1, 3), np.array(self.kinds, np.int8).reshape(-1, 3)
-            self._ends, self._number = np.array(self.ends), np.array(self.number)
-            self._size = len(self.ends)
+        at = np.array([i if (i := get(w)) is not None else add(w) for w in words], np.int64)
         state = np.zeros(len(at), np.int64)
         if len(at):
-            state[1:][self._number[at[:-1]]] = 2
-            state[1:][self._ends[at[:-1]]] = 1
+            state[1:][self.number[at[:-1]]] = 2
+            state[1:][self.ends[at[:-1]]] = 1
             state[0] = 1
-        return self._tokens[at, state], self._kinds[at, state]
+        return self.tokens[at, state], self.kinds[at, state]
 
 
 def split(text: str) -> list[str]:
-    return re.findall(r"[^\x20\x09-\x0D]+", text)
+    return re.findall(r"[^\x20\x09-\x0D]+", text) if ODD_SPACES.search(text) else text.split()
 
 
 def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
