@@ -114,3 +114,28 @@ QUALITY_WEIGHTS = {
     "extraction": "0.15", "structural": "0.10", "normalization": "0.10", "validation": "0.20", "completeness": "0.15", "consistency": "0.10",
     "curation": "0.10", "provenance": "0.10",
 }
+
+# Fixed values of document discovery.
+FINAL_WORDS = ["final list", "final oihd", "occupations in high demand", "selected occupations", "authoritative list", "final dataset", "priority skills list", "master list"]
+SURVEY_WORDS = ["survey response mapping", "survey responses", "survey questions", "employer survey", "respondents", "survey sample", "questionnaire"]
+INTERMEDIATE_WORDS = [
+    "top 10", "variables used", "historical overview", "indicators used", "regression results", "sample description", "scoring range", "demand score ranges",
+]
+UNIT_SIGNALS = {
+    "occupation": ("1.5", [
+        "ofo", "occupation", "job title", "trade", "artisan", "technician", "technologist", "engineer", "mechanic", "operator", "manager", "clerk",
+        "specialist", "practitioner", "analyst", "moulder", "welder", "fitter",
+    ]),
+    "qualification": ("1.5", ["saqa", "nqf", "qualification", "diploma", "degree", "certificate", "learnership", "curriculum", "subframe", "accreditation", "programme"]),
+    "survey_response": ("1.5", ["survey", "respondent", "response", "question", "enterprise size", "micro", "small", "medium", "large", "mentions", "frequency", "score"]),
+    "variable": ("2.0", ["variable", "var_name", "label", "codebook", "storage type", "value labels", "data type", "missing value", "format"]),
+    "industry": ("1.5", ["sic", "industry", "sector", "gdp", "employment growth", "economic sector", "manufacturing", "mining", "agriculture"]),
+    "province": ("1.5", [
+        "province", "provincial", "gauteng", "mpumalanga", "kwazulu-natal", "western cape", "eastern cape", "limpopo", "free state", "north west", "northern cape",
+    ]),
+    "company": ("2.5", ["company", "enterprise", "employer", "firm", "organisation", "organization", "sdl number"]),
+}
+QUALIFICATION_WORDS = [
+    "Honours Degree", "Postgraduate Diploma", "Bachelor's Degree", "Master's Degree", "Doctoral Degree", "Advanced Certificate", "Advanced Diploma",
+    "National Certificate", "Higher Certificate", "Diploma",
+]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from ..operators import audit, curation, duplicates, quality, relational, structure, validation
+from ..operators import audit, curation, discovery, duplicates, quality, relational, structure, validation
 from ..session import importable
 from . import records as R
 
@@ -481,3 +481,101 @@ def override_apply(spark, sf):
     r = R.records(spark, sf).select("row_index", F.lit("unprocessed").alias("decision"))
     o = r.where("row_index % 5 = 0").select("row_index", F.lit("INCLUDE").alias("decision"))
     return audit.apply_overrides(r, o, "row_index", "decision")
+
+
+# ---- discovery ---------------------------------------------------------------------------------
+
+LABELS = [
+    "Table 4: The final list of occupations in high demand", "Annexure 2: survey questions to respondents", "TABLE 12. Top 10 indicators used", "Appendix B: notes", "table 9: SAQA qualification, NQF level and diploma",
+    "total 167 occupations and 42 oihd", "Technical research report", "A policy framework", "Codebook: variable name and label", "list of 12 skills; total occupations 90", "Table 3",
+]
+HEADS = ["OFO_Code Occupation", "Company Employer", "variable label format", "province sector", "saqa diploma", "", "score frequency small", "gauteng", "engineer survey"]
+SQL_LABELLED = "lb AS (SELECT p_partkey AS id, " + R._pick(LABELS, "p_partkey") + " AS label, " + R._pick(HEADS, "p_partkey") + " AS heads, p_partkey % 7 AS doc FROM part)"
+
+
+def labelled(spark, sf):
+    return table(spark, sf, "part").selectExpr("p_partkey as id", R._pick(LABELS, "p_partkey") + " as label", R._pick(HEADS, "p_partkey") + " as heads", "p_partkey % 7 as doc")
+
+
+@query(f"""WITH {SQL_LABELLED} SELECT id, coalesce(nullif(trim(regexp_extract(label, '(?i)(table[ \\t]+[0-9]+[:.-][ \\t]+[^\\n\\r]+)', 1)), ''), nullif(trim(regexp_extract(label, '(?i)(annexure[ \\t]+[0-9]+[:.-][ \\t]+[^\\n\\r]+)', 1)), ''),
+nullif(trim(regexp_extract(label, '(?i)(appendix[ \\t]+[A-Z0-9]+[:.-][ \\t]+[^\\n\\r]+)', 1)), ''), '') AS caption FROM lb""")
+def caption_extract(spark, sf):
+    return labelled(spark, sf).select("id", discovery.caption(F.col("label")).alias("caption"))
+
+
+@query(f"""WITH {SQL_LABELLED}, x AS (SELECT id, unnest(list_concat(list_concat(regexp_extract_all(label, '(?i)\\b(?:total|list of|identified|reveals)\\s+([0-9]{{1,4}})\\s+(?:occupations|oihd|qualifications|items|trades|skills)\\b', 1),
+regexp_extract_all(label, '(?i)\\b([0-9]{{1,4}})\\s+(?:oihd|occupations in high demand)\\b', 1)), regexp_extract_all(label, '(?i)total\\s+occupations\\s+([0-9]{{1,4}})', 1))) AS s FROM lb)
+SELECT DISTINCT id, CAST(s AS INT) AS stated FROM x WHERE CAST(s AS INT) > 5""")
+def stated_counts(spark, sf):
+    return discovery.stated_counts(labelled(spark, sf), ["id"], "label")
+
+
+@query(f"""WITH {SQL_LABELLED}, l AS (SELECT id, lower(label) AS t FROM lb) SELECT id, CASE WHEN contains(t, 'research report') THEN 'research_report' WHEN contains(t, 'policy') AND contains(t, 'framework') THEN 'policy_document'
+WHEN regexp_matches(t, 'codebook|variable name') THEN 'codebook' WHEN contains(t, 'survey report') THEN 'survey_report' WHEN contains(t, 'statistical') THEN 'statistical_report' ELSE 'unknown' END AS type FROM l""")
+def doc_type_rules(spark, sf):
+    return labelled(spark, sf).select("id", discovery.document_type(F.col("label"))["type"].alias("type"))
+
+
+def _unit_sql() -> str:
+    parts = []
+    for n, (unit, (weight, words)) in enumerate(K.UNIT_SIGNALS.items()):
+        hits = " + ".join(f"(CASE WHEN regexp_matches(t, '\\b{w}\\b') THEN {weight} ELSE 0 END)" for w in words)
+        bonus = {"occupation": " + CASE WHEN contains(t, 'ofo') THEN 4 ELSE 0 END", "qualification": " + CASE WHEN contains(t, 'nqf level') THEN 4 ELSE 0 END"}.get(unit, "")
+        parts.append(f"SELECT id, '{unit}' AS unit, {n} AS n, CAST({hits}{bonus} AS DOUBLE) AS s FROM ut")
+    return "ut AS (SELECT id, lower(replace(heads, '_', ' ')) AS t FROM lb), us AS (" + " UNION ALL ".join(parts) + "), un AS (SELECT id, CASE WHEN max(s) >= 1.5 THEN arg_max(unit, s * 100 - n) ELSE 'unknown' END AS unit FROM us GROUP BY id)"
+
+
+SQL_UNITS = SQL_LABELLED + ", " + _unit_sql()
+SQL_ROLES = SQL_UNITS + f""", ro AS (SELECT lb.*, unit, CASE WHEN unit = 'survey_response' OR {sql_parts('lower(label)', K.SURVEY_WORDS)} THEN 'survey' WHEN {sql_parts('lower(label)', K.FINAL_WORDS)} AND unit IN ('occupation', 'qualification') THEN 'final_dataset'
+WHEN regexp_matches(lower(label), 'annexure|appendix') THEN 'appendix' WHEN {sql_parts('lower(label)', K.INTERMEDIATE_WORDS)} THEN 'intermediate_analysis' ELSE 'unknown' END AS role FROM lb JOIN un USING (id)),
+sc AS (SELECT *, CAST((CASE WHEN regexp_matches(lower(label), 'final list|final oihd|occupations in high demand') THEN 4 ELSE 0 END) + (CASE WHEN contains(lower(label), 'consolidation of evidence') THEN 2.5 ELSE 0 END) + (CASE WHEN role = 'final_dataset' THEN 3 ELSE 0 END)
++ (CASE unit WHEN 'occupation' THEN 2 WHEN 'qualification' THEN 1.5 WHEN 'survey_response' THEN -3 ELSE 0 END) + (CASE WHEN id % 6 = 0 THEN 5 ELSE 0 END) + (CASE WHEN contains(lower(heads), 'ofo') AND contains(lower(heads), 'occupation') THEN 2 ELSE 0 END)
++ (CASE role WHEN 'intermediate_analysis' THEN -2 WHEN 'survey' THEN -4 ELSE 0 END) + (CASE WHEN role = 'appendix' AND NOT contains(lower(label), 'final') THEN -1.5 ELSE 0 END) AS DOUBLE) AS score FROM ro)"""
+
+
+def scored_candidates(spark, sf):
+    df = labelled(spark, sf).withColumn("unit", discovery.unit_of_observation(F.col("heads")))
+    df = df.withColumn("role", discovery.table_role(F.col("label"), F.col("unit")))
+    return df.withColumn("score", discovery.candidate_score(F.col("label"), F.col("role"), F.col("unit"), F.col("heads"), F.col("id") % 6 == 0).cast("double"))
+
+
+@query(f"WITH {SQL_UNITS} SELECT id, unit FROM un")
+def unit_argmax(spark, sf):
+    return labelled(spark, sf).select("id", discovery.unit_of_observation(F.col("heads")).alias("unit"))
+
+
+@query(f"WITH {SQL_ROLES} SELECT id, role, score FROM sc")
+def candidate_scores(spark, sf):
+    return scored_candidates(spark, sf).select("id", "role", "score")
+
+
+@query(f"WITH {SQL_ROLES} SELECT doc, id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, id) AS n FROM sc) WHERE n = 1 AND score >= 3")
+def candidate_topk(spark, sf):
+    return discovery.authoritative(scored_candidates(spark, sf), ["doc"], "score", "id").select("doc", "id", "score")
+
+
+@query("""WITH g AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN ['OFO Code', 'Title', 'x'] WHEN 1 THEN ['Note: data', '', ''] WHEN 2 THEN ['', '', ''] WHEN 3 THEN ['3115', 'Welder', 'A'] ELSE ['List of Occupations in High Demand', '27', ''] END AS cells FROM part)
+SELECT id, len(list_filter(['OFO Code', 'Title', 'Province'], lambda h: list_contains(list_transform(cells, lambda c: lower(trim(c))), lower(h)))) >= 2 AS header,
+len(list_filter(cells, lambda c: trim(c) <> '')) = 0 OR regexp_matches(lower(array_to_string(list_filter(cells, lambda c: trim(c) <> ''), ' ')), '^([0-9]+\\s+)?(interquartile|upper outlier|source:|note:|footnote:)')
+OR (regexp_matches(lower(array_to_string(list_filter(cells, lambda c: trim(c) <> ''), ' ')), 'consolidation of evidence|technical research report|list of occupations in high demand') AND len(list_filter(cells, lambda c: trim(c) <> '')) <= 2) AS footnote FROM g""")
+def grid_row_filters(spark, sf):
+    rows = [["OFO Code", "Title", "x"], ["Note: data", "", ""], ["", "", ""], ["3115", "Welder", "A"], ["List of Occupations in High Demand", "27", ""]]
+    cells = F.get(F.array(*[F.array(*[F.lit(c) for c in r]) for r in rows]), (F.col("p_partkey") % 5).cast("int"))
+    head = F.array(F.lit("OFO Code"), F.lit("Title"), F.lit("Province"))
+    df = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), cells.alias("cells"))
+    return df.select("id", discovery.repeats_header(F.col("cells"), head).alias("header"), discovery.is_footnote(F.col("cells")).alias("footnote"))
+
+
+@query("""WITH g AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, i AS pos, CASE WHEN i % 3 = 2 THEN '112101 ' || l[i] ELSE l[i] END AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM g)),
+m AS (SELECT *, sum(regexp_matches(line, '^[0-9]{4,6}')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS record FROM x)
+SELECT doc_id, CAST(record AS BIGINT) AS record, string_agg(trim(line), ' ' ORDER BY pos) AS body FROM m WHERE record > 0 AND trim(line) <> '' GROUP BY doc_id, record""")
+def text_line_records(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null")
+    coded = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("112101 "), x)).otherwise(x))
+    return discovery.records_from_lines(d.select("doc_id", F.array_join(coded, "\n").alias("text")), ["doc_id"])
+
+
+@query()
+def split_title_qualification(spark, sf):
+    r = R.records(spark, sf).select("row_index", F.concat_ws(" ", F.when(F.col("row_index") % 2 == 0, F.col("title")), F.when(F.col("row_index") % 3 > 0, F.lit("Advanced Diploma in Metal"))).alias("t"))
+    return r.select("row_index", discovery.split_qualification(F.col("t")).alias("s")).select("row_index", "s.*")
