@@ -121,3 +121,30 @@ def has_part(c: Column, parts: list[str]) -> Column:
 def first_word_of(c: Column, words: list[str]) -> Column:
     """The first entry of words that occurs in the text; the order is the list's."""
     return F.coalesce(*[F.when(c.rlike(rf"\b{w}\b"), F.lit(w)) for w in words])
+
+
+#: Words of institutions. Fixed values.
+INSTITUTIONS = ["tvet", "college", "campus", "centre", "center", "institution", "school", "academy", "university"]
+
+
+def repair_bleed(title: Column, items: Column) -> Column:
+    """struct(title, items): words of a title that wrapped into the list cell go back to the title.
+
+    Before the first institution word only its own name may stand; two words or more before it mean
+    that all but the last belong to the title. A first item of up to four words without an
+    institution word or a digit belongs to the title as a whole.
+    """
+    words = "|".join(INSTITUTIONS)
+    found = items.rlike(rf"(?i)\b({words})\b")
+    prefix = F.when(found, F.regexp_extract(items, rf"(?is)^(.*?)\b(?:{words})\b", 1)).otherwise("")
+    rest = F.substring(items, F.length(prefix) + 1, F.length(items))
+    bits = F.filter(F.split(F.regexp_replace(prefix, r"^[ ;,\t\n]+|[ ;,\t\n]+$", ""), r"\s+"), lambda w: w != "")
+    n = F.size(bits)
+    wrapped = found & (n >= 2)
+    parts = F.split(items, "[;\\n•·]")
+    first = F.trim(F.get(parts, F.lit(0)))
+    lone = (first != "") & ~F.lower(first).rlike(words) & (F.size(F.split(first, r"\s+")) <= 4) & ~first.rlike("[0-9]")
+    others = F.trim(F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "; "))
+    new_title = F.when(wrapped, F.trim(F.concat_ws(" ", title, F.array_join(F.slice(bits, 1, F.greatest(n - 1, F.lit(0))), " ")))).when(lone, F.trim(F.concat_ws(" ", title, first))).otherwise(title)
+    new_items = F.when(wrapped, F.trim(F.concat_ws(" ", F.get(bits, n - 1), rest))).when(lone, others).otherwise(items)
+    return F.struct(new_title.alias("title"), new_items.alias("items"))

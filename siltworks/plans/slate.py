@@ -9,6 +9,7 @@ from ..functions import constants as K
 from ..functions import text as X
 from ..operators import audit, curation, discovery, duplicates, quality, relational, structure, validation
 from ..session import importable
+from ..sources import writers
 from . import records as R
 
 QUERIES: dict = {}
@@ -579,3 +580,39 @@ def text_line_records(spark, sf):
 def split_title_qualification(spark, sf):
     r = R.records(spark, sf).select("row_index", F.concat_ws(" ", F.when(F.col("row_index") % 2 == 0, F.col("title")), F.when(F.col("row_index") % 3 > 0, F.lit("Advanced Diploma in Metal"))).alias("t"))
     return r.select("row_index", discovery.split_qualification(F.col("t")).alias("s")).select("row_index", "s.*")
+
+
+WRAPPED = ["Engineer Motheo TVET", "North College; South College", "Level Two", "Software Developer Orbit Academy; East Campus", "", "Grade 9", "one two three four five; x", "a b", "; X Centre"]
+_kw = "|".join(X.INSTITUTIONS)
+
+
+@query("WITH w AS (SELECT p_partkey AS id, " + R._pick(WRAPPED, "p_partkey") + f""" AS s FROM part), a AS (SELECT *, regexp_matches(s, '(?i)\\b({_kw})\\b') AS f, regexp_extract(s, '(?is)^(.*?)\\b(?:{_kw})\\b', 1) AS pre, trim(split_part(s, ';', 1)) AS one FROM w),
+b AS (SELECT *, list_filter(string_split_regex(regexp_replace(pre, '^[ ;,]+|[ ;,]+$', '', 'g'), '\\s+'), lambda x: x <> '') AS bits FROM a),
+c AS (SELECT *, f AND len(bits) >= 2 AS wr, one <> '' AND NOT regexp_matches(lower(one), '{_kw}') AND len(string_split_regex(one, '\\s+')) <= 4 AND NOT regexp_matches(one, '[0-9]') AS lone FROM b)
+SELECT id, CASE WHEN wr THEN 'T ' || array_to_string(bits[1:len(bits) - 1], ' ') WHEN lone THEN 'T ' || one ELSE 'T' END AS title, CASE WHEN wr THEN bits[len(bits)] || ' ' || substr(s, length(pre) + 1) WHEN lone THEN trim(array_to_string(string_split(s, ';')[2:], '; ')) ELSE s END AS items FROM c""")
+def bleed_repair(spark, sf):
+    d = table(spark, sf, "part").selectExpr("p_partkey as id", R._pick(WRAPPED, "p_partkey") + " as s")
+    return d.select("id", X.repair_bleed(F.lit("T"), F.col("s")).alias("r")).select("id", "r.*")
+
+
+@query("""SELECT 'c' || n_nationkey::VARCHAR AS "column", n_name AS original, 'string' AS type, CASE WHEN n_nationkey % 2 = 0 THEN 'YES' ELSE 'NO' END AS required, '' AS description FROM nation""")
+def data_dictionary(spark, sf):
+    n = table(spark, sf, "nation").select(
+        F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("original_name"), F.lit(None).cast("string").alias("type"),
+        (F.col("n_nationkey") % 2 == 0).alias("required"), F.lit(None).cast("string").alias("description"))
+    return writers.data_dictionary(n)
+
+
+@query(f"""WITH {SQL_DECIDED}, s AS (SELECT dataset_id, '{{"dataset_id":"' || dataset_id || '","policy":"occupational_relevance","total":' || count(*) || ',"included":' || count(*) FILTER (decision = 'INCLUDE') || ',"excluded":' || count(*) FILTER (decision = 'EXCLUDE')
+|| ',"review":' || count(*) FILTER (decision = 'REVIEW') || ',"conflicts":' || sum(c1::INT + c2::INT + c3::INT) || '}}' AS manifest FROM decided GROUP BY 1) SELECT dataset_id, manifest, sha256(manifest) AS reproducibility_hash FROM s""")
+def manifest(spark, sf):
+    return writers.manifest(curation.run_summary(evaluated(spark, sf)), "occupational_relevance")
+
+
+@query(f"""WITH {SQL_DECIDED} SELECT dataset_id, 'Dataset ' || dataset_id || ': ' || count(*) || ' records, ' || count(*) FILTER (decision = 'INCLUDE') || ' included, ' || count(*) FILTER (decision = 'EXCLUDE') || ' excluded, '
+|| count(*) FILTER (decision = 'REVIEW') || ' to review, statuses ' || string_agg(DISTINCT status, ', ' ORDER BY status) AS line FROM decided GROUP BY 1""")
+def report_lines(spark, sf):
+    """One line of the report for each dataset, from aggregates only."""
+    g = evaluated(spark, sf).groupBy("dataset_id").agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("decision") == d).alias(d) for d in ("INCLUDE", "EXCLUDE", "REVIEW")], F.array_join(F.array_sort(F.collect_set("status")), ", ").alias("s"))
+    return g.select("dataset_id", F.format_string("Dataset %s: %d records, %d included, %d excluded, %d to review, statuses %s", "dataset_id", "n", "INCLUDE", "EXCLUDE", "REVIEW", "s").alias("line"))
