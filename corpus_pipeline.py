@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
-from siltworks.llm.common import importable, ready
+from siltworks.llm.common import ready
 from siltworks.llm.shards import keyed
+from siltworks.session import importable
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,14 +20,6 @@ def ready(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siltworks-checkpoint-"))
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    root = str(Path(__file__).resolve().parents[2])
-    own = spark.sparkContext.environment
-    if root not in own.get("PYTHONPATH", "").split(":"):
-        own["PYTHONPATH"] = ":".join(filter(None, [root, own.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")]))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and cut its lineage."""
     ready(df.sparkSession)
