@@ -11,7 +11,7 @@ from .html_extract import op10_html_extract
 from .jaccard_join import op7_jaccard_join
 from .line_dedup import op9_line_dedup
 from .quality import op4_quality
-from .substring_dedup import op1_substring_dedup
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 
 
@@ -38,4 +38,4 @@ QUERIES = {
     "op10_html_extract": op10_html_extract,
 }
 QUERIES = {name: _importable(query) for name, query in QUERIES.items()}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL}

@@ -148,3 +148,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_words, n_removed and the digest of the words that stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", sha256_hex("kept").alias("kept_sha256"))
+
+
+#: The query in DuckDB: every window as text, its smallest document, and the words that are left.
+OP1_SQL = r"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w) WHERE doc_id IS NOT NULL),
+m AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM g JOIN m USING (k) WHERE doc_id > least),
+n AS (SELECT r, count(*) AS n FROM c GROUP BY r),
+k AS (SELECT r, string_agg(w[p], ' ' ORDER BY p) AS kept FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM w) ANTI JOIN c USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN n USING (r) LEFT JOIN k USING (r)"""
