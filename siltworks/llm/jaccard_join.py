@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut
 from .shards import CHUNK, keyed, mix, prefix_hash, slice_hash
 
-GROUPS = 64
+#: Hash groups of the points in the tree, and of the finer points that its pairs are bounded by again.
+GROUPS, FINE = 128, 1024
 #: Documents from which a shingle counts as common, and the most common ones that are remembered.
 COMMON, MOST_COMMON = 100, 200_000
 LEAF, BLOCK = 16, 2048
@@ -92,24 +93,29 @@ def _common_shingles(docs: DataFrame, size: int) -> dict[int, int]:
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """(__doc, __row, n, node, counts) of every document."""
+    """(__doc, __row, n, node, counts, fine) of every document."""
+
+    def packed(h: np.ndarray, groups: int) -> bytes:
+        # counts above 255 keep the rest in n, see _excess
+        return np.minimum(np.bincount((h % np.uint64(groups)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for first, group in _chunks(batch, 2):
                 sets = shingle_sets(group, size)
-                counts = [np.bincount((h % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for h in sets]
-                packed = [c.astype(np.uint16 if c.max() < 1 << 16 else np.uint32).tobytes() for c in counts]
+                counts = [packed(h, GROUPS) for h in sets]
+                fine = [packer.compress(packed(h, FINE)) for h in sets]
                 rows = slice(first, first + len(group))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[rows], batch.column(1)[rows], pa.array([len(h) for h in sets], pa.int64()),
-                        pa.array([_node(h) for h in sets], pa.int64()), pa.array(packed, pa.binary()),
+                        pa.array([_node(h) for h in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array(fine, pa.binary()),
                     ],
-                    ["__doc", "__row", "n", "node", "counts"],
+                    ["__doc", "__row", "n", "node", "counts", "fine"],
                 )
 
-    return docs.select("__doc", "__row", "__text").mapInArrow(run, "__doc long, __row long, n long, node long, counts binary")
+    return docs.select("__doc", "__row", "__text").mapInArrow(run, "__doc long, __row long, n long, node long, counts binary, fine binary")
 
 
 def _node(h: np.ndarray) -> int:
@@ -117,8 +123,9 @@ def _node(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _point(counts: bytes) -> np.ndarray:
-    return np.frombuffer(counts, np.uint16 if len(counts) == 2 * GROUPS else np.uint32).astype(np.int64)
+def _excess(n: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """What the capped counts of each set leave out; one more coordinate of its point."""
+    return n - points.sum(1, dtype=np.int64)
 
 
 def _listed(docs: DataFrame, size: int, num: int, den: int, common: dict[int, int]) -> DataFrame:
@@ -187,15 +194,20 @@ def _shared(listed: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose summed coordinate minima allow the similarity."""
-    both = pairs.join(points.toDF("a", "na", "ca"), "a").join(points.toDF("b", "nb", "cb"), "b").select("a", "b", "na", "ca", "nb", "cb")
+    """The pairs whose summed coordinate minima allow the similarity, by their fine points."""
+    fine = points.select("node", "n", "fine")
+    both = pairs.join(fine.toDF("a", "na", "fa"), "a").join(fine.toDF("b", "nb", "fb"), "b").select("a", "b", "na", "fa", "nb", "fb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ca, cb = (np.array([_point(c) for c in b.column(i).to_pylist()]).reshape(-1, GROUPS) for i in (3, 5))
-            ok = np.minimum(ca, cb).sum(1) * (den + num) >= num * (b.column(2).to_numpy() + b.column(4).to_numpy())
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+        reader = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                b = batch.slice(lo, 4096)
+                x, y = (np.frombuffer(b"".join(map(reader.decompress, b.column(i).to_pylist())), np.uint8).reshape(-1, FINE) for i in (3, 5))
+                nx, ny = b.column(2).to_numpy(), b.column(4).to_numpy()
+                overlap = np.minimum(x, y).sum(1, dtype=np.int64) + np.minimum(_excess(nx, x), _excess(ny, y))
+                mask = pa.array(overlap * (den + num) >= num * (nx + ny), pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -209,30 +221,40 @@ def _chosen(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
 def box_join(n: np.ndarray, group: np.ndarray, counts: np.ndarray, side: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of points of different groups whose bounded overlap allows the similarity.
 
-    side is 0 for points that meet only points of side 1, 1 the other way round, 2 for all.
-    The tree has two levels: leaves of LEAF points packed by group and size, and their boxes.
+    side is 0 for points that meet only points of side 1, 1 the other way round, 2 for all. counts
+    are capped counts (uint8). The tree has two levels: leaves of LEAF points packed by group and
+    size, and their boxes.
     """
+    more = _excess(n, counts)
+
+    def points(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        overlap = np.minimum(counts[v][:, None], counts[w][None]).sum(2, dtype=np.int64) + np.minimum(more[v][:, None], more[w][None])
+        # intersection * den >= union * num, so intersection * (den + num) >= num * (both sizes)
+        ok = overlap * (den + num) >= num * (n[v][:, None] + n[w][None])
+        ok &= (group[v][:, None] != group[w][None]) & ((side[v][:, None] == 2) | (side[v][:, None] != side[w][None]))
+        return np.nonzero(np.triu(ok, 1) if v is w else ok)
+
     order = np.lexsort((n, group, side))
     leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
+    if len(leaves) == 1:
+        a, b = points(order, order)
+        if len(a):
+            yield order[a], order[b]
+        return
     top = np.array([counts[v].max(0) for v in leaves])
+    most = np.array([more[v].max() for v in leaves])
     low, high = np.array([n[v].min() for v in leaves]), np.array([n[v].max() for v in leaves])
-    only = np.array([group[v[0]] if (group[v] == group[v[0]]).all() else 0 for v in leaves])
+    only = np.array([group[v[0]] for v in leaves])
     uniform = np.array([(group[v] == group[v[0]]).all() for v in leaves])
     for i, v in enumerate(leaves):
         rest = np.arange(i, len(leaves))
-        # intersection * den >= union * num, so intersection * (den + num) >= num * (both sizes)
-        bound = np.minimum(top[i], top[rest]).sum(1)
+        bound = np.minimum(top[i], top[rest]).sum(1, dtype=np.int64) + np.minimum(most[i], most[rest])
         fits = bound * (den + num) >= num * (low[i] + low[rest])
         fits &= (high[i] * den >= low[rest] * num) & (high[rest] * den >= low[i] * num)
         fits &= ~(uniform[i] & uniform[rest] & (only[i] == only[rest]))
         for j in rest[fits].tolist():
             w = leaves[j]
-            overlap = np.minimum(counts[v][:, None], counts[w][None]).sum(2)
-            ok = overlap * (den + num) >= num * (n[v][:, None] + n[w][None])
-            ok &= (group[v][:, None] != group[w][None]) & ((side[v][:, None] == 2) | (side[v][:, None] != side[w][None]))
-            if i == j:
-                ok = np.triu(ok, 1)
-            a, b = np.nonzero(ok)
+            a, b = points(v, w)
             if len(a):
                 yield v[a], w[b]
 
@@ -255,7 +277,7 @@ def _candidates(members: DataFrame, num: int, den: int) -> DataFrame:
             if len(set(g)) < 2:
                 continue
             nodes = np.array(node)
-            points = np.array([_point(c) for c in counts])
+            points = np.frombuffer(b"".join(counts), np.uint8).reshape(-1, GROUPS)
             for a, b in box_join(np.array(n), np.array(g), points, np.array(side), num, den):
                 x, y = nodes[a], nodes[b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -320,7 +342,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = crowd.withColumn("k", F.floor(F.log(F.col("n")) / log(den / num)))
     pivots = classed.groupBy("key", "k").agg(F.min(F.struct("node", "n")).alias("p")).select("key", "k", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
     stars = classed.join(pivots, ["key", "k"]).where(f"a <> node and least(n, na) * {den} >= greatest(n, na) * {num}")
-    points = _chosen(full, crowd.select("node").distinct(), ["node"]).select("node", "n", "counts")
+    points = _chosen(full, crowd.select("node").distinct(), ["node"]).select("node", "n", "counts", "fine")
     points = cut(points.dropDuplicates(["node"]))
     stars = cut(_bounded(stars.select("a", F.col("node").alias("b")).distinct(), points, num, den))
     found = cut(_verified(stars, nodes, source, size, num, den))
@@ -328,7 +350,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(crowd.join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node")))
     mixed = members.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("key")
     members = members.join(mixed, "key").join(points.select("node", "counts"), "node").select("key", "node", "n", "g", "counts")
-    pairs = cut(_candidates(members, num, den).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    pairs = cut(_bounded(_candidates(members, num, den), points, num, den).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     rest = cut(_verified(pairs, nodes, source, size, num, den))
     if not rest.isEmpty():
         groups = connected_components(found.unionByName(rest))
