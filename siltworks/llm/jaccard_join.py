@@ -141,7 +141,8 @@ def _listed(docs: DataFrame, size: int, num: int, den: int, common: dict[int, in
             place = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
             rank = np.where(hot[place] == s, weight[place], 0)
             if rank.any():
-                s = s[np.lexsort((s, rank))]
+                # by the unsigned hashes, the order of the sets without a common shingle
+                s = s[np.lexsort((h, rank))]
         return s[:most]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,3 +69,15 @@ def test_chains_short_texts_nulls_and_repeats(spark, monkeypatch):
     want = brute(rows)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert similar_classes(df.limit(0)).collect() == []
+
+
+def test_common_shingles_in_one_text_of_a_pair(spark):
+    rng = random.Random(3)
+    rows = [(i, f"this text is free {' '.join(f'u{i}x{k}' for k in range(6))}") for i in range(150)]
+    for i in range(30):  # only the second text of a pair holds the shingle that 150 documents share
+        text = " ".join(f"w{rng.randrange(10_000)}" for _ in range(100))
+        rows += [(1000 + 2 * i, text), (1001 + 2 * i, text + " this text is free")]
+    got = similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).drop("__row")
+    want = brute(rows)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert sum(d != c for d, _, c in want) == 30
