@@ -2,14 +2,18 @@
 
 Words become template tokens: numbers, units and names turn into typed placeholders, other words
 into lower case without outer punctuation. Windows of template tokens are hash-joined with those of
-the benchmark; a document that holds most windows of an item at one alignment is then checked slot by
-slot. If equal slots of the item always have equal values in the document, and different slots
-different ones, the document leaks the item, word for word or with other parameters.
+the benchmark; a document that holds most windows of an item in their order, words put in or left out
+between them, is then checked slot by slot. If equal slots of the item always have equal values in the
+document, and different slots different ones, the document leaks the item, word for word or with other
+parameters; if they do not, it still leaks the item where most windows are there word for word.
+A name at the start of a sentence looks like any other word there, so windows have a second template
+in which such words are names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -23,6 +27,8 @@ from pyspark.sql import types as T
 from .shards import mix
 
 WINDOW, CONTAINMENT = 5, 0.8
+#: Words by which the alignment may shift from one matched window to the next.
+SHIFT = 16
 #: Benchmark texts of at most this many bytes are sent to the tasks at once; more go in blocks.
 BLOCK_BYTES = 32 << 20
 CACHED_WORDS = 300_000
@@ -86,8 +92,8 @@ class Templates:
         self.number[at] = self.kinds[at, 0] == NUM
         return at
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Token hashes and kinds of a text's words."""
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token hashes and kinds of a text's words, and where a capitalised word starts a sentence."""
         if len(self.index) + len(words) > len(self.ends):
             self.index.clear()
             if len(words) > len(self.ends):  # a text of more words than are remembered
@@ -100,13 +106,18 @@ class Templates:
             state[1:][self.number[at[:-1]]] = 2
             state[1:][self.ends[at[:-1]]] = 1
             state[0] = 1
-        return self.tokens[at, state], self.kinds[at, state]
+        return self.tokens[at, state], self.kinds[at, state], (state == 1) & (self.kinds[at, 0] == NAME)
 
 
 def split(text: str) -> list[str]:
     return re.findall(r"[^\x20\x09-\x0D]+", text) if ODD_SPACES.search(text) else text.split()
 
 
+def with_names(tokens: np.ndarray, kinds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The second template: capitalised words at the start of a sentence are names."""
+    return np.where(starts, np.uint64(NAME_HASH), tokens), np.where(starts, NAME, kinds)
+
+
 def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
     n = len(tokens) - size + 1
     h = tokens[: max(n, 0)].copy()
@@ -121,73 +132,131 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str]]):
         self.templates = Templates()
         self.items = []
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
+        found: dict[int, list[tuple[int, int, int, bool]]] = defaultdict(list)
         for item, text in items:
             words = split(text or "")
             if not words:
                 continue
-            tokens, kinds = self.templates.of(words)
+            tokens, kinds, starts = self.templates.of(words)
+            named, named_kinds = with_names(tokens, kinds, starts)
             size = min(WINDOW, len(words))
             literal = np.convolve(kinds == LITERAL, np.ones(size, int), "valid")
             places = np.flatnonzero(literal * 2 >= size)
             if not len(places):
                 places = np.arange(len(literal))
-            hashes = window_hashes(tokens, size)
+            hashes, second = window_hashes(tokens, size), window_hashes(named, size)
             for p in places.tolist():
-                found[size].append((int(hashes[p]), len(self.items), p))
-            self.items.append((item, [w.strip(OUTER).lower() for w in words], kinds, len(places), size))
+                found[size].append((int(hashes[p]), len(self.items), p, True))
+                if hashes[p] != second[p]:
+                    found[size].append((int(second[p]), len(self.items), p, False))
+            self.items.append((item, [w.strip(OUTER).lower() for w in words], kinds, named_kinds, len(places), size))
         for size, rows in found.items():
             rows.sort()
-            self.by_size[size] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+            self.by_size[size] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
 
     def leaks(self, text: str) -> list[tuple[int, str, int, int, int]]:
         """(item, kind, matched windows, first word, words) of the items that a text leaks."""
         words = split(text or "")
         if not words:
             return []
-        tokens, kinds = self.templates.of(words)
-        hits: dict[int, Counter] = defaultdict(Counter)
-        for size, (hashes, owner, place) in self.by_size.items():
+        tokens, kinds, starts = self.templates.of(words)
+        named, named_kinds = with_names(tokens, kinds, starts)
+        hits: dict[int, dict[tuple[int, int], bool]] = defaultdict(dict)  # (word, place): by the first template
+        for size, (hashes, owner, place, plain) in self.by_size.items():
             own = window_hashes(tokens, size)
             if not len(own):
                 continue
-            low = np.searchsorted(hashes, own)
-            at = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own)
-            for w in at.tolist():
-                k = int(low[w])
-                while k < len(hashes) and hashes[k] == own[w]:
-                    hits[int(owner[k])][w - int(place[k])] += 1
-                    k += 1
+            second = window_hashes(named, size)
+            for first, h, of in ((True, own, np.arange(len(own))), (False, second, np.flatnonzero(second != own))):
+                h = h[of]
+                low = np.searchsorted(hashes, h)
+                for j in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h).tolist():
+                    k, w = int(low[j]), int(of[j])
+                    while k < len(hashes) and hashes[k] == h[j]:
+                        got = hits[int(owner[k])]
+                        at = (w, int(place[k]))
+                        got[at] = got.get(at, False) or first and bool(plain[k])
+                        k += 1
         out = []
-        for i, offsets in hits.items():
-            item, values, item_kinds, n, _ = self.items[i]
+        for i, places in hits.items():
+            item, values, item_kinds, item_named, n, size = self.items[i]
+            if len({p for _, p in places}) < CONTAINMENT * n:
+                continue
             best = None
-            for offset, matched in offsets.most_common():
-                if matched < CONTAINMENT * n:
+            # one alignment for all windows of the first template
+            for offset, matched in Counter(w - p for (w, p), first in places.items() if first).most_common():
+                if matched < CONTAINMENT * n or best and best[1] == "exact":
                     break
-                kind = self._slots(values, item_kinds, words, kinds, offset)
+                kind = self._slots(values, item_kinds, words, kinds, [(p, p + offset) for p in range(len(values))])
                 if kind and (best is None or kind == "exact"):
                     best = (item, kind, matched, max(offset, 0), len(values))
+            if best is None or best[1] != "exact":
+                for chain in chains(sorted(places), CONTAINMENT * n):
+                    pairs = {p + k: w + k for w, p in reversed(chain) for k in range(size)}
+                    kind = self._slots(values, item_named, words, named_kinds, sorted(pairs.items()))
+                    if kind is None:
+                        same = sum([w.strip(OUTER).lower() for w in words[at : at + size]] == values[p : p + size] for at, p in chain)
+                        kind = "near" if same >= CONTAINMENT * n else None
+                    if kind and (best is None or kind == "exact"):
+                        best = (item, kind, len(chain), max(chain[0][0] - chain[0][1], 0), len(values))
+                    if best and best[1] == "exact":
+                        break
             if best:
                 out.append(best)
         return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0))
 
     @staticmethod
-    def _slots(values, item_kinds, words, kinds, offset) -> str | None:
+    def _slots(values, item_kinds, words, kinds, pairs) -> str | None:
+        """exact, reparameterised or, where slots contradict each other, None; pairs are (place, word) aligned."""
         there: dict[tuple[int, str], str] = {}
         back: dict[tuple[int, str], str] = {}
         same = True
-        for p in np.flatnonzero(item_kinds != LITERAL).tolist():
-            if not 0 <= p + offset < len(words) or kinds[p + offset] != item_kinds[p]:
+        for p, w in pairs:
+            if item_kinds[p] == LITERAL or not 0 <= w < len(words) or kinds[w] != item_kinds[p]:
                 continue
-            kind, a, b = int(item_kinds[p]), values[p], words[p + offset].strip(OUTER).lower()
+            kind, a, b = int(item_kinds[p]), values[p], words[w].strip(OUTER).lower()
             if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
                 return None
             same &= a == b
         return "exact" if same else "reparameterised"
 
 
+def chains(hits: list[tuple[int, int]], least: float) -> Iterator[list[tuple[int, int]]]:
+    """Chains of at least so many (word, place) hits, both growing, the longest first.
+
+    hits are sorted. From one hit to the next the alignment shifts by SHIFT words at most. On one
+    diagonal each hit can follow the one before, so lengths grow along it, and of each diagonal
+    nearby only the last hit that lies before is looked at.
+    """
+    lines: dict[int, tuple[list[int], list[int]]] = {}  # diagonal: words, numbers of hits
+    length, before, head = [0] * len(hits), [-1] * len(hits), list(range(len(hits)))
+    for i, (w, p) in enumerate(hits):
+        o = w - p
+        for d in range(o - SHIFT, o + SHIFT + 1):
+            line = lines.get(d)
+            if line and (k := bisect_left(line[0], min(w, p + d)) - 1) >= 0:
+                j = line[1][k]
+                # of equal lengths the one with the least shift
+                if length[j] > length[i] - 1 or length[j] == length[i] - 1 and abs(d - o) < abs(hits[before[i]][0] - hits[before[i]][1] - o):
+                    length[i], before[i], head[i] = length[j] + 1, j, head[j]
+        length[i] = length[i] or 1
+        line = lines.setdefault(o, ([], []))
+        line[0].append(w)
+        line[1].append(i)
+    tried = set()
+    for i in sorted(range(len(hits)), key=lambda i: -length[i]):
+        if length[i] < least:
+            return
+        if head[i] not in tried:
+            tried.add(head[i])
+            chain = []
+            while i >= 0:
+                chain.append(hits[i])
+                i = before[i]
+            yield chain[::-1]
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of bounded size, one after the other."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint"), "text")
@@ -204,7 +273,8 @@ LEAKS = "item_id long, kind string, matched long, first_word long, n_words long"
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, kind, matched, first_word, n_words), a row for each item that a document leaks.
 
-    kind is exact, or reparameterised where slots have other values. Items without words leak
+    kind is exact, reparameterised where slots have other values, or near where these contradict each
+    other but most windows are there word for word. Items without words leak
     nowhere, null and empty texts leak nothing, items of fewer than WINDOW words are one window, and
     repeated rows or items give rows of their own. An empty benchmark gives no rows.
     """

@@ -36,3 +36,23 @@ def test_slots_nulls_blocks_and_repeats(spark, monkeypatch):
         left = without_leaks(docs, bench.where("item_id <> 14"))
         assert left.columns == docs.columns and sorted((r.doc_id for r in left.collect()), key=str) == sorted([3, 4, 5, 6, None, 8], key=str)
     assert find_leaks(docs, bench.limit(0)).collect() == [] and find_leaks(docs.limit(0), bench).collect() == []
+
+
+def test_shifted_windows_names_at_starts_and_edited_slots():
+    def leaks(item, text):
+        return [r[1] for r in decontaminate.Benchmark([(1, item)]).leaks(text)]
+
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(39)]
+    item = " ".join(words)
+    assert leaks(item, item) == ["exact"]
+    assert leaks(item, " ".join(["x", *words[:20], "new", *words[20:], "y"])) == ["exact"]  # a word put in
+    assert leaks(item, " ".join(["x", *words[:20], *words[21:], "y"])) == ["exact"]  # a word left out
+    assert leaks(item, " ".join(words[:20])) == [] and leaks(item, " ".join(words[20:] + words[:20])) == []
+    paid = " ".join([*words[:20], "1500", *words[20:]])
+    assert leaks(paid, " ".join([*words[:20], "1", "500", *words[20:]])) == ["reparameterised"]
+    story = "Tom has 3 apples and gives them away. Tom buys 4 more of them today. Tom eats 2 of the red ones."
+    anna = story.replace("Tom", "Anna").replace("3", "5").replace("4", "7").replace("2", "6")
+    assert leaks(story, anna) == ["reparameterised"]
+    assert leaks(story, anna.replace("Anna buys", "Eve buys")) == []
+    twice = " ".join(["pay", "15", "now", *words, "pay", "15", "later"])
+    assert leaks(twice, twice.replace("15 later", "16 later")) == ["near"]
