@@ -3,8 +3,8 @@
 Pages of one host are read as streams of tags and text and folded into a union-free regular
 expression of nested groups: runs of equal groups become a repeated group, text becomes a slot, and
 aligning one page's expression with the next turns groups that only one of them has into optional
-groups. Structures are folded in bounded bundles, in rounds, until a host has one wrapper. The wrapper
-then decides once per host which of its slots hold the article; every page is read through it.
+groups. Structures are folded in bounded bundles, in rounds, until a host has one wrapper. Every page is
+read through the slots of its host's wrapper; which of them hold the article is decided for each page.
 """
 
 from __future__ import annotations
@@ -212,41 +212,66 @@ def _apart(key: str) -> bool:
     return name in APART or name not in MAIN and any(w in APART_WORDS for w in words)
 
 
-def article_paths(wrapper: list) -> set[tuple[str, ...]]:
-    """Paths of the slots that hold the article.
+def _around(groups: set[tuple[str, ...]], chars: dict[tuple[str, ...], int]) -> frozenset:
+    """Groups whose class or id says little: html, body, and those around every possible root and half of the text."""
+    worded = [g for g in groups if _apart(g[-1]) and g[-1].split(".")[0] not in APART]
+    if not worded:
+        return frozenset()
+    roots = [g for g in groups if (g[-1].split(".")[0] in MAIN or set(g[-1].split(".")[1:]) & MAIN_WORDS) and not any(k.split(".")[0] in APART for k in g)]
+    text = {p: n for p, n in chars.items() if not any(k.split(".")[0] in APART for k in p)}
+
+    def outer(g: tuple[str, ...]) -> bool:
+        if g[-1].split(".")[0] in ("html", "body"):
+            return True
+        held = sum(n for p, n in text.items() if p[: len(g)] == g)
+        # a root of the same words around g is no root that g fails to hold
+        return bool(roots) and all(r[: len(g)] == g or g[: len(r)] == r and _apart(r[-1]) for r in roots) and any(len(r) > len(g) for r in roots) and 2 * held >= sum(text.values())
+
+    return frozenset(g for g in worded if outer(g))
+
+
+@lru_cache(4096)
+def article_paths(slots: frozenset, around: frozenset = frozenset()) -> frozenset:
+    """Paths of the slots of one page that hold its article.
 
     The article is the outermost group named article or main; without one a group whose class or id
-    says so; without that the whole body. Groups that menus, notices and the like use are left out.
+    says so; without that the whole body. Groups that menus, notices and the like use are left out,
+    but for what the groups in around say of themselves.
     """
-    slots: list[tuple[str, ...]] = []
-    groups: list[tuple[str, ...]] = []
+    groups = sorted({p[:i] for p in slots for i in range(1, len(p) + 1)})
 
-    def walk(node: list, path: tuple[str, ...]) -> None:
-        for c in node[2]:
-            if c[0] == "#":
-                slots.append(path)
-            else:
-                groups.append((*path, c[0]))
-                walk(c, (*path, c[0]))
+    def apart(path: tuple[str, ...]) -> bool:
+        return any(_apart(k) and path[: i + 1] not in around for i, k in enumerate(path))
 
-    walk(wrapper, ())
-    slots = [p for p in slots if not any(_apart(k) for k in p) and "head" not in p and p[-1:] != ("title",)]
+    left = {p for p in slots if not apart(p) and "head" not in p and p[-1:] != ("title",)}
     roots: list[tuple[str, ...]] = []
     for tag in MAIN:
-        roots = roots or [g for g in groups if g[-1].split(".")[0] == tag and not any(_apart(k) for k in g)]
-    roots = roots or [g for g in groups if set(g[-1].split(".")[1:]) & MAIN_WORDS and not any(_apart(k) for k in g)]
-    inside = {p for p in slots if any(p[: len(r)] == r for r in roots)}
-    return inside or set(slots)
+        roots = roots or [g for g in groups if g[-1].split(".")[0] == tag and not apart(g)]
+    roots = roots or [g for g in groups if set(g[-1].split(".")[1:]) & MAIN_WORDS and not apart(g)]
+    return frozenset({p for p in left if any(p[: len(r)] == r for r in roots)} or left)
 
 
 @lru_cache(1024)
-def _paths(wrapper: str) -> frozenset:
-    return frozenset(article_paths(json.loads(wrapper)))
+def _slots(wrapper: str) -> frozenset:
+    def walk(node: list, path: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
+        for c in node[2]:
+            if c[0] == "#":
+                yield path
+            else:
+                yield from walk(c, (*path, c[0]))
+
+    return frozenset(walk(json.loads(wrapper), ()))
 
 
 def main_text(html: str, wrapper: str) -> str:
-    paths = _paths(wrapper)
-    return "\n".join(t for p, t in blocks(html) if p in paths)
+    slots = _slots(wrapper)
+    read = [(p, t) for p, t in blocks(html) if p in slots]
+    chars: dict[tuple[str, ...], int] = {}
+    for p, t in read:
+        chars[p] = chars.get(p, 0) + len(t)
+    groups = {p[:i] for p in chars for i in range(1, len(p) + 1)}
+    paths = article_paths(frozenset(chars), _around(groups, chars))
+    return "\n".join(t for p, t in read if p in paths)
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

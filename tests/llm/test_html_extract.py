@@ -49,3 +49,18 @@ def test_expressions():
     both = aligned(a, b)
     assert [(c[0], c[1]) for c in both[2][0][2]] == [("h1", "?"), ("p", "+"), ("aside", "?")]
     assert json.loads(fold([json.dumps(a), json.dumps(b), json.dumps(a)]))[2][0][0] == "div"
+
+
+def test_roots_of_each_page(spark):
+    note = "<p>Real text of the article, longer than the rest.</p>"
+    end = "<div class='footer'>End</div>"
+    pages = [
+        f"<body><article>{note}</article>{end}</body>", f"<body><main>{note}</main>{end}</body>", f"<body><div class='content'>{note}</div>{end}</body>",
+        f"<body class='no-sidebar'><article>{note}</article>{end}</body>", f"<body><div class='page header-fixed'><article>{note}</article></div><div>Out</div></body>",
+        f"<body class='no-sidebar'><main>{note}</main><div class='comments'><article>First!</article></div></body>",
+        f"<body><div class='page header-fixed'><main>{note}</main><div class='comments'><article>First!</article></div></div></body>",
+        f"<body><div class='page header-fixed'><div class='content'>{note}</div></div>{end}</body>",
+    ]
+    rows = [(i, url, h) for i, h in enumerate(pages) for url in ("http://a.com/x", None)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.text) for r in got} == {(i, note[3:-4]) for i in range(len(pages))}
