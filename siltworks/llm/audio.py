@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, sha256_hex, without
+from .common import cut, mapped, sha256_hex, without
 
 FRAME_SECONDS, FRAMES_PER_SECOND = 0.5, 8
 LOWEST, HIGHEST = 55.0, 3520.0
@@ -142,7 +142,7 @@ def add_fingerprints(df: DataFrame, media_col: str = "media", out: str = "finger
                 made = [fingerprint(*decode_wav(m)) for m in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.list_(pa.int32()))], schema.names)
 
-    return inner.mapInArrow(run, schema).toDF(*df.columns, out)
+    return mapped(inner, run, schema).toDF(*df.columns, out)
 
 
 def align(recordings: DataFrame, is_query, id_col: str = "id", fp_col: str = "fingerprint") -> DataFrame:
@@ -210,7 +210,7 @@ def render(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], ["id", "media"])
 
     chosen = vectors.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{vector_col}`").cast("array<double>"))
-    return chosen.mapInArrow(run, "id long, media binary")
+    return mapped(chosen, run, "id long, media binary")
 
 
 def op3_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

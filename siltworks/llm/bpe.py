@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import sha256_hex, without
+from .common import mapped, sha256_hex, without
 
 #: Words kept in a worker before the older half is forgotten; bounds memory only.
 CACHED_WORDS = 200_000
@@ -225,12 +225,15 @@ def _decoded(path: str, ids: int):
     return run
 
 
-def _added(df: DataFrame, run, name: str, kind: T.DataType) -> DataFrame:
+IDS = T.ArrayType(T.IntegerType())
+
+
+def _added(df: DataFrame, run, *added: tuple[str, T.DataType]) -> DataFrame:
     # columns travel under plain numbers, so that no name can clash
     inner = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    fields = [T.StructField(f.name, f.dataType) for f in inner.schema.fields]
-    schema = T.StructType([*fields, T.StructField(f"c{len(fields)}", kind)])
-    return inner.mapInArrow(run, schema).toDF(*df.columns, name)
+    fields = [*inner.schema.fields, *(T.StructField("", kind) for _, kind in added)]
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    return mapped(inner, run, schema).toDF(*df.columns, *(name for name, _ in added))
 
 
 def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -241,7 +244,7 @@ def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", out: str
     existing column called out is replaced.
     """
     df = without(df, out)
-    return _added(df, _encoded(vocabulary_path, df.columns.index(text_col)), out, T.ArrayType(T.IntegerType()))
+    return _added(df, _encoded(vocabulary_path, df.columns.index(text_col)), (out, IDS))
 
 
 def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -250,7 +253,15 @@ def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", out: str =
     Null ids give a null text and no ids an empty one; an existing column called out is replaced.
     """
     df = without(df, out)
-    return _added(df, _decoded(vocabulary_path, df.columns.index(ids_col)), out, T.StringType())
+    return _added(df, _decoded(vocabulary_path, df.columns.index(ids_col)), (out, T.StringType()))
+
+
+def encode_and_decode(df: DataFrame, vocabulary_path: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """decode(encode(df)) in one pass, so that a task has one Python worker."""
+    df = without(df, ids, decoded)
+    there = _encoded(vocabulary_path, df.columns.index(text_col))
+    back = _decoded(vocabulary_path, len(df.columns))
+    return _added(df, lambda batches: back(there(batches)), (ids, IDS), (decoded, T.StringType()))
 
 
 def word_vocabulary() -> str:
@@ -264,7 +275,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, and digests of its ids and of their decoded text."""
     path = word_vocabulary()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode(encode(docs, path).drop("text"), path)
+    out = encode_and_decode(docs, path)
     return out.selectExpr(
         "doc_id", "cast(size(ids) as bigint) as n_tokens", "sha2(array_join(cast(ids as array<string>), ' '), 256) as ids_sha256"
     , "decoded").select("doc_id", "n_tokens", "ids_sha256", sha256_hex("decoded").alias("decoded_sha256"))

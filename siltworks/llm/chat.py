@@ -2,7 +2,7 @@
 
 A conversation's turns, in order, fill windows of at most `budget` tokens. Running sums of the turns'
 tokens choose the spans, which always end between turns; a turn that alone exceeds the budget gets a
-window of its own and is never cut. Every window repeats a leading system turn and as many of the
+window of its own and is never cut. Every window repeats the last system turn before it and as many of the
 turns before it as fit into `history` tokens. Repeated turns carry no loss, so that each assistant
 text is a target exactly once.
 
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens that the marks of a turn take.
 TURN_TOKENS = 4
@@ -82,7 +84,7 @@ def windows(turns: Iterator[tuple[str, str]], budget: int, history: int) -> Iter
     repeated: list[Turn] = []
     fresh: list[Turn] = []
     total = 0
-    for n, (role, text) in enumerate(turns):
+    for role, text in turns:
         turn = Turn(role, text)
         if fresh and total + turn.size > budget:
             yield _window(repeated, fresh, total)
@@ -95,7 +97,7 @@ def windows(turns: Iterator[tuple[str, str]], budget: int, history: int) -> Iter
                 kept.append(past.pop())
             repeated = [system] * bool(system) + kept[::-1]
             fresh, total = [], sum(t.size for t in repeated)
-        if n == 0 and role == "system":
+        if role == "system":
             system = turn
         fresh.append(turn)
         total += turn.size
@@ -162,7 +164,7 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
 
     turns = conversations.select(F.col("conv_id").cast("bigint"), "turn", "role", "text")
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    return mapped(ordered.select("conv_id", "role", "text"), run, WINDOWS)
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -202,7 +204,7 @@ def read_back(formatted: DataFrame, ordered: bool = False) -> DataFrame:
 
     if not ordered:
         formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    return formatted.select("conv_id", "n_repeated", "text", "loss").mapInArrow(run, DIGESTS)
+    return mapped(formatted.select("conv_id", "n_repeated", "text", "loss"), run, DIGESTS)
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

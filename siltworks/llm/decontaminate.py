@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
 from .shards import mix
 
 WINDOW, CONTAINMENT = 5, 0.8
@@ -291,7 +292,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], schema.names)
 
-        found.append(rows.mapInArrow(run, schema))
+        found.append(mapped(rows, run, schema))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -309,7 +310,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
             for batch in batches:
                 yield batch.filter(pa.array([not index.leaks(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(run, out.schema)
+        out = mapped(out, run, out.schema)
     return out.toDF(*docs.columns)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, without
+from .common import cut, mapped, without
 
 BUNDLE = 64
 #: Wrappers of at most this many hosts are broadcast; more are joined by a shuffle.
@@ -286,7 +286,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         return pd.DataFrame({"host": [key[0]], "wrapper": [fold(frame["wrapper"].tolist())]})
 
     hosts = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
-    now = cut(hosts.mapInArrow(shape, "host string, wrapper string").distinct())
+    now = cut(mapped(hosts, shape, "host string, wrapper string").distinct())
     while True:
         sizes = now.groupBy("host").agg(F.count("*").alias("n"))
         if sizes.where("n > 1").isEmpty():
@@ -317,7 +317,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
             texts = [main_text(h or "", w) for h, w in zip(b.column(at).to_pylist(), b.column(n).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())], schema.names)
 
-    out = inner.mapInArrow(run, schema).toDF(*pages.columns, "text")
+    out = mapped(inner, run, schema).toDF(*pages.columns, "text")
     return out.withColumn("n_chars", F.length("text").cast("bigint"))
 
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, mapped
 from .shards import CHUNK, keyed, mix, prefix_hash, slice_hash
 
 #: Hash groups of the points in the tree, and of the finer points that its pairs are bounded by again.
@@ -87,7 +87,7 @@ def _common_shingles(docs: DataFrame, size: int) -> dict[int, int]:
                 often = counts > 1
                 yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["s", "n"])
 
-    counted = docs.select("__text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    counted = mapped(docs.select("__text"), run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     top = counted.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()
     return {r.s: r.n for r in top}
 
@@ -115,7 +115,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                     ["__doc", "__row", "n", "node", "counts", "fine"],
                 )
 
-    return docs.select("__doc", "__row", "__text").mapInArrow(run, "__doc long, __row long, n long, node long, counts binary, fine binary")
+    return mapped(docs.select("__doc", "__row", "__text"), run, "__doc long, __row long, n long, node long, counts binary, fine binary")
 
 
 def _node(h: np.ndarray) -> int:
@@ -163,7 +163,7 @@ def _listed(docs: DataFrame, size: int, num: int, den: int, common: dict[int, in
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes), times)), pa.array(np.repeat(np.array(sizes), times))], ["key", "node", "n"])
 
-    return docs.select("__text").mapInArrow(run, "key long, node long, n long")
+    return mapped(docs.select("__text"), run, "key long, node long, n long")
 
 
 def _shared(listed: DataFrame, num: int, den: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _shared(listed: DataFrame, num: int, den: int) -> DataFrame:
         if last is not None and last[3]:
             yield pa.RecordBatch.from_arrays([pa.array(np.array([c])) for c in last[:3]], ["key", "node", "n"])
 
-    return listed.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(run, listed.schema)
+    return mapped(listed.repartition("key").sortWithinPartitions("key", "n", "node"), run, listed.schema)
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFra
                 mask = pa.array(overlap * (den + num) >= num * (nx + ny), pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return mapped(both, run, "a long, b long")
 
 
 def _chosen(df: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
@@ -284,7 +284,7 @@ def _candidates(members: DataFrame, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     keyed_rows = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return keyed_rows.mapInArrow(run, "a long, b long").distinct()
+    return mapped(keyed_rows, run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -299,7 +299,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, nu
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packer.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], ["node", "packed"])
 
-    small = cut(texts.mapInArrow(packed, "node long, packed binary"))
+    small = cut(mapped(texts, packed, "node long, packed binary"))
     both = pairs.join(small.toDF("a", "pa"), "a").join(small.toDF("b", "pb"), "b").select("a", "b", "pa", "pb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +323,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, nu
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return mapped(both, run, "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, num: int = 85, den: int = 100) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import mapped, without
 
 #: Bound on the labelled rows that the model is fitted on; those with the smallest hash of doc_id.
 MAX_TRAINING_ROWS = 20_000
@@ -103,7 +103,7 @@ class Model:
                 values = pa.array(self.probability(_stats_matrix(batch.column(at).to_pylist())))
                 yield pa.RecordBatch.from_arrays([*batch.columns, values], schema.names)
 
-        scored = inner.mapInArrow(run, schema).toDF(*docs.columns, "score")
+        scored = mapped(inner, run, schema).toDF(*docs.columns, "score")
         return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -130,7 +130,7 @@ def _partition_sums(rows: DataFrame, fold, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
 
     # PARTS bounds how many sums reach the driver
-    parts = rows.select("stats", "y").coalesce(PARTS).mapInArrow(run, "s array<double>").collect()
+    parts = mapped(rows.select("stats", "y").coalesce(PARTS), run, "s array<double>").collect()
     return np.sum([np.array(p.s) for p in parts], axis=0) if parts else np.zeros(size)
 
 
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
 
     # max_rows bounds what is broadcast
     found = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(known.select(F.col("doc_id").cast("bigint"), "y")), "doc_id")
-    rows = found.select("doc_id", "y", "text").mapInArrow(run, schema).repartition(PARTS, "doc_id").sortWithinPartitions("doc_id").persist()
+    rows = mapped(found.select("doc_id", "y", "text"), run, schema).repartition(PARTS, "doc_id").sortWithinPartitions("doc_id").persist()
     d = N_STATISTICS
     moments = _partition_sums(rows, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * d)
     n, positive = moments[0], moments[1]

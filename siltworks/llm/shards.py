@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import mapped, without
 
 #: Bytes of text or runs that are worked on at once; bounds memory, not results.
 CHUNK = 1 << 20
@@ -148,7 +148,7 @@ def to_shards(texts: DataFrame, cut_runs: Callable[[list[bytes], np.ndarray, np.
                     yield from emit()
         yield from emit()
 
-    return texts.select("__doc", "__row", "__text").mapInArrow(run, "shard int, blob binary")
+    return mapped(texts.select("__doc", "__row", "__text"), run, "shard int, blob binary")
 
 
 def spans_of_shards(blobs: DataFrame, shards: int, removed: Callable[[Runs], Iterator[tuple[int, int, int]]]) -> DataFrame:
@@ -194,7 +194,7 @@ def spans_of_shards(blobs: DataFrame, shards: int, removed: Callable[[Runs], Ite
         yield from found(held)
 
     dealt = blobs.repartition(shards, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "__doc long, __row long, __from long, __to long")
+    return mapped(dealt, run, "__doc long, __row long, __from long, __to long")
 
 
 def _taken(runs: Runs, chosen: list[int]) -> Runs:

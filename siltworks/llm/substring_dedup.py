@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sha256_hex
+from .common import mapped, sha256_hex
 from .shards import Runs, intervals, joined, keyed, mix, prefix_hash, slice_hash, sliding_min, spans_of_shards, to_shards, with_spans
 
 WINDOW, GRAM = 13, 3
@@ -141,7 +141,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), kind, pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], schema.names)
 
-    return inner.mapInArrow(finish, schema).toDF(*own, *added.names)
+    return mapped(inner, finish, schema).toDF(*own, *added.names)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sha256_hex
+from .common import mapped, sha256_hex
 from .shards import COLUMNS, Runs, intervals, joined, keyed, mix, prefix_hash, slice_hash, sliding_min, spans_of_shards, to_shards, with_spans
 
 WINDOW, GRAM = 400, 32
@@ -313,7 +313,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = zip(*out) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c, t) for c, t in zip(columns, kinds))], schema.names)
 
-    return inner.mapInArrow(finish, schema).toDF(*own, *added.names)
+    return mapped(inner, finish, schema).toDF(*own, *added.names)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
