@@ -53,7 +53,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens, ids and the decoded text of each document."""
     path = bpe.word_vocabulary()
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path), path)
+    out = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path)
     return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
 
 
