@@ -6,6 +6,8 @@ are literal and small, so they are looked up in maps without a join.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def judge_titles(resolved: DataFrame, exclude: list[str] | None = None) -> DataF
     t = F.col("t")
     excluded = F.when(~X.has_part(t, K.INDUSTRIAL_QUALIFIERS), X.first_word_of(t, K.EXCLUDED_ROLES))
     support = X.has_word(t, K.SUPPORT_ROLES)
-    declared = F.coalesce(*[F.when(t.rlike(r"\b" + c.strip().lower() + r"\b"), F.lit(c)) for c in exclude]) if exclude else F.lit(None).cast("string")
+    declared = F.coalesce(*[F.when(t.rlike(r"(?<!\w)" + re.escape(c.strip().lower()) + r"(?!\w)"), F.lit(c)) for c in exclude]) if exclude else F.lit(None).cast("string")
     reason = (
         F.when(excluded.isNotNull(), F.concat(F.lit("excluded_role:"), excluded)).when(support, "support_role")
         .when(declared.isNotNull(), F.concat(F.lit("declared:"), declared))

@@ -54,9 +54,11 @@ def similar_pairs(records: DataFrame, title: str = "title", order: str = "row_in
     can reach 0.65, so only the others go through Python.
     """
     pairs = window_pairs(records, title, order, window).withColumn("jaccard", token_jaccard(F.col("a"), F.col("b"))).where("jaccard >= 0.2998")
-    x, y = X.comparable(F.col("a")), X.comparable(F.col("b"))
-    pairs = pairs.withColumns({"x": x, "y": y})
-    sim = F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(F.round(0.5 * _ratio("x", "y") + 0.5 * F.col("jaccard").cast("double"), 4))
+    pairs = pairs.withColumns({"x": X.comparable(F.col("a")), "y": X.comparable(F.col("b"))})
+    # each pair of different titles is compared once, however often it occurs
+    ratios = pairs.where("x <> y").select("x", "y").distinct().withColumn("ratio", _ratio("x", "y"))
+    pairs = pairs.join(ratios, ["x", "y"], "left")
+    sim = F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(F.round(0.5 * F.col("ratio") + 0.5 * F.col("jaccard").cast("double"), 4))
     pairs = pairs.withColumn("similarity", sim)
     tiers = F.array(*[F.lit(t) for t in K.TIERS])
     left, right = (F.array_sort(F.array_intersect(tiers, F.split(c, " "))) for c in ("x", "y"))
@@ -68,6 +70,17 @@ def similar_pairs(records: DataFrame, title: str = "title", order: str = "row_in
     return pairs.withColumn("duplicate_type", kind).where("duplicate_type is not null").select("i", "j", "similarity", "duplicate_type")
 
 
-def last_flag(flags: DataFrame) -> DataFrame:
-    """(row_index, duplicate_type): of several flags of a row, the one of the latest partner."""
-    return flags.groupBy(F.col("i").alias("row_index")).agg(F.max_by("duplicate_type", "j").alias("duplicate_type"))
+def last_flag(pairs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(row_index, duplicate_type): of several flags of a row the last one; repeated keys come before pairs.
+
+    Pairs are flagged in the order of i and j, and the flag of a pair is on its later row.
+    """
+    marks = repeated.select("row_index", F.lit("STRUCTURAL_DUPLICATE").alias("duplicate_type"), F.lit(-1).cast("bigint").alias("at"))
+    marks = marks.unionByName(pairs.select(F.col("j").alias("row_index"), "duplicate_type", F.col("i").alias("at")))
+    return marks.groupBy("row_index").agg(F.max_by("duplicate_type", "at").alias("duplicate_type"))
+
+
+def class_counts(pairs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(duplicate_type, n): flags by class, repeated keys among them."""
+    kinds = pairs.select("duplicate_type").unionByName(repeated.select(F.lit("STRUCTURAL_DUPLICATE").alias("duplicate_type")))
+    return kinds.groupBy("duplicate_type").agg(F.count("*").alias("n"))

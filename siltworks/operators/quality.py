@@ -42,8 +42,14 @@ def dimensions(counts: DataFrame) -> DataFrame:
 
 
 def gates(scored: DataFrame) -> DataFrame:
-    """Adds the gate columns and export_status to rows with dimensions."""
+    """Adds the ten gates, their three aliases, export_status and reasons to rows with dimensions.
+
+    Optional boolean columns profile_valid and dataset_identified say whether the document was
+    understood and its dataset found. reasons joins what failed, in the order of the gates.
+    """
     has = set(scored.columns)
+    known = F.col("profile_valid") if "profile_valid" in has else F.lit(True)
+    identified = F.col("dataset_identified") if "dataset_identified" in has else F.lit(True)
     processed = F.col("processed") if "processed" in has else F.lit(True)
     generic = F.col("generic_columns") if "generic_columns" in has else F.lit(False)
     empty = F.col("total") <= 0
@@ -52,7 +58,17 @@ def gates(scored: DataFrame) -> DataFrame:
     def gate(c):
         return F.when(empty, "passed").otherwise(c)
 
+    structural = gate(F.when(F.col("structural") >= 70, "passed").otherwise("warning"))
+    understood = gate(F.when(known, "passed").otherwise("failed"))
+    reasons = F.array_compact(F.array(
+        F.when(~known, "document not understood"), F.when(~identified, "dataset not identified"), F.when(generic, "generic column names"),
+        F.when(F.col("errors") > 0, F.concat(F.col("errors").cast("string"), F.lit(" errors"))),
+        F.when(~processed, "not curated").when(F.col("review") > 0, F.concat(F.col("review").cast("string"), F.lit(" for review"))),
+        F.when(critical > 0, F.concat(critical.cast("string"), F.lit(" critical"))),
+    ))
     return scored.withColumns({
+        "document_understanding_gate": understood, "extraction_gate": understood, "dataset_identification_gate": gate(F.when(identified, "passed").otherwise("failed")),
+        "structural_integrity_gate": structural, "reasons": F.when(empty, "").otherwise(F.array_join(reasons, "; ")),
         "structural_gate": gate(F.when(F.col("structural") >= 70, "passed").otherwise("warning")),
         "schema_gate": gate(F.when(generic, "failed").otherwise("passed")),
         "normalization_gate": gate(F.when(F.col("normalization") >= 75, "passed").otherwise("warning")),

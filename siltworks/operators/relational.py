@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: Rows whose first items are numbered together.
+RANGE = 100_000
+
 
 def primary(records: DataFrame, key: str, fields: list[str], order: str = "row_index") -> DataFrame:
     """One row per record: entity_id (the key, or ROW-nnnn), each field cleaned and as it was."""
@@ -18,11 +21,17 @@ def primary(records: DataFrame, key: str, fields: list[str], order: str = "row_i
 def dimension(records: DataFrame, cell: str, order: str = "row_index", prefix: str = "DIM") -> DataFrame:
     """(item_id, item_key, item): the distinct items of a list column, numbered by first appearance.
 
-    Only the distinct items, not the rows, are ranked.
+    Items are dealt out in ranges of their first row, numbered within each range and moved on by the
+    size of the ranges before it, so no task sees all of them.
     """
     items = records.select(F.col(order), F.posexplode(X.split_items(F.col(cell))).alias("pos", "item"))
     first = items.groupBy(F.lower("item").alias("item_key")).agg(F.min(F.struct(order, "pos", "item")).alias("f"))
-    ranked = first.withColumn("n", F.row_number().over(Window.orderBy(f"f.{order}", "f.pos")))
+    dealt = first.withColumns({"r": F.col(f"f.{order}"), "p": F.col("f.pos")})
+    block = dealt.withColumn("b", F.floor(F.col("r") / RANGE))
+    # ranges are few beside the items: one count each
+    sizes = block.groupBy("b").agg(F.count("*").alias("size"))
+    before = sizes.withColumn("base", F.coalesce(F.sum("size").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
+    ranked = block.join(before, "b").withColumn("n", F.col("base") + F.row_number().over(Window.partitionBy("b").orderBy("r", "p")))
     return ranked.select(F.format_string(f"{prefix}-%04d", "n").alias("item_id"), "item_key", F.col("f.item").alias("item"))
 
 
@@ -46,3 +55,25 @@ def review(records: DataFrame, key: str, required: list[str], cell: str, pattern
     for more in found[1:]:
         out = out.unionByName(more)
     return out
+
+
+def qualification_tables(records: DataFrame, key: str = "saqa_id", title: str = "title", level: str = "nqf", funded: str = "nsfas", cell: str = "colleges", order: str = "row_index") -> dict[str, DataFrame]:
+    """qualifications, colleges, qualification_colleges, centres and review of a list of qualifications.
+
+    Keys off the pattern of four to seven digits, repeated keys, empty lists and items listed twice go
+    to review; colleges are numbered by first appearance, and variant marks names that are short or
+    hold no word for a college. centres has the rows that name a centre of specialisation.
+    """
+    number = F.regexp_extract(title, r"(?i)qual(?:ification)?\s*(?:no|number|#)?\s*:?\s*([0-9]+)", 1)
+    digits = F.regexp_extract(level, "[0-9]+", 0)
+    in_range = digits.try_cast("bigint").between(1, 10)
+    low = F.lower(F.trim(F.coalesce(funded, F.lit(""))))
+    main = records.select(
+        order, F.trim(F.coalesce(key, F.lit(""))).alias("saqa_id"), F.nullif(number, F.lit("")).alias("qualification_number"), X.collapse(F.col(title)).alias("qualification_name"),
+        F.col(title).alias("qualification_name_raw"), F.when(in_range, digits.try_cast("int")).alias("nqf_level"), F.when(low.isin("yes", "y", "true", "1", "eligible"), "Eligible").otherwise("Not Eligible").alias("nsfas_allowance"))
+    dims = dimension(records, cell, order, "COL")
+    known = F.col("item").rlike("(?i)college|tvet|campus|centre") & (F.length("item") >= 5)
+    colleges = dims.select(F.col("item_id").alias("college_id"), F.col("item").alias("college_name"), (~known).alias("is_variant"))
+    pairs = junction(records, dims, cell, order)
+    centres = records.where(F.lower(title).rlike("dspp|centre of specialisation")).select(order, key, title, cell)
+    return {"qualifications": main, "colleges": colleges, "qualification_colleges": pairs, "centres": centres, "review": review(records, key, [], cell, "^[0-9]{4,7}$", order)}
