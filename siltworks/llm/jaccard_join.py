@@ -368,3 +368,15 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return similar_classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
+#: The query in DuckDB: all pairs that share a shingle, their sets' sizes, and what links reach.
+OP7_SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS k FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+t(r, z) AS (SELECT r, r FROM d UNION SELECT t.r, e.y FROM t JOIN e ON t.z = e.x),
+m AS (SELECT t.r, min(d.doc_id) AS c FROM t JOIN d ON t.z = d.r GROUP BY t.r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id FROM d JOIN m USING (r) LEFT JOIN n USING (r)"""

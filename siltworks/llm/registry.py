@@ -8,11 +8,11 @@ from .bpe import op5_bpe
 from .chat import op6_chat
 from .decontaminate import op8_decontaminate
 from .html_extract import op10_html_extract
-from .jaccard_join import op7_jaccard_join
+from .jaccard_join import OP7_SQL, op7_jaccard_join
 from .line_dedup import op9_line_dedup
 from .quality import op4_quality
 from .substring_dedup import OP1_SQL, op1_substring_dedup
-from .suffix_dedup import op2_suffix_dedup
+from .suffix_dedup import OP2_SQL, op2_suffix_dedup
 
 
 def _importable(query):
@@ -38,4 +38,4 @@ QUERIES = {
     "op10_html_extract": op10_html_extract,
 }
 QUERIES = {name: _importable(query) for name, query in QUERIES.items()}
-ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op7_jaccard_join": OP7_SQL}

@@ -320,3 +320,15 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans and the digest of the bytes that stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", sha256_hex("kept").alias("kept_sha256"))
+
+
+#: The query in DuckDB: every 400-byte string by its digest, the runs that repeated ones cover, and the bytes between them.
+OP2_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, unnest(range(0, octet_length(b) - 399)) AS i, b FROM d WHERE octet_length(b) >= 400),
+h AS (SELECT r, i, md5(b[i + 1:i + 400]) AS k FROM w),
+s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM h) WHERE n > 1),
+g AS (SELECT r, i, sum(f) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS f FROM s)),
+p AS (SELECT r, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY r, g),
+t AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before, lead(a) OVER (PARTITION BY r ORDER BY a) IS NULL AS last FROM p),
+o AS (SELECT t.r, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(hex(b[before + 1:a]) || CASE WHEN last THEN hex(b[z + 1:octet_length(b)]) ELSE '' END, '' ORDER BY a) AS x FROM t JOIN d ON d.r = t.r GROUP BY t.r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, CASE WHEN o.r IS NULL THEN sha256(b) ELSE sha256(unhex(x)) END AS kept_sha256 FROM d LEFT JOIN o ON d.r = o.r"""
