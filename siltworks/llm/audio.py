@@ -2,9 +2,9 @@
 
 A recording (a binary column with PCM WAV data) becomes frames of twelve pitch-class energies. Filters
 that compare rectangles of that image, read off an integral image, are quantised to two bits each and
-packed into one integer per position. Recordings align where short runs of integers agree: a
-histogram of the offsets of agreeing runs gives the offset, and the share of differing bits over the
-whole overlap confirms it.
+packed into one integer per position. Parts of the bits of a few integers are looked up in other
+recordings: a histogram of the offsets at which they agree gives the offsets to try, and the share of
+differing bits over the whole overlap confirms one.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,9 @@ LOWEST, HIGHEST = 55.0, 3520.0
 #: Frames that one integer looks at.
 WIDTH = 8
 THRESHOLDS = (-0.25, 0.0, 0.25)
-#: Consecutive integers that must agree to vote for an offset.
-RUN = 3
+#: A vote rests on three integers STEP places apart, of each of which it takes PART_BITS bits; wrong bits leave the other
+#: votes of a place as they are. NEAR_TOP offsets of each histogram are checked.
+STEP, SPAN, PART_BITS, NEAR_TOP = 4, 9, 11, 3
 #: Largest share of differing bits of aligned recordings, and least share of the shorter one that overlaps.
 BIT_ERRORS, OVERLAP = 0.15, 0.5
 BROADCAST_KEYS = 1_000_000
@@ -145,43 +146,78 @@ def add_fingerprints(df: DataFrame, media_col: str = "media", out: str = "finger
     return mapped(inner, run, schema).toDF(*df.columns, out)
 
 
-def align(recordings: DataFrame, is_query, id_col: str = "id", fp_col: str = "fingerprint") -> DataFrame:
-    """For each recording: id_col, class_id, query_id, shift, bit_errors.
+def _runs(classes: DataFrame) -> DataFrame:
+    """(mark, place, run): what a recording votes with; places whose run goes on from the one before have no vote.
 
-    Recordings with equal fingerprints form a class, named by its smallest id; those without integers
-    are classes of their own. A class with a query (a row where is_query holds) aligns with itself.
-    Others are aligned with every class that holds a query, and the best alignment is returned: fewest
-    differing bits, then the smallest query class; null where none holds. shift is the place in the
-    query where the recording starts. Null ids are in no class with a name, unless equal rows have one.
+    So steady notes and silence, which many recordings share, vote once where they begin. Recordings
+    of fewer than SPAN integers vote with single integers, and only among each other.
     """
-    rows = cut(recordings.select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{fp_col}`").alias("fp"), is_query.alias("asked"),
-        F.sha2(F.array_join(F.col(f"`{fp_col}`").cast("array<string>"), " "), 256).alias("mark")))
-    own = rows.where(F.size("fp") > 0)
-    # one fingerprint of a class stands for all
-    classes = cut(own.groupBy("mark").agg(F.min("id").alias("class_id"), F.max(F.coalesce("asked", F.lit(False))).alias("asked"), F.min("fp").alias("fp")))
-    runs = classes.select("mark", F.posexplode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("fp") - RUN + 1)), lambda i: F.xxhash64(F.slice("fp", i, RUN)))).alias("place", "run"))
+    def key(i: str) -> str:
+        size = 1 << PART_BITS
+        part = f"(shiftrightunsigned(fp[{{}}], {PART_BITS} * k) & {size - 1})"
+        return f"(((k * {size}L + {part.format(f'{i} - 1')}) * {size}L + {part.format(f'{i} - 1 + {STEP}')}) * {size}L + {part.format(f'{i} - 1 + {2 * STEP}')})"
+
+    places = f"transform(sequence(1, greatest(1, size(fp) - {SPAN - 1})), i -> transform(sequence(0, {32 // PART_BITS - 1}), k -> named_struct('place', i, 'run', {key('i')}, 'old', if(i > 1, {key('(i - 1)')}, -1L))))"
+    long = classes.where(F.size("fp") >= SPAN).select("mark", F.expr(f"inline(flatten({places}))")).where("run <> old").select("mark", "place", "run")
+    short = classes.where(F.size("fp") < SPAN).select("mark", F.posexplode("fp").alias("place", "x"))
+    return long.unionByName(short.select("mark", (F.col("place") + 1).alias("place"), (F.col("x").cast("bigint") - (1 << 40)).alias("run")))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """One row (mark, class_id, asked, fp) for the recordings with one fingerprint."""
+    return rows.where("size(fp) > 0").groupBy("mark").agg(
+        F.min("id").alias("class_id"), F.max(F.coalesce("asked", F.lit(False))).alias("asked"), F.min("fp").alias("fp"))
+
+
+def matches(classes: DataFrame) -> DataFrame:
+    """(mark, query, query_id, shift, bit_errors): every class with every other class that holds a query and aligns with it.
+
+    Of the NEAR_TOP offsets with most votes the one with the fewest differing bits counts; shift is the
+    place in the query where the recording starts.
+    """
+    runs = _runs(classes)
     asked = runs.join(classes.where("asked").select("mark"), "mark").toDF("query", "at", "run")
     small = asked.count() <= BROADCAST_KEYS
-    votes = runs.join(classes.where("not asked").select("mark"), "mark").join(F.broadcast(asked) if small else asked, "run")
+    votes = runs.join(F.broadcast(asked) if small else asked, "run").where("mark <> query")
     votes = votes.groupBy("mark", "query", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("votes"))
-    top = votes.groupBy("mark", "query").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("near"), "shift")).alias("t")).select("mark", "query", "t.shift")
+    first = Window.partitionBy("mark", "query").orderBy(F.desc("votes"), F.abs("shift"), "shift")
+    top = votes.withColumn("n", F.row_number().over(first)).where(f"n <= {NEAR_TOP}").select("mark", "query", "shift")
     fps = classes.select("mark", "class_id", "fp")
     both = top.join(fps.select("mark", "fp"), "mark").join(fps.toDF("query", "query_id", "qfp"), "query")
     start, qstart = F.greatest(F.lit(0), -F.col("shift")), F.greatest(F.lit(0), F.col("shift"))
     n = F.least(F.size("fp") - start, F.size("qfp") - qstart)
     both = both.withColumn("n", n).where(f"n > 0 and n >= {OVERLAP} * least(size(fp), size(qfp))")
+    # a difference in the top bit makes a negative integer, whose count of bits would be that of a long
     differ = F.aggregate(
-        F.zip_with(F.slice("fp", start + 1, F.col("n")), F.slice("qfp", qstart + 1, F.col("n")), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.zip_with(F.slice("fp", start + 1, F.col("n")), F.slice("qfp", qstart + 1, F.col("n")), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("bigint").bitwiseAND(F.lit((1 << 32) - 1)))),
         F.lit(0), lambda a, b: a + b)
     both = both.withColumn("bit_errors", F.round(differ / (32 * F.col("n")), 6)).where(F.col("bit_errors") <= BIT_ERRORS)
-    best = both.groupBy("mark").agg(F.min(F.struct("bit_errors", "query_id", "shift")).alias("b")).select("mark", "b.*")
-    itself = classes.where("asked").select("mark", F.lit(0.0).alias("bit_errors"), F.col("class_id").alias("query_id"), F.lit(0).alias("shift"))
-    named = classes.select("mark", "class_id").join(best.unionByName(itself), "mark", "left")
-    out = rows.join(named, "mark", "left")
+    best = both.groupBy("mark", "query").agg(F.min(F.struct("bit_errors", F.abs("shift").alias("far"), "shift", "query_id")).alias("b"))
+    return best.select("mark", "query", "b.query_id", "b.shift", "b.bit_errors")
+
+
+def align(recordings: DataFrame, is_query, id_col: str = "id", fp_col: str = "fingerprint") -> DataFrame:
+    """For each recording: id_col, n_ints, fingerprint_sha256, class_id, n_queries, query_id, shift, bit_errors.
+
+    Recordings with equal fingerprints form a class, named by its smallest id; those without integers
+    are classes of their own. n_queries is the number of other classes with a query (a row where
+    is_query holds) that the class aligns with. A class with a query has itself as best query; others
+    have the class with the fewest differing bits, then the smallest one, or null. Every row of
+    recordings gives one row, repeated and null ids included.
+    """
+    rows = cut(recordings.select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{fp_col}`").alias("fp"), is_query.alias("asked"),
+        sha256_hex(F.array_join(F.col(f"`{fp_col}`").cast("array<string>"), " ")).alias("mark")))
+    # one fingerprint of a class stands for all
+    classes = cut(_classes(rows))
+    found = matches(classes).groupBy("mark").agg(F.count("*").alias("n_queries"), F.min(F.struct("bit_errors", "query_id", "shift")).alias("b"))
+    own = F.struct(F.lit(0.0).alias("bit_errors"), F.col("class_id").alias("query_id"), F.lit(0).alias("shift"))
+    named = classes.select("mark", "class_id", "asked").join(found, "mark", "left").withColumn("b", F.when(F.col("asked"), own).otherwise(F.col("b")))
+    out = rows.join(named.drop("asked"), "mark", "left")
     whole = F.when(F.size("fp") > 0, F.col("class_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), whole.alias("class_id"), "query_id", F.col("shift").cast("int"), "bit_errors")
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce(F.size("fp"), F.lit(0)).cast("bigint").alias("n_ints"), F.col("mark").alias("fingerprint_sha256"), whole.alias("class_id"),
+        F.coalesce("n_queries", F.lit(0)).cast("bigint").alias("n_queries"), "b.query_id", F.col("b.shift").cast("int").alias("shift"), "b.bit_errors")
 
 
 RATE, NOTE_SECONDS = 2000, 0.125
@@ -216,9 +252,4 @@ def render(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 def op3_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of embeddings played as a recording, fingerprinted, and aligned with those whose id is divisible by 100."""
     made = add_fingerprints(render(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))).drop("media")
-    made = cut(made)
-    found = align(made, F.col("id") % 100 == 0).toDF("vec_id", "class_id", "query_id", "shift", "bit_errors")
-    prints = made.select(
-        F.col("id").alias("vec_id"), F.size("fingerprint").cast("bigint").alias("n_ints"),
-        sha256_hex(F.array_join(F.col("fingerprint").cast("array<string>"), " ")).alias("fingerprint_sha256"))
-    return prints.join(found, "vec_id")
+    return align(made, F.col("id") % 100 == 0).withColumnRenamed("id", "vec_id")

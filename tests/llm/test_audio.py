@@ -6,7 +6,7 @@ import wave
 import numpy as np
 from pyspark.sql import functions as F
 
-from siltworks.llm.audio import BIT_ERRORS, OVERLAP, add_fingerprints, align, chroma, decode_wav, fingerprint, op3_audio_fingerprints
+from siltworks.llm.audio import BIT_ERRORS, OVERLAP, _classes, add_fingerprints, align, chroma, decode_wav, fingerprint, matches, op3_audio_fingerprints
 
 
 def wav(samples, rate=4000, width=2, channels=1):
@@ -72,6 +72,34 @@ def test_alignment(spark):
     assert align(made.limit(0), F.col("id") % 100 == 0).collect() == [] and add_fingerprints(df.limit(0)).collect() == []
 
 
+def test_recall_of_noisy_and_cropped_recordings(spark):
+    """Against all offsets: of the pairs that brute force aligns, nearly all are found, and no others."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(8):
+        x = tune(10 + k, 12)
+        rows.append((100 * k, wav(x)))
+        for m, noise in enumerate((0.02, 0.1, 0.2, 0.3)):
+            y = x[rng.integers(0, 4000 * 3) :]
+            rows.append((100 * k + m + 1, wav(np.clip(y + rng.normal(0, noise, len(y)), -1, 1))))
+    made = add_fingerprints(spark.createDataFrame(rows, "id long, media binary")).cache()
+    prints = {r.id: r.fingerprint for r in made.collect()}
+    asked = F.col("id") % 100 == 0
+    want = {(a, q): brute(prints[a], prints[q]) for a in prints for q in range(0, 800, 100) if a != q}
+    want = {k: v for k, v in want.items() if v}
+    assert len(want) >= 20
+    frame = made.select("id", F.col("fingerprint").alias("fp"), asked.alias("asked"), F.col("id").cast("string").alias("mark"))
+    got = {(int(r.mark), r.query_id): r.bit_errors for r in matches(_classes(frame)).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
+
+
+def test_every_row_gives_one(spark):
+    a = tune(1, 6)
+    df = spark.createDataFrame([(7, wav(a)), (7, wav(a)), (None, wav(a)), (None, None), (100, wav(a[2000:]))], "id long, media binary")
+    got = align(add_fingerprints(df), F.col("id") % 100 == 0).collect()
+    assert sorted(str((r.id, r.class_id)) for r in got) == ["(100, 100)", "(7, 7)", "(7, 7)", "(None, 7)", "(None, None)"]
+
+
 def test_query(spark):
     out = op3_audio_fingerprints(spark, "/root/testdata/sf0.001")
     rows = out.collect()
