@@ -3,14 +3,16 @@
 Pages of one host are read as streams of tags and text and folded into a union-free regular
 expression of nested groups: runs of equal groups become a repeated group, text becomes a slot, and
 aligning one page's expression with the next turns groups that only one of them has into optional
-groups. Structures are folded in bounded bundles, in rounds, until a host has one wrapper. Every page is
-read through the slots of its host's wrapper; which of them hold the article is decided for each page.
+groups. Structures are folded in bounded bundles, in rounds, until a host has one wrapper. A text that
+every page of the host has at the same place is template and no slot; every page is read through the
+slots of its host's wrapper. Which of the slots left hold the article is decided for each page.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -18,6 +20,7 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,16 +28,21 @@ from pyspark.sql import types as T
 from .common import cut, mapped, without
 
 BUNDLE = 64
+#: Different pages that a host must have before texts they all share count as its template.
+TEMPLATE_PAGES = 3
+#: Structures that a task remembers; more are sent again.
+SEEN = 5_000
 #: Wrappers of at most this many hosts are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Elements whose content is no markup and no text of the page.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "textarea", "select", "option", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select", "option", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s",
     "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+    "math", "mi", "mn", "mo", "mrow", "msup", "msub", "mfrac", "mtext", "msqrt", "mroot", "mover", "munder",
 }
 #: Opening one of these closes an open p.
 CLOSE_P = {
@@ -43,6 +51,8 @@ CLOSE_P = {
 }
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 APART = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "header", "fieldset"}
+#: Of these, the ones that may stand around a whole page.
+OUTER = {"form", "fieldset"}
 MAIN = ("article", "main")
 APART_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal "
@@ -84,7 +94,8 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], str]]:
         return out
 
     def where() -> tuple[str, ...]:
-        return tuple(k for _, k in path)
+        # a group directly within its like counts once, so that wrappers of wrappers don't deepen the tree
+        return tuple(k for i, (_, k) in enumerate(path) if not i or path[i - 1][1] != k)
 
     while True:
         m = TOKEN.search(html, at)
@@ -129,8 +140,7 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], str]]:
                     break
                 if path[i][0] in ("ul", "ol", "dl", "table"):
                     break
-        if len(path) < 200:
-            path.append((name, key_of(name, m[3])))
+        path.append((name, key_of(name, m[3])))
     if t := text():
         yield where(), t
 
@@ -139,12 +149,12 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], str]]:
 # the key "#" is a text slot and has no children.
 
 
-def structure(html: str) -> list:
-    """The expression of one page: nested groups with runs of equal groups folded."""
+def structure(found: list[tuple[tuple[str, ...], str]]) -> list:
+    """The expression of one page's blocks: nested groups with runs of equal groups folded."""
     root: list = ["", "", []]
     open_now: list[list] = [root]
     last: tuple[str, ...] = ()
-    for path, _ in blocks(html):
+    for path, _ in found:
         same = 0
         while same < min(len(path), len(last)) and path[same] == last[same]:
             same += 1
@@ -213,17 +223,20 @@ def _apart(key: str) -> bool:
 
 
 def _around(groups: set[tuple[str, ...]], chars: dict[tuple[str, ...], int]) -> frozenset:
-    """Groups whose class or id says little: html, body, and those around every possible root and half of the text."""
-    worded = [g for g in groups if _apart(g[-1]) and g[-1].split(".")[0] not in APART]
+    """Groups whose name, class or id says little: html, body, and those around every possible root and half of the text."""
+    hard = APART - OUTER
+    worded = [g for g in groups if _apart(g[-1]) and g[-1].split(".")[0] not in hard]
     if not worded:
         return frozenset()
-    roots = [g for g in groups if (g[-1].split(".")[0] in MAIN or set(g[-1].split(".")[1:]) & MAIN_WORDS) and not any(k.split(".")[0] in APART for k in g)]
-    text = {p: n for p, n in chars.items() if not any(k.split(".")[0] in APART for k in p)}
+    roots = [g for g in groups if (g[-1].split(".")[0] in MAIN or set(g[-1].split(".")[1:]) & MAIN_WORDS) and not any(k.split(".")[0] in hard for k in g)]
+    text = {p: n for p, n in chars.items() if not any(k.split(".")[0] in hard for k in p)}
 
     def outer(g: tuple[str, ...]) -> bool:
         if g[-1].split(".")[0] in ("html", "body"):
             return True
         held = sum(n for p, n in text.items() if p[: len(g)] == g)
+        if g[-1].split(".")[0] in OUTER and not roots:
+            return 2 * held >= sum(text.values())
         # a root of the same words around g is no root that g fails to hold
         return bool(roots) and all(r[: len(g)] == g or g[: len(r)] == r and _apart(r[-1]) for r in roots) and any(len(r) > len(g) for r in roots) and 2 * held >= sum(text.values())
 
@@ -263,9 +276,17 @@ def _slots(wrapper: str) -> frozenset:
     return frozenset(walk(json.loads(wrapper), ()))
 
 
-def main_text(html: str, wrapper: str) -> str:
+def text_mark(path: tuple[str, ...], text: str) -> int:
+    """A number for a text at its place in the tree."""
+    return xxhash.xxh64_intdigest("\x00".join([*path, text])) - (1 << 63)
+
+
+def main_text(html: str, wrapper: str, template: frozenset[int] = frozenset()) -> str:
+    """The article's blocks of a page; template has the marks of texts that all pages of the host share."""
     slots = _slots(wrapper)
     read = [(p, t) for p, t in blocks(html) if p in slots]
+    if template:
+        read = [(p, t) for p, t in read if text_mark(p, t) not in template] or read
     chars: dict[tuple[str, ...], int] = {}
     for p, t in read:
         chars[p] = chars.get(p, 0) + len(t)
@@ -275,25 +296,50 @@ def main_text(html: str, wrapper: str) -> str:
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper), one row for each host; all pages count."""
+    """(host, wrapper, template), one row for each host; all pages count.
+
+    Where texts of different pages stand at one place, the place is a slot; template lists the marks of
+    the texts that every one of a host's pages has at the same place. Copies of a page count once, and
+    hosts of fewer than TEMPLATE_PAGES different pages have no template. A host's template is no longer
+    than its shortest page.
+    """
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, str]] = set()
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
         for b in batches:
-            made = [json.dumps(structure(h or ""), separators=(",", ":")) for h in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], ["host", "wrapper"])
+            rows = []
+            for host, html in zip(*(c.to_pylist() for c in b.columns)):
+                found = list(blocks(html or ""))
+                made = json.dumps(structure(found), separators=(",", ":"))
+                marks = sorted({text_mark(p, t) for p, t in found})
+                if len(seen) >= SEEN:
+                    seen.clear()
+                # a structure that the task has met before need not travel again
+                rows.append((host, None if (host, made) in seen else made, marks, xxhash.xxh64_intdigest(html or "") - (1 << 63)))
+                seen.add((host, made))
+            kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["host", "wrapper", "marks", "page"])
 
     def merged(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
         return pd.DataFrame({"host": [key[0]], "wrapper": [fold(frame["wrapper"].tolist())]})
 
     hosts = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
-    now = cut(mapped(hosts, shape, "host string, wrapper string").distinct())
+    read = cut(mapped(hosts, shape, "host string, wrapper string, marks array<long>, page long"))
+    now = cut(read.where("wrapper is not null").select("host", "wrapper").distinct())
     while True:
         sizes = now.groupBy("host").agg(F.count("*").alias("n"))
         if sizes.where("n > 1").isEmpty():
-            return now
+            break
         # bundles of a host hold about BUNDLE structures each, however many the host has
         dealt = now.join(sizes, "host").withColumn("bundle", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / BUNDLE)))
         now = cut(dealt.select("host", "bundle", "wrapper").groupBy("host", "bundle").applyInPandas(merged, "host string, wrapper string").distinct())
+    different = read.select("host", "page", "marks").dropDuplicates(["host", "page"])
+    total = different.groupBy("host").agg(F.count("*").alias("pages")).where(f"pages >= {TEMPLATE_PAGES}")
+    shared = different.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n"))
+    shared = shared.join(total, "host").where("n = pages").groupBy("host").agg(F.array_sort(F.collect_list("mark")).alias("template"))
+    return now.join(shared, "host", "left")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -304,7 +350,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     equal texts. Existing columns called text or n_chars are replaced.
     """
     pages = without(pages, "text", "n_chars")
-    wrappers = infer_wrappers(pages, url_col, html_col).toDF("__host", "__wrapper")
+    wrappers = infer_wrappers(pages, url_col, html_col).toDF("__host", "__wrapper", "__template")
     few = wrappers.count() <= BROADCAST_HOSTS
     both = pages.withColumn("__host", host_of(F.col(f"`{url_col}`"))).join(F.broadcast(wrappers) if few else wrappers, "__host", "left").drop("__host")
     at = pages.columns.index(html_col)
@@ -314,7 +360,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h or "", w) for h, w in zip(b.column(at).to_pylist(), b.column(n).to_pylist())]
+            sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+            texts = [main_text(h or "", w, frozenset(m or ())) for h, w, m in zip(b.column(at).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())], schema.names)
 
     out = mapped(inner, run, schema).toDF(*pages.columns, "text")

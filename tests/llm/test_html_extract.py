@@ -4,7 +4,7 @@ import json
 import re
 from html import unescape
 
-from siltworks.llm.html_extract import aligned, extract, fold, op10_html_extract, structure
+from siltworks.llm.html_extract import aligned, blocks, extract, fold, op10_html_extract, structure
 
 
 def plain(html):
@@ -43,8 +43,8 @@ def test_hand_made_pages_nulls_and_clashing_names(spark):
 
 
 def test_expressions():
-    a = structure("<div><h1>x</h1><p>a</p><p>b</p><p>c</p></div>")
-    b = structure("<div><p>a</p><aside>q</aside></div>")
+    a = structure(list(blocks("<div><h1>x</h1><p>a</p><p>b</p><p>c</p></div>")))
+    b = structure(list(blocks("<div><p>a</p><aside>q</aside></div>")))
     assert a == ["", "", [["div", "", [["h1", "", [["#", "", []]]], ["p", "+", [["#", "", []]]]]]]]
     both = aligned(a, b)
     assert [(c[0], c[1]) for c in both[2][0][2]] == [("h1", "?"), ("p", "+"), ("aside", "?")]
@@ -64,3 +64,36 @@ def test_roots_of_each_page(spark):
     rows = [(i, url, h) for i, h in enumerate(pages) for url in ("http://a.com/x", None)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {(r.page_id, r.text) for r in got} == {(i, note[3:-4]) for i in range(len(pages))}
+
+
+def host_pages(spark, bodies, url="https://site.example/{}"):
+    rows = [(i, url.format(i), f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_text_that_all_pages_of_a_host_share_is_template(spark):
+    """Neutral markup says nothing here; only alignment with the host's other pages does."""
+    menu, notice = "<div class=x1><div>Start</div><div>Contact us</div></div>", "<p>All rights are ours</p>"
+    bodies = [f"{menu}<div class=x2><p>Story {w} told</p><p>and {w} ended</p></div>{notice}" for w in ("one", "two", "three", "four")]
+    got = {r.page_id: r.text for r in extract(host_pages(spark, bodies)).collect()}
+    assert got[1] == "Story two told\nand two ended"
+    alone = extract(host_pages(spark, bodies[:1])).first().text
+    assert alone == "Start\nContact us\nStory one told\nand one ended\nAll rights are ours"
+    copies = extract(host_pages(spark, bodies[:1] * 5)).collect()
+    assert {r.text for r in copies} == {alone}
+
+
+def test_odd_markup(spark):
+    deep = "<div class=a>" * 400 + "<section>" + "<div>deep text</div>" + "</section>" + "</div>" * 400 + "<p>after it</p>"
+    bodies = [
+        f"<article>{deep}</article>",
+        '<p title="abc>first</p><p>second</p>',
+        "<form><div><p>All of this page</p><p>is in one form, with <math><mi>x</mi></math> in it</p></div></form>",
+        "<article><p>kept</p></article>",
+        '<div class="content"><p>also kept</p></div><div class="sidebar">not this</div>',
+    ]
+    got = {r.page_id: r.text for r in extract(host_pages(spark, bodies)).collect()}
+    assert got[0] == "deep text\nafter it"
+    assert got[1] == "first\nsecond"
+    assert got[2] == "All of this page\nis in one form, with x in it"
+    assert got[3] == "kept" and got[4] == "also kept"
