@@ -20,18 +20,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped
+from .common import cut, mapped
 from .shards import mix
 
 WINDOW, CONTAINMENT = 5, 0.8
 #: Words by which the alignment may shift from one matched window to the next.
 SHIFT = 16
-#: Benchmark texts of at most this many bytes are sent to the tasks at once; more go in blocks.
-BLOCK_BYTES = 32 << 20
+#: Benchmark texts of at most this many bytes are sent to the tasks as one index; a larger benchmark is joined by a shuffle.
+INDEX_BYTES = 32 << 20
 CACHED_WORDS = 300_000
 #: Words that are units after a number.
 UNITS = frozenset(
@@ -258,16 +258,6 @@ def chains(hits: list[tuple[int, int]], least: float) -> Iterator[list[tuple[int
             yield chain[::-1]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size, one after the other."""
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = total // BLOCK_BYTES + 1
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield [(r.item_id, r.text) for r in part.collect()]
-
-
 LEAKS = "item_id long, kind string, matched long, first_word long, n_words long"
 
 
@@ -279,39 +269,118 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     nowhere, null and empty texts leak nothing, items of fewer than WINDOW words are one window, and
     repeated rows or items give rows of their own. An empty benchmark gives no rows.
     """
-    found = []
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *T.StructType.fromDDL(LEAKS).fields])
-    for items in _blocks(benchmark):
+    if not _small(items):
+        return _joined_leaks(rows, items, schema)
+    index = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Benchmark(items)
-            for batch in batches:
-                got = [(d, *leak) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for leak in index.leaks(t)]
-                if got:
-                    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), kinds)], schema.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Benchmark(index.value)
+        for batch in batches:
+            yield _table([(d, *leak) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for leak in found.leaks(t)], schema)
 
-        found.append(mapped(rows, run, schema))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return mapped(rows, run, schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rows that leak an item of the benchmark; other rows stay as they are."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     at = docs.columns.index(text_col)
+    if not _small(items):
+        name = _name(F.col(f"`{text_col}`"))
+        texts = docs.where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{text_col}`").alias("text")).distinct()
+        gone = _candidates(texts, items).transform(_verified, T.StructType.fromDDL(f"name string, {LEAKS}")).select("name").distinct()
+        return docs.join(gone, name.eqNullSafe(gone["name"]), "left_anti")
+    index = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Benchmark(index.value)
+        for batch in batches:
+            yield batch.filter(pa.array([not found.leaks(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
     out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    for items in _blocks(benchmark):
+    return mapped(out, run, out.schema).toDF(*docs.columns)
+
+
+def _small(items: DataFrame) -> bool:
+    return (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= INDEX_BYTES
+
+
+def _table(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    kinds = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int64() for f in schema.fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], schema.names)
+
+
+def _name(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """(size, hash, name, places, place): the windows of each item's text under both templates."""
+    schema = T.StructType.fromDDL("size long, hash long, name string, places long, place long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own = Benchmark([(0, text)])
+                rows = []
+                for size, (hashes, _, place, _) in own.by_size.items():
+                    rows += [(size, h, name, own.items[0][4], p) for h, p in zip(hashes.view(np.int64).tolist(), place.tolist())]
+                yield _table(rows, schema)
+
+    return mapped(items.select(_name(F.col("text")).alias("name"), "text"), run, schema).distinct()
+
+
+def _text_windows(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """(size, hash, name): the different windows of each text under both templates."""
+    schema = T.StructType.fromDDL("size long, hash long, name string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = Templates()
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens, kinds, starts = templates.of(split(text))
+                for size in sizes:
+                    both = np.unique(np.concatenate([window_hashes(t, size) for t in (tokens, with_names(tokens, kinds, starts)[0])]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(both), size)), pa.array(both.view(np.int64)), pa.array([name] * len(both), pa.string())], schema.names)
+
+    return mapped(texts.select(_name(F.col("text")).alias("name"), "text"), run, schema)
+
+
+def _candidates(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(name, text, item_text, ids): texts with items most of whose windows they hold, by a hash join of windows."""
+    windows = cut(_item_windows(items))
+    sizes = [r[0] for r in windows.select("size").distinct().collect()]  # WINDOW at most
+    hits = _text_windows(texts, sizes).join(windows.withColumnRenamed("name", "item"), ["size", "hash"])
+    counted = hits.groupBy("name", "item").agg(F.count_distinct("place").alias("n"), F.first("places").alias("places"))
+    pairs = counted.where(F.col("n") >= CONTAINMENT * F.col("places")).select("name", "item")
+    named = texts.select(_name(F.col("text")).alias("name"), "text")
+    own = items.select(_name(F.col("text")).alias("item"), F.col("text").alias("item_text"), "item_id")
+    return pairs.join(named, "name").join(own, "item").select("name", "text", "item_text", "item_id")
+
+
+def _verified(candidates: DataFrame, schema: T.StructType) -> DataFrame:
+    """The leaks among candidates, by the same test as the index's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, text, item_text, item in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(name, item, *leak[1:]) for leak in Benchmark([(item, item_text)]).leaks(text)]
+            yield _table(rows, schema)
+
+    return mapped(candidates, run, schema)
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Benchmark(items)
-            for batch in batches:
-                yield batch.filter(pa.array([not index.leaks(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        out = mapped(out, run, out.schema)
-    return out.toDF(*docs.columns)
+def _joined_leaks(rows: DataFrame, items: DataFrame, schema: T.StructType) -> DataFrame:
+    """The leaks of rows (doc_id, text) without an index: equal texts are searched once."""
+    texts = rows.where("text is not null").select("text").distinct()
+    found = _verified(_candidates(texts, items), T.StructType.fromDDL(f"name string, {LEAKS}"))
+    named = rows.select("doc_id", _name(F.col("text")).alias("name"))
+    return named.join(found, "name").select(*schema.names)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,8 @@ def test_slots_nulls_blocks_and_repeats(spark, monkeypatch):
     rows = [(1, f"x y. {QUESTION}! z"), (2, f"Well: {changed}."), (3, mixed), (4, near), (5, None), (6, ""), (None, QUESTION.lower()), (1, f"x y. {QUESTION}! z"), (7, "Who is it?"), (8, "12 13 14 15 16 17 18 " * 9000)]
     docs = spark.createDataFrame([(*r, "a") for r in rows], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(10, QUESTION), (11, None), (12, ""), (13, "who is it"), (14, "1 2 3 4 5 6")], "item_id long, text string")
-    for size in (decontaminate.BLOCK_BYTES, 64):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    for size in (decontaminate.INDEX_BYTES, 64):
+        monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
         got = sorted(((r.doc_id, r.item_id, r.kind) for r in find_leaks(docs, bench).collect()), key=str)
         assert [g for g in got if g[1] in (10, 13)] == sorted([(1, 10, "exact"), (1, 10, "exact"), (2, 10, "reparameterised"), (7, 13, "exact")], key=str), got
         left = without_leaks(docs, bench.where("item_id <> 14"))
