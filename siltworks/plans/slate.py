@@ -120,10 +120,14 @@ def evaluated(spark, sf):
 
 # ---- text and cells ----------------------------------------------------------------------------
 
-@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS text FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+#: White space of Unicode, for an engine whose regular expressions know only that of ASCII.
+SQL_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(text, '{SQL_SPACE}', ' ', 'g')) AS text FROM documents")
 def norm_whitespace(spark, sf):
-    """White space of the ASCII documents collapsed; the expression itself takes every text."""
-    return table(spark, sf, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", X.collapse(F.col("text")).alias("text"))
+    """White space of every document collapsed."""
+    return table(spark, sf, "documents").select("doc_id", X.collapse(F.col("text")).alias("text"))
 
 
 @query(f"WITH {R.SQL} SELECT row_index, CASE WHEN lower(trim(province)) IN ({quoted(K.NULL_TOKENS)}) THEN NULL ELSE province END AS province FROM r")
@@ -375,10 +379,10 @@ def codebook_ffill(spark, sf):
     return structure.fill_forward(e, "variable", ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "variable")
 
 
-@query("""WITH s AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) + 3 AS total, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations WHERE turn % 2 = 0)
+@query("""WITH s AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) + 3 AS total, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)
 SELECT conv_id, turn, greatest(turn, coalesce(nx - 1, total)) AS page_end FROM s""")
 def sections_span(spark, sf):
-    c = table(spark, sf, "conversations").where("turn % 2 = 0").selectExpr("conv_id", "turn", "max(turn) over (partition by conv_id) + 3 as total")
+    c = table(spark, sf, "conversations").selectExpr("conv_id", "turn", "max(turn) over (partition by conv_id) + 3 as total")
     return structure.section_spans(c, ["conv_id"], "turn", ["turn"], "total").select("conv_id", "turn", "page_end")
 
 
