@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, held_out, score and predicted."""
+    """Per document: doc_id, held_out (false for a null doc_id, which no label can have), score and predicted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs).select("doc_id", (bucket(F.col("doc_id")) == 2).alias("held_out"), "score", "predicted")
+    return model.score(docs).select("doc_id", F.coalesce(bucket(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", "predicted")

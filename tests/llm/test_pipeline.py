@@ -46,3 +46,20 @@ def test_stages_equal_brute_force(spark, tmp_path):
         assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == library.decode(ids, skip_special_tokens=False)
     ran = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf).collect()}
     assert ran == {d: r.n_tokens for d, r in out["bpe"].items()}
+
+
+def test_stages_take_nulls_repeats_and_extra_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    text = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars between 900 and 3000").orderBy("doc_id").first().text
+    rows = [(1, text, "en", "b", 5), (1, text, "en", "a", 5), (None, text, None, None, None), (2, None, "en", "a", 0), (3, "", "en", "a", 0), (None, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).collect() == [], name
+    lines = stages["line_dedup"](spark, docs, sf).collect()
+    assert sorted(str(r.doc_id) for r in lines if r.text) == ["None"] and sum(r.text is None for r in lines) == 2
+    one = stages["jaccard_join"](spark, docs, sf)
+    assert one.columns == docs.columns
+    assert sorted(str((r.doc_id, r.source)) for r in one.collect() if r.text) == ["(1, 'a')"]
+    assert stages["decontaminate"](spark, docs, sf).columns == docs.columns
+    assert {r.n_tokens for r in stages["bpe"](spark, docs.where("text is null or text = ''"), sf).collect()} == {0}
