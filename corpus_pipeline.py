@@ -18,13 +18,19 @@ from siltworks.session import importable
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. It learns from the labels of the documents given."""
+    """Documents that the quality classifier rejects go. It learns from the labels of the documents given.
+
+    A null text counts as empty; without labels every score is 0.5 and everything goes.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return model.score(docs).where("predicted = 1").select(docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from every text, and n_chars follows; documents left without text go too."""
+    """Repeated lines go from every text, and n_chars follows; documents left without text go too.
+
+    A null text stays as it is. Of equal lines the one of the smallest doc_id stays, a null id first.
+    """
     out = line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
     out = out.withColumn("n_chars", F.length("text").cast("bigint"))
     return out.where("text is null or length(trim(text)) > 0").select(docs.columns)
@@ -33,7 +39,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a similarity of 0.8 on sets of five words, the one with the smallest id stays.
 
-    Rows without an id stay only if their group has no row with one.
+    Rows without an id stay only if their group has no row with one. Of rows with one id and text the one
+    with the smallest other columns stays. Texts without words have no partner.
     """
     classes = jaccard_join.similar_classes(docs, size=5, num=80, den=100)
     # a null id counts as the smallest long inside the operator
@@ -42,16 +49,17 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     first = named.groupBy("component_id").agg(F.min(F.struct("__doc", "__row")).alias("f")).select("f.*")
     bare = rows.where("doc_id is null and component_id is null").select("__doc", "__row").distinct()
     kept = first.unionByName(bare)
-    return keyed(docs, "doc_id", "text").join(kept, ["__doc", "__row"], "left_semi").dropDuplicates(["__doc", "__row"]).select(docs.columns)
+    rows = keyed(docs, "doc_id", "text").join(kept, ["__doc", "__row"], "left_semi")
+    return rows.groupBy("__doc", "__row").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("r")).select("r.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Documents that leak a benchmark item go; null and empty texts leak nothing."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, n_tokens, ids and the decoded text of each document."""
+    """doc_id, lang, source, n_chars, n_tokens, ids and the decoded text of each document; a null text has no tokens."""
     path = bpe.word_vocabulary()
     out = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path)
     return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
