@@ -136,9 +136,15 @@ UNIT_SIGNALS = {
     "company": ("2.5", ["company", "enterprise", "employer", "firm", "organisation", "organization", "sdl number"]),
 }
 QUALIFICATION_WORDS = [
-    "Honours Degree", "Postgraduate Diploma", "Bachelor's Degree", "Master's Degree", "Doctoral Degree", "Advanced Certificate", "Advanced Diploma",
-    "National Certificate", "Higher Certificate", "Diploma",
-]
+    "Honours Degree", "Postgraduate Diploma", "Bachelor's Degree", "Master's Degree", "Doctoral Degree", "Diploma", "National Certificate", "Advanced Certificate",
+    "Advanced Diploma", "Higher Certificate", "Intermediate Certificate", "Professional Driving Permit", "No Formal Qualification Required",
+    "General Education and Training Certificate",
+]
+#: A page footer that runs into the last cell.
+CELL_FOOTER = r"(?i)\s+[0-9]+\s+MPUMALANGA.*$"
+METADATA_WORDS = ["acronyms", "abbreviations", "table of contents", "list of tables", "list of figures", "document history", "version control"]
+#: Section kinds that give a table its role, in order after the words of the table itself.
+SECTION_ROLES = [("METHODOLOGY", "methodology"), ("EVIDENCE", "evidence")]
 
 # ---- Fixed values: headings, metadata, column roles and header aliases ---------------------------
 

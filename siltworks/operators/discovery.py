@@ -9,7 +9,7 @@ from ..functions import constants as K
 
 
 def caption(text: Column) -> Column:
-    """The first caption of a page by kind (table, annexure, appendix) of more than seven characters."""
+    """The first caption of a page by kind (table, annexure, appendix, in any case) of more than seven characters."""
     def first(pattern: str) -> Column:
         found = F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({pattern}[:.-][ \\t]+[^\\n\\r]+)"), F.lit(1)), lambda x: F.trim(x))
         return F.get(F.filter(found, lambda x: F.length(x) > 7), F.lit(0))
@@ -53,13 +53,20 @@ def unit_of_observation(headers: Column) -> Column:
     return F.when(best["score"] >= 1.5, best["unit"]).otherwise("unknown")
 
 
-def table_role(label: Column, unit: Column) -> Column:
-    """The role of a table by its caption, section and headers."""
+def table_role(label: Column, unit: Column, section: Column | None = None) -> Column:
+    """The role of a table by its caption, section title and headers, and by the kind of its section.
+
+    In order: metadata, survey, final_dataset, appendix, intermediate_analysis, methodology, evidence, unknown.
+    """
     low = F.lower(label)
+    kind = F.coalesce(section, F.lit("")) if section is not None else F.lit("")
+    role = F.lit("unknown")
+    for semantic, name in reversed(K.SECTION_ROLES):
+        role = F.when(kind == semantic, name).otherwise(role)
     return (
-        F.when((unit == "survey_response") | low.rlike("|".join(K.SURVEY_WORDS)), "survey")
-        .when(low.rlike("|".join(K.FINAL_WORDS)) & unit.isin("occupation", "qualification"), "final_dataset").when(low.rlike("annexure|appendix"), "appendix")
-        .when(low.rlike("|".join(K.INTERMEDIATE_WORDS)), "intermediate_analysis").otherwise("unknown")
+        F.when(low.rlike("|".join(K.METADATA_WORDS)), "metadata").when((unit == "survey_response") | low.rlike("|".join(K.SURVEY_WORDS)), "survey")
+        .when(low.rlike("|".join(K.FINAL_WORDS)) & unit.isin("occupation", "qualification"), "final_dataset")
+        .when((kind == "APPENDIX") | low.rlike("annexure|appendix"), "appendix").when(low.rlike("|".join(K.INTERMEDIATE_WORDS)), "intermediate_analysis").otherwise(role)
     )
 
 
@@ -121,7 +128,8 @@ def split_qualification(text: Column) -> Column:
     kinds = "|".join(K.QUALIFICATION_WORDS)
     qualification = F.regexp_extract(text, rf"(?i)\b(({kinds}).*)$", 1)
     occupation = F.trim(F.substring(text, F.lit(1), F.length(text) - F.length(qualification)))
-    return F.struct(F.when(qualification == "", text).otherwise(occupation).alias("occupation"), F.trim(qualification).alias("qualification"))
+    return F.struct(
+        F.when(qualification == "", text).otherwise(occupation).alias("occupation"), F.trim(F.regexp_replace(qualification, K.CELL_FOOTER, "")).alias("qualification"))
 
 
 def records_from_lines(pages: DataFrame, keys: list[str], text: str = "text", code: str = "^[0-9]{4,6}") -> DataFrame:

@@ -531,7 +531,7 @@ def _unit_sql() -> str:
 
 
 SQL_UNITS = SQL_LABELLED + ", " + _unit_sql()
-SQL_ROLES = SQL_UNITS + f""", ro AS (SELECT lb.*, unit, CASE WHEN unit = 'survey_response' OR {sql_parts('lower(label)', K.SURVEY_WORDS)} THEN 'survey' WHEN {sql_parts('lower(label)', K.FINAL_WORDS)} AND unit IN ('occupation', 'qualification') THEN 'final_dataset'
+SQL_ROLES = SQL_UNITS + f""", ro AS (SELECT lb.*, unit, CASE WHEN {sql_parts('lower(label)', K.METADATA_WORDS)} THEN 'metadata' WHEN unit = 'survey_response' OR {sql_parts('lower(label)', K.SURVEY_WORDS)} THEN 'survey' WHEN {sql_parts('lower(label)', K.FINAL_WORDS)} AND unit IN ('occupation', 'qualification') THEN 'final_dataset'
 WHEN regexp_matches(lower(label), 'annexure|appendix') THEN 'appendix' WHEN {sql_parts('lower(label)', K.INTERMEDIATE_WORDS)} THEN 'intermediate_analysis' ELSE 'unknown' END AS role FROM lb JOIN un USING (id)),
 sc AS (SELECT *, CAST((CASE WHEN regexp_matches(lower(label), 'final list|final oihd|occupations in high demand') THEN 4 ELSE 0 END) + (CASE WHEN contains(lower(label), 'consolidation of evidence') THEN 2.5 ELSE 0 END) + (CASE WHEN role = 'final_dataset' THEN 3 ELSE 0 END)
 + (CASE unit WHEN 'occupation' THEN 2 WHEN 'qualification' THEN 1.5 WHEN 'survey_response' THEN -3 ELSE 0 END) + (CASE WHEN id % 6 = 0 THEN 5 ELSE 0 END) + (CASE WHEN contains(lower(heads), 'ofo') AND contains(lower(heads), 'occupation') THEN 2 ELSE 0 END)
@@ -580,10 +580,15 @@ def text_line_records(spark, sf):
     return discovery.records_from_lines(d.select("doc_id", F.array_join(coded, "\n").alias("text")), ["doc_id"])
 
 
-@query()
+KINDS = ["Advanced Diploma in Metal", "intermediate certificate 12 MPUMALANGA list", "No Formal Qualification Required", ""]
+_kinds = "(?i)\\b((" + "|".join(w.replace("'", "''") for w in K.QUALIFICATION_WORDS) + ").*)$"
+
+
+@query(f"""WITH {R.SQL}, m AS (SELECT row_index, trim(CASE WHEN row_index % 2 = 0 THEN title || ' ' ELSE '' END || {R._pick(KINDS, '(row_index * 5)')}) AS t FROM r), q AS (SELECT *, regexp_extract(t, '{_kinds}', 1) AS q FROM m)
+SELECT row_index, CASE WHEN q = '' THEN t ELSE trim(substr(t, 1, length(t) - length(q))) END AS occupation, trim(regexp_replace(q, '{K.CELL_FOOTER}', '')) AS qualification FROM q""")
 def split_title_qualification(spark, sf):
-    r = R.records(spark, sf).select("row_index", F.concat_ws(" ", F.when(F.col("row_index") % 2 == 0, F.col("title")), F.when(F.col("row_index") % 3 > 0, F.lit("Advanced Diploma in Metal"))).alias("t"))
-    return r.select("row_index", discovery.split_qualification(F.col("t")).alias("s")).select("row_index", "s.*")
+    merged = F.trim(F.concat(F.when(F.col("row_index") % 2 == 0, F.concat("title", F.lit(" "))).otherwise(""), F.expr(R._pick(KINDS, "(row_index * 5)"))))
+    return R.records(spark, sf).select("row_index", discovery.split_qualification(merged).alias("s")).select("row_index", "s.*")
 
 
 WRAPPED = ["Engineer Motheo TVET", "North College; South College", "Level Two", "Software Developer Orbit Academy; East Campus", "", "Grade 9", "one two three four five; x", "a b", "; X Centre"]
