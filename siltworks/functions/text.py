@@ -22,21 +22,26 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
-def translate_unicode(c: Column) -> Column:
-    """The native part of clean_unicode: zero-width characters, ligatures, quotes and dashes."""
+def _letters(c: Column) -> Column:
     c = F.translate(c, "".join(K.ZERO_WIDTH), "")
     for ligature, letters in K.LIGATURES.items():
         c = F.replace(c, F.lit(ligature), F.lit(letters))
-    return F.translate(c, " “”‘’–—", " \"\"''--")
+    return c
+
+
+def _plain_marks(c: Column) -> Column:
+    return F.translate(c, "\u00a0“”‘’–—", " \"\"''--")
+
+
+def translate_unicode(c: Column) -> Column:
+    """The native part of clean_unicode: zero-width characters, ligatures, quotes and dashes."""
+    return _plain_marks(_letters(c))
 
 
 def clean_unicode(c: Column) -> Column:
     """Compatibility forms and odd punctuation as plain ones; only texts beyond ASCII go through Python."""
-    plain = F.translate(c, "".join(K.ZERO_WIDTH), "")
-    for ligature, letters in K.LIGATURES.items():
-        plain = F.replace(plain, F.lit(ligature), F.lit(letters))
-    folded = F.when(plain.rlike(r"[^\x00-\x7F]"), _nfkc(plain)).otherwise(plain)
-    return F.translate(folded, " “”‘’–—", " \"\"''--")
+    plain = _letters(c)
+    return _plain_marks(F.when(plain.rlike(r"[^\x00-\x7F]"), _nfkc(plain)).otherwise(plain))
 
 
 def null_if_token(c: Column) -> Column:

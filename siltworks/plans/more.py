@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from ..operators import curation, documents, duplicates, ledger, quality, relational, report, schema, validation
+from ..operators import curation, discovery, documents, duplicates, ledger, quality, relational, report, schema, validation
+from ..sources import readers, writers
 from . import records as R
 from . import slate
 from .slate import ORACLES, QUERIES, evaluated, query, quoted, table, validated
@@ -396,3 +397,52 @@ def policy_list(spark, sf):
 def intent_list(spark, sf):
     e = table(spark, sf, "events").selectExpr("user_id AS intent_id", "value", "event_id AS seq", "if(event_id % 3 = 0, 'delete', 'save') AS action")
     return ledger.intents(e)
+
+
+# ---- sources and sinks -------------------------------------------------------------------------
+
+@query("""WITH t AS (SELECT doc_id, lower(concat_ws(' ', source, text)) AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, 'qualification|tvet|saqa') THEN 'qualifications' WHEN regexp_matches(t, 'occupation|ofo|oihd') THEN 'occupations'
+WHEN regexp_matches(t, 'codebook|survey|qlfs') THEN 'codebook' ELSE 'generic' END AS kind FROM t""")
+def document_kinds(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", readers.document_kind(F.col("source"), F.col("text")).alias("kind"))
+
+
+@query("SELECT conv_id, turn AS page_number FROM conversations WHERE turn BETWEEN 1 AND 3")
+def page_range(spark, sf):
+    return readers.pages_between(table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("page_number")), 1, 3)
+
+
+@query("SELECT conv_id, turn, substr(coalesce(text, ''), 1, 300) AS preview, pages FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS pages FROM conversations) WHERE n <= 5")
+def page_previews(spark, sf):
+    return readers.previews(table(spark, sf, "conversations"), "conv_id", "turn", "text")
+
+
+GRIDS = [
+    [["ABC", "Some words here"], ["XY", "Other words"], ["Q-1", "More words yet"]], [["x", ""]], [["\u00a9 Published in 2020", "", ""], ["a", "b", "c"]],
+    [["1", "2", "3"], ["4", "5", "6"], ["7", "8", "9"], ["10", "11", "12"]], [["", "", ""], ["only", "", ""]], [["ABC", "one"], ["x", "two words"]],
+]
+
+
+@query(f"""WITH g AS (SELECT p_partkey AS id, [{', '.join('[' + ', '.join('[' + quoted(r) + ']' for r in g) + ']' for g in GRIDS)}][p_partkey % {len(GRIDS)} + 1] AS g FROM part), f AS (SELECT *, flatten(g) AS f FROM g),
+t AS (SELECT *, list_filter(f, lambda x: trim(x) <> '') AS t FROM f) SELECT id, len(f) <= 2 OR len(t) <= 1 OR (len(g) <= 3 AND regexp_matches(lower(array_to_string(t, ' ')), '© published in|isbn:|all rights reserved')) AS layout,
+len(g[1]) = 2 AND len(list_filter(g, lambda r: len(r) >= 2 AND regexp_matches(trim(r[1]), '^[A-Z0-9&-]{{2,8}}$') AND regexp_matches(trim(r[2]), '\\S\\s+\\S'))) * 10 >= len(g) * 7 AS acronyms FROM t""")
+def grid_kinds(spark, sf):
+    grids = F.array(*[F.array(*[F.array(*[F.lit(c) for c in r]) for r in g]) for g in GRIDS])
+    g = F.get(grids, (F.col("p_partkey") % len(GRIDS)).cast("int"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), discovery.is_layout(g).alias("layout"), discovery.is_acronyms(g).alias("acronyms"))
+
+
+@query("""WITH g AS (SELECT p_size AS doc, p_partkey AS row_index, CASE p_partkey % 10 WHEN 0 THEN ['OFO Code', 'Occupation Title'] WHEN 5 THEN ['Variable', 'Value Label'] WHEN 7 THEN ['', ' '] ELSE [p_partkey::VARCHAR, p_name] END AS c FROM part),
+h AS (SELECT *, p IS NOT NULL AS hd, last_value(p IGNORE NULLS) OVER (PARTITION BY doc ORDER BY row_index ROWS UNBOUNDED PRECEDING) AS h FROM (SELECT *, CASE WHEN row_index % 10 IN (0, 5) THEN array_to_string(c, '|') END AS p FROM g))
+SELECT doc, row_index, h AS headers FROM h WHERE NOT hd AND row_index % 10 <> 7""")
+def header_fill(spark, sf):
+    cells = (
+        F.when(F.col("p_partkey") % 10 == 0, F.array(F.lit("OFO Code"), F.lit("Occupation Title"))).when(F.col("p_partkey") % 10 == 5, F.array(F.lit("Variable"), F.lit("Value Label")))
+        .when(F.col("p_partkey") % 10 == 7, F.array(F.lit(""), F.lit(" "))).otherwise(F.array(F.col("p_partkey").cast("string"), "p_name")))
+    grid_ = table(spark, sf, "part").select(F.col("p_size").alias("doc"), F.col("p_partkey").alias("row_index"), cells.alias("cells"))
+    return readers.with_headers(grid_, ["doc"], ["row_index"]).select("doc", "row_index", F.array_join("headers", "|").alias("headers"))
+
+
+@query(f"SELECT row_index, title, _prov_dataset, _prov_status, _curation_decision, _curation_confidence, _derived_chambers FROM ({ORACLES['export_flat']}) WHERE _prov_status = 'valid' AND _curation_decision = 'INCLUDE'")
+def export_chosen(spark, sf):
+    return writers.chosen(slate.export_flat(spark, sf), ["row_index", "title"], valid_only=True, decision="include")

@@ -54,3 +54,10 @@ def document_kind(name: Column, first_page: Column) -> Column:
         F.when(text.rlike("qualification|tvet|saqa"), "qualifications").when(text.rlike("occupation|ofo|oihd"), "occupations")
         .when(text.rlike("codebook|survey|qlfs"), "codebook").otherwise("generic")
     )
+
+
+def previews(pages: DataFrame, doc: str, page: str, text: str, n: int = 5, chars: int = 300) -> DataFrame:
+    """(doc, page, preview, pages): the beginnings of the first n pages of each document, and how many it has."""
+    w = Window.partitionBy(doc)
+    placed = pages.withColumns({"__n": F.row_number().over(w.orderBy(page)), "pages": F.count("*").over(w)})
+    return placed.where(F.col("__n") <= n).select(doc, page, F.substring(F.coalesce(text, F.lit("")), 1, chars).alias("preview"), "pages")
