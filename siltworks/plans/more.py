@@ -249,6 +249,42 @@ def suggested_decisions(spark, sf):
     return report.suggested_decision(evaluated(spark, sf)).select("row_index", "suggested")
 
 
+_tests = {
+    "sector": "technical", "classification": "coalesce(major_code, '') IN ('2','3','6','7')", "context": "(technical OR coalesce(major_code, '') IN ('6','7'))", "process": "process",
+    "source": "company_name <> ''",
+}
+_family = {rule: family for family, rules in K.RULE_FAMILIES.items() for rule in rules}
+
+
+def _policy_sql(name: str) -> str:
+    rules = [(w, _tests[_family[r]]) for r, w in K.POLICIES[name][2] if r in _family]
+    score = " + ".join(f"CASE WHEN {test} THEN {w} ELSE 0.00 END" for w, test in rules)
+    return f"SELECT row_index, '{name}' AS policy, CAST(CASE WHEN exclusion IS NOT NULL THEN 0 ELSE {score} END AS DOUBLE) AS score FROM judged"
+
+
+@query(f"WITH {slate.SQL_JUDGED} " + " UNION ALL ".join(_policy_sql(p) for p in K.POLICIES))
+def policy_scores(spark, sf):
+    judged = curation.judge_titles(curation.resolve_taxonomy(R.records(spark, sf)))
+    out = None
+    for name in K.POLICIES:
+        scored = curation.score_rules(judged, name, "company_name").select("row_index", F.lit(name).alias("policy"), F.col("score").cast("double").alias("score"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+FIELDS = """SELECT p_partkey AS row_index, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '12' WHEN 2 THEN 'SAQA 99' ELSE CAST(10000 + p_partkey AS VARCHAR(19)) END AS saqa_id,
+CASE p_partkey % 4 WHEN 0 THEN '2021' WHEN 1 THEN '1850' WHEN 2 THEN 'next year' ELSE NULL END AS intake_year, CASE p_partkey % 6 WHEN 0 THEN '12' WHEN 1 THEN '-4' WHEN 2 THEN '1.5' WHEN 3 THEN 'True' WHEN 4 THEN '' ELSE '1e3' END AS seats FROM part"""
+
+
+@query(f"""WITH f AS ({FIELDS}) SELECT row_index, 'saqa_id' AS "column", 'required' AS rule, 'error' AS severity FROM f WHERE saqa_id = '' UNION ALL SELECT row_index, 'saqa_id', 'saqa_id', 'error' FROM f WHERE saqa_id <> '' AND NOT regexp_matches(saqa_id, '^[0-9]{{4,7}}$')
+UNION ALL SELECT row_index, 'intake_year', 'year', 'warning' FROM f WHERE NOT regexp_matches(intake_year, '^(19|20)[0-9]{{2}}$') UNION ALL SELECT row_index, 'seats', 'integer', 'warning' FROM f WHERE seats <> '' AND NOT regexp_matches(seats, '^[+-]?[0-9]+$')""")
+def validate_fields(spark, sf):
+    table(spark, sf, "part").createOrReplaceTempView("__parts")
+    rows = spark.sql(FIELDS.replace("FROM part", "FROM __parts"))
+    checked = validation.validate(rows, [("saqa_id", True, "string"), ("intake_year", False, "string"), ("seats", False, "integer")])
+    return validation.issue_rows(checked, "row_index")
+
+
 _off = _parts("coalesce(title, '')", K.OFFLINE_TITLES)
 
 
