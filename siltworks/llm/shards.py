@@ -21,6 +21,8 @@ from .common import mapped, without
 #: Bytes of text or runs that are worked on at once; bounds memory, not results.
 CHUNK = 1 << 20
 PIECE = 1 << 21
+#: Text for one shard. A task holds the runs of one shard at a time, and of up to SHARDS_A_TASK one after the other.
+SHARD_BYTES, SHARDS_A_TASK = 16 << 20, 64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -111,6 +113,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("__doc", F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63)))).withColumn("__row", F.xxhash64(txt))
 
 
+def shards_for(texts: DataFrame) -> int:
+    """The number of shards for texts (__text): the session's partitions, or more where a shard would grow beyond SHARD_BYTES."""
+    total = texts.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(tasks, min(total // SHARD_BYTES + 1, SHARDS_A_TASK * tasks))
+
+
 def to_shards(texts: DataFrame, cut_runs: Callable[[list[bytes], np.ndarray, np.ndarray], Runs], shards: int) -> DataFrame:
     """(shard, blob) of texts (__doc, __row, __text), each text cut into runs by cut_runs."""
 
@@ -151,7 +160,7 @@ def to_shards(texts: DataFrame, cut_runs: Callable[[list[bytes], np.ndarray, np.
     return mapped(texts.select("__doc", "__row", "__text"), run, "shard int, blob binary")
 
 
-def spans_of_shards(blobs: DataFrame, shards: int, removed: Callable[[Runs], Iterator[tuple[int, int, int]]]) -> DataFrame:
+def spans_of_shards(blobs: DataFrame, removed: Callable[[Runs], Iterator[tuple[int, int, int]]]) -> DataFrame:
     """(__doc, __row, __from, __to) that removed() finds in pieces of each shard.
 
     A piece holds whole minimisers. Runs alone with their minimiser are left out, unless they may
@@ -193,7 +202,8 @@ def spans_of_shards(blobs: DataFrame, shards: int, removed: Callable[[Runs], Ite
                 held.append(blob)
         yield from found(held)
 
-    dealt = blobs.repartition(shards, "shard").sortWithinPartitions("shard")
+    tasks = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blobs.repartition(tasks, "shard").sortWithinPartitions("shard")
     return mapped(dealt, run, "__doc long, __row long, __from long, __to long")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mapped, sha256_hex
-from .shards import Runs, intervals, joined, keyed, mix, prefix_hash, slice_hash, sliding_min, spans_of_shards, to_shards, with_spans
+from .shards import Runs, intervals, joined, keyed, mix, prefix_hash, shards_for, slice_hash, sliding_min, spans_of_shards, to_shards, with_spans
 
 WINDOW, GRAM = 13, 3
 
@@ -104,9 +104,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lose them; rows with equal ids don't affect each other. Columns of these names are replaced.
     """
     docs = keyed(docs, id_col, text_col)
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     texts = texts.select("__doc", "__row", F.col(f"`{text_col}`").alias("__text"))
+    shards = shards_for(texts)
 
     def cut_runs(group, ids, rows):
         return super_kmers(group, ids, rows, window)
@@ -115,7 +115,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return repeated(runs, window)
 
     blobs = to_shards(texts, cut_runs, shards)
-    spans = spans_of_shards(blobs, shards, removed)
+    spans = spans_of_shards(blobs, removed)
     found = with_spans(docs, spans, ("n_words", "n_removed", "spans", "kept"))
     own = [c for c in found.columns if c not in ("__doc", "__row", "__spans")]
     inner = found.select(*[F.col(f"`{c}`") for c in own], "__spans").toDF(*[f"c{i}" for i in range(len(own) + 1)])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mapped, sha256_hex
-from .shards import COLUMNS, Runs, intervals, joined, keyed, mix, prefix_hash, slice_hash, sliding_min, spans_of_shards, to_shards, with_spans
+from .shards import COLUMNS, Runs, intervals, joined, keyed, mix, prefix_hash, shards_for, slice_hash, sliding_min, spans_of_shards, to_shards, with_spans
 
 WINDOW, GRAM = 400, 32
 MANY_NAMES = 2048
@@ -280,9 +280,9 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are replaced.
     """
     docs = keyed(docs, id_col, text_col)
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gram = min(GRAM, window)
     texts = docs.where(F.octet_length(F.col(f"`{text_col}`")) >= window).select("__doc", "__row", F.col(f"`{text_col}`").alias("__text"))
+    shards = shards_for(texts)
 
     def cut_runs(group, ids, rows):
         return byte_runs(group, ids, rows, window, gram)
@@ -290,7 +290,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def removed(runs):
         return repeated(runs, window)
 
-    spans = spans_of_shards(to_shards(texts, cut_runs, shards), shards, removed)
+    spans = spans_of_shards(to_shards(texts, cut_runs, shards), removed)
     found = with_spans(docs, spans, ("n_bytes", "n_removed", "n_spans", "spans", "kept"))
     own = [c for c in found.columns if c not in ("__doc", "__row", "__spans")]
     inner = found.select(*[F.col(f"`{c}`") for c in own], "__spans").toDF(*[f"c{i}" for i in range(len(own) + 1)])

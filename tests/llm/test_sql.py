@@ -17,3 +17,14 @@ def test_query(spark, name):
     got = registry.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(cur.fetchall())
+
+
+def test_many_shards_a_task(spark, monkeypatch):
+    from siltworks.llm import shards
+
+    name = "op1_substring_dedup"
+    want = {tuple(r) for r in registry.QUERIES[name](spark, SF).collect()}
+    monkeypatch.setattr(shards, "SHARD_BYTES", 4096)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert shards.shards_for(docs.withColumnRenamed("text", "__text")) > 64
+    assert {tuple(r) for r in registry.QUERIES[name](spark, SF).collect()} == want
