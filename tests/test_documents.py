@@ -54,3 +54,28 @@ def test_last_flag_counts_repeated_keys(spark):
     repeated = spark.createDataFrame([(2,), (5,)], "row_index long")
     got = {r.row_index: r.duplicate_type for r in duplicates.last_flag(pairs, repeated).collect()}
     assert got == {2: "EXACT_DUPLICATE", 3: "POSSIBLE_SEMANTIC_DUPLICATE", 5: "STRUCTURAL_DUPLICATE"}
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    from siltworks.functions import constants as K
+
+    base = ["mechanical engineering technician", "mechanical engineering technologist", "mechanical engineering technician", "welder", "metal welder", "boiler maker", "boilermaker metal", "electrical engineering technician", "mechanical technician engineering"]
+    titles = [base[(7 * i) % len(base)] if i % 4 else base[i % len(base)] + f" {chr(97 + i % 5)}x" for i in range(80)]
+    want = set()
+    for i, a in enumerate(titles):
+        for j in range(i + 1, min(i + 50, len(titles))):
+            b = titles[j]
+            x, y = set(a.split()), set(b.split())
+            sim = 1.0 if a == b else round(0.5 * SequenceMatcher(None, a, b).ratio() + 0.5 * round(len(x & y) / len(x | y), 6), 4)
+            tiers = ({t for t in K.TIERS if t in x}, {t for t in K.TIERS if t in y})
+            if sim >= 0.98:
+                want.add((i, j, "EXACT_DUPLICATE"))
+            elif sim >= 0.65 and all(tiers) and tiers[0] != tiers[1]:
+                want.add((i, j, "LEGITIMATE_RELATED_RECORD"))
+            elif sim >= 0.78:
+                want.add((i, j, "POSSIBLE_SEMANTIC_DUPLICATE"))
+    df = spark.createDataFrame(list(enumerate(titles)), "row_index long, title string")
+    got = {(r.i, r.j, r.duplicate_type) for r in duplicates.similar_pairs(df).collect()}
+    assert len({k for _, _, k in want}) == 3 and got == want
