@@ -71,3 +71,18 @@ def intents(events: DataFrame, key: str = "intent_id", order: str = "seq", actio
     """The intents whose last event is no deletion, as that event left them."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return events.withColumn("__n", F.row_number().over(w)).where(f"__n = 1 and {action} <> 'delete'").drop("__n", action)
+
+
+def override(records: DataFrame, overrides: DataFrame, key: str, fields: list[str]) -> dict[str, DataFrame]:
+    """records, evidence, ledger and audit after people's decisions.
+
+    overrides has key, decision, reason and corrected values of fields (null: as it was); those without
+    a record are ignored. Evidence of an override is certain; the ledger keeps both decisions.
+    """
+    new = overrides.select(key, F.col("decision").alias("__decision"), "reason", *[F.col(f).alias(f"__{f}") for f in fields])
+    both = records.join(new, key)
+    ledger = both.select(key, F.col("decision").alias("old_decision"), F.col("__decision").alias("new_decision"), "reason")
+    evidence = both.select(key, F.lit("HUMAN_OVERRIDE").alias("evidence_type"), F.col("reason").alias("claim"), F.lit(1.0).alias("confidence"))
+    after = records.join(new.drop("reason"), key, "left").withColumns({f: F.coalesce(f"__{f}", f) for f in fields} | {"decision": F.coalesce("__decision", "decision")})
+    after = after.select(*records.columns)
+    return {"records": after, "evidence": evidence, "ledger": ledger, "audit": field_changes(records, after, key, ["decision", *fields])}

@@ -74,10 +74,11 @@ def report(evaluated: DataFrame, dataset: str = "dataset_id") -> DataFrame:
     return sums.join(lines, dataset, "left").select(dataset, body.alias("body"), F.sha2(body, 256).alias("sha256"))
 
 
-def evidence_by_record(items: DataFrame) -> DataFrame:
-    """(row_index, claims): the claims of a record, surest first, equal ones by type and text."""
+def evidence_by_record(items: DataFrame, most: int | None = None) -> DataFrame:
+    """(row_index, claims): the claims of a record (the first so many), surest first, equal ones by type and text."""
     key = F.struct((-F.col("confidence")).alias("c"), "evidence_type", "claim")
-    return items.groupBy("row_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["claim"]), "|").alias("claims"))
+    ordered = F.array_sort(F.collect_list(key))
+    return items.groupBy("row_index").agg(F.array_join(F.transform(F.slice(ordered, 1, most) if most else ordered, lambda x: x["claim"]), "|").alias("claims"))
 
 
 def legacy_score(n: Column, errors: Column, warnings: Column) -> Column:

@@ -435,6 +435,38 @@ def intent_list(spark, sf):
     return ledger.intents(e)
 
 
+OVERRIDDEN = f"""WITH {slate.SQL_DECIDED}, o AS (SELECT row_index, 'INCLUDE' AS d, 'checked ' || row_index::VARCHAR AS reason, CASE WHEN row_index % 2 = 0 THEN 'Corrected' END AS fixed FROM decided WHERE row_index % 7 = 0)"""
+
+
+def overridden(spark, sf):
+    e = evaluated(spark, sf).select("row_index", "decision", "title")
+    made = e.where("row_index % 7 = 0").selectExpr("row_index", "'INCLUDE' AS decision", "concat('checked ', row_index) AS reason", "CASE WHEN row_index % 2 = 0 THEN 'Corrected' END AS title")
+    return ledger.override(e, made, "row_index", ["title"])
+
+
+@query(f"{OVERRIDDEN} SELECT row_index, decision AS old_decision, d AS new_decision, reason FROM decided JOIN o USING (row_index)")
+def override_ledger(spark, sf):
+    return overridden(spark, sf)["ledger"]
+
+
+@query(f"{OVERRIDDEN} SELECT row_index, 'HUMAN_OVERRIDE' AS evidence_type, reason AS claim, CAST(1 AS DOUBLE) AS confidence FROM o")
+def override_evidence(spark, sf):
+    return overridden(spark, sf)["evidence"]
+
+
+@query(f"{OVERRIDDEN} SELECT row_index, 'decision' AS field, decision AS old_value, d AS new_value FROM decided JOIN o USING (row_index) WHERE decision <> d UNION ALL SELECT row_index, 'title', title, fixed FROM decided JOIN o USING (row_index) WHERE fixed IS NOT NULL AND title IS DISTINCT FROM fixed")
+def override_audit(spark, sf):
+    return overridden(spark, sf)["audit"]
+
+
+@query(f"""WITH q AS ({ORACLES['review_queue']}), e AS ({ORACLES['evidence_items']}), t AS (SELECT row_index, string_agg(claim, '|' ORDER BY n) AS claims FROM (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY confidence DESC, evidence_type, claim) AS n FROM e) WHERE n <= 3 GROUP BY 1)
+SELECT q.row_index, rank, coalesce(claims, '') AS claims FROM q LEFT JOIN t ON q.row_index = t.row_index""")
+def review_evidence(spark, sf):
+    queue = slate.review_queue(spark, sf).select("row_index", "rank")
+    top = report.evidence_by_record(curation.evidence(evaluated(spark, sf)), 3)
+    return queue.join(top, "row_index", "left").fillna("", ["claims"])
+
+
 # ---- sources and sinks -------------------------------------------------------------------------
 
 @query("""WITH t AS (SELECT doc_id, lower(concat_ws(' ', source, text)) AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, 'qualification|tvet|saqa') THEN 'qualifications' WHEN regexp_matches(t, 'occupation|ofo|oihd') THEN 'occupations'
