@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query(spark, name):
     duck = duckdb.connect()
-    duck.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations"):
+        duck.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     cur = duck.execute(registry.ORACLES[name])
     columns = [d[0] for d in cur.description]
     got = registry.QUERIES[name](spark, SF)
