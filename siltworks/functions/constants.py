@@ -216,6 +216,11 @@ OCCUPATION_ALIASES = [
     ("province", ["province", "region", "provincial", "location", "prov"]),
     ("educational_qualification_req", ["qualification", "entry requirement", "education", "minimum qualification", "requirement"]),
 ]
+#: Words in the first cell of a row that show a repeated header.
+QUALIFICATION_HEADER_WORDS = ["saqa", "qual id", "national qual"]
+OCCUPATION_HEADER_WORDS = ["ofo", "code", "occupation"]
+#: Parts of a header whose cells list institutions.
+INSTITUTION_PARTS = ["college", "institution", "centre", "campus", "provider"]
 #: Header families: parts of a header, parts it must not have, parts of the target column, parts that must not have.
 HEADER_FAMILIES = [
     (["saqa"], [], ["saqa"], []),

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from siltworks.plans import more as slate
+from siltworks.plans import grids as slate
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
