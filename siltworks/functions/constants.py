@@ -116,7 +116,7 @@ QUALITY_WEIGHTS = {
 }
 
 # Fixed values of document discovery.
-FINAL_WORDS = ["final list", "final oihd", "occupations in high demand", "selected occupations", "authoritative list", "final dataset", "priority skills list", "master list"]
+FINAL_WORDS = ["final list", "final oihd", "occupations in high demand", "selected occupations", "authoritative list", "final dataset", "oihd in mpumalanga", "priority skills list", "master list"]
 SURVEY_WORDS = ["survey response mapping", "survey responses", "survey questions", "employer survey", "respondents", "survey sample", "questionnaire"]
 INTERMEDIATE_WORDS = [
     "top 10", "variables used", "historical overview", "indicators used", "regression results", "sample description", "scoring range", "demand score ranges",

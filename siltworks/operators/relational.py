@@ -18,7 +18,7 @@ def primary(records: DataFrame, key: str, fields: list[str], order: str = "row_i
     return records.select(order, made.alias("entity_id"), *columns)
 
 
-def dimension(records: DataFrame, cell: str, order: str = "row_index", prefix: str = "DIM") -> DataFrame:
+def dimension(records: DataFrame, cell: str, order: str = "row_index", prefix: str = "DIM", width: int = 4) -> DataFrame:
     """(item_id, item_key, item): the distinct items of a list column, numbered by first appearance.
 
     Items are dealt out in ranges of their first row, numbered within each range and moved on by the
@@ -32,7 +32,7 @@ def dimension(records: DataFrame, cell: str, order: str = "row_index", prefix: s
     sizes = block.groupBy("b").agg(F.count("*").alias("size"))
     before = sizes.withColumn("base", F.coalesce(F.sum("size").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
     ranked = block.join(before, "b").withColumn("n", F.col("base") + F.row_number().over(Window.partitionBy("b").orderBy("r", "p")))
-    return ranked.select(F.format_string(f"{prefix}-%04d", "n").alias("item_id"), "item_key", F.col("f.item").alias("item"))
+    return ranked.select(F.format_string(f"{prefix}-%0{width}d", "n").alias("item_id"), "item_key", F.col("f.item").alias("item"))
 
 
 def junction(records: DataFrame, dims: DataFrame, cell: str, order: str = "row_index") -> DataFrame:
@@ -71,7 +71,7 @@ def qualification_tables(records: DataFrame, key: str = "saqa_id", title: str =
     main = records.select(
         order, F.trim(F.coalesce(key, F.lit(""))).alias("saqa_id"), F.nullif(number, F.lit("")).alias("qualification_number"), X.collapse(F.col(title)).alias("qualification_name"),
         F.col(title).alias("qualification_name_raw"), F.when(in_range, digits.try_cast("int")).alias("nqf_level"), F.when(low.isin("yes", "y", "true", "1", "eligible"), "Eligible").otherwise("Not Eligible").alias("nsfas_allowance"))
-    dims = dimension(records, cell, order, "COL")
+    dims = dimension(records, cell, order, "COL", 3)
     known = F.col("item").rlike("(?i)college|tvet|campus|centre") & (F.length("item") >= 5)
     colleges = dims.select(F.col("item_id").alias("college_id"), F.col("item").alias("college_name"), (~known).alias("is_variant"))
     pairs = junction(records, dims, cell, order)

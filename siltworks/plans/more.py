@@ -232,7 +232,7 @@ def qualification_rows(spark, sf):
     return qualifications(spark, sf)["qualifications"]
 
 
-@query(f"""WITH {slate.SQL_DIM} SELECT replace(item_id, 'DIM-', 'COL-') AS college_id, item AS college_name, NOT (regexp_matches(item, '(?i)college|tvet|campus|centre') AND length(item) >= 5) AS is_variant FROM dm""")
+@query(f"""WITH {slate.SQL_DIM} SELECT 'COL-' || CASE WHEN length(item_id) = 8 AND substr(item_id, 5, 1) = '0' THEN substr(item_id, 6) ELSE substr(item_id, 5) END AS college_id, item AS college_name, NOT (regexp_matches(item, '(?i)college|tvet|campus|centre') AND length(item) >= 5) AS is_variant FROM dm""")
 def qualification_colleges(spark, sf):
     return qualifications(spark, sf)["colleges"]
 
