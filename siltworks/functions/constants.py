@@ -14,6 +14,9 @@ PROVINCES = {
     "nc": "Northern Cape", "northern cape": "Northern Cape", "national": "National",
 }
 
+#: Parts of the names of fields that hold codes.
+CODE_FIELD_PARTS = ["id", "code", "ofo", "saqa"]
+
 # Fixed values of the taxonomy: code, title, and affinity or chambers.
 MAJOR_GROUPS = [
     ("1", "Managers", "0.35"), ("2", "Professionals", "0.80"), ("3", "Technicians and Associate Professionals", "0.90"),

@@ -22,26 +22,23 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
-def _letters(c: Column) -> Column:
+def plain_letters(c: Column) -> Column:
+    """No zero-width characters, ligatures as letters."""
     c = F.translate(c, "".join(K.ZERO_WIDTH), "")
     for ligature, letters in K.LIGATURES.items():
         c = F.replace(c, F.lit(ligature), F.lit(letters))
     return c
 
 
-def _plain_marks(c: Column) -> Column:
+def plain_marks(c: Column) -> Column:
+    """Plain spaces, quotes and dashes."""
     return F.translate(c, "\u00a0“”‘’–—", " \"\"''--")
 
 
-def translate_unicode(c: Column) -> Column:
-    """The native part of clean_unicode: zero-width characters, ligatures, quotes and dashes."""
-    return _plain_marks(_letters(c))
-
-
 def clean_unicode(c: Column) -> Column:
     """Compatibility forms and odd punctuation as plain ones; only texts beyond ASCII go through Python."""
-    plain = _letters(c)
-    return _plain_marks(F.when(plain.rlike(r"[^\x00-\x7F]"), _nfkc(plain)).otherwise(plain))
+    plain = plain_letters(c)
+    return plain_marks(F.when(plain.rlike(r"[^\x00-\x7F]"), _nfkc(plain)).otherwise(plain))
 
 
 def null_if_token(c: Column) -> Column:
@@ -49,11 +46,6 @@ def null_if_token(c: Column) -> Column:
     return F.when(F.lower(F.trim(c)).isin(K.NULL_TOKENS), F.lit(None)).otherwise(c)
 
 
-def is_code_field(name: str) -> bool:
-    """Whether values of a field keep leading zeros."""
-    return any(k in name.lower() for k in ("id", "code", "ofo", "saqa"))
-
-
 def typed_cell(c: Column, code_field: bool = False) -> Column:
     """struct(value, value_type) of a cleaned cell: null, integer, float, boolean or string."""
     x = null_if_token(collapse(c))

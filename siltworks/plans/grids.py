@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import tables
+from ..operators import normalise, tables
 from . import records as R
 from .more import ORACLES, QUERIES
 from .slate import query, table
@@ -196,3 +196,42 @@ def document_records(spark, sf):
     found = tables.document_records(*document_tables(spark, sf))
     line = F.array_join(F.transform(F.map_entries("record"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
     return found.withColumn("record", line)
+
+
+# ---- records of unknown keys -------------------------------------------------------------------
+
+#: Raw values by turns; note has ligatures, quotes, spaces and forms beyond ASCII.
+RAW = {
+    "ofo_code": ['"007"', '"0421"', "12", '"1.5"', '"yes"'], "region": ['"gp"', '" KZN "', '"Mars"', '"N/A"', '""', '"National"'], "flag": ['"Yes"', '"no"', '"True"', '"maybe"', "true"],
+    "amount": ['"0012"', "-7", '"3.50"', '"1e3"', '" "', '" 5 "', '"-000"'], "note": ['"ﬁne  “quoted”"', '"a b"', '"plain"', "null", '"½ – ½"', '"ＡＢＣ"', '"​"'],
+}
+_raw = "concat(substr(props, 1, length(props) - 1), " + ", ".join(f"', \"{k}\": ', {R._pick(v, f'(event_id + {n}) % 1009')}" for n, (k, v) in enumerate(RAW.items())) + ", CASE WHEN event_id % 13 = 5 THEN ', \"extra_id\": \"000\"' ELSE '' END, '}')"
+#: One text in ten is no JSON.
+JSON = f"CASE WHEN event_id % 10 = 9 THEN 'no json' ELSE {_raw} END"
+_regions = "CASE lower(x) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.PROVINCES.items()) + " END"
+_plain = "replace(replace(replace(replace(replace(replace(replace(replace(replace(raw, chr(8203), ''), 'ﬁ', 'fi'), chr(160), ' '), '“', '\"'), '”', '\"'), '½', '1⁄2'), 'ＡＢＣ', 'ABC'), '–', '-'), '—', '-')"
+SQL_RECORDS = f"""j AS (SELECT event_id, {JSON} AS j FROM events), v AS (SELECT event_id, CAST(j AS JSON) AS j FROM j WHERE j <> 'no json'),
+f AS (SELECT event_id, field, json_extract_string(j, '$."' || field || '"') AS raw FROM (SELECT event_id, j, unnest(json_keys(j)) AS field FROM v)),
+c AS (SELECT *, trim(regexp_replace({_plain}, '\\s+', ' ', 'g')) AS x, regexp_matches(lower(field), '{'|'.join(K.CODE_FIELD_PARTS)}') AS code FROM f),
+k AS (SELECT *, CASE WHEN x IS NULL OR lower(x) IN ({', '.join(repr(t) for t in K.NULL_TOKENS)}) THEN 'null' WHEN NOT code AND regexp_matches(x, '^-?[0-9]+$') THEN 'integer' WHEN NOT code AND regexp_matches(x, '^-?[0-9]+\\.[0-9]+$') THEN 'float'
+WHEN lower(x) IN ('yes', 'true', 'y', 'no', 'false', 'n') THEN 'boolean' ELSE 'string' END AS kind, CASE WHEN regexp_matches(lower(field), 'prov|region') THEN {_regions} END AS region FROM c),
+nr AS (SELECT event_id, field, raw, kind, CASE kind WHEN 'integer' THEN CAST(CAST(x AS BIGINT) AS VARCHAR) WHEN 'float' THEN x WHEN 'boolean' THEN CASE WHEN lower(x) IN ('yes', 'true', 'y') THEN 'true' ELSE 'false' END WHEN 'string' THEN coalesce(region, x) END AS value,
+CASE WHEN raw IS NULL THEN false ELSE CASE kind WHEN 'null' THEN trim(raw) <> '' WHEN 'boolean' THEN raw <> CASE WHEN lower(x) IN ('yes', 'true', 'y') THEN 'True' ELSE 'False' END WHEN 'string' THEN CASE WHEN region IS NULL THEN x <> raw ELSE region <> x END ELSE raw <> x END END AS changed FROM k)"""
+
+
+def raw_records(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.expr(JSON).alias("json"))
+    return e.select("event_id", normalise.normalised(normalise.parsed(F.col("json"))).alias("record"))
+
+
+@query(f"WITH {SQL_RECORDS} SELECT event_id, field, raw, kind, value, changed FROM nr")
+def record_normalise(spark, sf):
+    return raw_records(spark, sf).select("event_id", F.explode("record").alias("field", "v")).select("event_id", "field", "v.raw", "v.kind", "v.value", "v.changed")
+
+
+@query(f"""WITH {SQL_RECORDS} SELECT event_id, max(TRY_CAST(value AS BIGINT)) FILTER (field = 'k') AS k, max(value) FILTER (field = 'ofo_code') AS ofo_code, max(TRY_CAST(value AS DOUBLE)) FILTER (field = 'amount') AS amount,
+bool_or(CASE WHEN kind = 'boolean' THEN value = 'true' END) FILTER (field = 'flag') AS flag, max(value) FILTER (field = 'note') AS note FROM nr GROUP BY 1""")
+def record_variant(spark, sf):
+    v = raw_records(spark, sf).where("record is not null").select("event_id", normalise.as_variant(F.col("record")).alias("v"))
+    typed = {"k": "bigint", "ofo_code": "string", "amount": "double", "flag": "boolean", "note": "string"}
+    return v.select("event_id", *[F.try_variant_get("v", f"$.{f}", t).alias(f) for f, t in typed.items()])
