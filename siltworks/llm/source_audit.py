@@ -1,8 +1,8 @@
 """How far the sources of each language diverge in their words.
 
-One pass counts each group's terms, a group being one (lang, source). Terms in enough documents of
-their language are kept, and numbered within chunks of the language's vocabulary. A group then has one
-packed count vector for each chunk.
+One pass counts each group's terms, a group being one (lang, source). A task sends what it counted in
+packed blobs, one for each chunk of a language's vocabulary (terms by hash), and the task of a chunk merges them,
+keeps the terms in enough documents, numbers them, and writes one packed count vector for each group.
 
 Pairs of groups are compared in two dimensions of blocks: a group's vectors are replicated to every
 task that pairs its block of groups with another block. A task works through successive chunks of the
@@ -15,12 +15,15 @@ All arithmetic is in whole numbers. A share is 1 + floor(UNIT * (count + 5) / (N
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +33,10 @@ from .common import cut, mapped
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 UNIT, PRIOR = 10**9, 5
 MIN_DOCS, TOP = 30, 50
-#: Terms of a chunk, chunks of a task, and groups of a block.
-CHUNK, SLAB, GROUPS = 4096, 4, 64
-#: Bytes of the terms that a counting task holds before it sends them on; bounds memory, not results.
-HELD = 32 << 20
+#: Chunks of a task, and groups of a block.
+SLAB, GROUPS = 16, 64
+#: Bytes of the terms that a counting task holds before it sends them on, and partial counts that a merging task holds; they bound memory, not results.
+HELD, ROWS = 96 << 20, 2_000_000
 #: Bytes of a text whose terms are listed at once.
 PIECE = 4 << 20
 END = re.compile(rb"[^a-z\x80-\xff]")
@@ -51,41 +54,104 @@ def terms_of(text: str) -> Counter:
     return out
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents that hold the term."""
+def chunks_for(documents: int) -> int:
+    """Chunks of a language's vocabulary, which grows about as the root of the corpus does."""
+    return ceil(sqrt(documents) / 4) or 1
+
+
+COUNTS = pa.schema([("term", pa.binary()), ("source", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+
+
+def _blob(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def counted(docs: DataFrame, chunks: int) -> DataFrame:
+    """(lang, chunk, blob) of docs (lang, source, text): a blob holds occurrences, and documents, of terms by source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, Counter]] = {}
+        held: dict[str, dict[str, tuple[Counter, Counter]]] = {}
         size = 0
 
         def emit():
-            for (lang, source), (n, d) in held.items():
-                terms = list(n)
-                for at in range(0, len(terms), 20_000):
-                    some = terms[at : at + 20_000]
-                    k = len(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array([t.decode() for t in some], pa.string()),
-                         pa.array([n[t] for t in some], pa.int64()), pa.array([d[t] for t in some], pa.int64())],
-                        ["lang", "source", "term", "n", "docs"])
+            for lang, sources in held.items():
+                terms = [t for n, _ in sources.values() for t in n]
+                if not terms:
+                    continue
+                chunk = np.fromiter((zlib.crc32(t) % chunks for t in terms), np.int32, len(terms))
+                order = np.argsort(chunk, kind="stable")
+                columns = [
+                    pa.array(terms, pa.binary()), pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(sources), dtype=np.int32), [len(n) for n, _ in sources.values()]), pa.array(list(sources), pa.string())).cast(pa.string()),
+                    pa.array([v for n, _ in sources.values() for v in n.values()], pa.int64()), pa.array([d[t] for n, d in sources.values() for t in n], pa.int64())]
+                whole = pa.RecordBatch.from_arrays(columns, schema=COUNTS).take(pa.array(order))
+                edges = np.flatnonzero(np.diff(chunk[order], prepend=-1, append=-1))
+                for a, b in zip(edges.tolist(), edges[1:].tolist()):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array(chunk[order[a : a + 1]]), pa.array([_blob(whole.slice(a, b - a))], pa.binary())], ["lang", "chunk", "blob"])
 
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
                 own = terms_of(text)
-                n, d = held.setdefault((lang, source), (Counter(), Counter()))
+                n, d = held.setdefault(lang, {}).setdefault(source, (Counter(), Counter()))
                 before = len(n)
                 n.update(own)
                 d.update(own.keys())
-                # a new term takes its bytes and about 200 bytes of tables
-                size += 200 * (len(n) - before) + (sum(map(len, own)) if len(n) > before else 0)
+                # a new term takes its bytes and about 250 bytes of tables
+                size += 250 * (len(n) - before) + (sum(map(len, own)) if len(n) > before else 0)
                 if size > HELD:
                     yield from emit()
                     held.clear()
                     size = 0
         yield from emit()
 
-    parts = mapped(docs.select("lang", "source", "text"), run, "lang string, source string, term string, n long, docs long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return mapped(docs.select("lang", "source", "text"), run, "lang string, chunk int, blob binary")
+
+
+PACKED = pa.schema([
+    ("lang", pa.string()), ("chunk", pa.int32()), ("source", pa.string()), ("size", pa.int32()), ("own", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("words", pa.list_(pa.string()))])
+
+
+def packed(blobs: DataFrame, min_docs: int) -> DataFrame:
+    """Count vectors (lang, chunk, source, size, own, at, n, words) of the kept terms.
+
+    Each chunk has a row of a null source with its words in order and the language's counts; a group's row has the
+    places and counts of the terms it holds. size is the chunk's number of terms, own the sum of n.
+    """
+
+    def merged(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(["term", "source"]).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(COUNTS.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for (lang, chunk), own in groupby(rows, key=lambda r: r[:2]):
+            held, total = [], 0
+            for _, _, blob in own:
+                held.append(pa.ipc.open_stream(blob).read_all())
+                total += held[-1].num_rows
+                if total > ROWS:
+                    held = [merged(held)]
+                    total = held[0].num_rows // 2
+            counts = merged(held)
+            terms = counts.group_by("term").aggregate([("n", "sum"), ("docs", "sum")])
+            terms = terms.filter(pc.greater_equal(terms["docs_sum"], min_docs)).sort_by("term")
+            size = terms.num_rows
+            if not size:
+                continue
+            at = pc.index_in(counts["term"], value_set=terms["term"].combine_chunks())
+            counts = counts.append_column("at", at).filter(pc.is_valid(at)).sort_by([("source", "ascending"), ("at", "ascending")])
+            source = counts["source"].combine_chunks().dictionary_encode()
+            n, at = counts["n"].to_numpy(), counts["at"].to_numpy()
+            yield pa.RecordBatch.from_pylist([{"lang": lang, "chunk": chunk, "size": size, "own": int(n.sum()), "n": terms["n_sum"].to_pylist(), "words": terms["term"].cast(pa.string()).to_pylist()}], PACKED)
+            edges = np.flatnonzero(np.diff(source.indices.to_numpy(), prepend=-1, append=-1))
+            for a, b in zip(edges.tolist(), edges[1:].tolist()):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang], pa.string()), pa.array([chunk], pa.int32()), counts["source"].slice(a, 1).combine_chunks(), pa.array([size], pa.int32()), pa.array([int(n[a:b].sum())], pa.int64()),
+                     pa.array([at[a:b]], pa.list_(pa.int32())), pa.array([n[a:b]], pa.list_(pa.int64())), pa.array([None], pa.list_(pa.string()))], schema=PACKED)
+
+    dealt = blobs.repartition("lang", "chunk").sortWithinPartitions("lang", "chunk")
+    return mapped(dealt, run, "lang string, chunk int, source string, size int, own long, at array<int>, n array<long>, words array<string>")
 
 
 def shares(count: np.ndarray, total: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -100,68 +166,89 @@ def shares(count: np.ndarray, total: np.ndarray, terms: np.ndarray) -> np.ndarra
     return out + 1
 
 
-def _share(count: str, total: str) -> str:
-    return f"1 + ((cast({UNIT} as decimal(38,0)) * ({count} + {PRIOR})) div ({total} + {PRIOR} * terms))"
+def excess(vectors: DataFrame, top: int) -> DataFrame:
+    """(lang, source, item, value): each group's best terms of each chunk by what their share exceeds the language's.
+
+    vectors has the columns of packed() with total, the group's or the language's count over all chunks, and terms.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = below = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lang, source, total, terms = (batch.column(i)[k].as_py() for i in range(4))
+                n = batch.column(5)[k].values.to_numpy()
+                share = shares(n, np.int64(total), np.int64(terms))
+                if source is None:
+                    words, below = batch.column(6)[k].values, share
+                    continue
+                at = batch.column(4)[k].values.to_numpy()
+                value = share - below[at]
+                best = np.lexsort((at, -value))[:top]
+                best = best[value[best] > 0]
+                if len(best):
+                    m = len(best)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array([source] * m), words.take(pa.array(at[best])), pa.array(value[best])], ["lang", "source", "item", "value"])
 
-def vocabulary(counts: DataFrame, min_docs: int, chunk: int) -> DataFrame:
-    """(lang, term, all, terms, total, chunk, pos): the kept terms of each language with their place in a chunk."""
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all")).where(F.col("docs") >= min_docs).drop("docs")
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all").alias("total"))
-    placed = kept.join(F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes, "lang")
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / chunk)).cast("int"))
-    return placed.withColumn("pos", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
+    ordered = vectors.sortWithinPartitions("lang", "chunk", "source")
+    return mapped(ordered.select("lang", "source", "total", "terms", "at", "n", "words"), run, "lang string, source string, item string, value long")
 
 
 TILE = ["lang", "p", "q", "slab"]
 
 
-def tiles(vectors: DataFrame) -> DataFrame:
-    """(lang, source, item, value): each task's part of the distances between the sources of a language, both ways."""
+def tiles(roster: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(lang, source, item, value): each task's part of the distances between the sources of a language, both ways.
+
+    roster has (lang, source, block, blocks, total, terms) of every group; vectors the rows of packed() with block and blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         for (lang, p, q, _), tile in groupby(rows, key=lambda r: r[:4]):
             order: dict[str, int] = {}
-            side: list[bool] = []
-            sums = None
-            for _, chunk in groupby(tile, key=lambda r: r[4]):
-                held = list(chunk)
-                if sums is None:
-                    for r in held:
-                        order[r[5]] = len(side)
-                        side.append(r[6] == p)
-                    first = np.flatnonzero(side)
-                    second = first if p == q else np.flatnonzero(~np.array(side))
+            for chunk, held in groupby(tile, key=lambda r: r[4]):
+                if chunk < 0:
+                    groups = list(held)
+                    order = {r[5]: n for n, r in enumerate(groups)}
+                    total, terms = np.array([r[8] for r in groups])[:, None], np.int64(groups[0][9])
+                    side = np.array([r[6] == p for r in groups])
+                    first, second = np.flatnonzero(side), np.flatnonzero(side if p == q else ~side)
                     sums = np.zeros((len(first), len(second)), np.int64)
-                size = held[0][7]
-                if not size:
                     continue
-                count = np.zeros((len(side), size), np.int64)
-                total, terms = np.zeros((len(side), 1), np.int64), held[0][9]
+                if not order:
+                    break  # no group has a hash of these blocks
+                # the chunk's own row comes first
+                count = np.zeros((len(order), next(held)[7]), np.int64)
                 for r in held:
-                    at = order[r[5]]
-                    total[at] = r[8]
-                    if r[10]:
-                        count[at, r[10]] = r[11]
-                share = shares(count, total, np.int64(terms))
+                    count[order[r[5]], r[10]] = r[11]
+                share = shares(count, total, terms)
                 other = share[second]
                 for n, i in enumerate(first.tolist()):
                     sums[n] += np.abs(other - share[i]).sum(1)
+            if not order:
+                continue
             names = list(order)
             got = [(lang, names[i], names[j], int(sums[n, m])) for n, i in enumerate(first.tolist()) for m, j in enumerate(second.tolist()) if i != j]
             if p != q:
                 got += [(a, c, b, v) for a, b, c, v in got]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got)], ["lang", "source", "item", "value"])
-
-    cells = vectors.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-    dealt = cells.repartition(*TILE).sortWithinPartitions(*TILE, "chunk")
-    return mapped(dealt.select(*TILE, "chunk", "source", "block", "size", "total", "terms", "at", "n"), run, "lang string, source string, item string, value long")
-
-
-def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, chunk: int = CHUNK, block: int = GROUPS) -> DataFrame:
+            for lo in range(0, len(got), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got[lo : lo + 10_000])], ["lang", "source", "item", "value"])
+
+    slab = F.expr(f"chunk div {SLAB}").cast("int").alias("slab")
+    slabs = vectors.where("source is null").select("lang", slab).distinct()
+    columns = ["lang", "slab", "chunk", "source", "block", "size", "total", "terms", "at", "n"]
+    listed = roster.join(slabs, "lang").selectExpr("lang", "slab", "-1 as chunk", "source", "block", "0 as size", "total", "terms", "cast(null as array<int>) as at", "cast(null as array<long>) as n", "blocks")
+    # a chunk's own row goes to every tile, without its counts
+    own = vectors.selectExpr("lang", f"cast(chunk div {SLAB} as int) as slab", "chunk", "source", "block", "size", "0L as total", "0L as terms", "at", "if(source is null, null, n) as n", "blocks")
+    cells = listed.unionByName(own).withColumn("own", F.explode(F.expr("if(block is null, sequence(0, blocks - 1), array(block))")))
+    cells = cells.withColumn("other", F.explode(F.expr("if(block is null, sequence(own, blocks - 1), sequence(0, blocks - 1))")))
+    cells = cells.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    dealt = cells.repartition(*TILE).sortWithinPartitions(*TILE, "chunk", "source")
+    return mapped(dealt.select("lang", "p", "q", "slab", "chunk", "source", "block", "size", "total", "terms", "at", "n"), run, "lang string, source string, item string, value long")
+
+
+def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, chunks: int | None = None, block: int = GROUPS) -> DataFrame:
     """(lang, source, part, item, value, rank) of docs (lang, source, text).
 
     Null texts, langs and sources are empty strings; repeated rows are documents of their own; other
@@ -171,35 +258,30 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, chunk:
     the language's, with the excess. Ranks run from 1 by value descending and item ascending.
     """
     texts = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    counts = cut(counted(texts))
-    vocab = cut(vocabulary(counts, min_docs, chunk))
-    kept = counts.drop("docs").join(vocab, ["lang", "term"])
-    groups = texts.select("lang", "source").distinct()
-    own = kept.groupBy("lang", "source").agg(F.sum("n").alias("own"))
-    groups = cut(groups.join(own, ["lang", "source"], "left").withColumn("own", F.coalesce("own", F.lit(0))))
+    vectors = cut(packed(counted(texts, chunks or chunks_for(docs.count())), min_docs))
+    groups = cut(texts.select("lang", "source").distinct().withColumn("x", F.lit(1)))
     few = groups.count() <= 1_000_000
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
 
-    with_own = kept.join(small(groups), ["lang", "source"])
-    # the language's own counts are the vocabulary's sums
-    words = with_own.selectExpr("lang", "source", "'term' as part", "term as item", f"({_share('n', 'own')}) - ({_share('all', 'total')}) as value").where("value > 0")
+    langs = vectors.where("source is null").groupBy("lang").agg(F.sum("size").alias("terms"), F.sum("own").alias("all"))
+    own = vectors.where("source is not null").groupBy("lang", "source").agg(F.sum("own").alias("own"))
+    blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    roster = groups.drop("x").join(small(blocks), "lang").join(small(langs), "lang", "left").join(small(own), ["lang", "source"], "left")
+    roster = cut(roster.select("lang", "source", F.pmod(F.xxhash64("source"), "blocks").cast("int").alias("block"), "blocks", F.coalesce("own", F.lit(0)).alias("total"), "terms", "all"))
+    known = vectors.where("source is not null").join(small(roster.drop("all")), ["lang", "source"])
+    heads = vectors.where("source is null").join(small(langs), "lang").join(small(blocks), "lang").withColumns({"total": F.col("all"), "block": F.lit(None).cast("int")})
+    known = known.unionByName(heads.drop("all"))
+    # a chunk's rows must lie together again, as a union has the partitions of both sides
+    words = excess(known.repartition("lang", "chunk"), top).selectExpr("lang", "source", "'term' as part", "item", "value")
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     words = words.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
 
-    # a language without kept terms has one chunk of no terms
-    blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    sizes = vocab.groupBy("lang", "chunk").agg(F.count("*").cast("int").alias("size"), F.first("terms").alias("terms"))
-    grid = groups.join(small(blocks), "lang").join(small(sizes) if few and sizes.count() <= 1_000_000 else sizes, "lang", "left")
-    grid = grid.select(
-        "lang", "source", F.col("own").alias("total"), "blocks", F.pmod(F.xxhash64("source"), "blocks").cast("int").alias("block"),
-        F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("terms", F.lit(0)).alias("terms"),
-        F.coalesce(F.expr(f"chunk div {SLAB}"), F.lit(0)).alias("slab"))
-    packed = kept.groupBy("lang", "source", "chunk").agg(F.collect_list(F.struct("pos", "n")).alias("v"))
-    packed = packed.select("lang", "source", "chunk", F.col("v.pos").alias("at"), F.col("v.n").alias("n"))
-    pairs = tiles(grid.join(packed, ["lang", "source", "chunk"], "left")).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    pairs = pairs.selectExpr("lang", "source", "'pair' as part", "item", "value").withColumn("rank", F.row_number().over(best))
+    pairs = tiles(roster.where("terms is not null").drop("all"), known).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    bare = roster.where("terms is null")
+    none = bare.select("lang", "source").join(bare.select("lang", F.col("source").alias("item")), "lang").where("source <> item").withColumn("value", F.lit(0).cast("bigint"))
+    pairs = pairs.unionByName(none).selectExpr("lang", "source", "'pair' as part", "item", "value").withColumn("rank", F.row_number().over(best))
     return pairs.unionByName(words)
 
 

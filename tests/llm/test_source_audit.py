@@ -42,11 +42,18 @@ def test_equals_a_recount_over_blocks_and_chunks(spark):
     want = brute(rows)
     assert any(r[4] == 0 for r in want)  # a language without kept terms
     assert sorted(map(tuple, S.divergence(df, min_docs=2).collect())) == want
-    assert sorted(map(tuple, S.divergence(df, min_docs=2, chunk=7, block=2).collect())) == want
+    assert sorted(map(tuple, S.divergence(df, min_docs=2, chunks=7, block=2).collect())) == want
     assert S.divergence(df.limit(0)).collect() == []
 
 
-def test_long_texts_and_small_memory(spark, monkeypatch):
+def test_parts_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(S, "HELD", 2000)
+    monkeypatch.setattr(S, "ROWS", 5)
+    rows = [(i, f"a b{i % 3} c{i % 7} a", "en", f"s{i % 4}", "", 0) for i in range(90)]
+    assert sorted(map(tuple, S.divergence(spark.createDataFrame(rows, SCHEMA).repartition(3), min_docs=2, chunks=2, block=3).collect())) == brute(rows)
+
+
+def test_long_texts(spark, monkeypatch):
     monkeypatch.setattr(S, "PIECE", 10)
     text = "Über straße, ÉTÉ was-was 日本語x " * 50
     assert S.terms_of(text) == Counter(t.encode() for t in ["Über", "straße", "ÉtÉ", "was", "was", "日本語x"] * 50)
