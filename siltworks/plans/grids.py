@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import normalise, tables
+from ..operators import normalise, runs, tables
+from ..session import shared_folder
 from . import records as R
+from . import slate
 from .more import ORACLES, QUERIES
-from .slate import query, table
+from .slate import evaluated, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -235,3 +237,33 @@ def record_variant(spark, sf):
     v = raw_records(spark, sf).where("record is not null").select("event_id", normalise.as_variant(F.col("record")).alias("v"))
     typed = {"k": "bigint", "ofo_code": "string", "amount": "double", "flag": "boolean", "note": "string"}
     return v.select("event_id", *[F.try_variant_get("v", f"$.{f}", t).alias(f) for f, t in typed.items()])
+
+
+# ---- runs that replace earlier ones ------------------------------------------------------------
+
+
+def _two_runs(spark, sf) -> str:
+    """A store after a run over all datasets, one over half the records of ds0 and ds1, and one over ds2 that never commits."""
+    folder = shared_folder(spark, "runs")
+    e = evaluated(spark, sf)
+    runs.run(e, folder, "first", "occupational_relevance")
+    runs.run(e.where("dataset_id in ('ds0', 'ds1') and row_index % 2 = 0"), folder, "second", "occupational_relevance")
+    runs.write_tables(e.where("dataset_id = 'ds2' and row_index % 3 = 0"), folder, "broken", "occupational_relevance")
+    return folder
+
+
+@query(f"WITH {slate.SQL_DECIDED} SELECT row_index, dataset_id, decision, CASE WHEN dataset_id IN ('ds0', 'ds1') THEN 'second' ELSE 'first' END AS run_id FROM decided WHERE dataset_id NOT IN ('ds0', 'ds1') OR row_index % 2 = 0")
+def run_replaced(spark, sf):
+    return runs.current(spark, _two_runs(spark, sf), "decisions").select("row_index", "dataset_id", "decision", "run_id")
+
+
+@query(f"""WITH {slate.SQL_DECIDED} SELECT row_index, dataset_id, seq, CASE seq WHEN 1 THEN 'unprocessed' ELSE decision END AS previous_value, decision AS new_value, reason_code AS reason
+FROM decided, (VALUES (1::BIGINT), (2)) s(seq) WHERE seq = 1 OR (dataset_id IN ('ds0', 'ds1') AND row_index % 2 = 0)""")
+def run_ledger(spark, sf):
+    return runs.ledger(spark, _two_runs(spark, sf)).select("row_index", "dataset_id", "seq", "previous_value", "new_value", "reason")
+
+
+@query(f"""WITH e AS ({ORACLES['evidence_items']}), r AS (SELECT p_partkey + 1 AS row_index, concat('ds', CAST(p_size % 4 AS VARCHAR)) AS dataset_id FROM part)
+SELECT dataset_id, evidence_type, count(*) AS n FROM e JOIN r USING (row_index) WHERE dataset_id NOT IN ('ds0', 'ds1') OR row_index % 2 = 0 GROUP BY ALL""")
+def run_evidence(spark, sf):
+    return runs.current(spark, _two_runs(spark, sf), "evidence").groupBy("dataset_id", "evidence_type").agg(F.count("*").alias("n"))

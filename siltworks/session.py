@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +34,13 @@ def importable(spark: SparkSession) -> None:
     own = spark.sparkContext.environment
     if root not in own.get("PYTHONPATH", "").split(":"):
         own["PYTHONPATH"] = ":".join(filter(None, [root, own.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")]))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that all executors share: spark.checkpoint.dir, or a temporary folder where a local session has none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="siltworks-")
+    return f"{shared}/{name}-{uuid4().hex}"
