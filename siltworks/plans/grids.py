@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import normalise, runs, tables
+from ..functions import text as X
+from ..operators import lineage, normalise, runs, tables
 from ..session import shared_folder
 from . import records as R
 from . import slate
@@ -267,3 +269,41 @@ def run_ledger(spark, sf):
 SELECT dataset_id, evidence_type, count(*) AS n FROM e JOIN r USING (row_index) WHERE dataset_id NOT IN ('ds0', 'ds1') OR row_index % 2 = 0 GROUP BY ALL""")
 def run_evidence(spark, sf):
     return runs.current(spark, _two_runs(spark, sf), "evidence").groupBy("dataset_id", "evidence_type").agg(F.count("*").alias("n"))
+
+
+# ---- lineage as of a time ----------------------------------------------------------------------
+
+#: One change in seven happened five hours before it was written down.
+CHANGES = "SELECT user_id + 1 AS row_index, ts - CASE WHEN event_id % 7 = 0 THEN INTERVAL '5' HOUR ELSE INTERVAL '0' HOUR END AS at, event_id AS seq, CASE event_type WHEN 'click' THEN 'INCLUDE' WHEN 'error' THEN NULL ELSE upper(event_type) END AS new_value FROM {events} WHERE event_type <> 'view'"
+
+
+def changes(spark, sf):
+    table(spark, sf, "events").createOrReplaceTempView("__events")
+    return spark.sql(CHANGES.format(events="__events"))
+
+
+@query(f"""WITH c AS ({CHANGES.format(events='events')}), p AS (SELECT event_id, user_id + 1 AS row_index, ts AS at FROM events WHERE event_type = 'view')
+SELECT event_id, p.row_index, c.seq, c.new_value FROM p ASOF LEFT JOIN c ON p.row_index = c.row_index AND p.at >= c.at""")
+def state_as_of(spark, sf):
+    points = table(spark, sf, "events").where("event_type = 'view'").select("event_id", (F.col("user_id") + 1).alias("row_index"), F.col("ts").alias("at"))
+    return lineage.as_of(points, changes(spark, sf), "row_index", "at", "seq", ["seq", "new_value"]).drop("at")
+
+
+@query(f"""WITH {slate.SQL_DECIDED}, i AS (SELECT row_index, count(*) AS n FROM iss GROUP BY 1),
+s AS (SELECT d.row_index, status, decision, reason_code, coalesce(i.n, 0) AS n, title, CASE d.row_index % 9 WHEN 0 THEN 'checked' WHEN 1 THEN '' END AS notes, TIMESTAMP '2024-01-01' + to_days(CAST(d.row_index % 30 AS INTEGER)) AS c FROM decided d LEFT JOIN i ON i.row_index = d.row_index),
+x AS (SELECT row_index, 1 AS step, 'EXTRACTION' AS stage, 'Extractor (table)' AS actor, 'completed' AS status, 'page ' || row_index // 40 AS detail, c AS at FROM s
+UNION ALL SELECT row_index, 2, 'NORMALIZATION', 'Normalizer', 'completed', CASE WHEN title <> trim(regexp_replace(title, '\\s+', ' ', 'g')) THEN 'values changed' ELSE 'values as they were' END, c FROM s
+UNION ALL SELECT row_index, 3, 'CURATION', 'Curation Engine', lower(decision), coalesce(reason_code, ''), c + to_days(1) FROM s
+UNION ALL SELECT row_index, 4, 'VALIDATION', 'Validator', CASE WHEN n > 0 THEN 'warning' ELSE 'passed' END, n || ' issues', c FROM s
+UNION ALL SELECT row_index, 5, 'HUMAN_REVIEW', 'Human Operator', 'approved', 'checked', c + to_days(1) FROM s WHERE notes = 'checked'),
+l AS (SELECT k.*, row_number() OVER (PARTITION BY row_index ORDER BY "at", seq) AS k, lag(coalesce(new_value, ''), 1, '') OVER (PARTITION BY row_index ORDER BY "at", seq) AS before FROM ({CHANGES.format(events='events')}) k)
+SELECT row_index, CAST(step AS INT) AS step, stage, actor, status, detail, "at" FROM x UNION ALL SELECT l.row_index, CAST(m.n + k AS INT), 'REVIEW', 'person', 'recorded', before || ' -> ' || coalesce(new_value, ''), "at" FROM l JOIN (SELECT row_index, max(step) AS n FROM x GROUP BY 1) m USING (row_index)""")
+def record_lineage(spark, sf):
+    e = evaluated(spark, sf)
+    created = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(row_index % 30 as int))")
+    notes = F.expr("CASE row_index % 9 WHEN 0 THEN 'checked' WHEN 1 THEN '' END")
+    made = lineage.steps(
+        e, "row_index", F.expr("row_index div 40"), F.lit("table"), F.col("title") != X.collapse(F.col("title")), F.size("issues"), notes, created, created + F.expr("interval '1' day"))
+    log = changes(spark, sf).withColumns({"stage": F.lit("REVIEW"), "actor": F.lit("person")})
+    before = F.lag(F.coalesce("new_value", F.lit("")), 1, "").over(Window.partitionBy("row_index").orderBy("at", "seq"))
+    return lineage.with_ledger(made, log.withColumn("previous_value", before), "row_index", "at", "seq")
