@@ -9,6 +9,7 @@ from ..functions import constants as K
 from ..functions import text as X
 from ..operators import lineage, normalise, runs, tables
 from ..session import shared_folder
+from ..sources import paged
 from . import records as R
 from . import slate
 from .more import ORACLES, QUERIES
@@ -307,3 +308,59 @@ def record_lineage(spark, sf):
     log = changes(spark, sf).withColumns({"stage": F.lit("REVIEW"), "actor": F.lit("person")})
     before = F.lag(F.coalesce("new_value", F.lit("")), 1, "").over(Window.partitionBy("row_index").orderBy("at", "seq"))
     return lineage.with_ledger(made, log.withColumn("previous_value", before), "row_index", "at", "seq")
+
+
+# ---- pages of files ----------------------------------------------------------------------------
+
+#: Conversations of a file.
+PER_FILE = 20
+FILES = f"SELECT CAST(floor(conv_id / {PER_FILE}) AS BIGINT) AS f, conv_id, turn, concat(coalesce(text, ''), CASE WHEN conv_id % 3 = 0 THEN concat(chr(10), 'a|b', chr(10), 'c|d', chr(10), 'x', chr(10), 'k|l', chr(10), 'm|n') ELSE '' END) AS t FROM {{c}}"
+
+
+def _files(spark, sf) -> str:
+    """A folder of text files, one for every PER_FILE conversations, each turn a page."""
+    folder = shared_folder(spark, "pages")
+    table(spark, sf, "conversations").createOrReplaceTempView("__conversations")
+    rows = spark.sql(FILES.format(c="__conversations"))
+    whole = rows.groupBy("f").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "t"))), lambda r: r["t"]), "\f").alias("value"))
+    # a line feed would end a row of the text writer, not of the file
+    whole.repartition("f").write.partitionBy("f").option("lineSep", "\n").text(folder)
+    return folder
+
+
+_pages = f"x AS ({FILES.format(c='conversations')}), pg AS (SELECT f, row_number() OVER (PARTITION BY f ORDER BY conv_id, turn) AS page, count(*) OVER (PARTITION BY f) AS n, t FROM x)"
+
+
+@query(f"WITH {_pages} SELECT f, CAST(page AS INT) AS page, CASE WHEN page = n THEN t || chr(10) ELSE t END AS text, 'text' AS parser FROM pg WHERE page BETWEEN 2 AND 9")
+def paged_range(spark, sf):
+    found = paged.pages(spark, _files(spark, sf)).where("page between 2 and 9")
+    return found.select(F.regexp_extract("path", "/f=([0-9]+)/", 1).cast("bigint").alias("f"), "page", "text", "parser")
+
+
+@query(f"""WITH {_pages}, ln AS (SELECT f, page, list_transform(string_split(t, chr(10)), lambda l: len(list_filter(regexp_split_to_array(l, '\\||\\t'), lambda c: trim(c, ' ') <> '')) >= 2) AS l FROM pg),
+tb AS (SELECT f, page, len(list_filter(range(1, len(l) + 1), lambda i: l[i] AND i > 1 AND l[i - 1] AND NOT (i > 2 AND l[i - 2]))) AS k FROM ln)
+SELECT f, count(*) AS page_count, bool_or(page = 1 AND trim(t) <> '') AS has_text_layer, max(CASE WHEN page = 1 THEN substr(CASE WHEN page = n THEN t || chr(10) ELSE t END, 1, 2000) END) AS preview, CAST(sum(k) FILTER (page <= 5) AS BIGINT) AS table_count FROM pg JOIN tb USING (f, page) GROUP BY 1""")
+def paged_facts(spark, sf):
+    facts = paged.file_facts(paged.pages(spark, _files(spark, sf)))
+    return facts.select(F.regexp_extract("path", "/f=([0-9]+)/", 1).cast("bigint").alias("f"), "page_count", "has_text_layer", "preview", "table_count")
+
+
+@query(f"""WITH {_quals}, cl AS (SELECT DISTINCT table_id AS doc FROM nm WHERE regexp_matches(saqa_id, '[0-9]{{4,7}}')),
+d AS (SELECT DISTINCT table_id AS doc FROM g), gn AS (SELECT table_id AS doc, count(*) FILTER (len(list_filter(c, lambda x: x <> '')) >= 3) AS n FROM g WHERE row_index >= 3 AND table_id % 6 <> 5 GROUP BY 1)
+SELECT d.doc, CASE WHEN cl.doc IS NOT NULL THEN 'qualifications' WHEN gn.n > 0 THEN 'generic' END AS extractor, CASE WHEN cl.doc IS NULL AND coalesce(gn.n, 0) = 0 THEN 'no tables or records were found' END AS error FROM d LEFT JOIN cl ON cl.doc = d.doc LEFT JOIN gn ON gn.doc = d.doc""")
+def extraction_fallback(spark, sf):
+    rows = sheet(spark, sf, QUALIFICATION_LAYOUTS)
+    special = tables.qualifications(rows).withColumnRenamed("table_id", "doc")
+    # some documents have no tables for the general reader either
+    filled = F.size(F.filter(tables.tidy(F.col("cells")), lambda c: c != ""))
+    generic = rows.where((F.col("row_index") >= 3) & (filled >= 3) & (F.col("table_id") % 6 != 5)).select(F.col("table_id").alias("doc"), "cells")
+    return paged.with_fallback(rows.select(F.col("table_id").alias("doc")), [("qualifications", special), ("generic", generic)])[1]
+
+
+_kind = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{k}'" for p, k in [("llm|ai", "llm"), ("qual|tvet", "qualifications"), ("occup|oihd|ofo", "occupations"), ("codebook|qlfs|survey", "codebook")]) + " ELSE 'generic' END"
+
+
+@query(f"WITH t AS (SELECT doc_id, lower(CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') ELSE {R._pick(['OIHD list', 'tvet', 'generic', 'Survey 2', 'x'], 'doc_id')} END) AS x FROM documents) SELECT doc_id, {_kind} AS extractor FROM t")
+def extractor_choice(spark, sf):
+    asked = F.expr(f"CASE WHEN doc_id % 3 = 0 THEN 'auto' ELSE {R._pick(['OIHD list', 'tvet', 'generic', 'Survey 2', 'x'], 'doc_id')} END")
+    return table(spark, sf, "documents").select("doc_id", paged.chosen_extractor(F.col("text"), asked).alias("extractor"))
