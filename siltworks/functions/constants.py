@@ -234,3 +234,14 @@ HEADER_FAMILIES = [
     (["college", "campus", "institution", "provider"], [], ["college", "campus", "inst"], []),
 ]
 OFFLINE_TITLES = ["engineer", "technician", "mechanic", "fitter", "artisan", "machinist"]
+
+# Fixed values of stated record counts: patterns with the count as their group, in any case.
+STATED_PATTERNS = [
+    r"\b(?:total|list of|identified|reveals|mapped[^0-9]{1,10})\s+([0-9]{1,4})\s+(?:occupations|oihd|qualifications|items|trades|skills)\b",
+    r"\b([0-9]{1,4})\s+(?:oihd|occupations in high demand)\b",
+    r"total\s+occupations\s+([0-9]{1,4})",
+]
+#: A count up to this is no statement, and what is shown around one.
+STATED_ABOVE, STATED_CONTEXT = 5, 40
+#: A caption part of tables that go on over any number of captions.
+CONTINUED_CAPTION = "table 4"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .structure import running_count, with_previous
 
 
 def caption(text: Column) -> Column:
@@ -19,10 +20,74 @@ def caption(text: Column) -> Column:
 
 def stated_counts(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, stated): the record counts above five that a text states, each once."""
-    kinds = "(?:occupations|oihd|qualifications|items|trades|skills)"
-    patterns = [rf"(?i)\b(?:total|list of|identified|reveals)\s+([0-9]{{1,4}})\s+{kinds}\b", r"(?i)\b([0-9]{1,4})\s+(?:oihd|occupations in high demand)\b", r"(?i)total\s+occupations\s+([0-9]{1,4})"]
-    found = F.array_distinct(F.concat(*[F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)) for p in patterns]))
-    return pages.select(*keys, F.explode(found).alias("s")).select(*keys, F.col("s").cast("int").alias("stated")).where("stated > 5").distinct()
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all(F.col(text), F.lit(f"(?i){p}"), F.lit(1)) for p in K.STATED_PATTERNS]))
+    return pages.select(*keys, F.explode(found).alias("s")).select(*keys, F.col("s").cast("int").alias("stated")).where(F.col("stated") > K.STATED_ABOVE).distinct()
+
+
+#: A character that no text holds, as it is none.
+CUT = "\uffff"
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array(struct(start, match)) of a pattern's matches in order, start counting code points from 0.
+
+    Matches are cut out of the text, and a fold over the pieces adds up what lies before each.
+    """
+    clean = F.translate(F.coalesce(text, F.lit("")), CUT, "\ufffd")
+    pieces = F.split(F.regexp_replace(clean, f"({pattern})", f"{CUT}$1{CUT}"), CUT)
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("found"), F.lit(False).alias("inside"))
+
+    def step(held: Column, piece: Column) -> Column:
+        own = F.struct(held["at"].alias("start"), piece.alias("match"))
+        return F.struct((held["at"] + F.length(piece)).alias("at"), F.when(held["inside"], F.array_append(held["found"], own)).otherwise(held["found"]).alias("found"), (~held["inside"]).alias("inside"))
+
+    return F.aggregate(pieces, none, step, lambda held: held["found"])
+
+
+def stated_contexts(pages: DataFrame, doc: str, page: str = "page", text: str = "text") -> DataFrame:
+    """(doc, stated, page, context): each count above five that a document states, where it does so first, with 40 characters on both sides.
+
+    Within a page the patterns go one after the other, each from the beginning. Null texts state nothing.
+    """
+    def placed_by(kind: int, pattern: str) -> Column:
+        def one(m: Column) -> Column:
+            count = F.regexp_extract(m["match"], pattern, 1).cast("int")
+            return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), F.length(m["match"]).alias("size"), count.alias("stated"))
+
+        return F.transform(matches(F.col(text), pattern), one)
+
+    held = F.array(*[placed_by(n, f"(?i){p}") for n, p in enumerate(K.STATED_PATTERNS)])
+    found = pages.select(doc, page, text, F.explode(F.flatten(held)).alias("m")).where(F.col("m.stated") > K.STATED_ABOVE)
+    low = F.greatest(F.col("m.start") - K.STATED_CONTEXT, F.lit(0))
+    around = F.trim(F.replace(F.substring(text, low + 1, F.col("m.start") - low + F.col("m.size") + K.STATED_CONTEXT), F.lit("\n"), F.lit(" ")))
+    placed = found.select(doc, F.col("m.stated").alias("stated"), F.struct(page, "m.kind", "m.start").alias("place"), around.alias("context"))
+    first = placed.groupBy(doc, "stated").agg(F.min_by(F.struct("place", "context"), "place").alias("f"))
+    return first.select(doc, "stated", F.col(f"f.place.{page}").alias(page), "f.context")
+
+
+def table_groups(tables: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, group_no, caption, section_title, role, unit, page_start, page_end, n_tables, row_count): tables that go on over pages as one.
+
+    tables has (doc, page_start, page_end, table_index, caption, section_title, role, unit, column_count, row_count, layout).
+    Layout grids and tables of the role metadata are left out. A table joins the one before it if it begins
+    on the page where that one ends or on the next, and if both have as many columns (more than one), or
+    captions that are equal or a caption of a table that always goes on, or one role. row_count is the group's sum; what names a
+    group is of its first table.
+    """
+    used = tables.where("not layout and coalesce(role, '') <> 'metadata'").withColumn("__place", F.struct("page_start", "table_index"))
+    linked = with_previous(used, [doc], "__place", ["page_end", "column_count", "caption", "role"], F.floor(F.col("page_start") / 1024))
+    p, low = F.col("previous"), F.lower("caption")
+    near = (F.col("page_start") == p["page_end"] + 1) | (F.col("page_start") == p["page_end"])
+    columns = (F.col("column_count") == p["column_count"]) & (F.col("column_count") > 1)
+    captions = (F.coalesce("caption", F.lit("")) != "") & (F.coalesce(p["caption"], F.lit("")) != "") & ((low == F.lower(p["caption"])) | F.contains(low, F.lit(K.CONTINUED_CAPTION)))
+    goes_on = near & (columns | captions | F.col("role").eqNullSafe(p["role"]))
+    starts = p.isNull() | ~F.coalesce(goes_on, F.lit(False))
+    numbered = running_count(linked, [doc], "__place", starts, "group_no", F.floor(F.col("page_start") / 1024))
+    first = F.min_by(F.struct("caption", "section_title", "role", "unit"), "__place")
+    groups = numbered.groupBy(doc, "group_no").agg(first.alias("f"), F.min("page_start").alias("page_start"), F.max_by("page_end", "__place").alias("page_end"), F.count("*").alias("n_tables"), F.sum("row_count").alias("row_count"))
+    return groups.select(
+        doc, "group_no", F.when(F.coalesce("f.caption", F.lit("")) == "", F.concat(F.lit("Table from Page "), F.col("page_start").cast("string"))).otherwise(F.col("f.caption")).alias("caption"),
+        F.when(F.coalesce("f.section_title", F.lit("")) == "", "Unassigned Section").otherwise(F.col("f.section_title")).alias("section_title"), "f.role", "f.unit", "page_start", "page_end", "n_tables", "row_count")
 
 
 def document_type(text: Column) -> Column:

@@ -52,6 +52,20 @@ def running_count(rows: DataFrame, keys: list[str], order: str, flag: Column, na
     return counted.withColumn(name, F.col("__base") + F.col("__within")).drop("__block", "__flag", "__within", "__base")
 
 
+def with_previous(rows: DataFrame, keys: list[str], order: str, columns: list[str], block: Column) -> DataFrame:
+    """rows plus previous, a struct of columns of the row before in the group, NULL for the first.
+
+    Rows are looked up in blocks, which follow the order, and the first of a block takes the last row of the
+    block before it.
+    """
+    here = F.struct(*columns)
+    marked = rows.withColumn("__block", block)
+    last = marked.groupBy(*keys, "__block").agg(F.max_by(here, order).alias("__last"))
+    before = last.select(*keys, "__block", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__block")).alias("__before"))
+    within = F.lag(here).over(Window.partitionBy(*keys, "__block").orderBy(order))
+    return marked.withColumn("__within", within).join(before, [*keys, "__block"]).withColumn("previous", F.coalesce("__within", "__before")).drop("__block", "__within", "__before")
+
+
 def section_spans(headings: DataFrame, keys: list[str], page: str, order: list[str], last_page: str) -> DataFrame:
     """Adds page_end: one before the next heading's page, not before the own page, and last_page at the end."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from ..operators import lineage, normalise, runs, tables
+from ..operators import discovery, lineage, normalise, runs, tables
 from ..session import shared_folder
 from ..sources import paged
 from . import records as R
@@ -364,3 +364,45 @@ _kind = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{k}'" for p, k
 def extractor_choice(spark, sf):
     asked = F.expr(f"CASE WHEN doc_id % 3 = 0 THEN 'auto' ELSE {R._pick(['OIHD list', 'tvet', 'generic', 'Survey 2', 'x'], 'doc_id')} END")
     return table(spark, sf, "documents").select("doc_id", paged.chosen_extractor(F.col("text"), asked).alias("extractor"))
+
+
+# ---- stated counts with their place, groups of tables ------------------------------------------
+
+#: Texts by turns; ~ is a line feed.
+STATED = [
+    "The study mapped all the 167 occupations in full~and identified 42 trades, total 12 items.", "Nothing stated here", "12 OIHD and 12 oihd; TOTAL  OCCUPATIONS 1670~of the list of 9 skills", "subtotal 8 items, a total 8 items",
+    "é total 31 qualifications — 4 oihd", "total occupations 167 in all; 99 occupations in high demand",
+]
+PAGED = f"SELECT CAST(floor(p_partkey / 12) AS BIGINT) AS doc, CAST(p_partkey % 12 AS BIGINT) AS page, concat(p_name, ' ', replace({R._pick(STATED, '(p_partkey * 5 + p_size)')}, '~', chr(10)), ' ', p_type, ' ', replace({R._pick(STATED, 'p_size')}, '~', chr(10))) AS text FROM {{p}}"
+
+
+def _marked(n: int, p: str) -> str:
+    """A pattern's matches by the text between them, found one after the other."""
+    return f"""c{n} AS (SELECT doc, page, text, string_split_regex(text, '(?i){p}') AS gaps, regexp_extract_all(text, '(?i){p}') AS hits, regexp_extract_all(text, '(?i){p}', 1) AS nums FROM pg),
+m{n} AS (SELECT doc, page, {n} AS kind, text, len(array_to_string(gaps[1:i], '')) + len(array_to_string(hits[1:i - 1], '')) AS at, length(hits[i]) AS size, CAST(nums[i] AS INT) AS stated FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM c{n}))"""
+
+
+@query(f"""WITH pg AS ({PAGED.format(p='part')}), {', '.join(_marked(n, p) for n, p in enumerate(K.STATED_PATTERNS))}, al AS ({' UNION ALL '.join(f'SELECT * FROM m{n}' for n in range(len(K.STATED_PATTERNS)))}),
+x AS (SELECT *, trim(replace(substr(text, CAST(greatest("at" - 40, 0) + 1 AS BIGINT), CAST("at" - greatest("at" - 40, 0) + size + 40 AS BIGINT)), chr(10), ' '), ' ') AS context, row_number() OVER (PARTITION BY doc, stated ORDER BY page, kind, "at") AS n FROM al WHERE stated > 5)
+SELECT doc, stated, page, context FROM x WHERE n = 1""")
+def stated_contexts(spark, sf):
+    table(spark, sf, "part").createOrReplaceTempView("__parts")
+    return discovery.stated_contexts(spark.sql(PAGED.format(p="__parts")), "doc")
+
+
+CAPTIONS = ["Table 4: The final list", "table 4: the FINAL list", "", "Table 2: Sectors", "Annexure 1: Questions"]
+ROLES = ["final_dataset", "evidence", "metadata", "survey", "unknown", "unknown"]
+METADATA = f"""SELECT CAST(floor(p_partkey / 30) AS BIGINT) AS doc, CAST(floor((p_partkey % 30) * 2 / 3) + 1 AS BIGINT) AS page_start, CAST(floor((p_partkey % 30) * 2 / 3) + 1 + CASE WHEN p_size % 10 = 3 THEN 1 ELSE 0 END AS BIGINT) AS page_end,
+CAST(p_partkey % 3 AS INT) AS table_index, {R._pick(CAPTIONS, '(p_partkey + p_size)')} AS caption, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_type END AS section_title, {R._pick(ROLES, 'p_size')} AS role, p_brand AS unit, CAST(p_size % 3 + 1 AS INT) AS column_count,
+CAST(p_size AS BIGINT) AS row_count, p_partkey % 17 = 3 AS layout FROM {{p}}"""
+
+
+@query(f"""WITH t AS ({METADATA.format(p='part')}), u AS (SELECT * FROM t WHERE NOT layout AND role <> 'metadata'),
+l AS (SELECT *, lag(page_end) OVER w AS pe, lag(column_count) OVER w AS pc, lag(caption) OVER w AS pt, lag(role) OVER w AS pr FROM u WINDOW w AS (PARTITION BY doc ORDER BY page_start, table_index)),
+s AS (SELECT *, sum(CASE WHEN pe IS NOT NULL AND page_start IN (pe, pe + 1) AND ((column_count = pc AND column_count > 1) OR (caption <> '' AND pt <> '' AND (lower(caption) = lower(pt) OR contains(lower(caption), 'table 4'))) OR role = pr) THEN 0 ELSE 1 END)
+  OVER (PARTITION BY doc ORDER BY page_start, table_index ROWS UNBOUNDED PRECEDING) AS group_no FROM l)
+SELECT doc, CAST(group_no AS BIGINT) AS group_no, coalesce(nullif(arg_min(caption, (page_start, table_index)), ''), 'Table from Page ' || min(page_start)) AS caption, coalesce(arg_min(coalesce(section_title, 'Unassigned Section'), (page_start, table_index)), '') AS section_title,
+arg_min(role, (page_start, table_index)) AS role, arg_min(unit, (page_start, table_index)) AS unit, min(page_start) AS page_start, arg_max(page_end, (page_start, table_index)) AS page_end, count(*) AS n_tables, CAST(sum(row_count) AS BIGINT) AS row_count FROM s GROUP BY doc, group_no""")
+def table_groups(spark, sf):
+    table(spark, sf, "part").createOrReplaceTempView("__parts")
+    return discovery.table_groups(spark.sql(METADATA.format(p="__parts")))

@@ -508,7 +508,7 @@ def caption_extract(spark, sf):
     return labelled(spark, sf).select("id", discovery.caption(F.col("label")).alias("caption"))
 
 
-@query(f"""WITH {SQL_LABELLED}, x AS (SELECT id, unnest(list_concat(list_concat(regexp_extract_all(label, '(?i)\\b(?:total|list of|identified|reveals)\\s+([0-9]{{1,4}})\\s+(?:occupations|oihd|qualifications|items|trades|skills)\\b', 1),
+@query(f"""WITH {SQL_LABELLED}, x AS (SELECT id, unnest(list_concat(list_concat(regexp_extract_all(label, '(?i)\\b(?:total|list of|identified|reveals|mapped[^0-9]{{1,10}})\\s+([0-9]{{1,4}})\\s+(?:occupations|oihd|qualifications|items|trades|skills)\\b', 1),
 regexp_extract_all(label, '(?i)\\b([0-9]{{1,4}})\\s+(?:oihd|occupations in high demand)\\b', 1)), regexp_extract_all(label, '(?i)total\\s+occupations\\s+([0-9]{{1,4}})', 1))) AS s FROM lb)
 SELECT DISTINCT id, CAST(s AS INT) AS stated FROM x WHERE CAST(s AS INT) > 5""")
 def stated_counts(spark, sf):
