@@ -55,6 +55,32 @@ def column_coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     return cells.groupBy("column").agg(F.count("v").alias("filled"), F.count_distinct("v").alias("distinct_values"), F.count("*").alias("total"))
 
 
+def coverage(records: DataFrame, columns: dict[str, str | None], dataset: str = "dataset_id") -> DataFrame:
+    """(dataset, column, total, filled, changed, sketch) of columns, each with the column of its raw text or None.
+
+    sketch holds the distinct filled values in bounded space, so that coverages of parts can be kept and
+    merged; changed counts filled values that differ from the raw text.
+    """
+    def cell(c: str, raw: str | None) -> Column:
+        value = F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+        changed = F.lit(False) if raw is None else value.isNotNull() & ~F.col(c).cast("string").eqNullSafe(F.col(raw).cast("string"))
+        return F.struct(F.lit(c).alias("column"), value.alias("v"), changed.alias("changed"))
+
+    cells = records.select(dataset, F.explode(F.array(*[cell(c, r) for c, r in columns.items()])).alias("x")).select(dataset, "x.*")
+    return cells.groupBy(dataset, "column").agg(F.count("*").alias("total"), F.count("v").alias("filled"), F.count_if("changed").alias("changed"), F.hll_sketch_agg("v").alias("sketch"))
+
+
+def merged_coverage(parts: DataFrame, dataset: str = "dataset_id") -> DataFrame:
+    """The coverage of all records from coverages of disjoint parts; the same whatever the parts."""
+    return parts.groupBy(dataset, "column").agg(*[F.sum(c).alias(c) for c in ("total", "filled", "changed")], F.hll_union_agg("sketch").alias("sketch"))
+
+
+def coverage_report(covered: DataFrame) -> DataFrame:
+    """covered with coverage_pct (one digit) and distinct_estimate in place of the sketch."""
+    share = F.round(F.col("filled").cast("decimal(18,0)") * 100 / F.col("total").cast("decimal(18,0)"), 1).cast("decimal(5,1)")
+    return covered.withColumns({"coverage_pct": F.when(F.col("total") > 0, share), "distinct_estimate": F.hll_sketch_estimate("sketch")}).drop("sketch")
+
+
 def export_flat(evaluated: DataFrame, fields: list[str]) -> DataFrame:
     """Record fields with provenance and curation columns; no record that was not decided shows certainty."""
     sure = F.when((F.lower("decision") == "unprocessed") & ((F.col("overall_confidence") == 1) | F.col("overall_confidence").isNull()), None).otherwise(F.col("overall_confidence"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .audit import field_changes
 
 
@@ -60,6 +61,42 @@ def cascade(children: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return children.join(deleted.select(key).distinct(), key, "left_anti")
 
 
+#: Levels of a tree below a deleted node that are followed.
+LEVELS = 100
+
+
+def cascade_levels(nodes: DataFrame, deleted: DataFrame) -> DataFrame:
+    """(id, kind, depth): all nodes that go with the deleted ones, through any number of levels.
+
+    nodes has (id, parent, kind), deleted has id. depth is 0 for nodes deleted themselves, else the distance
+    to the nearest of those above; unknown ids delete nothing. A tree of more than LEVELS levels, or a
+    circle, is an error.
+    """
+    spark = nodes.sparkSession
+    # the limits of recursion are settings of the session, and rows are not limited here
+    before = {k: spark.conf.get(k) for k in ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit")}
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(LEVELS))
+    try:
+        gone = spark.sql(
+            """WITH RECURSIVE gone(id, kind, depth) AS (
+              SELECT n.id, n.kind, 0 FROM {nodes} n WHERE n.id IN (SELECT id FROM {deleted})
+              UNION ALL SELECT n.id, n.kind, g.depth + 1 FROM {nodes} n JOIN gone g ON n.parent = g.id
+              WHERE NOT EXISTS (SELECT 1 FROM {deleted} d WHERE d.id = n.id)
+            ) SELECT id, kind, depth FROM gone""", nodes=nodes.select("id", "parent", "kind"), deleted=deleted.select("id").distinct())
+        # nodes with a deleted one above and below it are met once from the nearest, as a deleted node starts its own branch
+        return settled(gone)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def recount(nodes: DataFrame, gone: DataFrame) -> DataFrame:
+    """(kind, total, deleted, direct): how many nodes of each kind there are, go, and were deleted themselves."""
+    both = nodes.select("id", "kind").join(gone.select("id", "depth"), "id", "left")
+    return both.groupBy("kind").agg(F.count("*").alias("total"), F.count("depth").alias("deleted"), F.count_if(F.col("depth") == 0).alias("direct"))
+
+
 def policies(built_in: DataFrame, stored: DataFrame, key: str = "policy_id", order: str = "seq") -> DataFrame:
     """The last stored version of each policy, and the built-in ones that none overrides; stored says which."""
     w = Window.partitionBy(key).orderBy(F.desc(order))

@@ -10,6 +10,12 @@ from ..functions import constants as K
 COUNTS = ["total", "valid", "errors", "warnings", "review", "duplicates", "conflicts", "null_cells", "cells", "no_provenance"]
 
 
+def generic_columns(columns: DataFrame, dataset: str = "dataset_id", name: str = "name") -> DataFrame:
+    """(dataset, generic_columns): whether a dataset has at most two columns and one of them is named like column_1."""
+    held = columns.select(dataset, name).distinct().groupBy(dataset).agg(F.count(name).alias("n"), F.coalesce(F.bool_or(F.startswith(name, F.lit("column_"))), F.lit(False)).alias("plain"))
+    return held.select(dataset, (F.col("plain") & (F.col("n") <= 2)).alias("generic_columns"))
+
+
 def dimensions(counts: DataFrame) -> DataFrame:
     """Adds the eight dimension scores and their weighted overall score (decimals) to rows with COUNTS.
 

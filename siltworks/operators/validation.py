@@ -50,6 +50,31 @@ def validate(records: DataFrame, schema: list[tuple[str, bool, str]]) -> DataFra
     return df.withColumns({"status": status, "validation_confidence": confidence})
 
 
+#: Rules as rows; a null part checks nothing.
+RULES = "column string, rule string, severity string, required boolean, pattern string, min double, max double, allowed array<string>"
+#: Rules of at most this number are broadcast.
+BROADCAST_RULES = 100_000
+
+
+def issues_by_rules(records: DataFrame, key: str, rules: DataFrame) -> DataFrame:
+    """(key, column, rule, severity, value): what breaks the rules of a table with the columns of RULES.
+
+    Blank values break only required. A value must match the whole pattern, be a number from min to
+    max (a text that is no number breaks either), and be one of allowed. Rules of columns that
+    records lack are left out, and a column may have any number of rules.
+    """
+    columns = [c for c in records.columns if c != key]
+    cells = records.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])).alias("c")).select(key, "c.*")
+    few = rules.count() <= BROADCAST_RULES
+    both = cells.join(F.broadcast(rules) if few else rules, "column")
+    text = F.trim(F.coalesce("value", F.lit("")))
+    blank, number = text == "", text.try_cast("double")
+    whole = F.rlike(text, F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$")))
+    outside = (F.col("min").isNotNull() | F.col("max").isNotNull()) & (number.isNull() | F.isnan(number) | (number < F.col("min")) | (number > F.col("max")))
+    bad = (blank & F.col("required")) | (~blank & (F.coalesce(~whole, F.lit(False)) | F.coalesce(outside, F.lit(False)) | F.coalesce(~F.array_contains("allowed", text), F.lit(False))))
+    return both.where(F.coalesce(bad, F.lit(False))).select(key, "column", "rule", "severity", "value")
+
+
 def issue_rows(validated: DataFrame, *keys: str) -> DataFrame:
     """One row for each issue, with the keys of its record."""
     return validated.select(*keys, F.inline("issues"))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from ..operators import discovery, lineage, normalise, runs, tables
-from ..session import shared_folder
+from ..operators import audit, discovery, ledger, lineage, normalise, runs, tables, validation
+from ..session import remove, settled, shared_folder
 from ..sources import paged
 from . import records as R
 from . import slate
 from .more import ORACLES, QUERIES
-from .slate import evaluated, query, table
+from .slate import evaluated, query, quoted, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -245,6 +245,13 @@ def record_variant(spark, sf):
 # ---- runs that replace earlier ones ------------------------------------------------------------
 
 
+def _read_from(spark, folder: str, df):
+    """df, which reads folder, as it is now; the folder goes."""
+    out = settled(df)
+    remove(spark, folder)
+    return out
+
+
 def _two_runs(spark, sf) -> str:
     """A store after a run over all datasets, one over half the records of ds0 and ds1, and one over ds2 that never commits."""
     folder = shared_folder(spark, "runs")
@@ -257,19 +264,22 @@ def _two_runs(spark, sf) -> str:
 
 @query(f"WITH {slate.SQL_DECIDED} SELECT row_index, dataset_id, decision, CASE WHEN dataset_id IN ('ds0', 'ds1') THEN 'second' ELSE 'first' END AS run_id FROM decided WHERE dataset_id NOT IN ('ds0', 'ds1') OR row_index % 2 = 0")
 def run_replaced(spark, sf):
-    return runs.current(spark, _two_runs(spark, sf), "decisions").select("row_index", "dataset_id", "decision", "run_id")
+    folder = _two_runs(spark, sf)
+    return _read_from(spark, folder, runs.current(spark, folder, "decisions").select("row_index", "dataset_id", "decision", "run_id"))
 
 
 @query(f"""WITH {slate.SQL_DECIDED} SELECT row_index, dataset_id, seq, CASE seq WHEN 1 THEN 'unprocessed' ELSE decision END AS previous_value, decision AS new_value, reason_code AS reason
 FROM decided, (VALUES (1::BIGINT), (2)) s(seq) WHERE seq = 1 OR (dataset_id IN ('ds0', 'ds1') AND row_index % 2 = 0)""")
 def run_ledger(spark, sf):
-    return runs.ledger(spark, _two_runs(spark, sf)).select("row_index", "dataset_id", "seq", "previous_value", "new_value", "reason")
+    folder = _two_runs(spark, sf)
+    return _read_from(spark, folder, runs.ledger(spark, folder).select("row_index", "dataset_id", "seq", "previous_value", "new_value", "reason"))
 
 
 @query(f"""WITH e AS ({ORACLES['evidence_items']}), r AS (SELECT p_partkey + 1 AS row_index, concat('ds', CAST(p_size % 4 AS VARCHAR)) AS dataset_id FROM part)
 SELECT dataset_id, evidence_type, count(*) AS n FROM e JOIN r USING (row_index) WHERE dataset_id NOT IN ('ds0', 'ds1') OR row_index % 2 = 0 GROUP BY ALL""")
 def run_evidence(spark, sf):
-    return runs.current(spark, _two_runs(spark, sf), "evidence").groupBy("dataset_id", "evidence_type").agg(F.count("*").alias("n"))
+    folder = _two_runs(spark, sf)
+    return _read_from(spark, folder, runs.current(spark, folder, "evidence").groupBy("dataset_id", "evidence_type").agg(F.count("*").alias("n")))
 
 
 # ---- lineage as of a time ----------------------------------------------------------------------
@@ -333,16 +343,18 @@ _pages = f"x AS ({FILES.format(c='conversations')}), pg AS (SELECT f, row_number
 
 @query(f"WITH {_pages} SELECT f, CAST(page AS INT) AS page, CASE WHEN page = n THEN t || chr(10) ELSE t END AS text, 'text' AS parser FROM pg WHERE page BETWEEN 2 AND 9")
 def paged_range(spark, sf):
-    found = paged.pages(spark, _files(spark, sf)).where("page between 2 and 9")
-    return found.select(F.regexp_extract("path", "/f=([0-9]+)/", 1).cast("bigint").alias("f"), "page", "text", "parser")
+    folder = _files(spark, sf)
+    found = paged.pages(spark, folder).where("page between 2 and 9")
+    return _read_from(spark, folder, found.select(F.regexp_extract("path", "/f=([0-9]+)/", 1).cast("bigint").alias("f"), "page", "text", "parser"))
 
 
 @query(f"""WITH {_pages}, ln AS (SELECT f, page, list_transform(string_split(t, chr(10)), lambda l: len(list_filter(regexp_split_to_array(l, '\\||\\t'), lambda c: trim(c, ' ') <> '')) >= 2) AS l FROM pg),
 tb AS (SELECT f, page, len(list_filter(range(1, len(l) + 1), lambda i: l[i] AND i > 1 AND l[i - 1] AND NOT (i > 2 AND l[i - 2]))) AS k FROM ln)
 SELECT f, count(*) AS page_count, bool_or(page = 1 AND trim(t) <> '') AS has_text_layer, max(CASE WHEN page = 1 THEN substr(CASE WHEN page = n THEN t || chr(10) ELSE t END, 1, 2000) END) AS preview, CAST(sum(k) FILTER (page <= 5) AS BIGINT) AS table_count FROM pg JOIN tb USING (f, page) GROUP BY 1""")
 def paged_facts(spark, sf):
-    facts = paged.file_facts(paged.pages(spark, _files(spark, sf)))
-    return facts.select(F.regexp_extract("path", "/f=([0-9]+)/", 1).cast("bigint").alias("f"), "page_count", "has_text_layer", "preview", "table_count")
+    folder = _files(spark, sf)
+    facts = paged.file_facts(paged.pages(spark, folder))
+    return _read_from(spark, folder, facts.select(F.regexp_extract("path", "/f=([0-9]+)/", 1).cast("bigint").alias("f"), "page_count", "has_text_layer", "preview", "table_count"))
 
 
 @query(f"""WITH {_quals}, cl AS (SELECT DISTINCT table_id AS doc FROM nm WHERE regexp_matches(saqa_id, '[0-9]{{4,7}}')),
@@ -406,3 +418,73 @@ arg_min(role, (page_start, table_index)) AS role, arg_min(unit, (page_start, tab
 def table_groups(spark, sf):
     table(spark, sf, "part").createOrReplaceTempView("__parts")
     return discovery.table_groups(spark.sql(METADATA.format(p="__parts")))
+
+
+# ---- coverage of parts, deletions over levels, rules as rows -----------------------------------
+
+COVERED = {"title": "title", "province": None, "amount": "company_name", "pk": None, "company_name": None}
+
+
+@query(f"""WITH {R.SQL}, c AS ({' UNION ALL '.join(f"SELECT dataset_id, '{c}' AS column_name, {c} AS v, {f'{c} IS DISTINCT FROM {raw}' if raw else 'false'} AS d FROM r" for c, raw in COVERED.items())})
+SELECT dataset_id, column_name AS "column", count(*) AS total, count(*) FILTER (trim(v) <> '') AS filled, count(*) FILTER (trim(v) <> '' AND d) AS changed, CAST(round(CAST(count(*) FILTER (trim(v) <> '') AS DECIMAL(18,0)) * 100 / count(*), 1) AS DOUBLE) AS coverage_pct,
+true AS same, true AS near FROM c GROUP BY ALL""")
+def coverage_merge(spark, sf):
+    r = R.records(spark, sf)
+    parts = audit.coverage(r.where("row_index % 3 = 0"), COVERED).unionByName(audit.coverage(r.where("row_index % 3 <> 0"), COVERED))
+    merged = audit.coverage_report(audit.merged_coverage(parts))
+    once = audit.coverage_report(audit.coverage(r, COVERED)).select("dataset_id", "column", F.col("distinct_estimate").alias("once"))
+    exact = r.select("dataset_id", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.nullif(F.trim(F.col(c)), F.lit("")).alias("v")) for c in COVERED])).alias("x"))
+    exact = exact.groupBy("dataset_id", "x.column").agg(F.count_distinct("x.v").alias("exact"))
+    both = merged.join(once, ["dataset_id", "column"]).join(exact, ["dataset_id", "column"])
+    # twelve bits leave a standard error of 1.6 %
+    near = F.abs(F.col("distinct_estimate") - F.col("exact")) <= F.col("exact") * 0.1
+    return both.select("dataset_id", "column", "total", "filled", "changed", F.col("coverage_pct").cast("double").alias("coverage_pct"), (F.col("distinct_estimate") == F.col("once")).alias("same"), near.alias("near"))
+
+
+NODES = """SELECT concat('p', r_regionkey) AS id, CAST(NULL AS VARCHAR(20)) AS parent, 'project' AS kind FROM {region} UNION ALL SELECT concat('d', n_nationkey), concat('p', n_regionkey), 'dataset' FROM {nation}
+UNION ALL SELECT concat('c', c_custkey), concat('d', c_nationkey), 'document' FROM {customer} UNION ALL SELECT concat('o', o_orderkey), concat('c', o_custkey), 'record' FROM {orders}"""
+GONE = "(id = 'p3' OR (kind = 'dataset' AND length(id) = 2) OR (kind = 'document' AND id LIKE '%7') OR (kind = 'record' AND id LIKE '%13'))"
+_plain_tables = {t: t for t in ("region", "nation", "customer", "orders")}
+SQL_GONE = f"""nodes AS ({NODES.format(**_plain_tables)}), del AS (SELECT id FROM nodes WHERE {GONE}),
+up AS (SELECT id, kind, id AS above, parent AS next, 0 AS depth FROM nodes UNION ALL SELECT up.id, up.kind, n.id, n.parent, depth + 1 FROM up JOIN nodes n ON n.id = up.next),
+gone AS (SELECT id, kind, CAST(min(depth) AS INT) AS depth FROM up WHERE above IN (SELECT id FROM del) GROUP BY ALL)"""
+
+
+def _tree(spark, sf):
+    for t in _plain_tables:
+        table(spark, sf, t).createOrReplaceTempView(f"__{t}")
+    nodes = spark.sql(NODES.format(**{t: f"__{t}" for t in _plain_tables}))
+    return nodes, ledger.cascade_levels(nodes, nodes.where(GONE))
+
+
+@query(f"WITH RECURSIVE {SQL_GONE} SELECT * FROM gone")
+def cascade_levels(spark, sf):
+    return _tree(spark, sf)[1]
+
+
+@query(f"WITH RECURSIVE {SQL_GONE} SELECT n.kind, count(*) AS total, count(depth) AS deleted, count(*) FILTER (depth = 0) AS direct FROM nodes n LEFT JOIN gone USING (id) GROUP BY 1")
+def cascade_counts(spark, sf):
+    return ledger.recount(*_tree(spark, sf))
+
+
+#: Rules as rows: column, rule, severity, required, pattern, min, max, allowed.
+RULE_ROWS = [
+    ("title", "title_required", "error", True, None, None, None, None), ("amount", "amount_range", "warning", False, None, 5.0, 40.0, None), ("amount", "amount_whole", "info", None, "[0-9]+", None, None, None),
+    ("province", "province_known", "error", False, None, None, None, ["gp", "KZN", "Western Cape", "National"]), ("ofo_code", "code", "error", True, "(20[0-9]{2}-)?[0-9]{4,6}", 1000.0, None, None),
+    ("nqf", "level", "warning", False, "NQF.*|[0-9]+", None, None, None), ("absent", "nothing", "error", True, None, None, None, None),
+]
+
+
+def _sql_rule(column, rule, severity, required, pattern, low, high, allowed) -> str:
+    text = f"trim({column})"
+    tests = [f"NOT regexp_full_match({text}, '{pattern}')"] * bool(pattern) + [f"NOT list_contains([{quoted(allowed or [])}], {text})"] * bool(allowed)
+    tests += [f"coalesce(NOT (try_cast({text} AS DOUBLE) >= {low}), true)"] * (low is not None) + [f"coalesce(NOT (try_cast({text} AS DOUBLE) <= {high}), true)"] * (high is not None)
+    parts = [f"{text} = ''"] * bool(required) + [f"({text} <> '' AND ({' OR '.join(tests)}))"] * bool(tests)
+    return f"SELECT row_index, '{column}' AS \"column\", '{rule}' AS rule, '{severity}' AS severity, {column} AS value FROM r WHERE {' OR '.join(parts)}"
+
+
+@query(f"WITH {R.SQL} " + " UNION ALL ".join(_sql_rule(*r) for r in RULE_ROWS if r[0] != "absent"))
+def rules_as_rows(spark, sf):
+    rules = spark.createDataFrame(RULE_ROWS, validation.RULES)
+    r = R.records(spark, sf).select("row_index", "title", "amount", "province", "ofo_code", "nqf")
+    return validation.issues_by_rules(r, "row_index", rules)

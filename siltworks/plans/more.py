@@ -302,14 +302,20 @@ def explanations(spark, sf):
     return report.explained(evaluated(spark, sf))
 
 
-@query(f"""WITH {slate.SQL_COUNTS}, g AS (SELECT *, dataset_id <> 'ds1' AS known, dataset_id <> 'ds2' AS found, dataset_id = 'ds3' AS generic, dataset_id <> 'ds0' AS processed FROM counts), {slate._dims('g').replace('dims AS', 'dm AS')}
+#: The names of each dataset's columns.
+OWN = f"SELECT concat('ds', CAST(p_size % 4 AS VARCHAR(9))) AS dataset_id, CASE p_size % 4 WHEN 3 THEN concat('column_', CAST(p_partkey % 2 + 1 AS VARCHAR(9))) WHEN 2 THEN concat('column_', CAST(p_partkey % 3 + 1 AS VARCHAR(9))) ELSE {R._pick(NAMES, 'p_partkey')} END AS name FROM part"
+
+
+@query(f"""WITH {slate.SQL_COUNTS}, g AS (SELECT *, dataset_id <> 'ds1' AS known, dataset_id <> 'ds2' AS found, dataset_id IN (SELECT dataset_id FROM ({OWN}) GROUP BY 1 HAVING count(DISTINCT name) <= 2 AND bool_or(starts_with(name, 'column_'))) AS generic, dataset_id <> 'ds0' AS processed FROM counts), {slate._dims('g').replace('dims AS', 'dm AS')}
 SELECT dataset_id, CASE WHEN known THEN 'passed' ELSE 'failed' END AS document_understanding_gate, CASE WHEN known THEN 'passed' ELSE 'failed' END AS extraction_gate, CASE WHEN found THEN 'passed' ELSE 'failed' END AS dataset_identification_gate,
 CASE WHEN generic THEN 'failed' ELSE 'passed' END AS schema_gate, CASE WHEN processed THEN 'passed' ELSE 'pending' END AS evidence_gate,
 concat_ws('; ', CASE WHEN NOT known THEN 'document not understood' END, CASE WHEN NOT found THEN 'dataset not identified' END, CASE WHEN generic THEN 'generic column names' END, CASE WHEN errors > 0 THEN errors::VARCHAR || ' errors' END,
 CASE WHEN NOT processed THEN 'not curated' WHEN review > 0 THEN review::VARCHAR || ' for review' END, CASE WHEN errors + conflicts > 0 THEN (errors + conflicts)::VARCHAR || ' critical' END) AS reasons FROM dm""")
 def quality_gates_full(spark, sf):
     flags = {"profile_valid": "ds1", "dataset_identified": "ds2", "processed": "ds0"}
-    counts = slate._counts(spark, sf).withColumns({k: F.col("dataset_id") != v for k, v in flags.items()}).withColumn("generic_columns", F.col("dataset_id") == "ds3")
+    table(spark, sf, "part").createOrReplaceTempView("__parts")
+    generic = quality.generic_columns(spark.sql(OWN.replace("FROM part", "FROM __parts")))
+    counts = slate._counts(spark, sf).withColumns({k: F.col("dataset_id") != v for k, v in flags.items()}).join(generic, "dataset_id", "left").fillna(False, ["generic_columns"])
     return quality.gates(quality.dimensions(counts)).select("dataset_id", "document_understanding_gate", "extraction_gate", "dataset_identification_gate", "schema_gate", "evidence_gate", "reasons")
 
 
