@@ -64,7 +64,7 @@ def test_stated_counts_are_shown_where_they_come_first(spark):
     got = {(r.doc, r.stated): (r.page, r.context) for r in discovery.stated_contexts(df, "doc").collect()}
     assert got == {(1, 167): (1, "Mapped all 167 occupations. é 12 oihd 12 OIHD"), (1, 12): (1, "Mapped all 167 occupations. é 12 oihd 12 OIHD"), (2, 31): (2, "list of 31 skills￿")}
     alone = {r.stated: r.context for r in discovery.stated_contexts(df.where("page = 2 and doc = 1"), "doc").collect()}
-    assert alone == {12: "x" * 39 + " total 12 items and more of it, more than forty character"}
+    assert alone == {12: "x" * 39 + " total 12 items and more of it, more than forty charact"}
     m = spark.createDataFrame([("aXbXX",), ("",), (None,)], "t string").select(discovery.matches(F.col("t"), "X")).collect()
     assert [[(x.start, x.match) for x in r[0]] for r in m] == [[(1, "X"), (3, "X"), (4, "X")], [], []]
 
