@@ -3,17 +3,21 @@
 Pages of one host are read as streams of tags and text and folded into a union-free regular
 expression of nested groups: runs of equal groups become a repeated group, text becomes a slot, and
 aligning one page's expression with the next turns groups that only one of them has into optional
-groups. Structures are folded in bounded bundles, in rounds, until a host has one wrapper. A text that
-every page of the host has at the same place is template and no slot; every page is read through the
-slots of its host's wrapper. Which of the slots left hold the article is decided for each page.
+groups. Structures are folded in bounded bundles, in rounds, until a host has one wrapper. Every page is
+read through the slots of its host's wrapper. Which of them hold the article is decided for each page: the
+groups named article or main, which are kept whole. On a page without one, a text that every page of the host has
+at the same place is template and no slot, and so is a group that the wrapper repeats if half of its texts or more are.
+
+Pages are trees in flat lists, a group's parent before it, and wrappers travel as flat lists too; what
+walks them keeps its own stack, so that groups may be nested to any depth at linear cost.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import sys
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from html import unescape
@@ -82,20 +86,47 @@ def key_of(name: str, attributes: str) -> str:
     return ".".join([name, *sorted(words)])
 
 
-def blocks(html: str) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(path of open groups, text) of every block of text, in page order; text is trimmed and not empty."""
-    path: list[tuple[str, str]] = []
+class Tree:
+    """The groups of a page: key and parent by number, a parent before its children; 0 is the page itself."""
+
+    __slots__ = ("keys", "parents", "depths", "hashes", "found")
+
+    def __init__(self):
+        self.keys, self.parents, self.depths, self.hashes = [""], [0], [0], [0]
+        self.found: dict[tuple[int, str], int] = {}
+
+    def child(self, parent: int, key: str) -> int:
+        """The group of a key within a parent. A group directly within its like is the same one, so that wrappers of wrappers don't deepen the tree."""
+        if parent and self.keys[parent] == key:
+            return parent
+        n = self.found.get((parent, key))
+        if n is None:
+            n = self.found[parent, key] = len(self.keys)
+            self.keys.append(key)
+            self.parents.append(parent)
+            self.depths.append(self.depths[parent] + 1)
+            self.hashes.append(xxhash.xxh64_intdigest(key, self.hashes[parent]))
+        return n
+
+
+def blocks(html: str) -> tuple[Tree, list[tuple[int, str]]]:
+    """(tree, [(group, text)]) of every block of text, in page order; text is trimmed and not empty."""
+    tree = Tree()
+    path: list[tuple[str, int]] = []
+    names: Counter[str] = Counter()
     held: list[str] = []
+    out: list[tuple[int, str]] = []
     at = 0
 
-    def text() -> str:
-        out = " ".join("".join(held).split())
+    def end_block() -> None:
+        text = " ".join("".join(held).split())
         held.clear()
-        return out
+        if text:
+            out.append((path[-1][1] if path else 0, text))
 
-    def where() -> tuple[str, ...]:
-        # a group directly within its like counts once, so that wrappers of wrappers don't deepen the tree
-        return tuple(k for i, (_, k) in enumerate(path) if not i or path[i - 1][1] != k)
+    def cut_back(i: int) -> None:
+        while len(path) > i:
+            names[path.pop()[0]] -= 1
 
     while True:
         m = TOKEN.search(html, at)
@@ -117,69 +148,90 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], str]]:
         if name == "br" or name in VOID and name != "hr":
             held.append(" ")
             continue
-        here = where()
-        if t := text():
-            yield here, t
+        end_block()
         if name == "hr":
             continue
         if m[1]:
-            for i in range(len(path) - 1, -1, -1):
+            # a name that is not open closes nothing
+            for i in range(len(path) - 1, -1, -1) if names[name] else ():
                 if path[i][0] == name:
-                    del path[i:]
+                    cut_back(i)
                     break
                 if path[i][0] in ("td", "th", "li") and name == "p":
                     break
             continue
-        if name in CLOSE_P and any(n == "p" for n, _ in path):
-            i = max(j for j, (n, _) in enumerate(path) if n == "p")
-            del path[i:]
-        if name in SIBLINGS:
+        if name in CLOSE_P and names["p"]:
+            while names["p"] and path[-1][0] != "p":
+                cut_back(len(path) - 1)
+            cut_back(len(path) - 1)
+        if name in SIBLINGS and any(names[n] for n in SIBLINGS[name]):
             for i in range(len(path) - 1, -1, -1):
                 if path[i][0] in SIBLINGS[name]:
-                    del path[i:]
+                    cut_back(i)
                     break
                 if path[i][0] in ("ul", "ol", "dl", "table"):
                     break
-        path.append((name, key_of(name, m[3])))
-    if t := text():
-        yield where(), t
+        path.append((name, tree.child(path[-1][1] if path else 0, key_of(name, m[3]))))
+        names[name] += 1
+    end_block()
+    return tree, out
 
 
 # A wrapper is [key, mark, children]: mark is "" (once), "?" (optional), "+" (repeated) or "*" (both);
 # the key "#" is a text slot and has no children.
 
 
-def structure(found: list[tuple[tuple[str, ...], str]]) -> list:
+def structure(tree: Tree, found: list[tuple[int, str]]) -> list:
     """The expression of one page's blocks: nested groups with runs of equal groups folded."""
     root: list = ["", "", []]
     open_now: list[list] = [root]
-    last: tuple[str, ...] = ()
-    for path, _ in found:
-        same = 0
-        while same < min(len(path), len(last)) and path[same] == last[same]:
-            same += 1
-        if path == last and same:
-            same -= 1  # a second block in an equal group is a repetition of it
-        del open_now[same + 1 :]
-        for k in path[same:]:
-            child: list = [k, "", []]
+    # the groups that open_now stands for
+    open_groups: list[int] = [0]
+    last = -1
+    for group, _ in found:
+        if group == last and group:
+            # a second block in an equal group is a repetition of it
+            open_now.pop()
+            open_groups.pop()
+        fresh, at = [], group
+        while tree.depths[at] >= len(open_groups) or open_groups[tree.depths[at]] != at:
+            fresh.append(at)
+            at = tree.parents[at]
+        del open_now[tree.depths[at] + 1 :], open_groups[tree.depths[at] + 1 :]
+        for g in reversed(fresh):
+            child: list = [tree.keys[g], "", []]
             open_now[-1][2].append(child)
             open_now.append(child)
+            open_groups.append(g)
         if not open_now[-1][2] or open_now[-1][2][-1][0] != "#":
             open_now[-1][2].append(["#", "", []])
-        last = path
-    return folded(root)
+        last = group
+    return run(folded(root))
+
 
+def run(call: Generator):
+    """The result of a generator that yields the calls it needs, made on a stack of its own."""
+    calls, value = [call], None
+    while calls:
+        try:
+            calls.append(calls[-1].send(value))
+            value = None
+        except StopIteration as end:
+            calls.pop()
+            value = end.value
+    return value
 
-def folded(node: list) -> list:
-    children = [folded(c) for c in node[2]]
+
+def folded(node: list) -> Generator:
     out: list[list] = []
-    for c in children:
-        out.append(c)
+    for child in node[2]:
+        out.append((yield folded(child)))
         for period in (1, 2, 3):  # tandem runs of groups become one repeated run
             a, b = out[-2 * period : -period], out[-period:]
             if len(a) == period and [x[0] for x in a] == [x[0] for x in b]:
-                merged = [aligned(x, y) for x, y in zip(a, b)]
+                merged = []
+                for x, y in zip(a, b):
+                    merged.append((yield aligned(x, y)))
                 for x in merged:
                     x[1] = "*" if x[1] in ("?", "*") else "+"
                 out[-2 * period :] = merged
@@ -187,7 +239,7 @@ def folded(node: list) -> list:
     return [node[0], node[1], out]
 
 
-def aligned(a: list, b: list) -> list:
+def aligned(a: list, b: list) -> Generator:
     """The expression that covers both; a and b have the same key."""
     marks = {a[1], b[1]}
     mark = ("*" if marks & {"?", "*"} else "+") if marks & {"+", "*"} else ("?" if "?" in marks else "")
@@ -197,24 +249,48 @@ def aligned(a: list, b: list) -> list:
     for block in SequenceMatcher(None, [c[0] for c in x], [c[0] for c in y], autojunk=False).get_matching_blocks():
         for c in [*x[i : block.a], *y[j : block.b]]:
             out.append([c[0], "*" if c[1] in ("+", "*") else "?", c[2]])
-        out += [aligned(x[block.a + k], y[block.b + k]) for k in range(block.size)]
+        for k in range(block.size):
+            out.append((yield aligned(x[block.a + k], y[block.b + k])))
         i, j = block.a + block.size, block.b + block.size
     merged: list[list] = []
     for c in out:  # neighbours of one kind are one repeated group
         if merged and merged[-1][0] == c[0]:
-            merged[-1] = aligned(merged[-1], c)
+            merged[-1] = yield aligned(merged[-1], c)
             merged[-1][1] = "*" if {merged[-1][1], c[1]} & {"?", "*"} else "+"
         else:
             merged.append(c)
     return [a[0], mark, merged]
 
 
+def written(wrapper: list) -> str:
+    """A wrapper as a flat list of depth, key and mark of each group, from the outside in."""
+    out: list = []
+    todo = [(0, wrapper)]
+    while todo:
+        depth, (key, mark, children) = todo.pop()
+        out += (depth, key, mark)
+        todo += [(depth + 1, c) for c in reversed(children)]
+    return json.dumps(out, separators=(",", ":"))
+
+
+def read_wrapper(text: str) -> list:
+    flat = json.loads(text)
+    path: list[list] = []
+    for depth, key, mark in zip(flat[::3], flat[1::3], flat[2::3]):
+        node: list = [key, mark, []]
+        del path[depth:]
+        if path:
+            path[-1][2].append(node)
+        path.append(node)
+    return path[0]
+
+
 def fold(structures: list[str]) -> str:
     """One wrapper for several structures, folded in the order of their texts."""
     whole = None
     for s in sorted(structures):
-        whole = json.loads(s) if whole is None else aligned(whole, json.loads(s))
-    return json.dumps(whole, separators=(",", ":"))
+        whole = read_wrapper(s) if whole is None else run(aligned(whole, read_wrapper(s)))
+    return written(whole)
 
 
 def _apart(key: str) -> bool:
@@ -222,77 +298,139 @@ def _apart(key: str) -> bool:
     return name in APART or name not in MAIN and any(w in APART_WORDS for w in words)
 
 
-def _around(groups: set[tuple[str, ...]], chars: dict[tuple[str, ...], int]) -> frozenset:
-    """Groups whose name, class or id says little: html, body, and those around every possible root and half of the text."""
-    hard = APART - OUTER
-    worded = [g for g in groups if _apart(g[-1]) and g[-1].split(".")[0] not in hard]
-    if not worded:
-        return frozenset()
-    roots = [g for g in groups if (g[-1].split(".")[0] in MAIN or set(g[-1].split(".")[1:]) & MAIN_WORDS) and not any(k.split(".")[0] in hard for k in g)]
-    text = {p: n for p, n in chars.items() if not any(k.split(".")[0] in hard for k in p)}
-
-    def outer(g: tuple[str, ...]) -> bool:
-        if g[-1].split(".")[0] in ("html", "body"):
-            return True
-        held = sum(n for p, n in text.items() if p[: len(g)] == g)
-        if g[-1].split(".")[0] in OUTER and not roots:
-            return 2 * held >= sum(text.values())
-        # a root of the same words around g is no root that g fails to hold
-        return bool(roots) and all(r[: len(g)] == g or g[: len(r)] == r and _apart(r[-1]) for r in roots) and any(len(r) > len(g) for r in roots) and 2 * held >= sum(text.values())
-
-    return frozenset(g for g in worded if outer(g))
-
-
-@lru_cache(4096)
-def article_paths(slots: frozenset, around: frozenset = frozenset()) -> frozenset:
-    """Paths of the slots of one page that hold its article.
+class Article:
+    """Which groups of a page hold its article.
 
     The article is the outermost group named article or main; without one a group whose class or id
     says so; without that the whole body. Groups that menus, notices and the like use are left out,
-    but for what the groups in around say of themselves.
+    but for what groups around everything say of themselves: html, body, and those around every possible
+    root and half of the text.
     """
-    groups = sorted({p[:i] for p in slots for i in range(1, len(p) + 1)})
-
-    def apart(path: tuple[str, ...]) -> bool:
-        return any(_apart(k) and path[: i + 1] not in around for i, k in enumerate(path))
 
-    left = {p for p in slots if not apart(p) and "head" not in p and p[-1:] != ("title",)}
-    roots: list[tuple[str, ...]] = []
-    for tag in MAIN:
-        roots = roots or [g for g in groups if g[-1].split(".")[0] == tag and not apart(g)]
-    roots = roots or [g for g in groups if set(g[-1].split(".")[1:]) & MAIN_WORDS and not apart(g)]
-    return frozenset({p for p in left if any(p[: len(r)] == r for r in roots)} or left)
+    def __init__(self, tree: Tree, read: list[tuple[int, str]]):
+        n = len(tree.keys)
+        self.tree, self.chars = tree, [0] * n
+        for g, t in read:
+            self.chars[g] += len(t)
+        self.used = [c > 0 for c in self.chars]
+        for g in range(n - 1, 0, -1):
+            if self.used[g]:
+                self.used[tree.parents[g]] = True
+        names = [k.split(".")[0] for k in tree.keys]
+        says = [names[g] in MAIN or not MAIN_WORDS.isdisjoint(tree.keys[g].split(".")[1:]) for g in range(n)]
+        around = self._around(names, says)
+        apart, head = [False] * n, [False] * n
+        for g in range(1, n):
+            apart[g] = apart[tree.parents[g]] or _apart(tree.keys[g]) and g not in around
+            head[g] = head[tree.parents[g]] or tree.keys[g] == "head"
+        roots: list[int] = []
+        for tag in MAIN:
+            roots = roots or [g for g in range(1, n) if self.used[g] and names[g] == tag and not apart[g]]
+        #: Whether a group is named article or main, so that nothing of it is template.
+        self.named = bool(roots)
+        roots = roots or [g for g in range(1, n) if self.used[g] and not MAIN_WORDS.isdisjoint(tree.keys[g].split(".")[1:]) and not apart[g]]
+        inside = [False] * n
+        for g in roots:
+            inside[g] = True
+        for g in range(1, n):
+            inside[g] = inside[g] or inside[tree.parents[g]]
+        left = [g for g in range(n) if self.chars[g] and not apart[g] and not head[g] and tree.keys[g] != "title"]
+        self.groups = {g for g in left if inside[g]} or set(left)
+        self.named = self.named and any(inside[g] for g in left)
+
+    def _around(self, names: list[str], says: list[bool]) -> set[int]:
+        tree, n = self.tree, len(names)
+        hard = APART - OUTER
+        worded = [g for g in range(1, n) if self.used[g] and _apart(tree.keys[g]) and names[g] not in hard]
+        if not worded:
+            return set()
+        below_hard = [False] * n
+        for g in range(1, n):
+            below_hard[g] = below_hard[tree.parents[g]] or names[g] in hard
+        roots = [g for g in range(1, n) if self.used[g] and says[g] and not below_hard[g]]
+        held = [0 if below_hard[g] else self.chars[g] for g in range(n)]
+        held_roots, above = [0] * n, [0] * n
+        for g in roots:
+            held_roots[g] = 1
+        is_root = held_roots[:]
+        for g in range(1, n):
+            p = tree.parents[g]
+            # roots strictly around a group that say themselves that they are apart
+            above[g] = above[p] + (is_root[p] and _apart(tree.keys[p]))
+        for g in range(n - 1, 0, -1):
+            held[tree.parents[g]] += held[g]
+            held_roots[tree.parents[g]] += held_roots[g]
+        deepest = max((tree.depths[g] for g in roots), default=0)
+
+        def outer(g: int) -> bool:
+            if names[g] in ("html", "body"):
+                return True
+            if names[g] in OUTER and not roots:
+                return 2 * held[g] >= held[0]
+            # a root of the same words around g is no root that g fails to hold
+            return bool(roots) and held_roots[g] + above[g] == len(roots) and deepest > tree.depths[g] and 2 * held[g] >= held[0]
+
+        return {g for g in worded if outer(g)}
+
+
+class Wrapper:
+    """The slots of a wrapper and the groups it repeats, found along the path of a page's group."""
+
+    def __init__(self, text: str):
+        self.inner: list[dict[str, int]] = [{}]
+        self.slot, self.again = [False], [False]
+        todo = [(0, read_wrapper(text))]
+        while todo:
+            at, node = todo.pop()
+            for key, mark, children in node[2]:
+                if key == "#":
+                    self.slot[at] = True
+                    continue
+                known = self.inner[at].get(key)
+                if known is None:
+                    known = self.inner[at][key] = len(self.inner)
+                    self.inner.append({})
+                    self.slot.append(False)
+                    self.again.append(False)
+                elif not mark:
+                    mark = "+"  # groups of one kind apart from each other
+                self.again[known] = self.again[known] or mark in ("+", "*")
+                todo.append((known, [key, mark, children]))
+
+    def places(self, tree: Tree) -> list[int]:
+        """The wrapper's group of each group of a page, -1 for none."""
+        out = [0] * len(tree.keys)
+        for g in range(1, len(out)):
+            p = out[tree.parents[g]]
+            out[g] = self.inner[p].get(tree.keys[g], -1) if p >= 0 else -1
+        return out
 
 
 @lru_cache(1024)
-def _slots(wrapper: str) -> frozenset:
-    def walk(node: list, path: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
-        for c in node[2]:
-            if c[0] == "#":
-                yield path
-            else:
-                yield from walk(c, (*path, c[0]))
-
-    return frozenset(walk(json.loads(wrapper), ()))
+def _wrapper(text: str) -> Wrapper:
+    return Wrapper(text)
 
 
-def text_mark(path: tuple[str, ...], text: str) -> int:
+def text_mark(tree: Tree, group: int, text: str) -> int:
     """A number for a text at its place in the tree."""
-    return xxhash.xxh64_intdigest("\x00".join([*path, text])) - (1 << 63)
+    return xxhash.xxh64_intdigest(text, tree.hashes[group]) - (1 << 63)
 
 
 def main_text(html: str, wrapper: str, template: frozenset[int] = frozenset()) -> str:
     """The article's blocks of a page; template has the marks of texts that all pages of the host share."""
-    slots = _slots(wrapper)
-    read = [(p, t) for p, t in blocks(html) if p in slots]
-    if template:
-        read = [(p, t) for p, t in read if text_mark(p, t) not in template] or read
-    chars: dict[tuple[str, ...], int] = {}
-    for p, t in read:
-        chars[p] = chars.get(p, 0) + len(t)
-    groups = {p[:i] for p in chars for i in range(1, len(p) + 1)}
-    paths = article_paths(frozenset(chars), _around(groups, chars))
-    return "\n".join(t for p, t in read if p in paths)
+    tree, found = blocks(html)
+    slots = _wrapper(wrapper)
+    places = slots.places(tree)
+    read = [(g, t) for g, t in found if places[g] >= 0 and slots.slot[places[g]]]
+    article = Article(tree, read)
+    if template and not article.named:
+        marked = [text_mark(tree, g, t) in template for g, t in read]
+        # of the texts in a repeated group most decide for all, as a menu may have one entry of its own
+        n, fixed = Counter(g for g, _ in read), Counter(g for (g, _), m in zip(read, marked) if m)
+        fresh = [(g, t) for (g, t), m in zip(read, marked) if not (m or slots.again[places[g]] and n[g] > 2 and 2 * fixed[g] >= n[g])]
+        read = fresh or read
+        article = Article(tree, read)
+    return "\n".join(t for g, t in read if g in article.groups)
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -306,13 +444,12 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, str]] = set()
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
         for b in batches:
             rows = []
             for host, html in zip(*(c.to_pylist() for c in b.columns)):
-                found = list(blocks(html or ""))
-                made = json.dumps(structure(found), separators=(",", ":"))
-                marks = sorted({text_mark(p, t) for p, t in found})
+                tree, found = blocks(html or "")
+                made = written(structure(tree, found))
+                marks = sorted({text_mark(tree, g, t) for g, t in found})
                 if len(seen) >= SEEN:
                     seen.clear()
                 # a structure that the task has met before need not travel again
@@ -322,7 +459,6 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["host", "wrapper", "marks", "page"])
 
     def merged(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
         return pd.DataFrame({"host": [key[0]], "wrapper": [fold(frame["wrapper"].tolist())]})
 
     hosts = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
@@ -360,7 +496,6 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
             texts = [main_text(h or "", w, frozenset(m or ())) for h, w, m in zip(b.column(at).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())], schema.names)
 

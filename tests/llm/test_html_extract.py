@@ -1,10 +1,9 @@
 """Extraction against a plain reading of the known template, and hand-made pages."""
 
-import json
 import re
 from html import unescape
 
-from siltworks.llm.html_extract import aligned, blocks, extract, fold, op10_html_extract, structure
+from siltworks.llm.html_extract import aligned, blocks, extract, fold, op10_html_extract, read_wrapper, run, structure, written
 
 
 def plain(html):
@@ -43,12 +42,12 @@ def test_hand_made_pages_nulls_and_clashing_names(spark):
 
 
 def test_expressions():
-    a = structure(list(blocks("<div><h1>x</h1><p>a</p><p>b</p><p>c</p></div>")))
-    b = structure(list(blocks("<div><p>a</p><aside>q</aside></div>")))
+    a = structure(*blocks("<div><h1>x</h1><p>a</p><p>b</p><p>c</p></div>"))
+    b = structure(*blocks("<div><p>a</p><aside>q</aside></div>"))
     assert a == ["", "", [["div", "", [["h1", "", [["#", "", []]]], ["p", "+", [["#", "", []]]]]]]]
-    both = aligned(a, b)
+    both = run(aligned(a, b))
     assert [(c[0], c[1]) for c in both[2][0][2]] == [("h1", "?"), ("p", "+"), ("aside", "?")]
-    assert json.loads(fold([json.dumps(a), json.dumps(b), json.dumps(a)]))[2][0][0] == "div"
+    assert read_wrapper(fold([written(a), written(b), written(a)]))[2][0][0] == "div" and read_wrapper(written(both)) == both
 
 
 def test_roots_of_each_page(spark):
@@ -97,3 +96,24 @@ def test_odd_markup(spark):
     assert got[1] == "first\nsecond"
     assert got[2] == "All of this page\nis in one form, with x in it"
     assert got[3] == "kept" and got[4] == "also kept"
+
+
+def test_groups_nested_to_any_depth_do_not_stop_the_others(spark):
+    deep = "<body>" + "".join(f"<div class='{'post' if i % 2 else 'x'}'>" for i in range(50_000)) + "<p>In the deep" + "</div>" * 50_000 + "<p>After</body>"
+    open_only = "<ul>" + "<li><div>" * 20_000 + "low"
+    mixed = "<table>" + "<tr><td><section>t" * 10_000
+    rows = [(i, f"http://h{i % 2}.com/{i}", h) for i, h in enumerate([deep, "<article><p>One</article>", open_only, "<article><p>Two</article>", mixed, deep.replace("<p>After", "")])]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "One" and got[3] == "Two" and got[2] == "low"
+    assert got[0] == "In the deep" and got[5] == "In the deep" and got[4].split("\n") == ["t"] * 10_000
+
+
+def test_nothing_of_a_named_article_is_template(spark):
+    page = "<body><div><ul><li>Home<li>News<li>Sport<li>Page %d</ul></div><article><h1>Title %d</h1><h2>Summary</h2><p>Body %d</p><p>Read on below.</p></article></body>"
+    rows = [(i, f"http://a.com/{i}", page % (i, i, i)) for i in range(4)]
+    # without a named article shared texts go, and with them the menu's own entry
+    bare = "<body><div><ul><li>Home<li>News<li>Sport<li>Page %d</ul></div><div><h1>Title %d</h1><p>Body %d</p></div></body>"
+    rows += [(10 + i, f"http://b.com/{i}", bare % (i, i, i)) for i in range(4)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nSummary\nBody {i}\nRead on below." for i in range(4))
+    assert all(got[10 + i] == f"Title {i}\nBody {i}" for i in range(4))
