@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions import text as X
+from ..session import settled
 
 WINDOW = 50
 
@@ -23,23 +24,33 @@ def structural(records: DataFrame, key: str, order: str = "row_index") -> DataFr
     return df.where("__n > 1").select(order, "target", key)
 
 
-def window_pairs(records: DataFrame, title: str = "title", order: str = "row_index", window: int = WINDOW) -> DataFrame:
-    """(i, j, a, b): the titles of rows at most window - 1 apart.
+def windowed(rows: DataFrame, columns: list[str], window: int = WINDOW) -> DataFrame:
+    """(i, j, a_*, b_*): pairs of rows at most window - 1 apart by their dense number i, with the columns of both.
 
     Rows are joined on stretches of window rows, each row with its own and the one before, so that
-    the join is an equi-join. order must be dense.
+    the join is an equi-join.
     """
-    rows = records.select(F.col(order).cast("bigint").alias("i"), F.col(title).alias("t")).where("t is not null and trim(t) <> ''")
-    left = rows.select("i", F.col("t").alias("a"), F.explode(F.array(F.floor(F.col("i") / window), F.floor(F.col("i") / window) + 1)).alias("k"))
-    right = rows.select(F.col("i").alias("j"), F.col("t").alias("b"), F.floor(F.col("i") / window).alias("k"))
-    return left.join(right, "k").where(f"j > i and j < i + {window}").select("i", "j", "a", "b")
+    near = F.explode(F.array(F.floor(F.col("i") / window), F.floor(F.col("i") / window) + 1))
+    left = rows.select("i", *[F.col(c).alias(f"a_{c}") for c in columns], near.alias("k"))
+    right = rows.select(F.col("i").alias("j"), *[F.col(c).alias(f"b_{c}") for c in columns], F.floor(F.col("i") / window).alias("k"))
+    return left.join(right, "k").where(f"j > i and j < i + {window}").drop("k")
+
+
+def titled(records: DataFrame, title: str, order: str) -> DataFrame:
+    """(i, t): the numbers and titles of records that have one."""
+    return records.select(F.col(order).cast("bigint").alias("i"), F.col(title).alias("t")).where("t is not null and trim(t) <> ''")
+
+
+def window_pairs(records: DataFrame, title: str = "title", order: str = "row_index", window: int = WINDOW) -> DataFrame:
+    """(i, j, a, b): the titles of rows at most window - 1 apart. order must be dense."""
+    return windowed(titled(records, title, order), ["t"], window).select("i", "j", F.col("a_t").alias("a"), F.col("b_t").alias("b"))
 
 
-def token_jaccard(a: Column, b: Column) -> Column:
+def word_overlap(x: Column, y: Column) -> Column:
     """Shared share of the distinct words of two texts in comparable form, a decimal with six places."""
-    x, y = (F.array_distinct(F.filter(F.split(X.comparable(c), " "), lambda w: w != "")) for c in (a, b))
-    union = F.size(F.array_union(x, y))
-    return F.when(union > 0, (F.size(F.array_intersect(x, y)).cast("decimal(9,0)") / union.cast("decimal(9,0)")).cast("decimal(9,6)")).otherwise(F.lit(0).cast("decimal(9,6)"))
+    a, b = (F.array_distinct(F.filter(F.split(c, " "), lambda w: w != "")) for c in (x, y))
+    union = F.size(F.array_union(a, b))
+    return F.when(union > 0, (F.size(F.array_intersect(a, b)).cast("decimal(9,0)") / union.cast("decimal(9,0)")).cast("decimal(9,6)")).otherwise(F.lit(0).cast("decimal(9,6)"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -47,27 +58,42 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
-def similar_pairs(records: DataFrame, title: str = "title", order: str = "row_index", window: int = WINDOW) -> DataFrame:
-    """(i, j, similarity, duplicate_type) of similar titles.
+#: Classes of this many pairs of titles are broadcast; more are joined by a shuffle.
+BROADCAST_CLASSES = 500_000
 
-    Similarity is half the character ratio and half the word overlap. No pair below an overlap of 0.2998
-    can reach 0.65, so only the others go through Python.
+
+def title_classes(pairs: DataFrame) -> DataFrame:
+    """(x, y, similarity, duplicate_type) of pairs (x, y) of different titles in comparable form.
+
+    Similarity is half the character ratio and half the word overlap. No pair below an overlap of 0.2998,
+    and none whose lengths allow no ratio that reaches 0.65, goes through Python.
     """
-    pairs = window_pairs(records, title, order, window).withColumn("jaccard", token_jaccard(F.col("a"), F.col("b"))).where("jaccard >= 0.2998")
-    pairs = pairs.withColumns({"x": X.comparable(F.col("a")), "y": X.comparable(F.col("b"))})
-    # each pair of different titles is compared once, however often it occurs
-    ratios = pairs.where("x <> y").select("x", "y").distinct().withColumn("ratio", _ratio("x", "y"))
-    pairs = pairs.join(ratios, ["x", "y"], "left")
-    sim = F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(F.round(0.5 * F.col("ratio") + 0.5 * F.col("jaccard").cast("double"), 4))
-    pairs = pairs.withColumn("similarity", sim)
+    longest = 2.0 * F.least(F.length("x"), F.length("y")) / (F.length("x") + F.length("y"))
+    near = pairs.withColumn("jaccard", word_overlap(F.col("x"), F.col("y"))).where(F.col("jaccard") >= 0.2998)
+    near = near.where(0.5 * longest + 0.5 * F.col("jaccard").cast("double") >= 0.6499)
+    made = near.withColumn("similarity", F.round(0.5 * _ratio("x", "y") + 0.5 * F.col("jaccard").cast("double"), 4))
     tiers = F.array(*[F.lit(t) for t in K.TIERS])
     left, right = (F.array_sort(F.array_intersect(tiers, F.split(c, " "))) for c in ("x", "y"))
     kind = (
         F.when(F.col("similarity") >= 0.98, "EXACT_DUPLICATE")
         .when((F.col("similarity") >= 0.65) & (F.size(left) > 0) & (F.size(right) > 0) & (left != right), "LEGITIMATE_RELATED_RECORD")
-        .when(F.col("similarity") >= 0.78, "POSSIBLE_SEMANTIC_DUPLICATE")
-    )
-    return pairs.withColumn("duplicate_type", kind).where("duplicate_type is not null").select("i", "j", "similarity", "duplicate_type")
+        .when(F.col("similarity") >= 0.78, "POSSIBLE_SEMANTIC_DUPLICATE"))
+    return made.select("x", "y", "similarity", kind.alias("duplicate_type")).where("duplicate_type is not null")
+
+
+def similar_pairs(records: DataFrame, title: str = "title", order: str = "row_index", window: int = WINDOW) -> DataFrame:
+    """(i, j, similarity, duplicate_type) of similar titles.
+
+    Titles take their comparable form once for each row, and each pair of different titles is classed
+    once, however often it occurs; the pairs of rows are then looked up in those classes.
+    """
+    rows = titled(records, title, order).select("i", X.comparable(F.col("t")).alias("x")).where("x <> ''")
+    pairs = windowed(rows, ["x"], window).select("i", "j", F.col("a_x").alias("x"), F.col("b_x").alias("y"))
+    classes = settled(title_classes(pairs.where("x <> y").select("x", "y").distinct()))
+    few = classes.count() <= BROADCAST_CLASSES
+    different = pairs.where("x <> y").join(F.broadcast(classes) if few else classes, ["x", "y"])
+    equal = pairs.where("x = y").select("i", "j", F.lit(1.0).alias("similarity"), F.lit("EXACT_DUPLICATE").alias("duplicate_type"))
+    return different.select("i", "j", "similarity", "duplicate_type").unionByName(equal)
 
 
 def last_flag(pairs: DataFrame, repeated: DataFrame) -> DataFrame:

@@ -58,10 +58,13 @@ def changed_samples(records: DataFrame, pairs: dict[str, tuple[Column, Column]],
 
 def relation_lines(evaluated: DataFrame, dataset: str = "dataset_id", n: int = 25, fallback: int = 20) -> DataFrame:
     """(dataset, row_index, line): the first n included records of a dataset, or the first ones where none is included."""
-    w, d = Window.partitionBy(dataset), Window.partitionBy(dataset, "kept").orderBy("row_index")
-    df = evaluated.withColumn("kept", F.col("decision") == "INCLUDE").withColumn("some", F.max("kept").over(w)).withColumn("__n", F.row_number().over(d))
+    some = evaluated.groupBy(dataset).agg(F.bool_or(F.col("decision") == "INCLUDE").alias("some"))
+    # the lines of a dataset are all of one kind, and a partition gives up no more than the first of them
+    first = Window.partitionBy(dataset).orderBy("row_index")
+    df = evaluated.join(some, dataset).where(F.coalesce(F.col("decision") == "INCLUDE", F.lit(False)) | ~F.coalesce("some", F.lit(False)))
+    df = df.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= max(n, fallback)).where(F.col("__n") <= F.when(F.col("some"), n).otherwise(fallback))
     line = F.concat(F.trim(F.coalesce("title", F.lit(""))), F.lit(" -> "), F.coalesce("unit_code", "major_code", F.lit("none")))
-    return df.where((F.col("kept") & (F.col("__n") <= n)) | (~F.col("some") & (F.col("__n") <= fallback))).select(dataset, "row_index", line.alias("line"))
+    return df.select(dataset, "row_index", line.alias("line"))
 
 
 def report(evaluated: DataFrame, dataset: str = "dataset_id") -> DataFrame:

@@ -284,9 +284,9 @@ def dup_structural(spark, sf):
 SELECT a.k AS i, b.k AS j, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))) AS jaccard FROM w a JOIN w b ON b.k > a.k AND b.k < a.k + 50 AND b.k // 50 IN (a.k // 50, a.k // 50 + 1)
 WHERE len(list_intersect(a.w, b.w)) * 2 >= len(list_distinct(list_concat(a.w, b.w)))""")
 def dup_pairs_jaccard(spark, sf):
-    pairs = duplicates.window_pairs(table(spark, sf, "part").withColumnRenamed("p_partkey", "row_index"), "p_name")
-    x, y = (F.array_distinct(F.split(X.comparable(F.col(c)), " ")) for c in ("a", "b"))
-    share = F.size(F.array_intersect(x, y)).cast("double") / F.size(F.array_union(x, y))
+    rows = duplicates.titled(table(spark, sf, "part"), "p_name", "p_partkey")
+    pairs = duplicates.windowed(rows.select("i", F.array_distinct(F.split(X.comparable(F.col("t")), " ")).alias("w")), ["w"])
+    share = F.size(F.array_intersect("a_w", "b_w")).cast("double") / F.size(F.array_union("a_w", "b_w"))
     return pairs.select("i", "j", share.alias("jaccard")).where("jaccard >= 0.5")
 
 
