@@ -89,7 +89,9 @@ def similar_pairs(records: DataFrame, title: str = "title", order: str = "row_in
     """
     rows = titled(records, title, order).select("i", X.comparable(F.col("t")).alias("x")).where("x <> ''")
     pairs = windowed(rows, ["x"], window).select("i", "j", F.col("a_x").alias("x"), F.col("b_x").alias("y"))
-    classes = settled(title_classes(pairs.where("x <> y").select("x", "y").distinct()))
+    # settled, or what is asked of a pair of titles would be asked of every pair of rows before they are made distinct
+    titles = settled(pairs.where("x <> y").select("x", "y").distinct())
+    classes = settled(title_classes(titles))
     few = classes.count() <= BROADCAST_CLASSES
     different = pairs.where("x <> y").join(F.broadcast(classes) if few else classes, ["x", "y"])
     equal = pairs.where("x = y").select("i", "j", F.lit(1.0).alias("similarity"), F.lit("EXACT_DUPLICATE").alias("duplicate_type"))
