@@ -35,13 +35,15 @@ BROADCAST_KEYS = 1_000_000
 
 
 def decode_wav(data: bytes | None) -> tuple[np.ndarray, int]:
-    """Samples of a PCM WAV file as one channel from -1 to 1, and their rate; nothing for other data."""
+    """Samples of a PCM WAV file of 8 to 32 bits as one channel from -1 to 1, and their rate; nothing for other data."""
     try:
         with wave.open(io.BytesIO(data or b"")) as w:
             rate, width, channels = w.getframerate(), w.getsampwidth(), w.getnchannels()
             raw = w.readframes(w.getnframes())
     except (wave.Error, EOFError, RuntimeError):
         return np.empty(0), 0
+    if width not in (1, 2, 3, 4):
+        return np.empty(0), 0
     raw = raw[: len(raw) // (width * channels) * (width * channels)]
     if width == 1:
         x = np.frombuffer(raw, np.uint8).astype(np.float64) / 128 - 1

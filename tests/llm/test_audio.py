@@ -38,6 +38,10 @@ def test_chroma_and_wav_widths():
         for channels in (1, 2):
             y, rate = decode_wav(wav(x[:1000], width=width, channels=channels))
             assert rate == 4000 and np.abs(y - x[:1000]).max() < 0.02
+    # sample widths that are no usual PCM have no samples, and stop nothing
+    head = wav(x[:1000], width=2)
+    odd = head[:32] + (5).to_bytes(2, "little") + (40).to_bytes(2, "little") + head[36:]
+    assert len(decode_wav(odd)[0]) == 0
     assert len(decode_wav(b"junk")[0]) == len(decode_wav(None)[0]) == len(fingerprint(x[:10], 4000)) == 0
 
 
