@@ -245,3 +245,10 @@ STATED_PATTERNS = [
 STATED_ABOVE, STATED_CONTEXT = 5, 40
 #: A caption part of tables that go on over any number of captions.
 CONTINUED_CAPTION = "table 4"
+
+# Fixed values of knowledge reports: the headings of their sections.
+REPORT_SECTIONS = [
+    "DATASET IDENTITY", "SOURCE DOCUMENT", "DATASET DESCRIPTION", "UNIT OF OBSERVATION", "DATASET STATISTICS", "SCHEMA KNOWLEDGE", "DOMAIN ENTITIES", "DOMAIN VOCABULARY & NORMALIZATION AUDIT",
+    "DIRECT FACTUAL RELATIONSHIPS", "DERIVED RESEARCH DATA POINTS", "RECORD-LEVEL KNOWLEDGE (CURATED & AUDITED)", "CURATION GOVERNANCE STATUS", "VALIDATION STATUS", "RESEARCH QUALITY GATES",
+    "PROVENANCE & LINEAGE TRACEABILITY", "RESEARCH NOTES & METHODOLOGICAL CONTEXT",
+]

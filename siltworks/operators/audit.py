@@ -87,3 +87,24 @@ def export_flat(evaluated: DataFrame, fields: list[str]) -> DataFrame:
     return evaluated.select(
         "row_index", *fields, F.col("dataset_id").alias("_prov_dataset"), F.coalesce("status", F.lit("valid")).alias("_prov_status"),
         F.col("decision").alias("_curation_decision"), sure.alias("_curation_confidence"), F.array_join("all_chambers", "; ").alias("_derived_chambers"))
+
+
+#: Columns of an export beside the record's own, with what stands where a record lacks one.
+PROVENANCE = {"_prov_doc": "", "_prov_page": None, "_prov_table": "", "_prov_section": "", "_prov_confidence": 0.85, "_prov_status": "valid"}
+
+
+def export_full(evaluated: DataFrame, fields: list[str], provenance: dict[str, Column], key: str = "row_index") -> DataFrame:
+    """export_flat with all provenance and curation columns.
+
+    provenance has columns for some of PROVENANCE; a null or missing one takes the default there. A record that was not
+    decided is unprocessed, and shows no certainty of 1.
+    """
+    unknown = set(provenance) - set(PROVENANCE)
+    if unknown:
+        raise ValueError(f"no provenance columns {sorted(unknown)}; known are {', '.join(PROVENANCE)}")
+    decision = F.coalesce("decision", F.lit("unprocessed"))
+    sure = F.when((F.lower(decision) == "unprocessed") & ((F.col("curation_confidence") == 1) | F.col("curation_confidence").isNull()), None).otherwise(F.col("curation_confidence"))
+    given = [(F.coalesce(provenance[n], F.lit(d)) if n in provenance else F.lit(d)).alias(n) for n, d in PROVENANCE.items()]
+    return evaluated.select(
+        key, *fields, *given, decision.alias("_curation_decision"), F.coalesce("reason_code", F.lit("")).alias("_curation_reason"), sure.alias("_curation_confidence"),
+        F.array_join("all_chambers", "; ").alias("_derived_chambers"))

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from ..operators import audit, discovery, ledger, lineage, normalise, runs, tables, validation
+from ..operators import audit, discovery, knowledge, ledger, lineage, normalise, runs, tables, validation
 from ..session import remove, settled, shared_folder
 from ..sources import paged
 from . import records as R
 from . import slate
-from .more import ORACLES, QUERIES
+from .more import ORACLES, QUERIES, SQL_LINES
 from .slate import evaluated, query, quoted, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -488,3 +488,65 @@ def rules_as_rows(spark, sf):
     rules = spark.createDataFrame(RULE_ROWS, validation.RULES)
     r = R.records(spark, sf).select("row_index", "title", "amount", "province", "ofo_code", "nqf")
     return validation.issues_by_rules(r, "row_index", rules)
+
+
+# ---- exports with all provenance, knowledge reports --------------------------------------------
+
+
+@query(f"""WITH {slate.SQL_DECIDED} SELECT row_index, title, dataset_id AS _prov_doc, row_index // 40 AS _prov_page, CASE WHEN row_index % 5 = 0 THEN '' ELSE 'T' || row_index % 5 END AS _prov_table, '' AS _prov_section, CAST(0.85 AS DOUBLE) AS _prov_confidence, status AS _prov_status,
+decision AS _curation_decision, coalesce(reason_code, '') AS _curation_reason, CAST(curation_confidence AS DOUBLE) AS _curation_confidence, array_to_string(all_chambers, '; ') AS _derived_chambers FROM decided""")
+def export_provenance(spark, sf):
+    given = {"_prov_doc": F.col("dataset_id"), "_prov_page": F.expr("row_index div 40"), "_prov_table": F.expr("CASE WHEN row_index % 5 <> 0 THEN concat('T', row_index % 5) END"), "_prov_status": F.col("status")}
+    return audit.export_full(evaluated(spark, sf), ["title"], given).withColumn("_curation_confidence", F.col("_curation_confidence").cast("double"))
+
+
+FIELDS = ["title", "ofo_code", "province", "company_name"]
+ENTITIES = ["title", "company_name"]
+
+
+def _section(n: int, source: str, texts: list[str], order: list[str] | None = None) -> str:
+    """Lines of a section in SQL: each row of source gives its texts in turn."""
+    place = " || '.' || ".join(order or ["'0'"])
+    return " UNION ALL ".join(f"SELECT dataset_id AS dataset, {n} AS section, {place} || '.{k:03d}' AS place, {t} AS text FROM {source}" for k, t in enumerate(texts))
+
+
+def _padded(c: str) -> str:
+    return f"lpad(CAST({c} AS VARCHAR), 12, '0')"
+
+
+_clean = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_fields = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN trim({c}) <> '' THEN '{c}: ' || {_clean.format(c)} END" for c in FIELDS) + "], lambda x: x IS NOT NULL), ' | ')"
+_kind = "CASE decision WHEN 'INCLUDE' THEN {} WHEN 'REVIEW' THEN {} ELSE {} END"
+_gate_sql = {
+    "document_understanding_gate": "'PASSED'", "dataset_identification_gate": "'PASSED'", "structural_integrity_gate": "CASE WHEN structural >= 70 THEN 'PASSED' ELSE 'WARNING' END", "schema_gate": "'PASSED'",
+    **{g: f"upper({g})" for g in ("normalization_gate", "validation_gate", "curation_gate")}, "evidence_gate": "'PASSED'", **{g: f"upper({g})" for g in ("provenance_gate", "review_gate", "export_gate")},
+}
+_values = " UNION ALL ".join(f"SELECT dataset_id, {n} AS pos, '{c}' AS c, nullif(trim({c}), '') AS v FROM decided" for n, c in enumerate(FIELDS))
+_changes = " UNION ALL ".join(f"SELECT dataset_id, row_index, '{c}' AS c, {c} AS raw, {_clean.format(c)} AS clean FROM decided" for c in ENTITIES)
+SQL_KNOWLEDGE = f"""{SQL_LINES}, {slate.SQL_COUNTS.removeprefix(slate.SQL_DECIDED + ', ')}, gt AS (SELECT *, {slate.SQL_GATES} FROM dims),
+per AS (SELECT dataset_id, count(*) AS n, count(*) FILTER (status = 'valid') AS valid, count(*) FILTER (status = 'warning') AS warn, count(*) FILTER (status = 'error') AS err, count(*) FILTER (decision = 'INCLUDE') AS inc, count(*) FILTER (decision = 'REVIEW') AS rev,
+  count(*) FILTER (decision = 'EXCLUDE') AS exc, min(row_index // 40) AS p0, max(row_index // 40) AS p1, count(DISTINCT row_index // 40) AS pages, count(DISTINCT nullif(trim(company_name), '')) AS srcs, CAST(sum(c1::INT + c2::INT + c3::INT) AS BIGINT) AS conf FROM decided GROUP BY 1),
+cl AS ({_values}), cv AS (SELECT dataset_id, pos, c, count(*) AS n, count(v) AS filled, count(DISTINCT v) AS vals, CAST(round(CAST(count(v) AS DECIMAL(18,0)) * 100 / count(*), 1) AS DECIMAL(5,1)) AS pct FROM cl GROUP BY ALL),
+cm AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, pos ORDER BY n DESC, v) AS rank FROM (SELECT dataset_id, pos, c, v, count(*) AS n FROM cl WHERE v IS NOT NULL AND c IN ('title', 'company_name') GROUP BY ALL)),
+ch AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, c ORDER BY row_index) AS rank FROM ({_changes}) WHERE raw <> clean),
+mj AS (SELECT dataset_id, coalesce(major_code, 'none') AS major, count(*) AS n FROM decided GROUP BY ALL)
+{_section(1, 'per', ["'Dataset Identifier: ' || dataset_id", "'Record Count: ' || n"])} UNION ALL {_section(2, 'per', ["'Sources: ' || srcs", "'Page Range: ' || p0 || ' to ' || p1"])}
+UNION ALL SELECT 'ds1', 3, '0.000', 'Records of one survey.' UNION ALL {_section(4, 'per', ["'Primary Entity: Occupation'"])} UNION ALL {_section(5, 'per', ["'Total: ' || n", "'Valid: ' || valid", "'Warnings: ' || warn", "'Errors: ' || err"])}
+UNION ALL {_section(5, 'cv', ["'- ' || c || ': ' || filled || '/' || n || ' populated (' || pct || '%) | ' || vals || ' unique value(s)'"], ["'1'", _padded('pos')])}
+UNION ALL {_section(6, 'cv', ["'Field: ' || c", "'  Authority: SOURCE_FACT'", "'  Mandatory: ' || CASE WHEN c = 'province' THEN 'NO' ELSE 'YES' END", "'  Coverage: ' || filled || ' / ' || n"], [_padded('pos')])}
+UNION ALL SELECT * FROM ({_section(7, 'cm WHERE rank <= 10', ["c || ': ' || v || ' (' || n || ')'"], [_padded('pos'), _padded('rank')])})
+UNION ALL SELECT * FROM ({_section(8, 'ch WHERE rank <= 5', ["c || ': ''' || raw || ''' -> ''' || clean || ''''"], ['c', _padded('rank')])})
+UNION ALL {_section(9, 'rl', ['line'], [_padded('row_index')])} UNION ALL {_section(10, 'mj', ["'Major group ' || major || ': ' || n"], ['major'])}
+UNION ALL {_section(11, 'decided', [_kind.format("'Record'", "'Review'", "'Excluded'") + " || ' #' || row_index || ': ' || " + _fields + " || CASE WHEN decision = 'INCLUDE' THEN ' [Page ' || row_index // 40 || ']' ELSE ' -> Reason: ' || coalesce(exclusion, reason_code, 'none') END"], [_kind.format("'0'", "'1'", "'2'"), _padded('row_index')])}
+UNION ALL {_section(12, 'per', ["'Active Policy: occupational_relevance'", "'Included: ' || inc", "'Review Required: ' || rev", "'Excluded: ' || exc", "'Conflicts: ' || conf"])}
+UNION ALL {_section(13, 'per', ["'Valid: ' || valid || ' / ' || n", "'Integrity Posture: ' || CASE WHEN err = 0 THEN 'PASSED' ELSE 'ACTION REQUIRED (' || err || ' Errors)' END"])}
+UNION ALL {_section(14, 'gt', ["'Overall Quality Score: ' || overall || '%'"] + [f"'{g}: ' || {t}" for g, t in _gate_sql.items()] + [f"'{d}: ' || {d} || '%'" for d in K.QUALITY_WEIGHTS])}
+UNION ALL {_section(15, 'per', ["'Source Pages: ' || pages"])} UNION ALL {_section(16, 'per', ["'Raw and normalised values are both kept.'"])}
+UNION ALL SELECT dataset_id, s, '', s || '. ' || [{quoted(K.REPORT_SECTIONS)}][s] FROM per, (SELECT CAST(unnest(range(1, 17)) AS INTEGER) AS s) WHERE s <> 3 OR dataset_id = 'ds1'"""
+
+
+@query(f"WITH {SQL_KNOWLEDGE}")
+def knowledge_lines(spark, sf):
+    e = evaluated(spark, sf).withColumns({"page": F.expr("row_index div 40"), "source": F.col("company_name")})
+    described = spark.createDataFrame([("ds1", " Records of one survey. "), ("ds2", " ")], "dataset_id string, description string")
+    return knowledge.report_lines(e, ENTITIES, FIELDS, slate._counts(spark, sf), "occupational_relevance", described=described)
