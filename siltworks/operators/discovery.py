@@ -65,14 +65,14 @@ def stated_contexts(pages: DataFrame, doc: str, page: str = "page", text: str =
     return first.select(doc, "stated", F.col(f"f.place.{page}").alias(page), "f.context")
 
 
-def table_groups(tables: DataFrame, doc: str = "doc") -> DataFrame:
+def table_groups(tables: DataFrame, doc: str = "doc", carried: list[str] = ()) -> DataFrame:
     """(doc, group_no, caption, section_title, role, unit, page_start, page_end, n_tables, row_count): tables that go on over pages as one.
 
     tables has (doc, page_start, page_end, table_index, caption, section_title, role, unit, column_count, row_count, layout).
     Layout grids and tables of the role metadata are left out. A table joins the one before it if it begins
     on the page where that one ends or on the next, and if both have as many columns (more than one), or
     captions that are equal or a caption of a table that always goes on, or one role. row_count is the group's sum; what names a
-    group is of its first table.
+    group, and the carried columns, are of its first table.
     """
     used = tables.where("not layout and coalesce(role, '') <> 'metadata'").withColumn("__place", F.struct("page_start", "table_index"))
     linked = with_previous(used, [doc], "__place", ["page_end", "column_count", "caption", "role"], F.floor(F.col("page_start") / 1024))
@@ -83,11 +83,63 @@ def table_groups(tables: DataFrame, doc: str = "doc") -> DataFrame:
     goes_on = near & (columns | captions | F.col("role").eqNullSafe(p["role"]))
     starts = p.isNull() | ~F.coalesce(goes_on, F.lit(False))
     numbered = running_count(linked, [doc], "__place", starts, "group_no", F.floor(F.col("page_start") / 1024))
-    first = F.min_by(F.struct("caption", "section_title", "role", "unit"), "__place")
+    first = F.min_by(F.struct("caption", "section_title", "role", "unit", *carried), "__place")
     groups = numbered.groupBy(doc, "group_no").agg(first.alias("f"), F.min("page_start").alias("page_start"), F.max_by("page_end", "__place").alias("page_end"), F.count("*").alias("n_tables"), F.sum("row_count").alias("row_count"))
     return groups.select(
         doc, "group_no", F.when(F.coalesce("f.caption", F.lit("")) == "", F.concat(F.lit("Table from Page "), F.col("page_start").cast("string"))).otherwise(F.col("f.caption")).alias("caption"),
-        F.when(F.coalesce("f.section_title", F.lit("")) == "", "Unassigned Section").otherwise(F.col("f.section_title")).alias("section_title"), "f.role", "f.unit", "page_start", "page_end", "n_tables", "row_count")
+        F.when(F.coalesce("f.section_title", F.lit("")) == "", "Unassigned Section").otherwise(F.col("f.section_title")).alias("section_title"), "f.role", "f.unit", "page_start", "page_end", "n_tables", "row_count", *[f"f.{c}" for c in carried])
+
+
+#: Records by which a group may differ from a count that the text states.
+STATED_NEAR = 2
+
+
+def dataset_candidates(groups: DataFrame, stated: DataFrame, doc: str = "doc") -> DataFrame:
+    """groups plus candidate_id, stated, stated_page, score, rank, authoritative and reasons.
+
+    groups is of table_groups() with the carried column headers (an array); stated of stated_contexts(). A group is
+    corroborated by the first stated count, by page and size, that its records come near. Candidates rank by score and then by their order
+    in the document; the first is authoritative if its score is high enough. reasons lists what the score is made of.
+    """
+    # counts have four digits at most, so a document's are a short list
+    known = stated.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col("page").alias("at"), F.col("stated").alias("count")))).alias("__stated"))
+    both = groups.join(known, doc, "left")
+    near = F.get(F.filter(F.coalesce("__stated", F.array().cast("array<struct<at:long,count:int>>")), lambda s: F.abs(F.col("row_count") - s["count"]) <= STATED_NEAR), F.lit(0))
+    label, heads = F.concat("caption", F.lit(" "), "section_title"), F.array_join(F.coalesce("headers", F.array().cast("array<string>")), "\n")
+    low, low_heads = F.lower(label), F.lower(heads)
+    signs = [
+        (low.rlike("final list|final oihd|occupations in high demand"), "final wording"), (F.contains(low, F.lit("consolidation of evidence")), "consolidation section"), (F.col("role") == "final_dataset", "final dataset role"),
+        (F.col("unit").isin("occupation", "qualification"), "unit of observation"), (F.col("unit") == "survey_response", "survey responses"), (near.isNotNull(), "stated count"),
+        (F.contains(low_heads, F.lit("ofo")) & F.contains(low_heads, F.lit("occupation")), "code and title columns"), (F.col("role") == "intermediate_analysis", "intermediate analysis"), (F.col("role") == "survey", "survey table"),
+        ((F.col("role") == "appendix") & ~F.contains(low, F.lit("final")), "appendix"),
+    ]
+    score = candidate_score(label, F.coalesce("role", F.lit("unknown")), F.coalesce("unit", F.lit("unknown")), heads, near.isNotNull())
+    name = F.lower(F.substring(F.regexp_replace("caption", "[^a-zA-Z0-9]", "_"), 1, 20))
+    scored = both.withColumns({
+        "candidate_id": F.concat(F.lit("cand_"), F.col("group_no").cast("string"), F.lit("_"), name), "stated": near["count"], "stated_page": near["at"], "score": score,
+        "reasons": F.filter(F.array(*[F.when(ok, F.lit(text)) for ok, text in signs]), lambda r: r.isNotNull())})
+    best = Window.partitionBy(doc).orderBy(F.desc("score"), "group_no")
+    ranked = scored.withColumn("rank", F.row_number().over(best))
+    return ranked.withColumn("authoritative", (F.col("rank") == 1) & (F.col("score") >= 3)).drop("__stated")
+
+
+def discovery_report(documents: DataFrame, tables: DataFrame, candidates: DataFrame, stated: DataFrame, doc: str = "doc") -> DataFrame:
+    """documents plus tables_detected, candidate_count, selected_id, rationale and stated_counts.
+
+    documents has one row for each doc. The authoritative candidate is selected, else the one of the highest score; a document
+    without candidates has none. stated_counts lists the counts with their pages, in order.
+    """
+    found = tables.groupBy(doc).agg(F.count("*").alias("tables_detected"))
+    top = candidates.where("rank = 1").select(doc, "candidate_id", "caption", "page_start", "page_end", "score", "authoritative", "reasons")
+    sums = candidates.groupBy(doc).agg(F.count("*").alias("candidate_count"))
+    said = stated.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "stated"))), lambda s: F.concat(s["stated"].cast("string"), F.lit("@"), s["page"].cast("string"))), ", ").alias("stated_counts"))
+    out = documents.join(found, doc, "left").join(sums, doc, "left").join(top, doc, "left").join(said, doc, "left")
+    pages = F.concat(F.lit("pages "), F.col("page_start").cast("string"), F.lit("-"), F.col("page_end").cast("string"))
+    chosen = F.concat(F.col("caption"), F.lit(" ("), pages, F.lit(") is authoritative: "), F.array_join("reasons", "; "))
+    rationale = F.when(F.col("authoritative"), chosen).when(F.col("candidate_id").isNotNull(), F.concat(F.col("caption"), F.lit(" has the highest score"))).otherwise("no candidates")
+    return out.select(
+        *documents.columns, F.coalesce("tables_detected", F.lit(0)).alias("tables_detected"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.col("candidate_id").alias("selected_id"),
+        F.coalesce("authoritative", F.lit(False)).alias("authoritative"), rationale.alias("rationale"), F.coalesce("stated_counts", F.lit("")).alias("stated_counts"))
 
 
 def document_type(text: Column) -> Column:

@@ -121,3 +121,24 @@ def confidences(structural: Column, score: Column) -> dict[str, Column]:
         "structural_confidence": F.round(F.least(F.greatest(structural.cast("decimal(9,3)"), lo), hi), 2).cast("decimal(4,2)"),
         "semantic_confidence": F.round(F.least(F.greatest(semantic, F.lit("0.20").cast("decimal(6,3)")), hi), 2).cast("decimal(4,2)"),
     }
+
+
+def full_profile(pages: DataFrame, report: DataFrame, doc: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
+    """profile() with what discovery found: digest, tables, candidates, the selected one, and the document's type.
+
+    report is of discovery.discovery_report(). digest is that of the digests of the pages in order, so no document is put
+    together in one row; type and its confidence come from the first five pages.
+    """
+    from .discovery import document_type
+
+    txt = F.coalesce(F.col(text), F.lit(""))
+    near = F.when(F.col(page) <= 5, F.struct(F.col(page).alias("p"), txt.alias("t")))
+    sums = pages.groupBy(F.col(doc).alias("doc")).agg(
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.sha2(txt, 256).alias("d")))), lambda x: x["d"]), ""), 256).alias("digest"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(near)), lambda x: x["t"]), " ").alias("front"))
+    kind = document_type(F.col("front"))
+    base = profile(pages, doc, page, text).join(sums, "doc").withColumns({"document_type": kind["type"], "type_confidence": kind["confidence"]}).drop("front")
+    found = report.select(F.col(doc).alias("doc"), "tables_detected", "candidate_count", "selected_id", "authoritative")
+    joined = base.join(found, "doc", "left").fillna(0, ["tables_detected", "candidate_count"]).fillna(False, ["authoritative"])
+    shape = F.concat(F.col("sections").cast("string"), F.lit(" sections, "), F.col("tables_detected").cast("string"), F.lit(" tables, "), F.col("candidate_count").cast("string"), F.lit(" candidate datasets"))
+    return joined.withColumns({"has_tables": F.col("tables_detected") > 0, "structure": shape})

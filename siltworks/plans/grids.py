@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from ..operators import audit, discovery, knowledge, ledger, lineage, normalise, runs, tables, validation
+from ..operators import audit, discovery, documents, knowledge, ledger, lineage, normalise, runs, tables, validation
 from ..session import remove, settled, shared_folder
 from ..sources import paged
 from . import records as R
 from . import slate
-from .more import ORACLES, QUERIES, SQL_LINES
+from .more import ORACLES, QUERIES, SQL_LINES, TOPS
 from .slate import evaluated, query, quoted, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -550,3 +550,63 @@ def knowledge_lines(spark, sf):
     e = evaluated(spark, sf).withColumns({"page": F.expr("row_index div 40"), "source": F.col("company_name")})
     described = spark.createDataFrame([("ds1", " Records of one survey. "), ("ds2", " ")], "dataset_id string, description string")
     return knowledge.report_lines(e, ENTITIES, FIELDS, slate._counts(spark, sf), "occupational_relevance", described=described)
+
+
+# ---- discovery over documents ------------------------------------------------------------------
+
+UNITS = ["occupation", "qualification", "survey_response", "unknown"]
+HEADER_LISTS = ["OFO Code|Occupation Title", "SAQA|Title", "x", "Occupation|Rank"]
+_table_sql = METADATA.replace("p_brand AS unit", f"{R._pick(UNITS, 'p_partkey')} AS unit, {R._pick(HEADER_LISTS, 'p_size')} AS head")
+#: Documents in the numbering of METADATA; one in twenty pages states a count that a group of tables may come near.
+_page_sql = f"SELECT CAST(floor(p_partkey / 30) AS BIGINT) AS doc, CAST(p_partkey % 30 + 1 AS BIGINT) AS page, concat(replace({R._pick(TOPS, '(p_partkey + p_size)')}, '~', chr(10)), chr(10), CASE WHEN p_partkey % 4 = 0 THEN concat('total ', p_size, ' items') ELSE p_name END) AS text FROM {{p}}"
+_stated_sql = f"{', '.join(_marked(n, p) for n, p in enumerate(K.STATED_PATTERNS))}, al AS ({' UNION ALL '.join(f'SELECT * FROM m{n}' for n in range(len(K.STATED_PATTERNS)))}), sd AS (SELECT doc, stated, page FROM (SELECT *, row_number() OVER (PARTITION BY doc, stated ORDER BY page, kind, \"at\") AS n FROM al WHERE stated > 5) WHERE n = 1)"
+_groups_sql = f"""t AS ({_table_sql.format(p='part')}), u AS (SELECT * FROM t WHERE NOT layout AND role <> 'metadata'),
+l AS (SELECT *, lag(page_end) OVER w AS pe, lag(column_count) OVER w AS pc, lag(caption) OVER w AS pt, lag(role) OVER w AS pr FROM u WINDOW w AS (PARTITION BY doc ORDER BY page_start, table_index)),
+s AS (SELECT *, sum(CASE WHEN pe IS NOT NULL AND page_start IN (pe, pe + 1) AND ((column_count = pc AND column_count > 1) OR (caption <> '' AND pt <> '' AND (lower(caption) = lower(pt) OR contains(lower(caption), 'table 4'))) OR role = pr) THEN 0 ELSE 1 END)
+  OVER (PARTITION BY doc ORDER BY page_start, table_index ROWS UNBOUNDED PRECEDING) AS group_no FROM l),
+gr AS (SELECT doc, CAST(group_no AS BIGINT) AS group_no, coalesce(nullif(arg_min(caption, (page_start, table_index)), ''), 'Table from Page ' || min(page_start)) AS caption, arg_min(coalesce(section_title, 'Unassigned Section'), (page_start, table_index)) AS section_title,
+  arg_min(role, (page_start, table_index)) AS role, arg_min(unit, (page_start, table_index)) AS unit, arg_min(head, (page_start, table_index)) AS head, min(page_start) AS page_start, arg_max(page_end, (page_start, table_index)) AS page_end, CAST(sum(row_count) AS BIGINT) AS row_count FROM s GROUP BY doc, group_no),
+nr AS (SELECT gr.*, n.stated, n.page AS stated_page FROM gr LEFT JOIN (SELECT doc, group_no, sd.stated, sd.page, row_number() OVER (PARTITION BY doc, group_no ORDER BY sd.page, sd.stated) AS k FROM gr JOIN sd USING (doc) WHERE abs(row_count - sd.stated) <= 2) n ON n.doc = gr.doc AND n.group_no = gr.group_no AND n.k = 1),
+sg AS (SELECT *, lower(caption || ' ' || section_title) AS lo, [regexp_matches(lower(caption || ' ' || section_title), 'final list|final oihd|occupations in high demand'), contains(lower(caption || ' ' || section_title), 'consolidation of evidence'), role = 'final_dataset', unit IN ('occupation', 'qualification'),
+  unit = 'survey_response', stated IS NOT NULL, contains(lower(head), 'ofo') AND contains(lower(head), 'occupation'), role = 'intermediate_analysis', role = 'survey', role = 'appendix' AND NOT contains(lower(caption || ' ' || section_title), 'final')] AS f FROM nr),
+sc AS (SELECT *, CAST(f[1]::INT * 4 + f[2]::INT * 2.5 + f[3]::INT * 3 + CASE unit WHEN 'occupation' THEN 2 WHEN 'qualification' THEN 1.5 WHEN 'survey_response' THEN -3 ELSE 0 END + f[6]::INT * 5 + f[7]::INT * 2 - f[8]::INT * 2 - f[9]::INT * 4 - f[10]::INT * 1.5 AS DOUBLE) AS score,
+  'cand_' || group_no || '_' || lower(substr(regexp_replace(caption, '[^a-zA-Z0-9]', '_', 'g'), 1, 20)) AS candidate_id,
+  array_to_string(list_filter(list_transform(['final wording', 'consolidation section', 'final dataset role', 'unit of observation', 'survey responses', 'stated count', 'code and title columns', 'intermediate analysis', 'survey table', 'appendix'], lambda x, i: CASE WHEN f[i] THEN x END), lambda x: x IS NOT NULL), '; ') AS reasons FROM sg),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY score DESC, group_no) AS INT) AS rank FROM sc)"""
+_discovery_sql = f"pg AS ({_page_sql.format(p='part')}), {_stated_sql}, {_groups_sql}"
+_report_sql = f"""{_discovery_sql}, dc AS (SELECT doc, count(*) AS pages FROM pg GROUP BY 1), ts AS (SELECT doc, count(*) AS n FROM t GROUP BY 1), cs AS (SELECT doc, count(*) AS n FROM rk GROUP BY 1),
+sx AS (SELECT doc, string_agg(stated || '@' || page, ', ' ORDER BY page, stated) AS c FROM sd GROUP BY 1),
+rp AS (SELECT dc.doc, dc.pages, coalesce(ts.n, 0) AS tables_detected, coalesce(cs.n, 0) AS candidate_count, candidate_id AS selected_id, coalesce(score >= 3, false) AS authoritative,
+CASE WHEN score >= 3 THEN caption || ' (pages ' || page_start || '-' || page_end || ') is authoritative: ' || reasons WHEN candidate_id IS NOT NULL THEN caption || ' has the highest score' ELSE 'no candidates' END AS rationale, coalesce(sx.c, '') AS stated_counts
+FROM dc LEFT JOIN ts ON ts.doc = dc.doc LEFT JOIN cs ON cs.doc = dc.doc LEFT JOIN rk ON rk.doc = dc.doc AND rk.rank = 1 LEFT JOIN sx ON sx.doc = dc.doc)"""
+
+
+def _discovered(spark, sf):
+    """(pages, tables, stated counts, candidates) of the documents."""
+    table(spark, sf, "part").createOrReplaceTempView("__parts")
+    pages, made = spark.sql(_page_sql.format(p="__parts")), spark.sql(_table_sql.format(p="__parts"))
+    made = made.withColumn("headers", F.split("head", r"\|")).drop("head")
+    stated = discovery.stated_contexts(pages, "doc")
+    return pages, made, stated, discovery.dataset_candidates(discovery.table_groups(made, carried=["headers"]), stated)
+
+
+@query(f"WITH {_discovery_sql} SELECT doc, candidate_id, stated, stated_page, score, rank, rank = 1 AND score >= 3 AS authoritative, reasons FROM rk")
+def dataset_candidates(spark, sf):
+    found = _discovered(spark, sf)[3]
+    return found.select("doc", "candidate_id", "stated", "stated_page", F.col("score").cast("double").alias("score"), "rank", "authoritative", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(f"WITH {_report_sql} SELECT * FROM rp")
+def discovery_reports(spark, sf):
+    pages, made, stated, found = _discovered(spark, sf)
+    return discovery.discovery_report(pages.groupBy("doc").agg(F.count("*").alias("pages")), made, found, stated)
+
+
+@query(f"""WITH {_report_sql}, hs AS (SELECT doc, sha256(string_agg(sha256(text), '' ORDER BY page)) AS digest, lower(string_agg(text, ' ' ORDER BY page) FILTER (page <= 5)) AS front, CAST(sum(length(trim(text, ' '))) AS BIGINT) AS chars FROM pg GROUP BY 1)
+SELECT doc, rp.pages, chars, digest, CASE WHEN contains(front, 'research report') THEN 'research_report' WHEN contains(front, 'policy') AND contains(front, 'framework') THEN 'policy_document' WHEN regexp_matches(front, 'codebook|variable name') THEN 'codebook'
+WHEN contains(front, 'survey report') THEN 'survey_report' WHEN contains(front, 'statistical') THEN 'statistical_report' ELSE 'unknown' END AS document_type, tables_detected, candidate_count, selected_id, authoritative, tables_detected > 0 AS has_tables, chars < 100 AS scanned FROM rp JOIN hs USING (doc)""")
+def document_full_profile(spark, sf):
+    pages, made, stated, found = _discovered(spark, sf)
+    report = discovery.discovery_report(pages.groupBy("doc").agg(F.count("*").alias("pages")), made, found, stated)
+    full = documents.full_profile(pages, report)
+    return full.select("doc", "pages", "chars", "digest", "document_type", "tables_detected", "candidate_count", "selected_id", "authoritative", "has_tables", "scanned")
