@@ -31,6 +31,14 @@ def search(records: DataFrame, needle: str, columns: list[str], order: list[str]
     return records.where(hit).orderBy(*order).offset(offset).limit(limit)
 
 
+def newest(records: DataFrame, time: str, order: str, limit: int = 50, **where) -> DataFrame:
+    """The newest rows first, at most limit (1 to 200) of them, with equal values in the columns of where; nulls come last."""
+    found = records
+    for column, value in where.items():
+        found = found.where(F.col(column) == value)
+    return found.orderBy(F.desc_nulls_last(time), F.desc(order)).limit(min(max(limit, 1), 200))
+
+
 def review_queue(evaluated: DataFrame, flags: DataFrame, key: str = "row_index") -> DataFrame:
     """Records that need a person: REVIEW, invalid, or flagged as duplicates; rank orders by priority."""
     joined = evaluated.join(flags.select(key).distinct().withColumn("duplicate", F.lit(True)), key, "left").fillna(False, ["duplicate"])

@@ -181,6 +181,43 @@ def evidence(evaluated: DataFrame) -> DataFrame:
     return evaluated.select("row_index", F.inline(F.filter(items, lambda i: i.isNotNull())))
 
 
+#: How sure a satisfied rule is, and strengths from this confidence on.
+RULE_SURE, STRONG = "0.90", "0.85"
+
+
+def evidence_full(evaluated: DataFrame, document: str, page: str, notes: str | None = None, key: str = "row_index") -> DataFrame:
+    """(key, evidence_type, claim, confidence, strength, rule_id, inherited_from, document, page): all claims of a decision.
+
+    Beside the record's facts and its classification there is one claim for each rule that it satisfies and one for each conflict, and
+    what a model noted about it, if notes names a column. Classes and chambers of a wider group say where
+    they are inherited from.
+    """
+    text = F.lit(None).cast("string")
+
+    def item(kind: str, claim: Column, sure: Column | str, rule: Column = text, source: Column = text) -> Column:
+        sure = (F.lit(sure) if isinstance(sure, str) else sure).cast("decimal(4,2)")
+        return F.struct(
+            F.lit(kind).alias("evidence_type"), claim.alias("claim"), sure.alias("confidence"), F.when(sure >= F.lit(STRONG).cast("decimal(4,2)"), "STRONG").otherwise("MEDIUM").alias("strength"),
+            rule.alias("rule_id"), source.alias("inherited_from"))
+
+    wide = ~F.coalesce("direct_unit", F.lit(False))
+    single = F.array(
+        F.when(F.col("t") != "", item("SOURCE_FACT", F.concat(F.lit("title:"), F.col("t")), "0.98")), F.when(F.col("code") != "", item("SOURCE_FACT", F.concat(F.lit("code:"), F.col("code")), "0.99")),
+        F.when(~wide, item("DERIVED_CLASSIFICATION", F.concat(F.lit("unit:"), F.coalesce("unit_code", F.lit(""))), "0.95")),
+        F.when(wide & F.col("major_code").isNotNull(), item("DERIVED_CLASSIFICATION", F.concat(F.lit("major:"), F.col("major_code")), "0.75", source=F.concat(F.lit("major group "), F.col("major_code")))),
+        # chambers of the title alone are less sure than those of the classification
+        F.when(F.size("all_chambers") > 0, item("SEMANTIC_INFERENCE", F.concat(F.lit("chambers:"), F.array_join("all_chambers", "; ")), F.when(F.size("chambers") > 0, "0.85").otherwise("0.70"), source=F.when(wide, "sector profile"))),
+        F.when(F.trim(notes) != "", item("LLM_INFERENCE", F.trim(notes), "0.80")) if notes else F.lit(None).cast(evidence_type()))
+    rules = F.transform("rules", lambda r: item("RULE_INFERENCE", F.concat(F.lit("rule:"), r), RULE_SURE, rule=r))
+    conflicts = F.transform("conflicts", lambda c: item("RULE_INFERENCE", F.concat(F.lit("conflict:"), c["type"], F.lit(":"), c["severity"]), "0.99"))
+    every = F.concat(F.filter(single, lambda i: i.isNotNull()), rules, conflicts)
+    return evaluated.select(key, F.inline(every), F.col(document).alias("document"), F.col(page).alias("page"))
+
+
+def evidence_type() -> str:
+    return "struct<evidence_type:string,claim:string,confidence:decimal(4,2),strength:string,rule_id:string,inherited_from:string>"
+
+
 def run_summary(evaluated: DataFrame, key: str = "dataset_id") -> DataFrame:
     """Counts of decisions and conflicts for each dataset."""
     return evaluated.groupBy(key).agg(

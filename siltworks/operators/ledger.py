@@ -41,6 +41,16 @@ def resolve_issues(issues: DataFrame, resolutions: DataFrame, key: str = "row_in
     return issues.join(made, [key, "column"], "left").fillna(False, ["resolved"])
 
 
+def issue_audit(issues: DataFrame, resolutions: DataFrame, key: str = "row_index") -> DataFrame:
+    """(key, column, rule, action, old_value, new_value): the audit of what resolve_issues() resolves, one row for each issue.
+
+    A resolution of an issue that does not exist leaves no row.
+    """
+    made = resolutions.select(key, "column", "fix")
+    return issues.join(made, [key, "column"]).select(
+        key, "column", "rule", F.lit("resolve_issue").alias("action"), F.lit("open").alias("old_value"), F.coalesce(F.concat(F.lit("resolved: "), F.col("fix")), F.lit("resolved")).alias("new_value"))
+
+
 def severity_counts(issues: DataFrame) -> DataFrame:
     """(severity, n) of open issues; error, warning and info are there even with none."""
     spark = issues.sparkSession

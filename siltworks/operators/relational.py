@@ -18,6 +18,19 @@ def primary(records: DataFrame, key: str, fields: list[str], order: str = "row_i
     return records.select(order, made.alias("entity_id"), *columns)
 
 
+#: The certainty of a record that names none.
+SURE = 0.85
+
+
+def placed(table: DataFrame, records: DataFrame, page: str, confidence: str | None = None, order: str = "row_index") -> DataFrame:
+    """A table of primary() or junction() with the source_page and confidence of the record that each row comes from.
+
+    A null page is page 1, and a null certainty, or none at all, is SURE.
+    """
+    sure = F.col(confidence).cast("double") if confidence else F.lit(None).cast("double")
+    return table.join(records.select(order, F.coalesce(page, F.lit(1)).cast("bigint").alias("source_page"), F.coalesce(sure, F.lit(SURE)).alias("confidence")), order)
+
+
 def dimension(records: DataFrame, cell: str, order: str = "row_index", prefix: str = "DIM", width: int = 4) -> DataFrame:
     """(item_id, item_key, item): the distinct items of a list column, numbered by first appearance.
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from ..operators import audit, discovery, documents, knowledge, ledger, lineage, normalise, runs, tables, validation
+from ..operators import audit, curation, discovery, documents, knowledge, ledger, lineage, normalise, relational, runs, tables, validation
 from ..session import remove, settled, shared_folder
 from ..sources import paged
 from . import records as R
 from . import slate
-from .more import ORACLES, QUERIES, SQL_LINES, TOPS
-from .slate import evaluated, query, quoted, table
+from .more import ORACLES, QUERIES, SQL_LINES, TOPS, _family, _tests
+from .slate import evaluated, query, quoted, table, validated
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -610,3 +610,44 @@ def document_full_profile(spark, sf):
     report = discovery.discovery_report(pages.groupBy("doc").agg(F.count("*").alias("pages")), made, found, stated)
     full = documents.full_profile(pages, report)
     return full.select("doc", "pages", "chars", "digest", "document_type", "tables_detected", "candidate_count", "selected_id", "authoritative", "has_tables", "scanned")
+
+
+# ---- evidence, audits, places ------------------------------------------------------------------
+
+_met = f"list_filter([{', '.join(f'CASE WHEN exclusion IS NULL AND {_tests[_family[r]]} THEN {quoted([r])} END' for r, _ in K.POLICIES['occupational_relevance'][2] if _family[r] != 'source')}], lambda x: x IS NOT NULL)"
+_claims = {
+    "SOURCE_FACT:1": ("t <> ''", "'title:' || t", "0.98", "NULL"), "SOURCE_FACT:2": ("code <> ''", "'code:' || code", "0.99", "NULL"), "DERIVED_CLASSIFICATION:1": ("direct_unit", "'unit:' || coalesce(unit_code, '')", "0.95", "NULL"),
+    "DERIVED_CLASSIFICATION:2": ("NOT direct_unit AND major_code IS NOT NULL", "'major:' || major_code", "0.75", "'major group ' || major_code"),
+    "SEMANTIC_INFERENCE:1": ("len(all_chambers) > 0", "'chambers:' || array_to_string(all_chambers, '; ')", "CASE WHEN len(chambers) > 0 THEN 0.85 ELSE 0.70 END", "CASE WHEN NOT direct_unit THEN 'sector profile' END"),
+    "LLM_INFERENCE:1": ("trim(province) <> ''", "trim(province)", "0.80", "NULL"), "RULE_INFERENCE:1": ("c1", "'conflict:CLASSIFICATION_VS_TITLE:critical'", "0.99", "NULL"), "RULE_INFERENCE:2": ("c2", "'conflict:CLASSIFICATION_VS_TITLE:high'", "0.99", "NULL"),
+    "RULE_INFERENCE:3": ("c3", "'conflict:COMPANY_VS_OCCUPATION:medium'", "0.99", "NULL"),
+}
+
+
+@query(f"""WITH {slate.SQL_DECIDED}, d AS (SELECT *, coalesce(direct_unit, false) AS direct_unit_ FROM decided), x AS ({' UNION ALL '.join(f"SELECT row_index, '{k.split(':')[0]}' AS evidence_type, {c} AS claim, CAST({s} AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS rule_id, {i} AS inherited_from FROM decided WHERE {w}" for k, (w, c, s, i) in _claims.items())}
+UNION ALL SELECT row_index, 'RULE_INFERENCE', 'rule:' || r, 0.90, r, NULL FROM (SELECT row_index, unnest({_met}) AS r FROM decided))
+SELECT *, CASE WHEN confidence >= 0.85 THEN 'STRONG' ELSE 'MEDIUM' END AS strength, row_index // 40 AS page FROM x""")
+def evidence_full(spark, sf):
+    e = evaluated(spark, sf).withColumn("page", F.expr("row_index div 40"))
+    found = curation.evidence_full(e, "dataset_id", "page", "province")
+    return found.select("row_index", "evidence_type", "claim", F.col("confidence").cast("double").alias("confidence"), "rule_id", "inherited_from", "strength", "page")
+
+
+@query(f"""WITH {R.SQL}, {slate.SQL_ISSUES} SELECT row_index, "column", rule, 'resolve_issue' AS action, 'open' AS old_value, CASE WHEN row_index % 6 = 0 THEN 'resolved: fixed' ELSE 'resolved' END AS new_value FROM iss WHERE row_index % 3 = 0""")
+def issue_audit(spark, sf):
+    found = validation.issue_rows(validated(spark, sf), "row_index").select("row_index", "column", "rule")
+    made = found.where("row_index % 3 = 0").select("row_index", "column").distinct().withColumn("fix", F.expr("CASE WHEN row_index % 6 = 0 THEN 'fixed' END"))
+    return ledger.issue_audit(found, made)
+
+
+@query(f"""WITH {slate.SQL_DIM}, j AS (SELECT DISTINCT row_index, lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS k FROM (SELECT p_partkey + 1 AS row_index, unnest(regexp_split_to_array({R._pick(R.COLLEGES, 'p_partkey')}, '[;\\n•·]+')) AS x FROM part) WHERE trim(x) <> '')
+SELECT row_index, item_id, CASE WHEN row_index % 7 = 0 THEN 1 ELSE row_index // 40 END AS source_page, CASE WHEN row_index % 3 = 0 THEN 0.85 ELSE 0.5 END::DOUBLE AS confidence FROM j JOIN dm ON dm.item_key = j.k""")
+def junction_places(spark, sf):
+    r = R.records(spark, sf).withColumns({"page": F.expr("CASE WHEN row_index % 7 <> 0 THEN row_index div 40 END"), "sure": F.expr("CASE WHEN row_index % 3 <> 0 THEN 0.5 END")})
+    pairs = relational.junction(r, relational.dimension(r, "colleges"), "colleges")
+    return relational.placed(pairs, r, "page", "sure")
+
+
+@query("SELECT event_id, ts, event_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 50")
+def newest_events(spark, sf):
+    return audit.newest(table(spark, sf, "events"), "ts", "event_id", 50, event_type="click").select("event_id", "ts", "event_type")
