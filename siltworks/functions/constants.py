@@ -252,3 +252,36 @@ REPORT_SECTIONS = [
     "DIRECT FACTUAL RELATIONSHIPS", "DERIVED RESEARCH DATA POINTS", "RECORD-LEVEL KNOWLEDGE (CURATED & AUDITED)", "CURATION GOVERNANCE STATUS", "VALIDATION STATUS", "RESEARCH QUALITY GATES",
     "PROVENANCE & LINEAGE TRACEABILITY", "RESEARCH NOTES & METHODOLOGICAL CONTEXT",
 ]
+
+# Fixed values of the built-in blueprints: name, category and primary key, then fields with their aliases, type, whether required, pattern, least and most, and allowed values.
+BLUEPRINTS = {
+    "qualifications": ("TVET & Higher Education Qualifications", "education", "saqa_id", [
+        ("saqa_id", ["saqa", "saqa id", "qual id", "qualification id", "code", "id"], "string", True, "[0-9]{4,7}", None, None, None),
+        ("qualification_name", ["qualification", "learning programme", "programme", "title", "description"], "string", True, None, None, None, None),
+        ("nqf_level", ["nqf", "level", "nqf level"], "integer", False, None, 1.0, 10.0, None),
+        ("nqf_sub_framework", ["sub-framework", "framework", "subframework", "qualification type"], "string", False, None, None, None, ["OQSF", "HEQSF", "GFETQSF"]),
+        ("nsfas_eligible", ["nsfas", "funded", "bursary", "eligible"], "boolean", False, None, None, None, None),
+        ("participating_colleges", ["college", "colleges", "delivery centre", "offering", "institution", "campus", "tvet", "provider"], "string", False, None, None, None, None),
+    ]),
+    "occupations": ("Occupations in High Demand (OIHD / OFO)", "labour_market", "ofo_code", [
+        ("ofo_code", ["ofo", "ofo code", "occupation code", "code"], "string", True, "[0-9]{4,6}", None, None, None),
+        ("occupation_title", ["occupation", "title", "description", "occupation title"], "string", True, None, None, None, None),
+        ("priority_rank", ["rank", "priority", "demand rank"], "integer", False, None, 1.0, None, None),
+        ("major_group", ["group", "major group", "category"], "string", False, None, None, None, None),
+        ("province", ["province", "region", "location"], "string", False, None, None, None, None),
+        ("entry_qualification", ["qualification", "entry level", "requirement", "minimum qual"], "string", False, None, None, None, None),
+    ]),
+    "codebooks": ("Survey Metadata & Variable Codebooks", "statistics", "variable_name", [
+        ("variable_name", ["variable", "var_name", "variable name", "field"], "string", True, None, None, None, None),
+        ("variable_label", ["label", "var_label", "variable label", "description"], "string", False, None, None, None, None),
+        ("value_code", ["value", "code", "val", "category_code"], "string", False, None, None, None, None),
+        ("value_label", ["value label", "cat_label", "category_label", "meaning"], "string", False, None, None, None, None),
+    ]),
+    "financial": ("Financial Statements & Balance Sheets", "finance", "account_code", [
+        ("account_code", ["account", "code", "item_no", "ref"], "string", False, None, None, None, None),
+        ("line_item", ["description", "line item", "account name", "particulars"], "string", True, None, None, None, None),
+        ("amount", ["amount", "value", "balance", "total", "sum"], "currency", True, None, None, None, None),
+        ("period", ["year", "period", "date", "fy"], "string", False, None, None, None, None),
+    ]),
+    "universal_auto": ("Universal AI Auto-Inferred Schema", "general", None, []),
+}

@@ -181,8 +181,20 @@ def evidence(evaluated: DataFrame) -> DataFrame:
     return evaluated.select("row_index", F.inline(F.filter(items, lambda i: i.isNotNull())))
 
 
-#: How sure a satisfied rule is, and strengths from this confidence on.
-RULE_SURE, STRONG = "0.90", "0.85"
+#: From this confidence on evidence is strong.
+STRONG = "0.85"
+
+
+def _rule_sure(rule: Column) -> Column:
+    """How sure a satisfied rule is: by its family, and by what the title and the classification say."""
+    direct = F.coalesce("direct_unit", F.lit(False))
+    sure = {
+        "sector": F.when(direct | (F.size("all_chambers") > 0), "0.95").otherwise("0.85"), "classification": F.when(direct, "0.95").otherwise("0.75"),
+        "context": F.lit("0.85"), "process": F.lit("0.90"), "source": F.lit("0.90")}
+    out = F.lit(None).cast("string")
+    for family, rules in K.RULE_FAMILIES.items():
+        out = F.when(rule.isin(rules), sure[family]).otherwise(out)
+    return out
 
 
 def evidence_full(evaluated: DataFrame, document: str, page: str, notes: str | None = None, key: str = "row_index") -> DataFrame:
@@ -208,7 +220,7 @@ def evidence_full(evaluated: DataFrame, document: str, page: str, notes: str | N
         # chambers of the title alone are less sure than those of the classification
         F.when(F.size("all_chambers") > 0, item("SEMANTIC_INFERENCE", F.concat(F.lit("chambers:"), F.array_join("all_chambers", "; ")), F.when(F.size("chambers") > 0, "0.85").otherwise("0.70"), source=F.when(wide, "sector profile"))),
         F.when(F.trim(notes) != "", item("LLM_INFERENCE", F.trim(notes), "0.80")) if notes else F.lit(None).cast(evidence_type()))
-    rules = F.transform("rules", lambda r: item("RULE_INFERENCE", F.concat(F.lit("rule:"), r), RULE_SURE, rule=r))
+    rules = F.transform("rules", lambda r: item("RULE_INFERENCE", F.concat(F.lit("rule:"), r), _rule_sure(r), rule=r))
     conflicts = F.transform("conflicts", lambda c: item("RULE_INFERENCE", F.concat(F.lit("conflict:"), c["type"], F.lit(":"), c["severity"]), "0.99"))
     every = F.concat(F.filter(single, lambda i: i.isNotNull()), rules, conflicts)
     return evaluated.select(key, F.inline(every), F.col(document).alias("document"), F.col(page).alias("page"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from ..operators import audit, curation, discovery, documents, knowledge, ledger, lineage, normalise, relational, runs, tables, validation
+from ..operators import audit, blueprints, curation, discovery, documents, knowledge, ledger, lineage, normalise, relational, runs, tables, validation
 from ..session import remove, settled, shared_folder
 from ..sources import paged
 from . import records as R
@@ -624,8 +624,9 @@ _claims = {
 }
 
 
-@query(f"""WITH {slate.SQL_DECIDED}, d AS (SELECT *, coalesce(direct_unit, false) AS direct_unit_ FROM decided), x AS ({' UNION ALL '.join(f"SELECT row_index, '{k.split(':')[0]}' AS evidence_type, {c} AS claim, CAST({s} AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS rule_id, {i} AS inherited_from FROM decided WHERE {w}" for k, (w, c, s, i) in _claims.items())}
-UNION ALL SELECT row_index, 'RULE_INFERENCE', 'rule:' || r, 0.90, r, NULL FROM (SELECT row_index, unnest({_met}) AS r FROM decided))
+@query(f"""WITH {slate.SQL_DECIDED}, x AS ({' UNION ALL '.join(f"SELECT row_index, '{k.split(':')[0]}' AS evidence_type, {c} AS claim, CAST({s} AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS rule_id, {i} AS inherited_from FROM decided WHERE {w}" for k, (w, c, s, i) in _claims.items())}
+UNION ALL SELECT row_index, 'RULE_INFERENCE', 'rule:' || r, CASE r WHEN 'direct_sector_match' THEN CASE WHEN direct_unit OR len(all_chambers) > 0 THEN 0.95 ELSE 0.85 END WHEN 'occupational_classification' THEN CASE WHEN direct_unit THEN 0.95 ELSE 0.75 END
+WHEN 'manufacturing_context' THEN 0.85 ELSE 0.90 END, r, NULL FROM (SELECT row_index, direct_unit, all_chambers, unnest({_met}) AS r FROM decided))
 SELECT *, CASE WHEN confidence >= 0.85 THEN 'STRONG' ELSE 'MEDIUM' END AS strength, row_index // 40 AS page FROM x""")
 def evidence_full(spark, sf):
     e = evaluated(spark, sf).withColumn("page", F.expr("row_index div 40"))
@@ -651,3 +652,32 @@ def junction_places(spark, sf):
 @query("SELECT event_id, ts, event_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 50")
 def newest_events(spark, sf):
     return audit.newest(table(spark, sf, "events"), "ts", "event_id", 50, event_type="click").select("event_id", "ts", "event_type")
+
+
+# ---- blueprints --------------------------------------------------------------------------------
+
+_names = ["Qualifications", "occupations", "CODEBOOKS", "financial", "other", ""]
+
+
+@query(f"""WITH x AS (SELECT p_partkey AS id, lower({R._pick(_names, 'p_partkey')}) AS b FROM part), k(b, n) AS (VALUES {', '.join(f"('{b}', {len(v[3])})" for b, v in K.BLUEPRINTS.items())})
+SELECT id, coalesce(k.b, 'universal_auto') AS blueprint, CAST(coalesce(k.n, 0) AS BIGINT) AS fields FROM x LEFT JOIN k ON k.b = x.b""")
+def blueprint_lookup(spark, sf):
+    named = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), blueprints.chosen(F.expr(R._pick(_names, "p_partkey"))).alias("blueprint"))
+    sizes = blueprints.fields(spark).groupBy("blueprint").agg(F.count("*").alias("fields"))
+    return named.join(F.broadcast(sizes), "blueprint", "left").select("id", "blueprint", F.coalesce("fields", F.lit(0)).cast("bigint").alias("fields"))
+
+
+_print = [(f[0], f[1]) for f in K.BLUEPRINTS["qualifications"][3]]
+_print_rules = [
+    ("saqa_id", "required", "error", "x = ''"), ("saqa_id", "pattern", "error", "x <> '' AND NOT regexp_full_match(x, '[0-9]{4,7}')"), ("qualification_name", "required", "error", "x = ''"),
+    ("nqf_level", "range", "error", "x <> '' AND coalesce(NOT try_cast(x AS DOUBLE) BETWEEN 1 AND 10, true)"), ("nqf_level", "integer", "warning", "x <> '' AND NOT regexp_full_match(x, '[+-]?[0-9]+')"),
+    ("nqf_sub_framework", "allowed", "warning", "x <> '' AND x NOT IN ('OQSF', 'HEQSF', 'GFETQSF')"),
+]
+
+
+@query(f"WITH {_sql_fields(QUALIFICATION_LAYOUTS, _print, ['saqa_id'], 3, {}, ['no such text'])} " + " UNION ALL ".join(
+    f"SELECT table_id * 1000 + row_index AS id, '{c}' AS \"column\", '{r}' AS rule, '{s}' AS severity, x AS value FROM (SELECT *, {c} AS x FROM nm) WHERE {w}" for c, r, s, w in _print_rules))
+def blueprint_issues(spark, sf):
+    read = blueprints.read(sheet(spark, sf, QUALIFICATION_LAYOUTS), "qualifications")
+    named = read.select((F.col("table_id") * 1000 + F.col("row_index")).alias("id"), *[f for f, _ in _print])
+    return validation.issues_by_rules(named, "id", blueprints.rules(spark, "qualifications"))
