@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siltworks.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
 from siltworks.llm.common import ready
 from siltworks.llm.shards import keyed
-from siltworks.session import importable
+from siltworks.session import importable, remove
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,13 +86,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents; what each keeps goes through Parquet in the shared folder."""
+    """All stages in turn over documents; what each keeps goes through Parquet in the shared folder.
+
+    A stage's Parquet goes once the next one is written; that of the last but one stays, as the result reads it.
+    """
     ready(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                remove(spark, before)
+            before = f"{folder}/{name}"
     return docs
