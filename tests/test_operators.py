@@ -24,6 +24,16 @@ def test_coverage_of_parts_is_that_of_the_whole(spark):
     assert abs(r.distinct_estimate - len({a for a, _ in filled})) <= 2
 
 
+@pytest.mark.parametrize("cut", ["i % 3 = 0", "i < 20"])
+def test_coverage_of_many_values_is_that_of_the_whole(spark, cut):
+    df = spark.range(5000).selectExpr("id as i", "0 as dataset_id", "concat('K', id) as a").coalesce(1)
+    estimates = [
+        audit.coverage_report(c).first().distinct_estimate for c in (
+            audit.coverage(df, {"a": None}), audit.coverage(df.repartition(5, "i"), {"a": None}),
+            audit.merged_coverage(audit.coverage(df.where(cut), {"a": None}).unionByName(audit.coverage(df.where(f"not ({cut})"), {"a": None}))))]
+    assert len(set(estimates)) == 1 and abs(estimates[0] - 5000) < 500
+
+
 def test_deletions_follow_any_number_of_levels(spark):
     tree = [("p", None, "project"), ("d1", "p", "dataset"), ("d2", "p", "dataset"), ("c", "d1", "document"), ("r1", "c", "record"), ("r2", "c", "record"), ("x", "gone", "record"), (None, "c", "record")]
     nodes = spark.createDataFrame(tree, "id string, parent string, kind string")
