@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from pyspark.sql import types as T
 from . import constants as K
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often use names it; an alias is put in again at each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """White space of any kind as single spaces, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

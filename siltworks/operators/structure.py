@@ -36,17 +36,18 @@ def stitch(rows: DataFrame, id_col: str, columns: list[str], keys: list[str], or
     return packed.select(*keys, F.col("__island").cast("bigint").alias("record"), *[merged(c).alias(c) for c in [id_col, *columns]])
 
 
-def running_count(rows: DataFrame, keys: list[str], order: str, flag: Column, name: str, block: Column | None = None, size: int = 65_536) -> DataFrame:
-    """rows plus name: how many rows of its group up to and with each have the flag.
+def running_count(rows: DataFrame, keys: list[str], order: str, flag: Column, name: str, block: Column | None = None, size: int = 65_536, first: bool = False) -> DataFrame:
+    """rows plus name: how many rows of its group up to and with each have the flag; with first, a group's first row counts in any case.
 
     Rows are counted in blocks, which follow the order, and moved on by what the blocks before hold, so a group of
     any size is spread over tasks. A block is `size` values of a whole-numbered order unless given.
     """
     block = F.floor(F.col(order) / size) if block is None else block
     marked = rows.withColumns({"__block": block, "__flag": flag.cast("bigint")})
-    sums = marked.groupBy(*keys, "__block").agg(F.sum("__flag").alias("__sum"))
-    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*keys, "__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    sums = marked.groupBy(*keys, "__block").agg(F.sum("__flag").alias("__sum"), F.min_by("__flag", order).alias("__first"))
+    blocks = Window.partitionBy(*keys).orderBy("__block")
+    extra = 1 - F.coalesce(F.first("__first").over(blocks), F.lit(0)) if first else F.lit(0)
+    base = sums.select(*keys, "__block", (F.coalesce(F.sum("__sum").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + extra).alias("__base"))
     within = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     counted = marked.withColumn("__within", F.sum("__flag").over(within)).join(base, [*keys, "__block"])
     return counted.withColumn(name, F.col("__base") + F.col("__within")).drop("__block", "__flag", "__within", "__base")

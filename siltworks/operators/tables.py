@@ -132,25 +132,24 @@ def column_places(headers: Column, columns: Column) -> Column:
             out = F.when(here, pick(own, own_but)).otherwise(out)
         return out
 
-    def step(found: Column, head: Column) -> Column:
-        snake, low = X.snake_case(head), F.lower(head)
-
+    def place(found: Column, head: Column, snake: Column, low: Column) -> Column:
         def first(test) -> Column:
             hits = F.transform(columns, lambda c, k: (F.get(found, k) < 0) & test(c))
             return F.nullif(F.array_position(hits, True), F.lit(0))
 
         alike = first(lambda c: (c == snake) | F.startswith(snake, c) | F.startswith(c, snake))
         kin = family(low, lambda own, but: first(lambda c: _any(c, own) & ~_any(c, but)))
-        at = F.when(head != "", F.coalesce(alike, kin)) - 1
+        return F.when(head != "", F.coalesce(alike, kin)) - 1
+
+    def step(found: Column, head: Column) -> Column:
         # the header's own number is that of headers seen so far, kept as the last element
         seen = F.get(found, F.size(columns))
-        moved = F.transform(found, lambda x, k: F.when(k == at, seen).when(k == F.size(columns), seen + 1).otherwise(x))
-        return moved
+        at = X.bound(F.struct(X.snake_case(head).alias("snake"), F.lower(head).alias("low")), lambda h: place(found, head, h["snake"], h["low"]))
+        return X.bound(at, lambda a: F.transform(found, lambda x, k: F.when(k == a, seen).when(k == F.size(columns), seen + 1).otherwise(x)))
 
     start = F.array_append(F.transform(columns, lambda c: F.lit(-1)), F.lit(0))
     named = F.slice(F.aggregate(tidy(headers), start, step), 1, F.size(columns))
-    enough = F.size(F.filter(named, lambda i: i >= 0)) >= 2
-    return F.when(enough, named).otherwise(F.transform(columns, lambda c, k: k))
+    return X.bound(named, lambda at: F.when(F.size(F.filter(at, lambda i: i >= 0)) >= 2, at).otherwise(F.transform(columns, lambda c, k: k)))
 
 
 def _any(c: Column, parts: list[str]) -> Column:
@@ -162,10 +161,17 @@ def _any(c: Column, parts: list[str]) -> Column:
 
 def record(columns: Column, at: Column, cells: Column) -> Column:
     """map(column, cell) of a row; columns without a header take the cells without one in order, and are empty beyond the row's end."""
-    spare = F.filter(F.transform(cells, lambda c, i: F.when(~F.array_contains(at, i), i).otherwise(F.lit(-1))), lambda i: i >= 0)
-    lacking = F.transform(at, lambda x, k: F.size(F.filter(F.slice(at, 1, k), lambda y: y < 0)))
-    value = F.transform(columns, lambda c, k: F.coalesce(F.get(cells, F.when(F.get(at, k) >= 0, F.get(at, k)).otherwise(F.get(spare, F.get(lacking, k)))), F.lit("")))
-    return F.map_from_arrays(columns, value)
+    def values(own: Column) -> Column:
+        def value(c: Column, k: Column) -> Column:
+            lacking = F.size(F.filter(F.slice(at, 1, k), lambda y: y < 0))
+            return F.coalesce(F.get(own["cells"], F.when(F.get(at, k) >= 0, F.get(at, k)).otherwise(F.get(own["spare"], lacking))), F.lit(""))
+
+        return F.transform(columns, value)
+
+    def spare(c: Column) -> Column:
+        return F.filter(F.transform(c, lambda x, i: F.when(~F.array_contains(at, i), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+
+    return F.map_from_arrays(columns, X.bound(cells, lambda c: X.bound(F.struct(c.alias("cells"), spare(c).alias("spare")), values)))
 
 
 PLACE = ["page", "table_index"]
@@ -182,24 +188,26 @@ def document_records(heads: DataFrame, rows: DataFrame, doc: str = "doc") -> Dat
     """
     first = heads.groupBy(doc).agg(F.min_by("headers", F.struct(*PLACE)).alias("first"))
     first = first.withColumn("first", tidy(F.col("first")))
+
+    def unique(names: Column) -> Column:
+        # repeated names get a number, as a dataset's columns must differ
+        return F.transform(names, lambda n, k: F.when(F.size(F.filter(F.slice(names, 1, k), lambda m: m == n)) == 0, n).otherwise(
+            F.concat(n, F.lit("_"), (F.size(F.filter(F.slice(names, 1, k), lambda m: m == n)) + 1).cast("string"))))
+
     names = F.transform("first", lambda h: X.snake_case(h))
-    # repeated names get a number, as a dataset's columns must differ
-    unique = F.transform(names, lambda n, k: F.when(F.size(F.filter(F.slice(names, 1, k), lambda m: m == n)) == 0, n).otherwise(
-        F.concat(n, F.lit("_"), (F.size(F.filter(F.slice(names, 1, k), lambda m: m == n)) + 1).cast("string"))))
-    known = heads.join(first.withColumn("columns", unique), doc)
+    known = heads.join(first.withColumn("columns", X.bound(names, unique)).hint("merge"), doc)
     low = F.transform(tidy(F.col("headers")), lambda h: F.lower(h))
     known = known.select(
         doc, *PLACE, "columns", F.filter(F.transform("first", lambda h: F.lower(h)), lambda h: h != "").alias("canon"), column_places(F.col("headers"), F.col("columns")).alias("at"),
         id_column(F.col("headers")).cast("int").alias("id_at"), F.transform(low, lambda h: _any(h, K.INSTITUTION_PARTS)).alias("lists"))
-    body = rows.join(known, [doc, *PLACE]).withColumn("c", tidy(F.col("cells"))).where(F.exists("c", lambda x: x != ""))
-    low_cells = F.transform("c", lambda x: F.lower(x))
-    again = F.size(F.filter("canon", lambda h: F.array_contains(low_cells, h))) >= 2
-    body = body.where(~((F.size("canon") >= 2) & (F.size("c") >= 2) & again))
+    # texts made from small columns look small enough to broadcast
+    body = rows.select(doc, *PLACE, "row_index", tidy(F.col("cells")).alias("c")).join(known.hint("merge"), [doc, *PLACE])
+    again = X.bound(F.transform("c", lambda x: F.lower(x)), lambda low_cells: F.size(F.filter("canon", lambda h: F.array_contains(low_cells, h)))) >= 2
+    # one condition of both sides, which is tested once for each row, where the join has it
+    body = body.where(F.when((F.size("canon") >= 2) & (F.size("c") >= 2) & again, F.lit(False)).otherwise(F.exists("c", lambda x: x != "")))
     blank_id = F.coalesce(F.get("c", F.col("id_at")), F.lit("")) == ""
     body = body.withColumn("__place", F.struct(*PLACE, "row_index"))
-    top = body.groupBy(doc).agg(F.min("__place").alias("__top"))
-    body = body.join(top, doc).withColumn("__new", ~blank_id | (F.col("__place") == F.col("__top")))
-    body = running_count(body, [doc], "__place", F.col("__new"), "record_no", F.col("page"))
+    body = running_count(body, [doc], "__place", ~blank_id, "record_no", F.col("page"), first=True)
     packed = body.groupBy(doc, "record_no").agg(F.array_sort(F.collect_list(F.struct(*PLACE, "row_index", "c", "lists"))).alias("__rows"), F.min_by(F.struct("columns", "at"), "__place").alias("__map"))
 
     def merged(held: Column, r: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as X
 from ..operators import audit, blueprints, curation, discovery, documents, knowledge, ledger, lineage, normalise, relational, runs, tables, validation
-from ..session import remove, settled, shared_folder
+from ..session import remove, settled, shared_folder, spread
 from ..sources import paged
 from . import records as R
 from . import slate
@@ -144,7 +144,7 @@ def _doc_rows(part: str) -> tuple[str, str]:
 
 
 def document_tables(spark, sf):
-    table(spark, sf, "part").createOrReplaceTempView("__parts")
+    spread(table(spark, sf, "part"), "p_partkey").createOrReplaceTempView("__parts")
     heads, rows = (spark.sql(q) for q in _doc_rows("__parts"))
     return heads.withColumn("headers", F.split("head", r"\|")).drop("head"), rows.withColumn("cells", F.split("line", r"\|")).drop("line")
 

@@ -54,6 +54,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that a task works on.
+ROWS = 100_000
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table as read from files, dealt out by its key in tasks of about ROWS rows.
+
+    Columns that compress well put millions of rows in one split of a file; rows are counted by the files' footers.
+    """
+    n = -(-df.count() // ROWS)
+    return df.repartition(n, key) if n > 1 else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store it lies."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,8 +2,10 @@
 
 import pytest
 
+from siltworks import session
 from siltworks.functions import constants as K
 from siltworks.operators import structure, tables
+from siltworks.plans import grids
 from pyspark.sql import functions as F
 
 GRID = "table_id long, row_index long, cells array<string>, header_row string"
@@ -72,3 +74,22 @@ def test_documents_keep_the_first_tables_columns(spark):
     # repeated headers get numbers; a first row without an id is a record
     assert got[2, 1].record == {"a": "", "a_2": "only", "column": ""} and got[2, 2].record == {"a": "1", "a_2": "2", "column": "3"}
     assert tables.document_records(heads, rows.limit(0)).collect() == []
+
+
+def test_documents_are_dealt_out_by_rows(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(map(repr, grids.document_records(spark, sf).collect()))
+    monkeypatch.setattr(session, "ROWS", 20)
+    heads, rows = grids.document_tables(spark, sf)
+    assert rows.rdd.getNumPartitions() == -(-rows.count() // 20) > 1
+    found = tables.document_records(heads, rows)
+    # texts made from one number look small, but are not sent whole to every task
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "table_index" in x]
+    assert sorted(map(repr, grids.document_records(spark, sf).collect())) == whole
+
+
+def test_the_first_row_of_a_group_counts(spark):
+    df = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 9, False), ("b", 1, True), ("b", 5, True), ("c", 7, None)], "k string, i int, f boolean")
+    got = {(r.k, r.i): r.n for r in structure.running_count(df, ["k"], "i", F.coalesce("f", F.lit(False)), "n", F.col("i").cast("long"), first=True).collect()}
+    assert got == {("a", 1): 1, ("a", 2): 2, ("a", 9): 2, ("b", 1): 1, ("b", 5): 2, ("c", 7): 1}
