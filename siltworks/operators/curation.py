@@ -165,8 +165,8 @@ def evaluate(records: DataFrame, policy: str = "occupational_relevance", exclude
     )
 
 
-def evidence(evaluated: DataFrame) -> DataFrame:
-    """(row_index, evidence_type, claim, confidence): the claims that a decision rests on."""
+def evidence(evaluated: DataFrame, *carried: str) -> DataFrame:
+    """(row_index, carried columns, evidence_type, claim, confidence): the claims that a decision rests on."""
     def item(ok, kind, claim, sure):
         return F.when(ok, F.struct(F.lit(kind).alias("evidence_type"), claim.alias("claim"), F.lit(sure).cast("decimal(4,2)").alias("confidence")))
 
@@ -178,7 +178,7 @@ def evidence(evaluated: DataFrame) -> DataFrame:
         item(F.size("all_chambers") > 0, "SEMANTIC_INFERENCE", F.concat(F.lit("chambers:"), F.array_join("all_chambers", "; ")), "0.80"),
         item(F.size("conflicts") > 0, "RULE_INFERENCE", F.concat(F.lit("conflicts:"), F.size("conflicts").cast("string")), "0.99"),
     )
-    return evaluated.select("row_index", F.inline(F.filter(items, lambda i: i.isNotNull())))
+    return evaluated.select("row_index", *carried, F.inline(F.filter(items, lambda i: i.isNotNull())))
 
 
 #: From this confidence on evidence is strong.

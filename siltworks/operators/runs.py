@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from . import curation
 
 REPLACED = ("decisions", "conflicts", "evidence")
@@ -82,13 +83,17 @@ def write_tables(evaluated: DataFrame, folder: str, run_id: str, policy: str, ke
     made = _read(spark, f"{folder}/decisions/run_id={run_id}")
     if made is None:
         return
+    count = made.count()
+    stored, made = made, spread(made, key, rows=count)
     _put(made.select(key, "dataset_id", F.inline("conflicts")), folder, "conflicts", run_id)
-    _put(curation.evidence(made).join(made.select(key, "dataset_id"), key), folder, "evidence", run_id)
+    _put(curation.evidence(made, "dataset_id"), folder, "evidence", run_id)
     # listed now, as a first attempt's files are gone since the decisions were written
     before = spark.createDataFrame([], "dataset_id string, k string, previous_value string")
     if not last_commits(spark, folder).isEmpty():
         before = current(spark, folder, "decisions").select("dataset_id", F.col(key).cast("string").alias("k"), F.col("decision").alias("previous_value"))
-    entry = made.withColumn("k", F.col(key).cast("string")).join(before, ["dataset_id", "k"], "left")
+        count = max(count, before.count())
+    sides = [spread(side, "dataset_id", "k", rows=count) for side in (stored.withColumn("k", F.col(key).cast("string")), before)]
+    entry = sides[0].join(sides[1], ["dataset_id", "k"], "left")
     entry = entry.select(
         key, "dataset_id", F.lit("CURATION").alias("stage"), F.lit("curation_decision").alias("field"), F.coalesce("previous_value", F.lit("unprocessed")).alias("previous_value"),
         F.col("decision").alias("new_value"), F.col("reason_code").alias("reason"), F.lit("CurationEngine").alias("actor"), F.lit(policy).alias("actor_id"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 TITLES = [
     "Mechanical Engineering Technician", "Accountant", "Operations Manager", "Operations Manager: Tool and Die", "Boiler Maker (Artisan)",
     "Primary School Teacher", "Industrial Nurse", "Nurse", "Welder", "Plastics Machine Operator", "Tyre Builder", "", "Bookkeeper",
@@ -41,4 +43,4 @@ SQL = "r AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in COLUMNS.items()) + "
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*[f"{e} AS {n}" for n, e in COLUMNS.items()])
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey").selectExpr(*[f"{e} AS {n}" for n, e in COLUMNS.items()])

@@ -58,13 +58,14 @@ def settled(df: DataFrame) -> DataFrame:
 ROWS = 100_000
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table as read from files, dealt out by its key in tasks of about ROWS rows.
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """A table as read from files, dealt out by its keys in tasks of about ROWS rows.
 
-    Columns that compress well put millions of rows in one split of a file; rows are counted by the files' footers.
+    Columns that compress well put millions of rows in one split of a file, or in one partition of a shuffle that is
+    joined by bytes. Rows are counted by the files' footers unless given.
     """
-    n = -(-df.count() // ROWS)
-    return df.repartition(n, key) if n > 1 else df
+    n = -(-(df.count() if rows is None else rows) // ROWS)
+    return df.repartition(n, *keys) if n > 1 else df
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -1,6 +1,8 @@
 """Runs that replace earlier ones, and runs that end half way."""
 
+from siltworks import session
 from siltworks.operators import curation, runs, validation
+from siltworks.plans import slate
 from pyspark.sql import functions as F
 
 SCHEMA = [("title", True, "string"), ("ofo_code", False, "string")]
@@ -69,3 +71,19 @@ def test_nothing_to_run(spark, tmp_path):
     folder = str(tmp_path / "store")
     runs.run(made(spark, FIRST[3:]), folder, "none", "occupational_relevance")
     assert shown(spark, folder) == [] and runs.ledger(spark, folder).collect() == [] and runs.commits(spark, folder).collect() == []
+
+
+def test_tables_are_written_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "ROWS", 30)
+    e = slate.evaluated(spark, "/root/testdata/sf0.001")
+    n = e.count()
+    assert e.rdd.getNumPartitions() == -(-n // 30) > 1
+    runs.run(e, str(tmp_path), "first", "p")
+    runs.run(e.where("row_index % 2 = 0"), str(tmp_path), "second", "p")
+    # a file holds rows of one task and one dataset
+    for table in ("decisions", "evidence", "ledger"):
+        files = {str(f).split("part-")[1][:5] for f in (tmp_path / table / "run_id=first").glob("*/part-*")}
+        assert len(files) == -(-n // 30), table
+    assert runs.ledger(spark, str(tmp_path)).count() == n + e.where("row_index % 2 = 0").count()
+    kept = runs.current(spark, str(tmp_path), "decisions")
+    assert kept.count() == kept.where("row_index % 2 = 0 and run_id = 'second'").count() == e.where("row_index % 2 = 0").count()
