@@ -93,3 +93,13 @@ def test_the_first_row_of_a_group_counts(spark):
     df = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 9, False), ("b", 1, True), ("b", 5, True), ("c", 7, None)], "k string, i int, f boolean")
     got = {(r.k, r.i): r.n for r in structure.running_count(df, ["k"], "i", F.coalesce("f", F.lit(False)), "n", F.col("i").cast("long"), first=True).collect()}
     assert got == {("a", 1): 1, ("a", 2): 2, ("a", 9): 2, ("b", 1): 1, ("b", 5): 2, ("c", 7): 1}
+
+
+@pytest.mark.parametrize("name", ["stated_contexts"])
+def test_rows_of_a_table_are_dealt_out(spark, monkeypatch, name):
+    sf = "/root/testdata/sf0.001"
+    ask = getattr(grids, name)
+    whole = sorted(map(repr, ask(spark, sf).collect()))
+    monkeypatch.setattr(session, "ROWS", 60)
+    assert "REPARTITION_BY_NUM" in ask(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, ask(spark, sf).collect())) == whole
