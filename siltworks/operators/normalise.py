@@ -23,12 +23,16 @@ def parsed(c: Column) -> Column:
     return F.from_json(c, "map<string,string>", {"mode": "PERMISSIVE"})
 
 
+def _wide(text: Column) -> Column:
+    """Whether a text has characters beyond ASCII."""
+    return F.octet_length(text) != F.length(text)
+
+
 def cleaned(values: Column) -> Column:
     """Texts in compatibility form with plain marks and single spaces; only lists with a text beyond ASCII go through Python."""
-    plain = F.transform(values, lambda v: X.plain_letters(v))
-    wide = F.exists(plain, lambda v: F.coalesce(v.rlike(r"[^\x00-\x7F]"), F.lit(False)))
-    forms = F.coalesce(_nfkc_each(F.when(wide, plain)), plain)
-    return F.transform(forms, lambda v: X.collapse(X.plain_marks(v)))
+    plain = F.transform(values, lambda v: F.when(_wide(v), X.plain_letters(v)).otherwise(v))
+    forms = F.coalesce(_nfkc_each(X.bound(plain, lambda p: F.when(F.exists(p, lambda v: F.coalesce(_wide(v), F.lit(False))), p))), plain)
+    return F.transform(forms, lambda v: X.collapse(F.when(_wide(v), X.plain_marks(v)).otherwise(v)))
 
 
 def code_field(field: Column) -> Column:
@@ -47,14 +51,13 @@ def normalised(record: Column) -> Column:
     yes and no words are true and false; regions have their full names. changed says whether the value
     differs from the raw text; a null and an empty raw text do not count as changed.
     """
-    pairs = F.arrays_zip(F.map_keys(record).alias("field"), F.map_values(record).alias("raw"), cleaned(F.map_values(record)).alias("text"))
     regions = F.create_map(*[F.lit(x) for kv in K.PROVINCES.items() for x in kv])
 
     def cell(p: Column) -> Column:
-        field, raw, text = p["field"], p["raw"], p["text"]
-        low, code = F.lower(text), code_field(p["field"])
+        field, raw, text, low = p["field"], p["raw"], p["text"], p["low"]
+        code = code_field(field)
         region = F.when(F.lower(field).rlike("prov|region"), F.try_element_at(regions, low))
-        whole, part = ~code & text.rlike("^-?[0-9]+$"), ~code & text.rlike(r"^-?[0-9]+\.[0-9]+$")
+        whole, part = text.rlike("^-?[0-9]+$") & ~code, text.rlike(r"^-?[0-9]+\.[0-9]+$") & ~code
         yes, no = low.isin("yes", "true", "y"), low.isin("no", "false", "n")
 
         def out(value: Column, kind: str, changed: Column) -> Column:
@@ -66,9 +69,14 @@ def normalised(record: Column) -> Column:
             .when(low.isin(K.NULL_TOKENS), out(F.lit(None), "null", F.regexp_replace(raw, r"(?U)\s+", "") != ""))
             .when(whole, out(number, "integer", raw != text)).when(part, out(text, "float", raw != text))
             .when(yes, out(F.lit("true"), "boolean", raw != "True")).when(no, out(F.lit("false"), "boolean", raw != "False"))
-            .when(region.isNotNull(), out(region, "string", region != text)).otherwise(out(text, "string", text != raw)))
+            .otherwise(X.bound(region, lambda r: out(F.coalesce(r, text), "string", F.coalesce(r != text, text != raw)))))
+
+    def cells(m: Column) -> Column:
+        pairs = F.arrays_zip(m["fields"].alias("field"), m["raw"].alias("raw"), m["text"].alias("text"), F.transform(m["text"], lambda t: F.lower(t)).alias("low"))
+        return F.map_from_arrays(m["fields"], F.transform(pairs, cell))
 
-    return F.map_from_arrays(F.map_keys(record), F.transform(pairs, cell))
+    texts = F.struct(F.map_keys(record).alias("fields"), F.map_values(record).alias("raw"), cleaned(F.map_values(record)).alias("text"))
+    return F.when(record.isNotNull(), X.bound(texts, cells))
 
 
 def as_json(values: Column) -> Column:

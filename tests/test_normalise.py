@@ -3,6 +3,7 @@
 import json
 
 from siltworks.operators import normalise as N
+from siltworks.plans import grids
 from pyspark.sql import functions as F
 
 
@@ -33,3 +34,11 @@ def test_json_and_variant_round_trip(spark):
     assert json.loads(out[0].j) == {"ofo_code": "007", "n": 12, "deep": '{"a":[1,2]}', 'q"k': 'say "hi" \\', "ok": True, "f": -0.5, "none": None}
     assert (out[0].n, out[0].c) == (12, "007")
     assert all(out[i].j in (None, "{}") for i in range(1, 5))
+
+
+def test_records_are_worked_out_once(spark):
+    for name in ("record_normalise", "record_variant"):
+        plan = getattr(grids, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("ArrowEvalPython" in line for line in plan.splitlines()) == 1
+        # no filter holds the work on values
+        assert not [line for line in plan.splitlines() if "Filter" in line and "map_from_arrays" in line]
