@@ -16,6 +16,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ SHIFT = 16
 #: Benchmark texts of at most this many bytes are sent to the tasks as one index; a larger benchmark is joined by a shuffle.
 INDEX_BYTES = 32 << 20
 CACHED_WORDS = 300_000
+#: Words of texts that are looked up together.
+TOGETHER = 1 << 15
+#: Bits of a hash that say at once that most windows are not in the index, beyond those that number its windows.
+SIEVE = 4
 #: Words that are units after a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mile miles inch inches foot feet meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -53,8 +58,7 @@ ODD_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f
 CLOSERS = "\"')]}”’»"
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text)
+_hash = xxhash.xxh64_intdigest
 
 
 NUM_HASH, UNIT_HASH, NAME_HASH, MEASURE_HASH = map(_hash, ("<num>", "<unit>", "<name>", "<num><unit>"))
@@ -71,47 +75,62 @@ class Templates:
         self.ends = np.zeros(CACHED_WORDS, bool)
         self.number = np.zeros(CACHED_WORDS, bool)
 
-    def add(self, word: str) -> int:
-        core = word.strip(OUTER)
-        low = core.lower()
-        h = _hash(low)
-        at = self.index[word] = len(self.index)
-        plain = core.isalpha()
-        if not plain and NUMBER.match(core):
-            self.tokens[at], self.kinds[at] = NUM_HASH, NUM
-        elif not plain and (MEASURE.match(core) or MONEY.match(core)):
-            self.tokens[at], self.kinds[at] = MEASURE_HASH, UNIT
-        else:
-            tokens, kinds = [h, h, h], [LITERAL] * 3
-            if len(core) > 1 and core[0].isupper() and core[1:].islower():
-                tokens[0] = tokens[2] = NAME_HASH
-                kinds[0] = kinds[2] = NAME
+    def add(self, words: list[str]) -> None:
+        """Remember words that are new, each once."""
+        at = len(self.index)
+        own = slice(at, at + len(words))
+        self.index.update(zip(words, range(at, at + len(words))))
+        cores = [w.strip(OUTER) for w in words]
+        lows = [c.lower() for c in cores]
+        self.tokens[own] = np.fromiter(map(_hash, lows), np.uint64, len(lows))[:, None]
+        self.kinds[own], self.ends[own] = LITERAL, False
+        numbers, measures, names, units, ends = [], [], [], [], []
+        for k, (word, core, low) in enumerate(zip(words, cores, lows), at):
+            plain = core.isalpha()
+            if not (plain and word == low):
+                if word.rstrip(CLOSERS)[-1:] in (".", "!", "?", ":", "…"):
+                    ends.append(k)
+                if not plain and NUMBER.match(core):
+                    numbers.append(k)
+                    continue
+                if not plain and (MEASURE.match(core) or MONEY.match(core)):
+                    measures.append(k)
+                    continue
+                if len(core) > 1 and core[0].isupper() and core[1:].islower():
+                    names.append(k)
             if low in UNITS:
-                tokens[2], kinds[2] = UNIT_HASH, UNIT
-            self.tokens[at], self.kinds[at] = tokens, kinds
-        self.ends[at] = word.rstrip(CLOSERS)[-1:] in (".", "!", "?", ":", "…")
-        self.number[at] = self.kinds[at, 0] == NUM
-        return at
-
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token hashes and kinds of a text's words, and where a capitalised word starts a sentence."""
+                units.append(k)
+        self.tokens[numbers], self.kinds[numbers] = NUM_HASH, NUM
+        self.tokens[measures], self.kinds[measures] = MEASURE_HASH, UNIT
+        for state in (0, 2):
+            self.tokens[names, state], self.kinds[names, state] = NAME_HASH, NAME
+        self.tokens[units, 2], self.kinds[units, 2] = UNIT_HASH, UNIT
+        self.ends[ends] = True
+        self.number[own] = self.kinds[own, 0] == NUM
+
+    def of(self, words: list[str], begin: np.ndarray | tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token hashes and kinds of the words of texts that begin there, and where a capitalised word starts a sentence."""
         if len(self.index) + len(words) > len(self.ends):
             self.index.clear()
             if len(words) > len(self.ends):  # a text of more words than are remembered
                 self.tokens, self.kinds = np.zeros((len(words), 3), np.uint64), np.zeros((len(words), 3), np.int8)
                 self.ends, self.number = np.zeros(len(words), bool), np.zeros(len(words), bool)
-        get, add = self.index.get, self.add
-        at = np.array([i if (i := get(w)) is not None else add(w) for w in words], np.int64)
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(at < 0)):
+            unknown = [words[j] for j in new.tolist()]
+            self.add(list(dict.fromkeys(unknown)))
+            at[new] = [self.index[w] for w in unknown]
         state = np.zeros(len(at), np.int64)
         if len(at):
             state[1:][self.number[at[:-1]]] = 2
             state[1:][self.ends[at[:-1]]] = 1
-            state[0] = 1
+            state[np.asarray(begin)] = 1
         return self.tokens[at, state], self.kinds[at, state], (state == 1) & (self.kinds[at, 0] == NAME)
 
 
 def split(text: str) -> list[str]:
-    return re.findall(r"[^\x20\x09-\x0D]+", text) if ODD_SPACES.search(text) else text.split()
+    odd = any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else ODD_SPACES.search(text)
+    return re.findall(r"[^\x20\x09-\x0D]+", text) if odd else text.split()
 
 
 def with_names(tokens: np.ndarray, kinds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,60 +171,109 @@ class Benchmark:
                 if hashes[p] != second[p]:
                     found[size].append((int(second[p]), len(self.items), p, False))
             self.items.append((item, [w.strip(OUTER).lower() for w in words], kinds, named_kinds, len(places), size))
+        self.windows = np.array([own[4] for own in self.items])
         for size, rows in found.items():
             rows.sort()
             self.by_size[size] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
-
-    def leaks(self, text: str) -> list[tuple[int, str, int, int, int]]:
+        # for each size, whether a window of the index has these leading bits
+        self.sieves: dict[int, tuple[np.uint64, np.ndarray]] = {}
+        for size, (hashes, *_) in self.by_size.items():
+            bits = min(len(hashes).bit_length() + SIEVE, 24)
+            sieve = np.zeros(1 << bits, bool)
+            sieve[hashes >> np.uint64(64 - bits)] = True
+            self.sieves[size] = np.uint64(64 - bits), sieve
+
+    def leaks(self, text: str | None) -> list[tuple[int, str, int, int, int]]:
         """(item, kind, matched windows, first word, words) of the items that a text leaks."""
-        words = split(text or "")
+        return next(self.leaks_of([text]))
+
+    def leaks_of(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, int, int, int]]]:
+        """The leaks of each text; short texts are looked up together."""
+        group, n = [], 0
+        for text in texts:
+            words = split(text or "")
+            group.append(words)
+            n += len(words)
+            if n >= TOGETHER:
+                yield from self._leaks(group)
+                group, n = [], 0
+        yield from self._leaks(group)
+
+    def _leaks(self, texts: list[list[str]]) -> list[list[tuple[int, str, int, int, int]]]:
+        out: list[list] = [[] for _ in texts]
+        words = [w for own in texts for w in own]
         if not words:
-            return []
-        tokens, kinds, starts = self.templates.of(words)
+            return out
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(texts)), sizes)
+        tokens, kinds, starts = self.templates.of(words, begin[sizes > 0])
         named, named_kinds = with_names(tokens, kinds, starts)
-        hits: dict[int, dict[tuple[int, int], bool]] = defaultdict(dict)  # (word, place): by the first template
-        for size, (hashes, owner, place, plain) in self.by_size.items():
-            own = window_hashes(tokens, size)
-            if not len(own):
-                continue
-            second = window_hashes(named, size)
-            for first, h, of in ((True, own, np.arange(len(own))), (False, second, np.flatnonzero(second != own))):
-                h = h[of]
-                low = np.searchsorted(hashes, h)
-                for j in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h).tolist():
-                    k, w = int(low[j]), int(of[j])
-                    while k < len(hashes) and hashes[k] == h[j]:
-                        got = hits[int(owner[k])]
-                        at = (w, int(place[k]))
-                        got[at] = got.get(at, False) or first and bool(plain[k])
-                        k += 1
-        out = []
-        for i, places in hits.items():
-            item, values, item_kinds, item_named, n, size = self.items[i]
-            if len({p for _, p in places}) < CONTAINMENT * n:
-                continue
-            best = None
-            # one alignment for all windows of the first template
-            for offset, matched in Counter(w - p for (w, p), first in places.items() if first).most_common():
-                if matched < CONTAINMENT * n or best and best[1] == "exact":
-                    break
-                kind = self._slots(values, item_kinds, words, kinds, [(p, p + offset) for p in range(len(values))])
+        for size in self.by_size:
+            for t, i, places in self._hits(tokens, named, of, begin, size):
+                own = slice(begin[t], begin[t] + sizes[t])
+                if best := self._best(i, places, texts[t], kinds[own], named_kinds[own]):
+                    out[t].append(best)
+        for found in out:
+            found.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+        return out
+
+    def _hits(self, tokens, named, of, begin, size: int) -> Iterator[tuple[int, int, dict[tuple[int, int], bool]]]:
+        """(text, item, {(word, place): by the first template}) where a text holds most windows of an item."""
+        hashes, owner, place, plain = self.by_size[size]
+        shift, sieve = self.sieves[size]
+        own = window_hashes(tokens, size)
+        if not len(own):
+            return
+        inside = of[: len(own)] == of[size - 1 :]
+        second = window_hashes(named, size)
+        found = []
+        for first, h, where in ((True, own, inside), (False, second, inside & (second != own))):
+            at = np.flatnonzero(sieve[h >> shift] & where)
+            low = np.searchsorted(hashes, h[at])
+            n = np.searchsorted(hashes, h[at], "right") - low
+            w = np.repeat(at, n)
+            k = np.arange(len(w)) + np.repeat(low - (np.cumsum(n) - n), n)
+            found.append((w, k, plain[k] if first else np.zeros(len(k), bool)))
+        w, k, first = map(np.concatenate, zip(*found))
+        if not len(w):
+            return
+        pair = of[w] * len(self.items) + owner[k]
+        width = int(place.max()) + 1
+        pairs, n = np.unique(np.unique(pair * width + place[k]) // width, return_counts=True)
+        pairs = pairs[n >= CONTAINMENT * self.windows[pairs % len(self.items)]]
+        if not len(pairs):
+            return
+        keep = np.flatnonzero(np.isin(pair, pairs))
+        hits: dict[int, dict[tuple[int, int], bool]] = defaultdict(dict)
+        for x, at, p, by in zip(pair[keep].tolist(), (w - begin[of[w]])[keep].tolist(), place[k][keep].tolist(), first[keep].tolist()):
+            hits[x][at, p] = hits[x].get((at, p), False) or by
+        for x, places in hits.items():
+            yield *divmod(x, len(self.items)), places
+
+    def _best(self, i: int, places: dict[tuple[int, int], bool], words: list[str], kinds, named_kinds) -> tuple[int, str, int, int, int] | None:
+        """The leak of an item most of whose windows a text holds."""
+        item, values, item_kinds, item_named, n, size = self.items[i]
+        best = None
+        # one alignment for all windows of the first template
+        for offset, matched in Counter(w - p for (w, p), first in places.items() if first).most_common():
+            if matched < CONTAINMENT * n or best and best[1] == "exact":
+                break
+            kind = self._slots(values, item_kinds, words, kinds, [(p, p + offset) for p in range(len(values))])
+            if kind and (best is None or kind == "exact"):
+                best = (item, kind, matched, max(offset, 0), len(values))
+        if best is None or best[1] != "exact":
+            for chain in chains(sorted(places), CONTAINMENT * n):
+                pairs = {p + k: w + k for w, p in reversed(chain) for k in range(size)}
+                kind = self._slots(values, item_named, words, named_kinds, sorted(pairs.items()))
+                if kind is None:
+                    same = sum([w.strip(OUTER).lower() for w in words[at : at + size]] == values[p : p + size] for at, p in chain)
+                    kind = "near" if same >= CONTAINMENT * n else None
                 if kind and (best is None or kind == "exact"):
-                    best = (item, kind, matched, max(offset, 0), len(values))
-            if best is None or best[1] != "exact":
-                for chain in chains(sorted(places), CONTAINMENT * n):
-                    pairs = {p + k: w + k for w, p in reversed(chain) for k in range(size)}
-                    kind = self._slots(values, item_named, words, named_kinds, sorted(pairs.items()))
-                    if kind is None:
-                        same = sum([w.strip(OUTER).lower() for w in words[at : at + size]] == values[p : p + size] for at, p in chain)
-                        kind = "near" if same >= CONTAINMENT * n else None
-                    if kind and (best is None or kind == "exact"):
-                        best = (item, kind, len(chain), max(chain[0][0] - chain[0][1], 0), len(values))
-                    if best and best[1] == "exact":
-                        break
-            if best:
-                out.append(best)
-        return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0))
+                    best = (item, kind, len(chain), max(chain[0][0] - chain[0][1], 0), len(values))
+                if best and best[1] == "exact":
+                    break
+        return best
 
     @staticmethod
     def _slots(values, item_kinds, words, kinds, pairs) -> str | None:
@@ -279,7 +347,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Benchmark(index.value)
         for batch in batches:
-            yield _table([(d, *leak) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for leak in found.leaks(t)], schema)
+            yield _table([(d, *leak) for d, own in zip(batch.column(0).to_pylist(), found.leaks_of(batch.column(1).to_pylist())) for leak in own], schema)
 
     return mapped(rows, run, schema)
 
@@ -298,7 +366,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Benchmark(index.value)
         for batch in batches:
-            yield batch.filter(pa.array([not found.leaks(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not own for own in found.leaks_of(batch.column(at).to_pylist())], pa.bool_()))
 
     out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return mapped(out, run, out.schema).toDF(*docs.columns)

@@ -56,3 +56,20 @@ def test_shifted_windows_names_at_starts_and_edited_slots():
     assert leaks(story, anna.replace("Anna buys", "Eve buys")) == []
     twice = " ".join(["pay", "15", "now", *words, "pay", "15", "later"])
     assert leaks(twice, twice.replace("15 later", "16 later")) == ["near"]
+
+
+def test_short_texts_are_looked_up_together(monkeypatch):
+    """Many texts go through the arrays at once, and find what each would by itself; no window spans two of them."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30)]
+    item = " ".join(words)
+    texts = [" ".join(words[:15]), " ".join(words[15:]), None, "", item, f"So it is. {item}!", *(f"nothing {i} of it" for i in range(400)), item]
+    index = decontaminate.Benchmark([(1, item), (2, "nothing 5 of it"), (2, item), (3, "")])
+    alone = [index.leaks(t) for t in texts]
+    calls = []
+    of = index.templates.of
+    monkeypatch.setattr(index.templates, "of", lambda *a: calls.append(1) or of(*a))
+    assert list(index.leaks_of(texts)) == alone and len(calls) == 1
+    assert [len(own) for own in alone[:6]] == [0, 0, 0, 0, 2, 2] and all(len(own) == 1 for own in alone[6:-1])
+    monkeypatch.setattr(decontaminate, "TOGETHER", 50)
+    monkeypatch.setattr(decontaminate, "CACHED_WORDS", 60)
+    assert list(decontaminate.Benchmark([(1, item), (2, "nothing 5 of it"), (2, item), (3, "")]).leaks_of(texts)) == alone
