@@ -6,17 +6,18 @@ share of it, in proportion to its dimensions. So each block is range-joined unde
 and the union of what the blocks find is verified by the cosine of the vectors as they are.
 
 A group (one label, one length of vector) of at most `rows` vectors meets in one task with all its
-blocks. A larger one is cut into cells by each block: a cell is the side of the group's centre on
-which each of the block's first coordinates lies, and a vector also visits the cells of larger
-number that its budget reaches. Cells that are still larger are dealt out as pairs of tiles.
+blocks. A larger one is cut into stripes of about that many. Stripes meet in rounds: in round d each
+stripe meets the one d places further, so that a vector travels twice in a round at most, and the
+shuffle of a round goes before the next. In a task each block is cut into leaves by the medians of its
+coordinates, and leaves whose boxes are further apart than the block's budget don't meet.
 
-Rotated vectors are whole numbers, small enough that products and sums of doubles are exact. So
-every task finds the same distance in a block, and a pair counts only in the first block within budget.
+Rotated vectors are whole numbers, small enough that products and sums of doubles are exact. A pair
+counts only in the first block within budget.
 No pair leaves a task, only each vector's count of links and one edge to its local component.
 
 Equal vectors fold into one before they meet. Dense groups of different vectors are folded by balls:
 members of a ball of half the distance of the threshold are linked with each other by the
-triangle inequality and need no comparison, so tiles of one ball never meet. Centres of groups and
+triangle inequality and need no comparison, so leaves of one ball never meet. Centres of
 balls come from a bounded sample of SAMPLE vectors; no result depends on which they are.
 """
 
@@ -32,19 +33,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, mapped
+from .common import connected_components, cut, mapped, tidy
 
 THRESHOLD = 0.93
 BLOCK_DIMS = 16
-#: Vectors of a cell, and of a tile of a cell that is larger.
-ROWS = 4096
-#: Vectors that place centres and balls, all on the driver: at most 16,384, 8 MB of 64 doubles.
+#: Vectors of a stripe, of at most DIMS dimensions; longer ones have fewer to a stripe.
+ROWS, DIMS = 16_384, 64
+#: Vectors that place balls, all on the driver: at most 16,384, 8 MB of 64 doubles.
 SAMPLE = 16_384
 #: A ball is worth folding from this share of its group's sample, and this many sampled vectors.
 DENSE, DENSE_ROWS = 0.01, 24
 #: Balls of one group.
 BALLS = 64
-CHUNK = 512
+#: Vectors of a leaf, leaves that are compared with one at once, and vectors for each partition that stripes are dealt to.
+LEAF, LEAVES, DEALT = 512, 4, 2048
+#: What single precision may add to a squared distance of unit vectors.
+SINGLE = 1e-5
 #: What rounding may add to a distance, as a factor of the budget.
 SLACK = 1.01
 
@@ -93,41 +97,76 @@ def merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def linked(x: np.ndarray, norm: np.ndarray, side: np.ndarray, mass: np.ndarray, ball: np.ndarray, tile: np.ndarray, block: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links, root) of the vectors of one cell, or of one pair of tiles.
+def leaves(points: np.ndarray, ball: np.ndarray) -> list[np.ndarray]:
+    """The places of points in leaves of at most LEAF that are near each other and of one ball, or of none."""
+    todo, out = [np.flatnonzero(ball == k) for k in np.unique(ball)], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= LEAF:
+            out.append(at)
+            continue
+        own = points[at]
+        order = np.argpartition(own[:, own.var(0).argmax()], len(at) // 2)
+        todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
+    return out
 
-    side is 1 for visitors, which do not meet each other. Tiles are 0 and 1; if both occur, only
-    vectors of different tiles meet. block is the block whose cell it is, or -1 for all blocks.
+
+def near(own: np.ndarray, budget: float, scale: float, ball: np.ndarray, tile: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within the budget in one block, a few more by rounding; own has the block's coordinates.
+
+    If there are two tiles, only vectors of different tiles meet. Members of one ball don't meet.
     """
+    y = own / scale
+    half = (y * y).sum(1) / 2
+    one = np.ones(len(y))
+    # left * right is the product less half of both squares, so that one comparison decides
+    left, right = np.column_stack((y, -half, one)).astype(np.float32), np.column_stack((y, one, -half)).astype(np.float32)
+    least = np.float32(-(budget / scale**2 + SINGLE) / 2)
+    apart = tile.any() and not tile.all()
+    sides = [np.flatnonzero(tile == t) for t in (0, 1)] if apart else [np.arange(len(y))] * 2
+    cut_up = [[side[at] for at in leaves(own[side], ball[side])] for side in (sides if apart else sides[:1])]
+    mine, others = cut_up[0], cut_up[-1]
+    low, high = (np.array([f(own[at], 0) for at in others]) for f in (np.min, np.max))
+    balls = np.array([ball[at[0]] for at in others])
+    for n, at in enumerate(mine):
+        gap = np.maximum(0, np.maximum(low - own[at].max(0), own[at].min(0) - high))
+        meet = ((gap * gap).sum(1) <= budget) & ((balls < 0) | (balls != ball[at[0]]))
+        if not apart:
+            meet[:n] = False
+        reach = np.flatnonzero(meet)
+        for k in range(0, len(reach), LEAVES):
+            to = np.concatenate([others[j] for j in reach[k : k + LEAVES]])
+            hit = left[at] @ right[to].T >= least
+            if not apart and reach[k] == n:
+                hit[:, : len(at)] &= np.triu(np.ones((len(at), len(at)), bool), 1)
+            found = np.flatnonzero(hit)
+            if len(found):
+                yield at[found // len(to)], to[found % len(to)]
+
+
+def linked(x: np.ndarray, norm: np.ndarray, mass: np.ndarray, ball: np.ndarray, tile: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of the vectors of one group or stripe, or of two stripes, whose tiles are 0 and 1."""
     space = Space.of(x.shape[1], threshold)
-    n = len(x)
-    links, root = np.zeros(n, np.int64), np.arange(n)
+    links, root = np.zeros(len(x), np.int64), np.arange(len(x))
     turned = space.rotated(x / norm[:, None])
-    parts = range(len(space.blocks)) if block < 0 else [block]
-    squares = {b: (turned[:, space.blocks[b]] ** 2).sum(1) for b in parts}
-    apart = tile.any() and not tile.all()
-    for lo in range(0, n, CHUNK):
-        hi = min(n, lo + CHUNK)
-        near = np.zeros((hi - lo, n - lo), bool)
-        for b in parts:
-            own = turned[lo:, space.blocks[b]]
-            near |= squares[b][lo:hi, None] + squares[b][None, lo:] - 2 * (own[: hi - lo] @ own.T) <= space.budgets[b]
-        near &= (side[lo:hi, None] == 0) | (side[None, lo:] == 0)
-        near &= (ball[lo:hi, None] < 0) | (ball[lo:hi, None] != ball[None, lo:])
-        if apart:
-            near &= tile[lo:hi, None] != tile[None, lo:]
-        i, j = np.nonzero(np.triu(near, 1))
-        i, j = i + lo, j + lo
-        for at in range(0, len(i), 1 << 16):
-            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            hit = (x[a] * x[b]).sum(1) / (norm[a] * norm[b]) >= threshold
-            a, b = a[hit], b[hit]
-            for earlier in range(block):
-                within = ((turned[a, space.blocks[earlier]] - turned[b, space.blocks[earlier]]) ** 2).sum(1) <= space.budgets[earlier]
-                a, b = a[~within], b[~within]
-            np.add.at(links, a, mass[b])
-            np.add.at(links, b, mass[a])
-            merge(root, a, b)
+
+    def within(a: np.ndarray, b: np.ndarray, block: int) -> np.ndarray:
+        return ((turned[a, space.blocks[block]] - turned[b, space.blocks[block]]) ** 2).sum(1) <= space.budgets[block]
+
+    for block, at in enumerate(space.blocks):
+        for i, j in near(turned[:, at], space.budgets[block], space.scale, ball, tile):
+            for lo in range(0, len(i), 1 << 16):
+                a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+                hit = within(a, b, block)
+                a, b = a[hit], b[hit]
+                hit = (x[a] * x[b]).sum(1) / (norm[a] * norm[b]) >= threshold
+                a, b = a[hit], b[hit]
+                for earlier in range(block):
+                    first = ~within(a, b, earlier)
+                    a, b = a[first], b[first]
+                np.add.at(links, a, mass[b])
+                np.add.at(links, b, mass[a])
+                merge(root, a, b)
     return links, root
 
 
@@ -155,16 +194,14 @@ def _nodes(source: DataFrame, kind: str) -> DataFrame:
 
 
 class Plan:
-    """The centre of a large group and its balls."""
+    """The balls of a large group."""
 
     def __init__(self, dims: int, sample: list[bytes], kind: str, threshold: float):
-        space = Space.of(dims, threshold)
-        self.centre, self.balls = np.zeros(dims), np.empty((0, dims))
+        self.balls = np.empty((0, dims))
         if not sample:
             return
         x, norm = doubles(sample, kind)
         unit = x / norm[:, None]
-        self.centre = space.rotated(unit.mean(0)[None])[0]
         reach = 2 - 2 * threshold
         free, balls = np.ones(len(unit), bool), []
         # vectors within the threshold of each sampled one, counted in chunks
@@ -185,99 +222,29 @@ def _ball(plan: Plan, unit: np.ndarray, threshold: float) -> np.ndarray:
     """The ball of each vector, -1 for none."""
     if not len(plan.balls):
         return np.full(len(unit), -1)
-    square = (unit**2).sum(1)[:, None] + (plan.balls**2).sum(1) - 2 * unit @ plan.balls.T
+    # row by row, so that a vector has the same ball in any batch
+    square = np.column_stack([((unit - b) ** 2).sum(1) for b in plan.balls])
     first = square.argmin(1)
     # half the distance of the threshold, less what rounding may hide
     return np.where(square[np.arange(len(unit)), first] <= (2 - 2 * threshold) / 4 - 1e-9, first, -1)
 
 
-def _places(splits: int, plan: Plan, space: Space, turned: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, side) of each vector's own cell and of the cells of larger number that it visits."""
-    start = space.blocks[block].start
-    splits = min(splits, space.blocks[block].stop - start)
-    row, cell, spent = np.arange(len(turned)), np.zeros(len(turned), np.int64), np.zeros(len(turned))
-    away = np.zeros(len(turned), bool)
-    for k in range(splits):
-        gap = turned[row, start + k] - plan.centre[start + k]
-        over = spent + gap**2 <= space.budgets[block]
-        own = (gap > 0).astype(np.int64)
-        cell, away = np.concatenate((cell * 2 + own, cell[over] * 2 + 1 - own[over])), np.concatenate((away, np.ones(over.sum(), bool)))
-        spent, row = np.concatenate((spent, spent[over] + gap[over] ** 2)), np.concatenate((row, row[over]))
-    home = np.zeros(len(turned), np.int64)
-    home[row[~away]] = cell[~away]
-    keep = ~away | (cell > home[row])
-    return row[keep], cell[keep], away[keep].astype(np.int8)
-
+def _met(nodes: DataFrame, turn: int) -> DataFrame:
+    """The rows of one round under (label, dims, p), p being a stripe; tile is 0 in it and 1 in the stripe `turn` places further that it meets."""
+    if not turn:
+        return nodes.select("label", "dims", F.col("h").alias("p"), F.lit(0).alias("tile"), "node", "mass", "vec")
+    there = nodes.where(f"stripes >= {2 * turn}")
+    both = there.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("tile")).withColumn("p", F.expr(f"pmod(h - tile * {turn}, stripes)"))
+    # half way round each pair of stripes would meet twice
+    return both.where(f"stripes > {2 * turn} or p < {turn}").select("label", "dims", "p", "tile", "node", "mass", "vec")
 
-MEMBER = "label string, dims int, block int, cell long, side byte, ball int, node long, mass long, vec binary"
 
+KEY = ["label", "dims", "p"]
 
-def _members(nodes: DataFrame, plans: dict, kind: str, threshold: float) -> DataFrame:
-    """Each vector under every cell of every block that it lies in or visits; a group without splits has one cell and block -1."""
-    shared = nodes.sparkSession.sparkContext.broadcast(plans)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, dims = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            groups: dict[tuple, list[int]] = {}
-            for n, (name, d, splits) in enumerate(zip(names, dims, batch.column(5).to_pylist())):
-                groups.setdefault((name, d, splits) if splits else None, []).append(n)
-            for g, at in groups.items():
-                here = batch.take(pa.array(at))
-                if g is None:
-                    n = len(at)
-                    places = [(-1, np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int8))]
-                    ball = np.full(n, -1)
-                else:
-                    space = Space.of(g[1], threshold)
-                    plan = shared.value.get(g[:2]) or Plan(g[1], [], kind, threshold)
-                    x, norm = doubles(here.column(4).to_pylist(), kind)
-                    unit = x / norm[:, None]
-                    ball, turned = _ball(plan, unit, threshold), space.rotated(unit)
-                    places = [(b, *_places(g[2], plan, space, turned, b)) for b in range(len(space.blocks))]
-                for block, row, cell, side in places:
-                    for lo in range(0, len(row), 8192):
-                        some = pa.array(row[lo : lo + 8192])
-                        r = here.take(some)
-                        yield pa.RecordBatch.from_arrays(
-                            [r.column(0), r.column(1), pa.array(np.full(len(r), block, np.int32)), pa.array(cell[lo : lo + 8192]), pa.array(side[lo : lo + 8192]),
-                             pa.array(ball[row[lo : lo + 8192]].astype(np.int32)), r.column(2), r.column(3), r.column(4)],
-                            ["label", "dims", "block", "cell", "side", "ball", "node", "mass", "vec"])
-
-    return mapped(nodes.select("label", "dims", "node", "mass", "vec", "splits"), run, MEMBER)
-
-
-def _tiled(members: DataFrame, rows: int) -> DataFrame:
-    """members with p and q, the tiles that meet, and their own tile as 0 or 1; cells of at most 2 * rows members stay whole.
-
-    A larger cell has tiles of about `rows` members, each of one ball or of none. Two tiles of one
-    ball don't meet.
-    """
-    cell = ["label", "dims", "block", "cell"]
-    counted = members.where("block >= 0").groupBy(*cell, "ball").agg(F.count("*").alias("n"))
-    large = counted.groupBy(*cell).agg(F.sum("n").alias("all")).where(F.col("all") > 2 * rows)
-    tiles = counted.join(large, cell).withColumn("tiles", F.ceil(F.col("n") / rows).cast("int"))
-    # the first tile of a ball is known by ball and number, so no order over the tiles of a cell is needed
-    listed = cut(tiles.select(*cell, "ball", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t")))
-    if listed.isEmpty():
-        return members.select("*", F.lit(0).alias("pb"), F.lit(0).alias("pt"), F.lit(0).alias("qb"), F.lit(0).alias("qt"), F.lit(0).alias("tile"))
-    a = listed.select(*cell, F.col("ball").alias("pb"), F.col("t").alias("pt"))
-    b = listed.select(*cell, F.col("ball").alias("qb"), F.col("t").alias("qt"))
-    pairs = a.join(b, cell).where("struct(pb, pt) <= struct(qb, qt) and (pb < 0 or pb <> qb)")
-    ends = pairs.select("*", F.lit(0).alias("tile"), F.col("pb").alias("ball"), F.col("pt").alias("t")).unionByName(
-        pairs.where("struct(pb, pt) <> struct(qb, qt)").select("*", F.lit(1).alias("tile"), F.col("qb").alias("ball"), F.col("qt").alias("t")))
-    ends = ends.join(listed.select(*cell, "ball", "t", "tiles"), [*cell, "ball", "t"])
-    sized = members.join(listed.select(*cell, "ball", "tiles").distinct(), [*cell, "ball"], "left")
-    small = sized.where("tiles is null").drop("tiles").select("*", F.lit(0).alias("pb"), F.lit(0).alias("pt"), F.lit(0).alias("qb"), F.lit(0).alias("qt"), F.lit(0).alias("tile"))
-    big = sized.where("tiles is not null").withColumn("t", F.pmod(F.xxhash64("node"), "tiles").cast("int")).drop("tiles")
-    return small.unionByName(big.join(ends.drop("tiles"), [*cell, "ball", "t"]).drop("t").select(small.columns))
-
-
-KEY = ["label", "dims", "block", "cell", "pb", "pt", "qb", "qt"]
-
-
-def _links(tiled: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """(node, peer, n): for each task's vectors with links, their number and the local component."""
+def _links(members: DataFrame, n: int, plans: dict, kind: str, threshold: float) -> DataFrame:
+    """(node, peer, n): for each stripe's or pair of stripes' vectors with links, their number and the local component; n vectors in all."""
+    shared = members.sparkSession.sparkContext.broadcast(plans)
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
@@ -288,15 +255,18 @@ def _links(tiled: DataFrame, kind: str, threshold: float) -> DataFrame:
         for key, own in groups(batches):
             if len(own) < 2:
                 continue
-            side, ball, node, mass, vec, tile = zip(*own)
+            tile, node, mass, vec = zip(*own)
             x, norm = doubles(list(vec), kind)
-            links, root = linked(x, norm, np.array(side), np.array(mass), np.array(ball), np.array(tile), key[2], threshold)
+            plan = shared.value.get(key[:2])
+            ball = _ball(plan, x / norm[:, None], threshold) if plan else np.full(len(x), -1)
+            links, root = linked(x, norm, np.array(mass), ball, np.array(tile), threshold)
             some, names = links > 0, np.array(node)
             if some.any():
                 yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[root[some]]), pa.array(links[some])], ["node", "peer", "n"])
 
-    dealt = tiled.repartition(*KEY).sortWithinPartitions(*KEY)
-    return mapped(dealt.select(*KEY, "side", "ball", "node", "mass", "vec", "tile"), run, "node long, peer long, n long")
+    # dealt out by number, as little data is much work here
+    dealt = members.repartition(min(2000, 1 + n // DEALT), *KEY).sortWithinPartitions(*KEY)
+    return mapped(dealt.select(*KEY, "tile", "node", "mass", "vec"), run, "node long, peer long, n long")
 
 
 def _balls(nodes: DataFrame, plans: dict, kind: str, threshold: float) -> DataFrame:
@@ -307,7 +277,7 @@ def _balls(nodes: DataFrame, plans: dict, kind: str, threshold: float) -> DataFr
         for batch in batches:
             groups: dict[tuple, list[int]] = {}
             for n, g in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if g in shared.value and len(shared.value[g].balls):
+                if g in shared.value:
                     groups.setdefault(g, []).append(n)
             for g, at in groups.items():
                 here = batch.take(pa.array(at))
@@ -343,23 +313,29 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     able = source.where("label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null)")
     named = _nodes(able, kind)
     one = named.groupBy("key").agg(F.first("label").alias("label"), F.first("dims").alias("dims"), F.first("vec").alias("vec"), F.count("*").alias("mass"), F.min("id").alias("least"))
-    # numbers given here hold, as the table is written before it is read
-    nodes = cut(one.withColumn("node", F.monotonically_increasing_id()))
-    total = nodes.count()
-    large = nodes.groupBy("label", "dims").agg(F.count("*").alias("n")).where(F.col("n") > rows)
-    large = cut(large.select("label", "dims", F.least(F.lit(BLOCK_DIMS), F.ceil(F.log2(F.col("n") / rows))).cast("int").alias("splits")))
-    n_large = large.count()
-    plans = {}
-    if n_large:
-        sampled = nodes.join(_few(large, n_large), ["label", "dims"], "left_semi")
-        sample: dict[tuple, list[bytes]] = {}
-        for r in sampled.select("label", "dims", "vec").sample(min(1.0, SAMPLE / total), seed=7).limit(SAMPLE).collect():
-            sample.setdefault((r.label, r.dims), []).append(bytes(r.vec))
-        plans = {g: Plan(g[1], vecs, kind, threshold) for g, vecs in sample.items()}
-    found = _links(_tiled(_members(nodes.join(_few(large, n_large), ["label", "dims"], "left"), plans, kind, threshold), rows), kind, threshold)
-    if any(len(p.balls) for p in plans.values()):
-        found = found.unionByName(_balls(nodes, plans, kind, threshold))
-    found = cut(found)
+    with tidy(vectors.sparkSession):
+        # numbers given here hold, as the table is written before it is read
+        nodes = cut(one.withColumn("node", F.monotonically_increasing_id()))
+        total = nodes.count()
+        large = nodes.groupBy("label", "dims").agg(F.count("*").alias("n"))
+        large = large.select("label", "dims", F.expr(f"ceil(n * greatest(dims, {DIMS}) / {DIMS} / {rows})").cast("int").alias("stripes"))
+        large = cut(large.where("stripes > 1"))
+        n_large, most = large.agg(F.count("*"), F.coalesce(F.max("stripes"), F.lit(1))).first()
+        plans = {}
+        if n_large:
+            sampled = nodes.join(_few(large, n_large), ["label", "dims"], "left_semi")
+            sample: dict[tuple, list[bytes]] = {}
+            for r in sampled.select("label", "dims", "vec").sample(min(1.0, SAMPLE / total), seed=7).limit(SAMPLE).collect():
+                sample.setdefault((r.label, r.dims), []).append(bytes(r.vec))
+            plans = {g: Plan(g[1], vecs, kind, threshold) for g, vecs in sample.items()}
+            plans = {g: p for g, p in plans.items() if len(p.balls)}
+        striped = nodes.join(_few(large, n_large), ["label", "dims"], "left").withColumn("stripes", F.coalesce("stripes", F.lit(1)))
+        striped = striped.withColumn("h", F.expr("cast(pmod(xxhash64(node), stripes) as int)"))
+        found = cut(_links(_met(striped, 0), total, plans, kind, threshold))
+        for turn in range(1, most // 2 + 1):
+            found = found.unionByName(cut(_links(_met(striped, turn), 2 * total, plans, kind, threshold)))
+        if plans:
+            found = found.unionByName(cut(_balls(nodes, plans, kind, threshold)))
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     counted = found.groupBy("node").agg(F.sum("n").alias("n"))
     placed = nodes.select("node", "key", "mass", "least").join(counted, "node", "left").join(groups, "node", "left")

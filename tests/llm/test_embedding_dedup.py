@@ -90,3 +90,28 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert E.near_duplicates(df.limit(0)).collect() == []
     doubles = df.selectExpr("vec_id", "cast(embedding as array<double>) as embedding", "label")
     assert sorted(map(tuple, E.near_duplicates(doubles).collect()), key=key) == sorted(brute(rows), key=key)
+
+
+@pytest.mark.parametrize("stripes", [4, 5])
+def test_vectors_travel_twice_in_a_round_at_most(spark, monkeypatch, stripes):
+    """However many stripes a label has, no step deals out more than two rows for each vector."""
+    rng = np.random.default_rng(6)
+    vecs = cloud(rng, 32, 50, 10, 0.05)
+    rows = [(i, [float(np.float32(x)) for x in v], 1, "k", 0) for i, v in enumerate(vecs)]
+    dealt, keep = [], E.mapped
+    monkeypatch.setattr(E, "mapped", lambda df, *a: dealt.append(df.count()) or keep(df, *a))
+    got = E.near_duplicates(spark.createDataFrame(rows, SCHEMA), rows=len(rows) // stripes)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows))
+    assert len(dealt) > 3 and max(dealt) <= 2 * len(rows)
+
+
+def test_leaves_hold_all_pairs_within_the_budget():
+    rng = np.random.default_rng(8)
+    own = np.rint(cloud(rng, 16, 40, 60, 0.02) * 1000)
+    ball, tile = rng.integers(-1, 2, len(own)), rng.integers(0, 2, len(own))
+    square = ((own[:, None] - own[None]) ** 2).sum(2) <= 150**2
+    square &= (ball[:, None] < 0) | (ball[:, None] != ball[None])
+    for t in (tile, 0 * tile):
+        got = [(min(a, b), max(a, b)) for i, j in E.near(own, 150**2, 1000.0, ball, t) for a, b in zip(i.tolist(), j.tolist())]
+        want = {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(square, 1)))) if not t.any() or t[a] != t[b]}
+        assert len(got) == len(set(got)) and want and want <= set(got) and len(got) < 1.01 * len(want) + 9
